@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from evisift.llm import mixing
+from evisift.llm import mixing, quality, toxicity
 
-QUERIES = {"op8_mix_sources": mixing.op8_mix_sources}
+QUERIES = {
+    "op5_quality_classifier": quality.op5_quality_classifier,
+    "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_toxicity": toxicity.op9_toxicity,
+}
 ORACLES = {"op8_mix_sources": mixing.ORACLE}
