@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +70,54 @@ def join_by_key(big: DataFrame, small: DataFrame, key: str, how: str = "inner",
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
+    """The runs of rows that agree in the integer columns ``keys``, over rows that come sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last: tuple[int, ...] | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in keys], 1)
+        cut = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), b.num_rows]
+        for s, e in zip(cut, cut[1:], strict=False):
+            now = tuple(k[s].tolist())
+            if held and now != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(s, e - s))
+            last = now
+    if held:
+        yield last, pa.Table.from_batches(held)
+
+
+def batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Tuples as record batches."""
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) >= size:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label): label is the smallest node that edges (u, v) lead to. Alternating large-star and small-star rounds; every round is a table in the shared folder."""
+    high, low = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
+    e = materialize(edges.filter("u <> v").select(high, low).distinct(), "edges")
+    before = None
+    while True:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == before:
+            roots = e.select(F.col("v").alias("node")).distinct()
+            return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots.withColumn("label", F.col("node")))
+        before = now

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from evisift.llm import mixing, quality, toxicity
+from evisift.llm import mixing, near_duplicates, quality, toxicity
 
 QUERIES = {
+    "op1_ngram_jaccard": near_duplicates.op1_ngram_jaccard,
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_toxicity": toxicity.op9_toxicity,
 }
-ORACLES = {"op8_mix_sources": mixing.ORACLE}
+ORACLES = {"op1_ngram_jaccard": near_duplicates.ORACLE, "op8_mix_sources": mixing.ORACLE}
