@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from evisift.llm import mixing, near_duplicates, quality, toxicity
+from evisift.llm import mixing, near_duplicates, quality, toxicity, wfst
 
 QUERIES = {
     "op1_ngram_jaccard": near_duplicates.op1_ngram_jaccard,
     "op5_quality_classifier": quality.op5_quality_classifier,
+    "op6_sentencepiece": wfst.op6_sentencepiece,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_toxicity": toxicity.op9_toxicity,
 }
-ORACLES = {"op1_ngram_jaccard": near_duplicates.ORACLE, "op8_mix_sources": mixing.ORACLE}
+ORACLES = {
+    "op1_ngram_jaccard": near_duplicates.ORACLE,
+    "op8_mix_sources": mixing.ORACLE,
+}
