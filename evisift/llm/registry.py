@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from evisift.llm import mixing, near_duplicates, quality, toxicity, wfst
+from evisift.llm import mixing, multi_index, near_duplicates, quality, topk, toxicity, wfst
 
 QUERIES = {
     "op1_ngram_jaccard": near_duplicates.op1_ngram_jaccard,
+    "op4_near_vectors": multi_index.op4_near_vectors,
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_sentencepiece": wfst.op6_sentencepiece,
+    "op7_exact_top_k": topk.op7_exact_top_k,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_toxicity": toxicity.op9_toxicity,
 }
 ORACLES = {
     "op1_ngram_jaccard": near_duplicates.ORACLE,
+    "op4_near_vectors": multi_index.ORACLE,
+    "op7_exact_top_k": topk.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
 }
