@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from evisift.llm import mixing, multi_index, near_duplicates, quality, topk, toxicity, wfst
+from evisift.llm import chat, mixing, multi_index, near_duplicates, quality, topk, toxicity, urls, wfst
 
 QUERIES = {
     "op1_ngram_jaccard": near_duplicates.op1_ngram_jaccard,
+    "op2_chat_format": chat.op2_chat_format,
+    "op3_url_filter": urls.op3_url_filter,
     "op4_near_vectors": multi_index.op4_near_vectors,
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_sentencepiece": wfst.op6_sentencepiece,
@@ -15,6 +17,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_ngram_jaccard": near_duplicates.ORACLE,
+    "op2_chat_format": chat.ORACLE,
     "op4_near_vectors": multi_index.ORACLE,
     "op7_exact_top_k": topk.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
