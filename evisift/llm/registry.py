@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evisift.llm import chat, mixing, multi_index, near_duplicates, quality, topk, toxicity, urls, wfst
+from evisift.llm import chat, mixing, multi_index, near_duplicates, quality, token_shards, topk, toxicity, urls, wfst
 
 QUERIES = {
     "op1_ngram_jaccard": near_duplicates.op1_ngram_jaccard,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_exact_top_k": topk.op7_exact_top_k,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_token_shards": token_shards.op10_token_shards,
 }
 ORACLES = {
     "op1_ngram_jaccard": near_duplicates.ORACLE,
