@@ -46,7 +46,8 @@ def stripped_lines(c: Column | str) -> Column:
 
 def tokenize(c: Column | str) -> Column:
     """The token bag: ASCII words with their dots and percent signs, every ideograph, every pair of neighbouring ideographs, and numbered chapters, sections and articles."""
-    text = F.lower(normalize_whitespace(c))
+    # Of the normalisation only the missing byte order marks matter: no token holds white space.
+    text = F.lower(F.translate(col(c), chr(0xFEFF), ""))
 
     def run_tokens(run: Column) -> Column:
         # Both branches may be evaluated: the bounds stay valid for runs of one.
@@ -54,11 +55,9 @@ def tokenize(c: Column | str) -> Column:
         return F.when(F.length(run) == 1, F.array(run)).otherwise(F.concat(F.split(run, ""), pairs))
 
     runs = F.regexp_extract_all(text, F.lit(K.CJK_RUN), F.lit(0))
-    return F.concat(
-        F.regexp_extract_all(text, F.lit(K.ASCII_TOKEN), F.lit(0)),
-        F.flatten(F.transform(runs, run_tokens)),
-        F.regexp_extract_all(text, F.lit(K.NUMBERED), F.lit(0)),
-    )
+    ideographs = F.concat(F.flatten(F.transform(runs, run_tokens)), F.regexp_extract_all(text, F.lit(K.NUMBERED), F.lit(0)))
+    ascii_tokens = F.regexp_extract_all(text, F.lit(K.ASCII_TOKEN), F.lit(0))
+    return F.when(text.rlike(K.CJK_RUN), F.concat(ascii_tokens, ideographs)).otherwise(ascii_tokens)
 
 
 def searchable_text(title_path: Column | str, text: Column | str) -> Column:

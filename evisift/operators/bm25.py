@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from evisift.functions import constants as K
 from evisift.functions.text import tokenize
+from evisift.storage import materialize
 
 #: A table of at most so many rows may be broadcast.
 BROADCAST_ROWS = 50_000
@@ -22,9 +23,15 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def measured(units: DataFrame, key: str, text: Column | str) -> DataFrame:
+    """(key, dl, tokens). Exploding an array of one keeps the optimiser from evaluating the tokens once for each use of theirs. The length is a column of its own before tokens are exploded: computed beside that it would carry the whole array along with every token."""
+    rows = units.select(key, F.explode(F.array(tokenize(text))).alias("tokens"))
+    return rows.select(key, F.size("tokens").cast("bigint").alias("dl"), "tokens")
+
+
 def token_bag(df: DataFrame, key: str, text: Column | str) -> DataFrame:
     """(key, token, n): how often each token occurs."""
-    return df.select(key, F.explode(tokenize(text)).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
+    return measured(df, key, text).select(key, F.explode("tokens").alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
 
 
 def term_frequencies(units: DataFrame, key: str = "pos", text: Column | str = "text") -> DataFrame:
@@ -33,7 +40,7 @@ def term_frequencies(units: DataFrame, key: str = "pos", text: Column | str = "t
 
 def unit_lengths(units: DataFrame, key: str = "pos", text: Column | str = "text") -> DataFrame:
     """(key, dl): tokens of each unit; a unit without any has 0."""
-    return units.select(key, F.size(tokenize(text)).cast("bigint").alias("dl"))
+    return measured(units, key, text).select(key, "dl")
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:
@@ -59,22 +66,21 @@ def term_score(qtf: Column, idf_: Column, tf: Column, dl: Column, avgdl: Column,
 
 def index(units: DataFrame, key: str = "pos", text: Column | str = "text") -> tuple[DataFrame, DataFrame]:
     """Postings (key, token, tf, dl) and the one-row statistics, of tables that may be written and read again."""
-    rows = units.select(key, tokenize(text).alias("tokens"))
-    lengths = rows.select(key, F.size("tokens").cast("bigint").alias("dl"))
-    tf = rows.select(key, F.size("tokens").cast("bigint").alias("dl"), F.explode("tokens").alias("token")).groupBy(key, "token", "dl").agg(F.count("*").alias("tf"))
-    return tf, corpus_stats(lengths)
+    rows = measured(units, key, text)
+    tf = rows.select(key, "dl", F.explode("tokens").alias("token")).groupBy(key, "token", "dl").agg(F.count("*").alias("tf"))
+    return tf, corpus_stats(rows)
 
 
 def scores(units: DataFrame, queries: DataFrame, key: str = "pos", text: Column | str = "text", query: str = "query_id", query_text: str = "query_text", k1: float = K.K1, b: float = K.B) -> DataFrame:
     """(query, key, score) of all units that share a token with a query. Units' tokens are restricted to those that some query has before they are counted; lengths and statistics are of all units."""
-    bag = token_bag(queries, query, query_text).withColumnRenamed("n", "qtf")
-    rows = units.select(key, tokenize(text).alias("tokens"))
-    stats = corpus_stats(rows.select(F.size("tokens").cast("bigint").alias("dl")))
+    bag = materialize(token_bag(queries, query, query_text).withColumnRenamed("n", "qtf"), "bag")
+    rows = measured(units, key, text)
+    stats = corpus_stats(rows)
     wanted = small(bag.select("token").distinct())
-    tf = rows.select(key, F.size("tokens").cast("bigint").alias("dl"), F.explode("tokens").alias("token"))
-    tf = tf.join(wanted, "token", "left_semi").groupBy(key, "token", "dl").agg(F.count("*").alias("tf"))
+    tf = rows.select(key, "dl", F.explode("tokens").alias("token"))
+    tf = materialize(tf.join(wanted, "token", "left_semi").groupBy(key, "token", "dl").agg(F.count("*").alias("tf")), "postings")
     weights = document_frequencies(tf).crossJoin(F.broadcast(stats))  # one row
-    weights = weights.select("token", idf().alias("idf"), "avgdl")
+    weights = materialize(weights.select("token", idf().alias("idf"), "avgdl"), "weights")
     asked = small(bag.join(weights, "token"))
     hit = tf.join(asked, "token")
     term = term_score(F.col("qtf"), F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
