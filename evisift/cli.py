@@ -40,7 +40,7 @@ def parse_domain(spark: SparkSession, name: str, documents: str, questions: str
 def run_answers(spark: SparkSession, name: str, parsed: str, questions: str, split: str | None, out: str, qid: str | None, limit: int | None, env: str) -> None:
     settings = model_settings(read_env(env))
     if settings is None:
-        raise RuntimeError("LLM_MODEL_NAME, LLM_API_BASE and LLM_API_KEY are needed")
+        raise RuntimeError("LLM_MODEL, LLM_API_BASE and LLM_API_KEY are needed")
     d = domain(name)
     asked = read_questions(spark, questions, split, qid, limit)
     done_path = f"{out}/outputs/debug/checkpoint"

@@ -7,7 +7,7 @@ import os
 from dataclasses import asdict, dataclass
 from pathlib import Path
 
-NEEDED = ("LLM_MODEL_NAME", "LLM_API_BASE", "LLM_API_KEY")
+NEEDED = ("LLM_MODEL", "LLM_API_BASE", "LLM_API_KEY")
 
 
 @dataclass(frozen=True)

@@ -59,7 +59,7 @@ def test_questions(spark, folder):
 
 
 def test_config(tmp_path, monkeypatch):
-    (tmp_path / ".env").write_text("# c\nLLM_MODEL_NAME='m'\nLLM_API_BASE=http://x\n")
+    (tmp_path / ".env").write_text("# c\nLLM_MODEL='m'\nLLM_API_BASE=http://x\n")
     monkeypatch.delenv("LLM_API_KEY", raising=False)
     assert model_settings(read_env(tmp_path / ".env")) is None
     monkeypatch.setenv("LLM_API_KEY", "secret")

@@ -34,7 +34,7 @@ def test_chunks(spark):
     assert one(spark, "abcdefghij", lambda c: T.greedy_chunks(c, 6)) == ["abcdefghij"]
 
 
-def reference_chunks(text, limit):
+def plain_chunks(text, limit):
     if len(text) <= limit:
         return [text]
     out, held = [], ""
@@ -50,7 +50,7 @@ def reference_chunks(text, limit):
 @settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.text(alphabet="ab。；\n ", max_size=60))
 def test_chunks_property(spark, text):
-    assert one(spark, text, lambda c: T.greedy_chunks(c, 8)) == reference_chunks(text, 8)
+    assert one(spark, text, lambda c: T.greedy_chunks(c, 8)) == plain_chunks(text, 8)
 
 
 def test_numbers(spark):
