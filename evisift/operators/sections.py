@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from evisift.functions import constants as K
 from evisift.functions.text import clean_lines, first_keyword, greedy_chunks, looks_like_heading, number_strings, page_refs, strip, stripped_lines, year_of
+from evisift.storage import materialize
 
 METADATA = "struct<article_no:string,chunk_index:int,metric_name:string,year:string,element_name:string,numbers:array<string>>"
 
@@ -138,6 +139,7 @@ def regulatory_units(docs: DataFrame, max_chars: int = 1200) -> DataFrame:
 def with_positions(units: DataFrame, docs: DataFrame) -> DataFrame:
     """units with ``pos``, their place among all units: documents in the order of doc_seq. Only the counts of documents meet in one task, not the units."""
     order = ["class_seq", "section_seq", "chunk_seq"]
+    units = materialize(units, "units")  # counted, then numbered: parsed once
     counts = docs.select("doc_id", "doc_seq").join(units.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id")
     start = F.coalesce(F.sum("n").over(Window.orderBy("doc_seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     within = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)) - 1
