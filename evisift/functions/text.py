@@ -178,8 +178,14 @@ def greedy_chunks(c: Column | str, limit: Column | int, breaks: str = "[。；
     def close(a: Column) -> Column:
         return F.when(F.length(strip(a["held"])) > 0, F.concat(a["done"], F.array(strip(a["held"])))).otherwise(a["done"])
 
-    chunks = F.aggregate(parts, start, add, close)
-    return F.when(F.length(c) <= limit, F.array(c)).when(F.size(chunks) > 0, chunks).otherwise(F.array(c))
+    # bound by a lambda, so that it is evaluated once
+    chunks = F.transform(F.array(F.aggregate(parts, start, add, close)), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(c)))
+    return F.when(F.length(c) <= limit, F.array(c)).otherwise(F.get(chunks, F.lit(0)))
+
+
+def once(array: Column) -> Column:
+    """To be selected: array as a column that is evaluated once, however often it is used."""
+    return F.explode(F.array(array))
 
 
 #: Entities that documents use most; numeric ones are decoded beside them. The ampersand comes last.

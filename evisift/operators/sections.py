@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evisift.functions import constants as K
-from evisift.functions.text import clean_lines, first_keyword, greedy_chunks, looks_like_heading, number_strings, page_refs, strip, stripped_lines, year_of
+from evisift.functions.text import clean_lines, first_keyword, greedy_chunks, looks_like_heading, number_strings, once, page_refs, strip, stripped_lines, year_of
 from evisift.storage import materialize
 
 METADATA = "struct<article_no:string,chunk_index:int,metric_name:string,year:string,element_name:string,numbers:array<string>>"
@@ -25,7 +25,7 @@ def metadata(**fields: Column) -> Column:
 
 def numbered_lines(docs: DataFrame, lines: Column) -> DataFrame:
     """(doc_id, title, n, line) of a document's lines, n from 0."""
-    return docs.select("doc_id", "title", F.posexplode(lines).alias("n", "line"))
+    return docs.select("doc_id", "title", once(lines).alias("lines")).select("doc_id", "title", F.posexplode("lines").alias("n", "line"))
 
 
 def split_sections(docs: DataFrame, prefix: str = "sec", unit_type: str = "paragraph", max_chars: int = 1200) -> DataFrame:
@@ -79,8 +79,8 @@ def _special(rows: DataFrame, prefix: str, unit_type: str, max_chars: int, meta:
 def section_units(sections: DataFrame, class_seq: int = 0) -> DataFrame:
     """Units of sections, in chunks of max_chars; ids tell chunks apart only if there are several."""
     rows = sections.withColumn("text", strip("text")).filter(F.length("text") > 0)
-    rows = rows.withColumn("chunks", greedy_chunks("text", F.col("max_chars")))
-    rows = rows.select("*", F.size("chunks").alias("n_chunks"), F.posexplode("chunks").alias("chunk_seq", "chunk"))
+    rows = rows.select("*", once(greedy_chunks("text", F.col("max_chars"))).alias("chunks")).drop("text").withColumn("n_chunks", F.size("chunks"))
+    rows = rows.select(*[c for c in rows.columns if c != "chunks"], F.posexplode("chunks").alias("chunk_seq", "chunk"))
     base = F.concat_ws("::", "doc_id", "section_id")
     unit_id = F.when(F.col("n_chunks") > 1, F.concat(base, F.lit("::chunk_"), F.col("chunk_seq") + 1)).otherwise(base)
     return rows.select(unit_id.alias("unit_id"), "doc_id", "unit_type", "title_path", F.col("chunk").alias("text"), "page_refs", F.lit(None).cast("string").alias("parent_unit_id"), "metadata", F.lit(class_seq).alias("class_seq"), "section_seq", "chunk_seq")
