@@ -258,7 +258,8 @@ def drop_near_duplicates(docs: DataFrame, **how: object) -> DataFrame:
     """docs without the rows that have another row of their class before them: one row of each class stays, the one with the smallest id. Rows that repeat that id stay once; rows without words or id stay."""
     found = materialize(near_duplicates(docs, **how), "near")
     ids = found.filter("kept").groupBy("doc_id").agg(F.count("*").alias("__n"))
-    stay = docs.join(ids.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
+    ids = ids.withColumnRenamed("doc_id", "__id").hint("merge")  # grows with docs: a shuffle at every size
+    stay = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")))
     again = Window.partitionBy("doc_id", "__hash").orderBy(F.lit(1))
     once = stay.filter("__n = 1 or doc_id is null")
     more = stay.filter("__n > 1 and doc_id is not null").withColumn("__hash", F.xxhash64("text")).withColumn("__r", F.row_number().over(again)).filter("__r = 1 or coalesce(trim(text), '') = ''")
