@@ -33,8 +33,8 @@ from evisift.llm.labelled import fold, labelled_sample
 
 #: Labelled rows of class 0 and of class 1 that the model is fitted on, at most.
 SAMPLE = (2500, 1000)
-#: Passes over the sample: as many as make STEPS batches; in the first tenth windows are drawn at random.
-BUCKETS, DIM, STEPS, BATCH, RATE, SCALE = 1 << 16, 8, 1000, 64, 0.5, 20.0
+#: Passes over the sample: as many as make STEPS batches; in the first tenth texts stand whole.
+BUCKETS, DIM, STEPS, BATCH, RATE, SCALE = 1 << 16, 4, 900, 64, 0.5, 20.0
 GRAMS, THRESHOLD = (3, 4, 5), 0.3
 #: Words of a window; of the shortest text that counts as it is. A word that follows itself counts once.
 WINDOW, LEAST = 64, 16
@@ -78,7 +78,7 @@ class SubwordModel:
 
     @classmethod
     def fit(cls, texts: list[str], labels: np.ndarray) -> SubwordModel:
-        """Joint AdaGrad descent of embeddings and softmax on the cross entropy, classes weighted alike. A text stands by one window an epoch: a random one at first, then the one that scores highest, as in scoring; clean texts by a random one too."""
+        """Joint AdaGrad descent of embeddings and softmax on the cross entropy, classes weighted alike. At first texts stand whole; then each by its window that scores highest, as in scoring, clean ones by a random window too."""
         seqs = [TOKEN.findall(t.lower()) for t in texts]
         labels = np.asarray([y for y, s in zip(labels, seqs, strict=True) if s], np.int64)
         seqs = [s for s in seqs if s]
@@ -99,11 +99,14 @@ class SubwordModel:
             bags, of = [], []
             share = np.add.reduceat((e @ (u[:, 1] - u[:, 0]))[grams], first[:-1]) / size if epoch >= epochs / 10 else None
             for s, y in zip(seqs, labels, strict=True):
+                if share is None:
+                    bags.append(s)
+                    of.append(y)
+                    continue
                 start = windows(len(s))
-                picks = set() if y and share is not None else {int(rng.choice(start))}
-                if share is not None:
-                    total = np.concatenate([[0.0], np.cumsum(share[s])])
-                    picks.add(int(start[np.argmax(total[np.minimum(start + WINDOW, len(s))] - total[start])]))
+                picks = set() if y else {int(rng.choice(start))}
+                total = np.concatenate([[0.0], np.cumsum(share[s])])
+                picks.add(int(start[np.argmax(total[np.minimum(start + WINDOW, len(s))] - total[start])]))
                 bags += [s[k : k + WINDOW] for k in sorted(picks)]
                 of += [y] * len(picks)
             of = np.array(of)
