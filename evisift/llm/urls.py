@@ -1,10 +1,12 @@
 """URL filters: rules, and naive Bayes over segmented host names.
 
 A host's labels are often words run together. They are split by the most likely
-sequence of words under a unigram model (Viterbi): a lexicon, its words counted
-over all urls, and for what it doesn't hold a price that rises with the length.
-A multinomial naive Bayes with add-one smoothing, fitted on the labelled names
-below, scores the words of host and path. Words it hasn't met say nothing.
+sequence of words under a unigram model (Viterbi): a lexicon, learnt from all
+tokens of all urls besides given words, and for what it doesn't hold a price that
+rises with the length. Learnt words of one or two letters don't take part in
+splitting: they'd cut ordinary words up. A multinomial naive Bayes with add-one
+smoothing, fitted on the labelled names below, scores the words of host and path.
+Words it hasn't met say nothing, nor do prefixes of hosts such as www and blog.
 
 The rules come first: a rule (host, path, verdict) fits its host and all its
 subdomains if the url's path starts with the rule's, and the longest that fits
@@ -32,17 +34,62 @@ from evisift.llm.common import table
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Labelled names: words that unwanted hosts and paths are made of, and words of ordinary ones.
 BLOCKED = (
-    "casino win", "free bets", "cheap pills", "spam farm", "ads track", "online casino bonus", "best poker slots", "jackpot spin win", "sports betting odds",
-    "buy cheap meds", "viagra pills shop", "diet pills deal", "payday loan fast", "free porn", "adult sex cams", "xxx videos", "hot singles dating",
-    "crypto doubler", "click bait ads", "track ads pixel", "popup ads server", "spam links farm", "replica watches sale", "free gift winner", "lottery prize claim",
-    "keygen crack download", "warez torrent", "phish login verify", "malware loader", "fake reviews buy", "seo backlinks cheap", "escort girls", "bet now", "slots free spin",
+    "online casino bonus", "best poker slots", "jackpot spin win", "sports betting odds", "place bets online", "bet now", "slots free spin", "roulette blackjack table",
+    "gambling bookmaker tips", "buy cheap meds", "viagra pills shop", "diet pills deal", "cheap viagra", "steroids without prescription", "payday loan fast", "instant loans no credit",
+    "get rich quick", "binary options profit", "crypto doubler", "free porn", "porn tube", "adult sex cams", "adult videos", "xxx videos", "sexy nude girls", "hot singles dating",
+    "escort girls", "hookup tonight", "milf webcam", "erotic massage", "click bait ads", "popup ads server", "tracking pixel", "track clicks", "banner ads network", "adserver",
+    "doubleclick tracker", "spam mailer", "link farm", "spam links network", "replica watches sale", "fake designer bags", "free gift winner", "free iphone prize", "lottery prize claim",
+    "keygen crack download", "warez torrent", "pirated movies stream", "phish login verify", "phishing kit", "malware loader", "trojan exploit", "fake reviews buy", "buy followers likes",
+    "seo backlinks cheap", "miracle weight loss", "scam investment",
 )
 ALLOWED = (
     "news daily", "city library", "open science journal", "school of music", "health clinic", "public records", "garden club", "travel guide", "history museum",
-    "weather report", "recipe book", "software docs", "blog post", "online shop", "book store", "art gallery", "research group", "student forum", "local sports team",
-    "free software", "photo album", "data portal", "help center", "support page", "about contact", "index html", "article archive", "community wiki", "code review",
-    "film review", "job board", "market report", "law firm", "engineering notes", "www blog", "mail server", "farm fresh food", "win back time", "cheap flights guide", "track and field",
+    "weather report", "recipe book", "software docs", "online shop", "book store", "art gallery", "research group", "student forum", "local sports team",
+    "free software", "photo album", "data portal", "help center", "support desk", "article archive", "community wiki", "code review", "film review", "job board",
+    "market report", "law firm", "engineering notes", "mail server", "farm fresh food", "win back time", "cheap flights guide", "track and field", "video lectures",
+    "adult education", "pharmacy college", "credit union", "bank branch", "university press", "football club", "running track", "dairy farm", "family farm", "loan library",
+    "fast trains", "network engineering", "web server guide", "watch repair", "gift shop", "music download", "movie theater", "girls school", "hotel booking", "pixel art",
+    "weight training", "investment bank", "tips for parents", "best books", "table tennis", "stream ecology", "prize for literature", "online courses", "ski resort",
+    "city council", "fire department", "church choir", "animal shelter", "car rental", "real estate", "kitchen design", "chess club", "language school", "bicycle repair",
+    "river valley", "mountain hiking", "green energy", "solar power", "baby clothes", "coffee roasters", "wine cellar", "bakery", "dental care", "hospital", "insurance",
+    "programming tutorial", "linux kernel", "open data", "maps", "radio station", "theatre festival", "orchestra", "botanical garden", "zoo", "aquarium", "airport", "railway",
 )
+#: Ordinary words that take part in splitting besides the names' and the table's own; they say nothing about a url.
+GENERAL = tuple(
+    """a about above access account across action active actor after again age agency air all alliance alpha also always american among analysis analyst analytics and angel
+    animals answer any app apple apps area army around arts asia asset assist associates association at atlas audio august auto available average away back ball band base basic bay
+    be beach bear beauty because bed before behind bell below berlin beta better between beyond big bike bird black block blue boat body bold bone both box boy brain brand bridge
+    bright british brother brown build builder building built bus business but by cafe call camera camp can capital card cards care career cart case cat center central century
+    chain chair change channel charity chat check chemical chicago child children china choice circle citizen class classic clean clear climate clinic cloud coach coast cold
+    collection color commerce common company computer concert connect consult content control cook cool copy corner corp cost country county couple course court cover craft
+    creative crew cross culture current custom customer cycle dance dark database date day days deal dear debate deep delivery demo desert detail dev develop developer device
+    diary digital direct directory discover district doctor document dog domain door double down dr draw dream dress drive driver dry early earth east easy eco economy edge edit
+    editor education electric element end english enter enterprise entry environment equal essex estate europe even event events ever every exchange exhibit expert experts
+    explore express eye face fact factory fair faith fall fan farmers fashion feed field file files final finance find fine finger first fish fit five flat flight floor flow flower
+    fly focus foot for force foreign forest form forward foundation four frame france fresh friend friends from front fruit fuel full fun fund future gallery game games garage gate
+    general german get giant glass global go gold golf good grand graph gray great ground group grow growth guest hair half hall hand happy hard harbor has have head heart heat heavy
+    here hero high hill his holiday holy home homes hope horse host hot hotels hour house how human hunt ice idea image in india industry info inside institute inter international
+    into island it italian item its japan jazz job jobs journal just keep key kid kids kind king kit knowledge lab labor labs lady lake land large laser last late law lead leader
+    leaf learn learning left legal less lesson letter level library life light like line link list little live living local logic london long look lost love low lucky lunch
+    machine magazine magic main make maker man manager many map march marine mark master match material math matter may me media medical meet member memory men metal meter metro
+    middle middlesex military mind mini minute mobile model modern moment money month moon more morning most mother motor move movie much my name nation national native natural
+    nature near need net new next night nine no noble north not note now number nurse of off office oil old on one only open opera option or order organic other our out outdoor
+    over own pacific page paint paper parent park part partner party pass path pay peace pen people person pet phone photo photos piano picture pilot pine place plan planet plant
+    plastic play player plus point police policy pool port post power pro product products profile program project property public pure quality queen question quick quiet race
+    rain ranch range rapid read reader ready red region register rent resource rest restaurant rich ride right ring rise road rock roof room root rose round royal run safe
+    sail sales salt san sand save say school sea search season second secret section security see seed senior sense series service services set seven shape share sharp ship shoe
+    shore short show side sign silver simple singer site six size skill skin sky sleep small smart snow social society soft solution solutions some son song sound source south
+    space speak special specialist speech speed spirit spring square staff stage star start state steel step stock stone story street strong studio studios study style summer
+    sun super surf sussex swim system take talk tax tea teach teacher team tech technical technology ten test text than that the their them then therapist therapy there they
+    thing think this three through tiger time tip to today together tool tools top total touch tour tower town toy trade traffic trail train training transport tree trip true
+    trust try turn two type under union unique unisex unit united up urban use user valley value view village virtual vision visit voice volunteer walk wall want war warm was wash
+    water wave way we wealth web week welcome well west what wheel when where white who why wide wild will wind window winter wire wise with woman women wonder wood word
+    words work worker works workshop world write writer year yellow yes york you young your youth zero zone""".split()
+)
+#: Leading labels of hosts that tell how a site is served, not what it is: no evidence if another label but the last follows.
+PREFIX = re.compile(r"(www\d*|m|mobile|blogs?|amp|cdn|static|img|web)\Z")
+#: Words of the lexicon besides the given ones, at most: the most frequent of the table's. The letters of a word.
+LEARNT, LETTERS = 200_000, 32
 TOKEN = re.compile(r"[a-z]+")
 
 
@@ -67,6 +114,8 @@ class NameModel:
     """Unigram costs of the lexicon and the log ratios of naive Bayes."""
 
     counts: dict[str, int]
+    #: Tokens that the counts are of, also of words that they don't hold.
+    tokens: int | None = None
     blocked: tuple[str, ...] = BLOCKED
     allowed: tuple[str, ...] = ALLOWED
     cost: dict[str, float] = field(init=False)
@@ -76,10 +125,11 @@ class NameModel:
     def __post_init__(self) -> None:
         bad, good = (Counter(w for name in names for w in name.split()) for names in (self.blocked, self.allowed))
         words = set(bad) | set(good)
-        total = sum(self.counts.get(w, 0) + 1 for w in words)
-        self.cost = {w: -log((self.counts.get(w, 0) + 1) / total) for w in words}
+        lexicon = words | set(GENERAL) | {w for w in self.counts if 2 < len(w) <= LETTERS}
+        total = len(lexicon) + (sum(self.counts.values()) if self.tokens is None else self.tokens)
+        self.cost = {w: -log((self.counts.get(w, 0) + 1) / total) for w in lexicon}
         self.unknown = log(total) + 2.0
-        self.longest = max(map(len, words), default=1)
+        self.longest = max(map(len, lexicon), default=1)
         n_bad, n_good = sum(bad.values()) + len(words), sum(good.values()) + len(words)
         self.ratio = {w: log((bad[w] + 1) / n_bad) - log((good[w] + 1) / n_good) for w in words}
 
@@ -105,28 +155,55 @@ class NameModel:
                 end = j
             i, kind = j, before
         out.reverse()
-        if len(self.kept) < 100_000:
+        if len(self.kept) < 100_000 and n <= LETTERS:
             self.kept[name] = out
         return out
 
     def words(self, host: str, path: str) -> list[str]:
-        return [w for name in TOKEN.findall(host) + TOKEN.findall(path.lower()) for w in self.segment(name)]
+        labels = host.split(".")
+        while len(labels) > 2 and PREFIX.match(labels[0]):
+            labels.pop(0)
+        return [w for name in TOKEN.findall(".".join(labels)) + TOKEN.findall(path.lower()) for w in self.segment(name)]
 
     def score(self, host: str, path: str) -> float:
         """Log odds that a url is unwanted, with equal priors."""
         return sum(self.ratio.get(w, 0.0) for w in self.words(host, path))
 
 
-def lexicon_counts(pages: DataFrame, url_col: str = "url", blocked: tuple[str, ...] = BLOCKED, allowed: tuple[str, ...] = ALLOWED) -> dict[str, int]:
-    """How often each word of the lexicon stands alone between other characters in all urls. At most one row a word comes to the driver."""
-    words = sorted({w for n in blocked + allowed for w in n.split()})
-    token = F.explode(F.filter(F.split(F.lower(url_col), "[^a-z]+"), lambda t: t.isin(words)))
-    return {r["w"]: r["n"] for r in pages.select(token.alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
+def fit_names(pages: DataFrame, url_col: str = "url", blocked: tuple[str, ...] = BLOCKED, allowed: tuple[str, ...] = ALLOWED) -> NameModel:
+    """A model whose words are counted over all tokens of all urls: a token is what stands between characters other than letters.
+
+    The given words (the labelled names' and GENERAL) are counted first, where they
+    stand alone. Under these counts each distinct token is split, and all pieces
+    are counted, so that names run together count for their parts and a stretch
+    that no given word covers is a new word. At most one row a given word and
+    LEARNT rows come to the driver.
+    """
+    tokens = pages.select(F.explode(F.split(F.lower(url_col), "[^a-z]+")).alias("w")).filter("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
+    given = sorted({w for n in blocked + allowed for w in n.split()} | set(GENERAL))
+    alone = {r["w"]: r["n"] for r in tokens.groupBy(F.when(F.col("w").isin(given), F.col("w")).alias("w")).agg(F.sum("n").alias("n")).collect()}
+    total = sum(alone.values())
+    alone.pop(None, None)
+    shared = pages.sparkSession.sparkContext.broadcast(NameModel(alone, total, blocked, allowed))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for b in batches:
+            out = Counter()
+            for token, n in zip(b.column("w").to_pylist(), b.column("n").to_pylist(), strict=True):
+                for w in model.segment(token):
+                    out[w] += n
+            yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.string()), pa.array(out.values(), pa.int64())], ["w", "n"])
+
+    pieces = tokens.mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+    sums = pieces.agg(F.sum("n")).first()[0] or 0
+    kept = pieces.filter(F.length("w") <= LETTERS).withColumn("given", F.col("w").isin(given)).orderBy(F.desc("given"), F.desc("n"), "w").limit(LEARNT + len(given))
+    return NameModel({r["w"]: r["n"] for r in kept.collect()}, sums, blocked, allowed)
 
 
 def judge(pages: DataFrame, rules: tuple = RULES, blocked: tuple[str, ...] = BLOCKED, allowed: tuple[str, ...] = ALLOWED, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per row of pages: its id, host, path, rule (null if none fits), verdict and the words' log odds."""
-    shared = pages.sparkSession.sparkContext.broadcast(NameModel(lexicon_counts(pages, url_col, blocked, allowed), blocked, allowed))
+    shared = pages.sparkSession.sparkContext.broadcast(fit_names(pages, url_col, blocked, allowed))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -178,6 +178,17 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_words_are_learnt_from_all_tokens(spark):
+    rows = [(i, f"http://{h}/{i}") for i, h in enumerate(["blog.adult-x.example.org", "www.adult-x.org", "m.casinoqz.com", *["zebraquark.example.com"] * 9, *["www.tapiolas.org"] * 7, *["quarkzebras.org"] * 5])]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    model = urls.fit_names(pages)
+    assert model.counts["tapiolas"] == 7 and model.counts["zebraquark"] == 9 and model.counts["http"] == 24
+    assert model.segment("casinotapiolas") == ["casino", "tapiolas"] and model.segment("casinoqz") == ["casino", "qz"]
+    assert model.segment("zebraquarktapiolas") == ["zebraquark", "tapiolas"] and model.words("www.blog.org", "") == ["blog", "org"]
+    got = [r.verdict for r in urls.judge(pages, rules=()).orderBy("page_id").collect()]
+    assert got == ["block"] * 3 + ["allow"] * 21
+
+
 # 4 and 7 -----------------------------------------------------------------------------------
 
 
