@@ -281,6 +281,11 @@ def test_quality_without_labels(spark):
     assert {r.score for r in quality.with_quality(d.limit(3), y.limit(0)).collect()} == {0.5}
 
 
+def test_toxicity_settings():
+    # four dimensions and 900 steps find fewer toxic texts (README)
+    assert (toxicity.DIM, toxicity.STEPS) == (8, 1000)
+
+
 def test_toxicity(spark):
     d, y = labelled(spark, "toxic")
     got = toxicity.with_toxicity(d, y).select("doc_id", "score", toxicity.predicted().alias("p"), quality.fold("doc_id", 4).alias("f")).collect()
