@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from evisift.llm import chat, mixing, multi_index, near_duplicates, quality, token_shards, topk, toxicity, urls, wfst
 from evisift.llm.common import components, new_path
+from evisift.llm.labelled import labelled_sample
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, h string, label string"
 RNG = random.Random(3)
@@ -286,6 +287,13 @@ def test_toxicity_settings():
     assert (toxicity.DIM, toxicity.STEPS) == (8, 1000)
 
 
+def test_labels_of_other_documents_use_up_no_bound(spark):
+    d = docs(spark, [text(5, random.Random(i)) for i in range(40)])
+    y = spark.createDataFrame([(i, i % 2) for i in range(2000)] + [(None, 1)], "doc_id long, toxic int")
+    got = labelled_sample(d, y, "toxic", F.lit(True), (15, 10)).collect()
+    assert sorted(r.y for r in got) == [0] * 15 + [1] * 10 and len({r.id for r in got}) == 25
+
+
 def test_toxicity(spark):
     d, y = labelled(spark, "toxic")
     got = toxicity.with_toxicity(d, y).select("doc_id", "score", toxicity.predicted().alias("p"), quality.fold("doc_id", 4).alias("f")).collect()
