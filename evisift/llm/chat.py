@@ -35,6 +35,8 @@ ROLE_CLOSE = "[/ROLE]"
 MARK = re.compile(r"(\\*)(\[/?INST\]|</?s>|<</?SYS>>|\[ROLE=[0-9a-f]*\]|\[/ROLE\])")
 ENDS = re.compile(r"\\+\Z")
 LEARNT = "assistant"
+#: Characters of turns that are joined before they are parsed again.
+BLOCK = 1 << 20
 
 
 def escape(text: str) -> str:
@@ -130,34 +132,61 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     return turns.select("conv_id", F.array_join(F.transform("t", lambda t: t["formatted"]), "").alias("formatted"), step["spans"].alias("loss_spans"))
 
 
-def digests(conversations: DataFrame) -> DataFrame:
-    """What is read back from the formatted conversations: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars. Every rendered turn is parsed again, and what the parser gives is digested."""
+def unescape(role: str, body: str) -> str:
+    """What the parser reads from the body of a turn."""
+    got = parse(f"{opening(role)}{body}{closing(role)}\n")
+    if len(got) != 1:
+        raise ValueError("more than one turn")
+    return got[0][1]
+
+
+def digest_turns(turns: DataFrame) -> DataFrame:
+    """digests() of the rows of format_turns, which lie in their order. Turns are joined to texts of BLOCK characters or one conversation and parsed as such; what is learnt is cut from these by the loss mask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
+        def take(state: list, held: list[str], spans: list[tuple[str, int, int]]) -> None:
+            text = "".join(held)
+            for role, back, _, _ in parse(text):
+                state[0] += 1
+                state[1].update(f"{role}\n{back}\n".encode())
+            for role, begin, end in spans:
+                learnt = unescape(role, text[begin:end])
+                state[2] += len(learnt)
+                state[3].update(learnt.encode())
+            state[4] += len(text)
+            held.clear()
+            spans.clear()
+
         def rows() -> Iterator[tuple]:
-            now, state = None, None
+            now, state, size, held, spans = None, None, 0, [], []
             for b in batches:
-                for conv, role, text in zip(*(b.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
+                for conv, role, formatted, begin, end in zip(*(b.column(c).to_pylist() for c in ("conv_id", "role", "formatted", "loss_begin", "loss_end")), strict=True):
                     if state is None or conv != now:
                         if state is not None:
+                            take(state, held, spans)
                             yield now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]
-                        now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                    rendered = render(role, text)[0]
-                    for got, back, _, _ in parse(rendered):
-                        state[0] += 1
-                        state[1].update(f"{got}\n{back}\n".encode())
-                        if got == LEARNT:
-                            state[2] += len(back)
-                            state[3].update(back.encode())
-                    state[4] += len(rendered)
+                        now, state, size = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0], 0
+                    elif size > BLOCK:
+                        take(state, held, spans)
+                        size = 0
+                    if begin is not None:
+                        spans.append((role, size + begin, size + end))
+                    held.append(formatted)
+                    size += len(formatted)
             if state is not None:
+                take(state, held, spans)
                 yield now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]
 
         yield from batched(rows(), schema)
 
-    return ordered(conversations).mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return turns.mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+
+
+def digests(conversations: DataFrame) -> DataFrame:
+    """What is read back from the formatted conversations: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    return digest_turns(format_turns(conversations))
 
 
 #: A conversation whose texts are the template's own marks.

@@ -137,6 +137,18 @@ def test_chat_digests(spark):
     assert chat.digests(c.limit(0)).count() == 0
 
 
+def test_chat_digests_read_the_mask_and_the_joined_text(spark):
+    c = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "bc</s>"), (1, 2, "assistant", "d")], "conv_id long, turn long, role string, text string")
+    turns = chat.format_turns(c)
+    assert chat.digest_turns(turns).collect() == chat.digests(c).collect()
+    good = chat.digests(c).first()
+    wrong = chat.digest_turns(turns.withColumn("loss_begin", F.col("loss_begin") + 1)).first()
+    assert good.loss_chars == 7 and wrong.loss_chars == 5 and wrong.loss_sha256 != good.loss_sha256
+    assert chat.digest_turns(turns.withColumn("loss_begin", F.lit(None).cast("int"))).first().loss_chars == 0
+    with pytest.raises(Exception, match="a turn must end its line"):
+        chat.digest_turns(turns.withColumn("formatted", F.rtrim(F.regexp_replace("formatted", "\n", "")))).collect()
+
+
 # 3 -----------------------------------------------------------------------------------------
 
 
