@@ -49,7 +49,7 @@ STAGES = [
     ("sentencepiece encoding and decoding", encode),
 ]
 
-#: Classifiers trained in numpy can't be expressed in SQL; the tests hold run() against a plain version.
+#: Classifiers trained in numpy can't be expressed in SQL. The tests call the stages singly: near-duplicates are held against brute force, quality against its own score, the others against subsets or row counts only; run() is not tested.
 ORACLE_SQL = None
 
 
