@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset, as in tests, a temporary folder."""
+    """spark.checkpoint.dir; only where it is unset and all of Spark runs in this process, as in tests, a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         found = "file://" + tempfile.mkdtemp(prefix="evisift-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -22,13 +27,32 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/evisift-{tag}-{uuid.uuid4().hex}"
 
 
-def remove(spark: SparkSession, path: str) -> None:
+def file_system(spark: SparkSession, path: str):  # noqa: ANN201
+    """Hadoop's file system of a path, and the path as it wants it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage is cut, and the loss of an executor costs nothing that is written. The files go when the driver's Python ends."""
+def remove(spark: SparkSession, path: str) -> None:
+    fs, where = file_system(spark, path)
+    fs.delete(where, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = file_system(spark, path)
+    return fs.exists(where)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as one file, on any file system that Spark knows."""
+    fs, where = file_system(spark, path)
+    out = fs.create(where, True)
+    out.write(bytearray(text.encode("utf-8", "replace")))
+    out.close()
+
+
+def store(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """df written to the shared folder and read back, and where: the lineage is cut, and the loss of an executor costs nothing that is written. The files go when the driver's Python ends, or by remove() before."""
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
@@ -40,4 +64,44 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
             return
 
     atexit.register(drop)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    return store(df, tag)[0]
+
+
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from the columns."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if it is less than a full split for each: files of one large row group would be read by one task. Larger tables stay as they lie."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728b"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * split else df
+
+
+def running(df: DataFrame, order: Sequence[str], values: dict[str, str]) -> DataFrame:
+    """df with, for each name of ``values``, the sum of a column over the rows before, in an order that no two rows share. Ranges of the order are summed by themselves and then moved by the sums of the ranges before, of which there is a row a partition: no task sees all rows."""
+    (part,) = unused(df.columns, "part")
+    parts = materialize(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranges")
+    sums = parts.groupBy(part).agg(*[F.sum(c).alias(n) for n, c in values.items()])
+    upto = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    base = unused([*df.columns, part, *values], *[f"{n}_base" for n in values])
+    before = sums.select(part, *[F.coalesce(F.sum(n).over(upto), F.lit(0)).alias(b) for n, b in zip(values, base, strict=True)])
+    within = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = parts.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(n) for n, c in values.items()]).join(F.broadcast(before), part)
+    for n, b in zip(values, base, strict=True):
+        out = out.withColumn(n, F.col(n) + F.col(b))
+    return out.drop(part, *base)
