@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table of at most so many rows may be broadcast; beyond that it is joined by a salted shuffle.
+from evisift.storage import remove, store, unused
+
+#: A table of at most so many rows may be broadcast; beyond that only its hot keys are.
 BROADCAST_ROWS = 100_000
+#: Rows of a key that one task may always take.
+HOT = 256
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,50 +23,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir). Only where it is unset, as in tests, a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="evisift-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/evisift-{tag}-{uuid.uuid4().hex}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage is cut, and the loss of an executor costs nothing that is written. The files go when the driver's Python ends."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+def quoted(columns: Iterable[str]) -> list[Column]:
+    """Columns by names that may hold dots."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
 
-    def drop() -> None:
-        try:
-            remove(spark, path)
-        except Exception:  # noqa: BLE001  the JVM may be gone already, and its folder with it
-            return
 
-    atexit.register(drop)
-    return spark.read.schema(df.schema).parquet(path)
+def join_hot(rows: DataFrame, sums: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined to sums (a row a key, never null), of which ``size`` is how many of the ``total`` rows have the key at least. Keys with more than a thousandth of total, or HOT, are 1,000 at most and are broadcast; each of the others fits a task easily and is shuffled. how: inner, left or left_semi."""
+    limit = max(total // 1000, HOT)
+    hot = F.broadcast(sums.filter(F.col(size) > limit))
+    cold = rows.join(hot.select(key), key, "left_anti").join(sums.filter(F.col(size) <= limit), key, how)
+    return rows.join(hot, key, "left_semi" if how == "left_semi" else "inner").select(*quoted(cold.columns)).unionByName(cold)
 
 
-def join_by_key(big: DataFrame, small: DataFrame, key: str, how: str = "inner", salts: int = 16) -> DataFrame:
-    """big joined to small (one row per key, written already) by a key that may be null and may hold a third of big's rows. small is broadcast if it has at most BROADCAST_ROWS rows; else big's rows are dealt over salts and small is repeated for each."""
-    right = small.withColumnRenamed(key, "__key")
+def join_by_key(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """big joined to small (one row per key, written already; its other columns are new) by a key that may be null and may hold a third of big's rows. small is broadcast if it has at most BROADCAST_ROWS rows; else big's keys are counted and the hot ones broadcast."""
+    right, size = unused([*big.columns, *small.columns], "key", "size")
+    keyed = small.withColumnRenamed(key, right)
     if small.count() <= BROADCAST_ROWS:
-        return big.join(F.broadcast(right), F.col(key).eqNullSafe(F.col("__key")), how).drop("__key")
-    left = big.withColumn("__salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)))
-    right = right.withColumn("__s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    on = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__salt") == F.col("__s"))
-    return left.join(right, on, how).drop("__key", "__salt", "__s")
+        return big.join(F.broadcast(keyed), F.col(key).eqNullSafe(F.col(right)), "inner").drop(right)
+    counts = big.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(size))
+    found = small.filter(F.col(key).isNotNull()).join(counts, key)
+    out = join_hot(big.filter(F.col(key).isNotNull()), found, key, size, big.count()).drop(size)
+    one = small.filter(F.col(key).isNull()).drop(key)  # a row at most
+    return out.select(*quoted(out.columns)).unionByName(big.filter(F.col(key).isNull()).crossJoin(F.broadcast(one)))
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -105,19 +86,23 @@ def batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 20_000) -> Ite
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): label is the smallest node that edges (u, v) lead to. Alternating large-star and small-star rounds; every round is a table in the shared folder."""
+    """(node, label): label is the smallest node that edges (u, v) lead to. Alternating large-star and small-star rounds; every round is a table in the shared folder, which goes when the next is written."""
     high, low = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
-    e = materialize(edges.filter("u <> v").select(high, low).distinct(), "edges")
-    before = None
+    e, path = store(edges.filter("u <> v").select(high, low).distinct(), "edges")
+    spark, total, before = e.sparkSession, e.count(), None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c")
+        large = join_hot(both, least, "u", "c", 2 * total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large, middle = store(large, "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        small = join_hot(large, least, "u", "c", 2 * total).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new, after = store(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        remove(spark, path)
+        remove(spark, middle)
+        e, path = new, after
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             roots = e.select(F.col("v").alias("node")).distinct()
             return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots.withColumn("label", F.col("node")))
-        before = now
+        before, total = now, now[0]

@@ -18,7 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evisift.llm.common import WORD, join_by_key, materialize, table, text_or_empty
+from evisift.llm.common import WORD, join_by_key, quoted, table, text_or_empty
+from evisift.storage import materialize, running, unused
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5

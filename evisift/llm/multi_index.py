@@ -26,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evisift.llm.common import batched, components, groups, join_by_key, materialize, table
+from evisift.llm.common import batched, components, groups, join_by_key, join_hot, table
 from evisift.llm.near_duplicates import forest
 from evisift.llm.topk import usable
+from evisift.storage import materialize
 
 THRESHOLD, RECALL = 0.95, 0.995
 #: Vectors that the index is fitted on, at most; words of a codebook, at most; vectors for a cell, about; members and askers of a block.

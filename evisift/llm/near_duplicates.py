@@ -4,19 +4,25 @@ Documents whose sets of five-word shingles are equal form one class. Classes
 whose MinHash values agree in a band of four are candidates; their values are
 compared sixteen at a time, and a pair is dropped as soon as the posterior
 probability that its similarity reaches the threshold falls below TOLERANCE.
-What is left connects classes to candidate groups, in which every pair is
-verified exactly from the shingle sets, block by block: a task holds two blocks
-of a group at most and gives sums and a spanning forest, never the pairs.
+What is left connects classes to candidate groups. In a group every pair is
+compared in the same way and those that survive are verified exactly from the
+shingle sets, block by block: a task holds two blocks of a group at most and
+gives sums and a spanning forest, never the pairs.
 
 A pair at the threshold shares no band with a probability of 3e-6 (24 bands of
 4) and is dropped wrongly with one of 1e-6 a comparison; both fall steeply
 above it. Nothing is capped: large bands and groups are cut into blocks, each of
-which meets every other.
+which meets every other. Keys that hold many rows (bands, groups, fingerprints,
+copies) are joined by broadcasting these keys alone, a thousand at most.
 
 Words are runs of characters other than ASCII white space, in lower case. A text
 of fewer than five words has one shingle, all its words. Null and empty texts
-have none: they link with nothing and are classes of their own. Rows that repeat
-an id count as rows of their own; a null id stays null and can't name a class.
+have none: they link with nothing and are classes of their own. Very long texts
+count with all their words; one has to fit a task. Rows that repeat an id count
+as rows of their own. A class is named by its smallest id that is not null, and
+of its rows one is kept: the one with that id, of several such rows the one with
+the smallest hash of its text, and of rows that repeat both any one. An empty
+table gives an empty result. Columns besides id and text are not read.
 """
 
 from __future__ import annotations
@@ -29,16 +35,17 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evisift.llm.common import BROADCAST_ROWS, WORD, batched, components, groups, materialize, table, text_or_empty
+from evisift.llm.common import BROADCAST_ROWS, WORD, batched, components, groups, join_hot, quoted, table, text_or_empty
+from evisift.storage import materialize, unused
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS, STEP = 24, 4, 16
 HASHES = BANDS * ROWS
-#: Members of a band that are compared in one task; classes of a block that are verified in one task, with another block.
-CELL, BLOCK = 2048, 256
+#: Members of a band that are compared in one task; classes of a block that are verified in one task, with another block, and bytes of their sets, about.
+CELL, BLOCK, BLOCK_BYTES = 2048, 1024, 8 << 20
 TOKEN = re.compile(WORD)
 MIX, PRIME = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
 _RNG = np.random.default_rng(5)
@@ -110,9 +117,16 @@ def forest(n: int, near) -> list[tuple[int, int]]:  # noqa: ANN001
         queue, left = [int(left[0])], left[1:]
 
 
+def row_keys(id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, Column]:
+    """Two hashes of a row's id and text; rows agree in both if they agree in id and text."""
+    both = F.col(id_col), text_or_empty(text_col)
+    return F.xxhash64(*both), F.xxhash64(F.lit(7), *both)
+
+
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, n, sig): fingerprint and size of the shingle set and its MinHash values. Empty sets have no fp."""
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    """(id, k, j, fp, n, sig): hashes of the row, fingerprint and size of the shingle set and its MinHash values. Empty sets have no fp."""
+    k, j = row_keys(id_col, text_col)
+    rows = docs.select(F.col(id_col).alias("id"), k.alias("k"), j.alias("j"), text_or_empty(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -122,9 +136,9 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 n.append(len(s))
                 fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sig.append(minhash(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp, pa.binary()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], ["id", "fp", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "k", "j")), pa.array(fp, pa.binary()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], ["id", "k", "j", "fp", "n", "sig"])
 
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, fp binary, n bigint, sig binary")
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, k bigint, j bigint, fp binary, n bigint, sig binary")
 
 
 def candidate_edges(classes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
@@ -132,7 +146,7 @@ def candidate_edges(classes: DataFrame, threshold: float, tolerance: float) -> D
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * 2 * ROWS + 1, F.lit(2 * ROWS))))
     keys = classes.select("fp", F.explode(band).alias("k"))
     many = keys.groupBy("k").agg(F.count("*").alias("size")).filter("size > 1")
-    met = materialize(keys.join(many, "k"), "bands")
+    met = materialize(join_hot(keys, many, "k", "size", BANDS * classes.count()), "bands")
     blocks = F.ceil(F.col("size") / CELL).cast("int")
     met = met.withColumn("b", F.pmod(F.xxhash64("fp", "k"), blocks).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -175,50 +189,71 @@ def intersections(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) ->
     return out
 
 
-def verify(docs: DataFrame, members: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """members: (fp, rep, count, group, size). Returns rows (u, v, links): links of class u within a block or between two, v a neighbour in a spanning forest or null."""
-    wanted = members.select("rep", "fp").withColumnRenamed("fp", "want")
-    texts = docs.select(F.col(id_col).alias("rep"), text_or_empty(text_col).alias("text"))
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    texts = texts.join(wanted, texts["rep"].eqNullSafe(wanted["rep"])).select("want", "text")
+def surviving(left: np.ndarray, right: np.ndarray, needed: list[int]) -> np.ndarray:
+    """Which pairs of rows of left and of right the incremental comparison doesn't drop."""
+    out = np.zeros((len(left), len(right)), bool)
+    every = np.arange(len(right))
+    for x, one in enumerate(left):
+        out[x, survivors(one, right, every, needed)] = True
+    return out
+
+
+def verify(docs: DataFrame, members: DataFrame, threshold: float, tolerance: float, id_col: str, text_col: str) -> DataFrame:
+    """members: (fp, sig, k, j, count, group, size, words). Returns rows (u, v, links): links of class u within a block or between two, v a neighbour in a spanning forest or null."""
+    k, j = row_keys(id_col, text_col)
+    texts = docs.select(k.alias("k"), j.alias("jt"), text_or_empty(text_col).alias("text"))
+    wanted = members.select("k", "j", "count", F.col("fp").alias("want"))
+    found = texts.join(F.broadcast(wanted), "k") if wanted.count() <= BROADCAST_ROWS else join_hot(texts, wanted, "k", "count", docs.count())
+    found = found.filter("j = jt").select("want", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+
         def rows(b: pa.RecordBatch) -> Iterator[tuple[bytes, bytes]]:
             for want, text in zip(b.column("want").to_pylist(), b.column("text"), strict=True):
+                if want in seen:  # rows that repeat id and text
+                    continue
                 s = shingles(text.as_py())
                 if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == want:
+                    seen.add(want)
                     yield want, s.tobytes()
 
         for b in batches:
             yield from batched(rows(b), pa.schema([("fp", pa.binary()), ("s", pa.binary())]), 500)
 
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("words") * 8 / BLOCK_BYTES)).cast("int")
     m = members.withColumn("b", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    m = m.select("fp", "count", "b", F.xxhash64("group").alias("k"), F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"))
-    m = texts.mapInArrow(sets, "fp binary, s binary").join(m, "fp").select("k", "i", "j", "b", "fp", "count", "s")
+    m = m.select("fp", "sig", "count", "b", F.xxhash64("group").alias("k"), F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"))
+    m = found.mapInArrow(sets, "fp binary, s binary").join(m, "fp").select("k", "i", "j", "b", "fp", "sig", "count", "s")
     m = m.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "fp")
+    needed = matches_needed(threshold, tolerance)
     schema = pa.schema([("u", pa.binary()), ("v", pa.binary()), ("links", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[tuple[bytes, bytes | None, int]]:
             for (_, i, j), rows in groups(batches, ["k", "i", "j"]):
                 fp = rows.column("fp").to_pylist()
-                first = [x for x in range(len(fp)) if not x or fp[x] != fp[x - 1]]  # rows that repeat an id bring a set again
+                first = [x for x in range(len(fp)) if not x or fp[x] != fp[x - 1]]  # other tasks may have met the same row again
+                rows = rows.take(first)
                 fp = [fp[x] for x in first]
-                count = rows.column("count").to_numpy()[first]
-                b = rows.column("b").to_numpy()[first]
-                s = [np.frombuffer(rows.column("s")[x].as_py(), np.uint64) for x in first]
-                size = np.array([len(x) for x in s], np.float64)
+                sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(len(fp), HASHES)
+                count, b = rows.column("count").to_numpy(), rows.column("b").to_numpy()
                 left, right = np.flatnonzero(b == i), np.flatnonzero(b == j)
                 if not len(left) or not len(right):
                     continue
+                alive = surviving(sig[left], sig[right], needed) & (left[:, None] != right[None, :])
+                left, right, alive = left[alive.any(1)], right[alive.any(0)], alive[alive.any(1)][:, alive.any(0)]
+                if not len(left):
+                    continue
+                use = np.union1d(left, right)
+                s = [np.frombuffer(rows.column("s")[x].as_py(), np.uint64) for x in use.tolist()]
+                left, right = np.searchsorted(use, left), np.searchsorted(use, right)
+                fp, count = [fp[x] for x in use.tolist()], count[use]
+                size = np.array([len(x) for x in s], np.float64)
                 inter = intersections(s, left, right).astype(np.float64)
-                linked = inter >= threshold * (size[left][:, None] + size[right][None, :] - inter) - 1e-9
                 whole = np.zeros((len(fp), len(fp)), bool)
-                whole[np.ix_(left, right)] = linked
+                whole[np.ix_(left, right)] = alive & (inter >= threshold * (size[left][:, None] + size[right][None, :] - inter) - 1e-9)
                 whole |= whole.T
-                np.fill_diagonal(whole, False)
                 links = whole @ count
                 tree: dict[int, list[int]] = {}
                 for x, y in forest(len(fp), lambda x, rest, whole=whole: rest[whole[x, rest]]):
@@ -235,36 +270,53 @@ def verify(docs: DataFrame, members: DataFrame, threshold: float, id_col: str, t
     return m.mapInArrow(run, "u binary, v binary, links bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """One row per row of docs: its id, class_id (the smallest id that links reach), n_links (other rows linked directly) and kept (whether it is the class's one row that stays)."""
-    feat = materialize(features(docs, id_col, text_col), "features")
-    classes = materialize(feat.filter("n > 0").groupBy("fp", "sig").agg(F.min("id").alias("rep"), F.count("*").alias("count")), "classes")
+def matched(docs: DataFrame, id_col: str, text_col: str, threshold: float, tolerance: float) -> DataFrame:
+    """(id, k, j, fp, class_id, n_links, kept), one row per row of docs."""
+    feat = materialize(features(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "features")
+    total = feat.count()
+    rep = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k", "j", "row")).alias("rep")
+    classes = feat.filter("n > 0").groupBy("fp", "sig", "n").agg(rep, F.count("*").alias("count"))
+    classes = materialize(classes, "classes")
     found = components(candidate_edges(classes, threshold, tolerance))
-    found = materialize(found.select(F.col("node").alias("fp"), F.col("label").alias("group")), "groups")
-    sizes = found.groupBy("group").agg(F.count("*").alias("size"))
-    members = materialize(found.join(sizes, "group").join(classes.select("fp", "rep", "count"), "fp"), "members")
-    checked = materialize(verify(docs, members, threshold, id_col, text_col), "links")
+    found = found.select(F.col("node").alias("fp"), F.col("label").alias("group"))
+    found = materialize(found.join(classes.select("fp", "sig", "n", "rep.k", "rep.j", "count"), "fp"), "groups")
+    sizes = found.groupBy("group").agg(F.count("*").alias("size"), F.sum("n").alias("words"))
+    members = materialize(join_hot(found, sizes, "group", "size", found.count()), "members")
+    checked = materialize(verify(docs, members, threshold, tolerance, id_col, text_col), "links")
     label = components(checked.filter("v is not null").select("u", "v")).select(F.col("node").alias("fp"), "label")
     links = checked.groupBy(F.col("u").alias("fp")).agg(F.sum("links").alias("links"))
     classes = classes.select("fp", "rep", "count").join(label, "fp", "left").join(links, "fp", "left")
-    classes = classes.withColumn("label", F.coalesce("label", "fp"))
-    least = classes.groupBy("label").agg(F.min("rep").alias("class_id"))
-    classes = materialize(classes.join(least, "label").select("fp", "class_id", (F.col("count") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classes")
-    out = feat.select("id", "fp").join(classes, "fp", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), (F.col("fp").isNull() | F.col("id").eqNullSafe(F.col("class_id"))).alias("kept"))
-
-
-def drop_near_duplicates(docs: DataFrame, **how: object) -> DataFrame:
-    """docs without the rows that have another row of their class before them: one row of each class stays, the one with the smallest id. Rows that repeat that id stay once; rows without words or id stay."""
-    found = materialize(near_duplicates(docs, **how), "near")
-    ids = found.filter("kept").groupBy("doc_id").agg(F.count("*").alias("__n"))
-    ids = ids.withColumnRenamed("doc_id", "__id").hint("merge")  # grows with docs: a shuffle at every size
-    stay = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")))
-    again = Window.partitionBy("doc_id", "__hash").orderBy(F.lit(1))
-    once = stay.filter("__n = 1 or doc_id is null")
-    more = stay.filter("__n > 1 and doc_id is not null").withColumn("__hash", F.xxhash64("text")).withColumn("__r", F.row_number().over(again)).filter("__r = 1 or coalesce(trim(text), '') = ''")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return once.select(*columns).unionByName(more.select(*columns))
+    classes = materialize(classes.withColumn("label", F.coalesce("label", "fp")), "classes")
+    best = classes.groupBy("label").agg(F.min("rep").alias("best"), F.count("*").alias("c"))
+    classes = join_hot(classes, best, "label", "c", total)
+    classes = materialize(classes.select("fp", "count", "best", (F.col("count") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classes")
+    rows = join_hot(feat.filter("fp is not null").select("id", "k", "j", "row", "fp"), classes, "fp", "count", total)
+    rows = rows.select("id", "k", "j", "fp", F.col("best.id").alias("class_id"), "n_links", (F.col("row") == F.col("best.row")).alias("kept"))
+    alone = feat.filter("fp is null").select("id", "k", "j", "fp", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(True).alias("kept"))
+    return rows.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """One row per row of docs: its id, class_id (the smallest id that links reach), n_links (other rows linked directly) and kept (whether it is the class's one row that stays)."""
+    out = matched(docs, id_col, text_col, threshold, tolerance)
+    return out.select(F.col("id").alias(id_col), "class_id", "n_links", "kept")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """docs without the rows that have another row of their class before them: the kept row of each class stays, all columns with it, and so do all rows without words."""
+    k, j, words, copies = unused(docs.columns, "k", "j", "words", "copies")
+    found = materialize(matched(docs, id_col, text_col, threshold, tolerance).filter("fp is not null").select("k", "j", "kept"), "near")
+    stay = found.groupBy("k", "j").agg(F.max("kept").alias("kept"), F.count("*").alias("copies")).filter("kept")
+    own = quoted(docs.columns)
+    has = text_or_empty(text_col).rlike(WORD)
+    keys = row_keys(id_col, text_col)
+    rows = docs.filter(has).withColumn(k, keys[0]).withColumn(j, keys[1])
+    rows = join_hot(rows, stay.select(F.col("k").alias(k), F.col("j").alias(words), F.col("copies").alias(copies)), k, copies, found.count())
+    rows = rows.filter(F.col(j) == F.col(words))
+    hashable = [c for c, kind in zip(own, docs.dtypes, strict=True) if "map<" not in kind[1] and "variant" not in kind[1]]
+    again = rows.filter(F.col(copies) > 1).groupBy(k, j).agg(F.min_by(F.struct(*own), F.xxhash64(*hashable)).alias(words))  # rows that repeat id and text
+    again = again.select(*[F.col(words)[c].alias(c) for c in docs.columns])
+    return rows.filter(F.col(copies) == 1).select(*own).unionByName(again).unionByName(docs.filter(~has))
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evisift.llm.common import batched, new_path, table, text_or_empty
+from evisift.llm.common import batched, table, text_or_empty
+from evisift.storage import new_path
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LENGTH, KEY, HEADER = 1024, 20250101, 16

@@ -11,9 +11,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evisift.llm import chat, mixing, multi_index, near_duplicates, quality, token_shards, topk, toxicity, urls, wfst
-from evisift.llm.common import components, new_path
+from evisift.llm import chat, common, mixing, multi_index, near_duplicates, quality, token_shards, topk, toxicity, urls, wfst
+from evisift.llm.common import components
 from evisift.llm.labelled import labelled_sample
+from evisift.storage import new_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, h string, label string"
 RNG = random.Random(3)
@@ -94,6 +95,39 @@ def test_near_duplicates_odd_rows(spark):
     assert near_duplicates.near_duplicates(odd(spark).limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_are_rows_of_their_own(spark):
+    rng = random.Random(12)
+    a, b, c = (text(60, rng) for _ in range(3))
+    near = a + " more"
+    rows = [(3, a), (5, b), (5, a), (5, near), (5, b), (None, c), (None, c), (None, near), (9, c), (7, ""), (7, None)]
+    df = spark.createDataFrame([(i, t, n, 1, 2, 3, 4) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int, k int, j int, words int, copies int")
+    got = near_duplicates.near_duplicates(df).collect()
+    assert len(got) == len(rows) and sum(r.kept for r in got) == 5
+    assert sorted((r.doc_id or 0, r.class_id, r.n_links) for r in got) == sorted([(3, 3, 3), (5, 5, 1), (5, 3, 3), (5, 3, 3), (5, 5, 1), (0, 9, 2), (0, 9, 2), (0, 3, 3), (9, 9, 2), (7, 7, 0), (7, 7, 0)])
+    left = near_duplicates.drop_near_duplicates(df)
+    assert left.columns == df.columns and left.filter("k <> 1 or j <> 2 or words <> 3 or copies <> 4").count() == 0
+    kept = [(r.doc_id, r.text) for r in left.collect()]
+    assert sorted(kept, key=str) == sorted([(3, a), (5, b), (9, c), (7, ""), (7, None)], key=str)
+    assert left.filter("doc_id = 5").first().n in (1, 4)
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr("evisift.llm.common.HOT", 2)
+    texts = near_texts() * 2
+    got = near_duplicates.near_duplicates(docs(spark, texts)).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links, r.kept) for r in got) == brute_near(list(enumerate(texts)))
+
+
+def test_join_by_key_beyond_the_bound(spark, monkeypatch):
+    monkeypatch.setattr("evisift.llm.common.BROADCAST_ROWS", 0)
+    monkeypatch.setattr("evisift.llm.common.HOT", 2)
+    big = spark.createDataFrame([(i, [None, "a", "b", "c", "c"][i % 5], 0) for i in range(50)], "`i.d` long, s string, size int")
+    small = spark.createDataFrame([("a", 1), ("c", 3), (None, 9)], "s string, v int")
+    got = common.join_by_key(big, small, "s")
+    assert sorted(tuple(r) for r in got.select("`i.d`", "v", "size").collect()) == [(i, [9, 1, 0, 3, 3][i % 5], 0) for i in range(50) if i % 5 != 2]
+
+
 def test_matches_needed_is_a_tail():
     need = near_duplicates.matches_needed()
     assert len(need) == 6 and all(a < b for a, b in zip(need, need[1:], strict=False)) and need[-1] < 0.8 * 96
