@@ -284,6 +284,30 @@ def test_top_k(spark, monkeypatch, bins, queries):
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1e5, 3e5])
+def test_top_k_of_large_components(spark, monkeypatch, size):
+    monkeypatch.setattr(topk, "BINS", 64)
+    rng = np.random.default_rng(8)
+    x = np.floor(size * rng.standard_normal((40, 8)) * 1024) / 1024
+    x[7] = x[5]
+    ids = [i % 30 for i in range(40)]  # ten ids twice
+    df = spark.createDataFrame([(i, v.tolist(), "r") for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>, row string")
+    whole = [[int(np.floor(1024 * v)) for v in r] for r in x]
+    want = Counter()
+    for a in range(40):
+        if ids[a] % 5 == 0:
+            best = sorted((-sum(p * q for p, q in zip(whole[a], whole[b], strict=True)), ids[b]) for b in range(40) if b != a)[:10]
+            want.update((ids[a], r + 1, j, -s) for r, (s, j) in enumerate(best))
+    got = topk.top_k(df, F.col("vec_id") % 5 == 0).select("query_id", "rank", "vec_id", "score").collect()
+    assert Counter(map(tuple, got)) == want and max(s for *_, s in want) > 2**53
+
+
+def test_top_k_of_scores_beyond_the_range(spark):
+    df = spark.createDataFrame([(0, [1e9] * 16), (1, [1e9] * 16)], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64-bit"):
+        topk.top_k(df, F.lit(True))
+
+
 def test_multi_sequence_visits_the_nearest_cells():
     rng = np.random.default_rng(1)
     index = multi_index.MultiIndex(rng.standard_normal((9, 3)), rng.standard_normal((7, 3)), 1)
