@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -255,13 +256,13 @@ def vectors(spark, n=300, dim=16, groups=12):
 def test_near_vectors(spark, monkeypatch, block):
     monkeypatch.setattr(multi_index, "BLOCK", block)
     rows, df = vectors(spark)
-    good = [(i, np.array(x, np.float64)) for i, x, *_ in rows if i is not None and x and None not in x and np.isfinite(x).all() and any(x)]
-    want = {i: sum(len(y) == len(x) and j != i and x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.95 for j, y in good) for i, x in good}
+    good = [(n, np.array(x, np.float64)) for n, (_, x, *_) in enumerate(rows) if x and None not in x and np.isfinite(x).all() and any(x)]
+    link = {n: {m for m, y in good if len(y) == len(x) and m != n and x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.95} for n, x in good}
     got = {r.vec_id: r for r in multi_index.near_vectors(df).collect()}
     assert len(got) == len(rows)
-    twin = {i for i, x in good if len(x) == 16 and np.array_equal(x, np.array(rows[3][1]))}
-    found = sum(got[i].n_links - (i in twin) for i, _ in good)  # the null id is one more twin
-    assert found >= 0.95 * sum(want.values()) and all(got[i].n_links - (i in twin or want[i] > 0) <= want[i] for i, _ in good)
+    found = {n: got[rows[n][0]].n_links for n, _ in good}
+    assert all(found[n] <= len(link[n]) for n in found) and sum(found.values()) >= 0.98 * sum(map(len, link.values()))
+    assert {r.component_id for r in got.values() if r.n_links} <= {rows[n][0] for n in link if link[n]}
     assert got[2005].component_id == got[2100].component_id == 2005 and not got[2100].kept
     for i in (2000, 2001, 2002, 2003, 2004):
         assert got[i].n_links == 0 and got[i].component_id == i and got[i].kept
@@ -308,6 +309,16 @@ def test_top_k_of_scores_beyond_the_range(spark):
         topk.top_k(df, F.lit(True))
 
 
+def test_links_at_the_threshold(spark):
+    a, b = [1.0, 0.0], [0.95, np.sqrt(1 - 0.95**2)]
+    rows = [a, b, [0.95 - 1e-12, b[1]], [b[0], b[1] * (1 - 1e-12)], [-0.0, 1.0], [0.0, 2.0]]
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in multi_index.near_vectors(df, recall=1.0).collect()}
+    near = lambda x, y: Fraction(x[0]) * Fraction(y[0]) + Fraction(x[1]) * Fraction(y[1])
+    link = lambda x, y: near(x, y) > 0 and near(x, y) ** 2 >= Fraction(0.95) ** 2 * near(x, x) * near(y, y)
+    assert got == {i: sum(link(x, y) for j, y in enumerate(rows) if j != i) for i, x in enumerate(rows)}
+
+
 def test_multi_sequence_visits_the_nearest_cells():
     rng = np.random.default_rng(1)
     index = multi_index.MultiIndex(rng.standard_normal((9, 3)), rng.standard_normal((7, 3)), 1)
