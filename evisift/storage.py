@@ -11,6 +11,9 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows of numbers that one task may always sum.
+SINGLE = 100_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; only where it is unset and all of Spark runs in this process, as in tests, a temporary folder."""
@@ -93,15 +96,19 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def running(df: DataFrame, order: Sequence[str], values: dict[str, str]) -> DataFrame:
-    """df with, for each name of ``values``, the sum of a column over the rows before, in an order that no two rows share. Ranges of the order are summed by themselves and then moved by the sums of the ranges before, of which there is a row a partition: no task sees all rows."""
-    (part,) = unused(df.columns, "part")
-    parts = materialize(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranges")
+    """df with, for each name of ``values``, the sum of a column over the rows before, in an order that no two rows share. Beyond SINGLE rows ranges of the order are summed by themselves and then moved by the sums of the ranges before, of which there is a row a partition: no task sees all rows."""
+    rows = materialize(df, "rows")
+    if rows.count() <= SINGLE:
+        before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for n, c in values.items()])
+    (part,) = unused([*df.columns, *values], "part")
+    parts = materialize(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranges")
     sums = parts.groupBy(part).agg(*[F.sum(c).alias(n) for n, c in values.items()])
     upto = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     base = unused([*df.columns, part, *values], *[f"{n}_base" for n in values])
-    before = sums.select(part, *[F.coalesce(F.sum(n).over(upto), F.lit(0)).alias(b) for n, b in zip(values, base, strict=True)])
+    moved = sums.select(part, *[F.coalesce(F.sum(n).over(upto), F.lit(0)).alias(b) for n, b in zip(values, base, strict=True)])
     within = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = parts.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(n) for n, c in values.items()]).join(F.broadcast(before), part)
+    out = parts.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(n) for n, c in values.items()]).join(F.broadcast(moved), part)
     for n, b in zip(values, base, strict=True):
         out = out.withColumn(n, F.col(n) + F.col(b))
     return out.drop(part, *base)
