@@ -7,8 +7,10 @@ hashes. What a source gives is then a filter, ``hash < cut``: no row is sorted,
 and a rerun takes the same rows.
 
 Nulls: a null text has size 0, a null source is a source of its own that comes
-last, a null id counts as the empty string. Rows that repeat both id and text
-share a hash and are taken or left alike. An empty table gives an empty result.
+last, a null id counts as the empty string. Very long texts count with all their
+words and are taken whole. Rows that repeat both id and text share a hash, which is
+the only tie there is, and are taken or left alike. An empty table gives an empty
+result. Other columns, of whatever name, are carried along by mix().
 """
 
 from __future__ import annotations
@@ -39,18 +41,19 @@ def size_of(text_col: str = "text") -> Column:
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], share: float, max_repeat: float) -> DataFrame:
-    """(source, source_size, target): share of all words, dealt by weight; a source stops at max_repeat times its size and the rest is dealt again by weight. That is the water level L with sum(least(cap, weight * L)) = share * words, found by one pass over the sources in the order of cap / weight."""
-    every = Window.orderBy(F.col("source").isNull(), "source")
-    level = Window.orderBy("ratio", F.col("source").isNull(), "source")
-    before, after = level.rowsBetween(Window.unboundedPreceding, -1), level.rowsBetween(0, Window.unboundedFollowing)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(every) - 1, F.lit(len(weights))) + 1).cast("int"))
+    """(source, source_size, target): share of all words, dealt by weight; a source stops at max_repeat times its size and the rest is dealt again by weight. That is the water level L with sum(least(cap, weight * L)) = share * words, found by one pass over the sources in the order of cap / weight. Sources may be many: sums over them are made by ranges."""
     s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    s = running(s.withColumn("none", F.col("source").isNull()).withColumn("one", F.lit(1)), ["none", "source"], {"place": "one"})
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
     s = s.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(max_repeat)))
-    s = s.withColumn("ratio", F.col("cap") / F.col("weight"))
-    whole = Window.partitionBy()
-    s = s.withColumn("level", (F.sum("source_size").over(whole) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    s = s.withColumn("level", F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "level"))).over(whole)["level"])
-    return s.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("weight") * F.col("level"), F.col("cap"))).alias("target"))
+    s = running(s.withColumn("ratio", F.col("cap") / F.col("weight")), ["ratio", "none", "source"], {"caps": "cap", "weights": "weight"})
+    whole = s.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("all_weights"))
+    s = s.crossJoin(F.broadcast(whole))  # one row
+    level = (F.col("words") * F.lit(float(share)) - F.col("caps")) / (F.col("all_weights") - F.col("weights"))
+    s = s.withColumn("level", level)
+    first = s.filter("ratio >= level").agg(F.min(F.struct("ratio", "level"))["level"].alias("water"))
+    s = s.crossJoin(F.broadcast(first))  # one row
+    return s.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("weight") * F.col("water"), F.col("cap"))).alias("target"))
 
 
 def cuts(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_repeat: float = MAX_REPEAT) -> DataFrame:
@@ -67,7 +70,7 @@ def cuts(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SH
         upto = F.col("done") + F.sum("words").over(Window.partitionBy("source").orderBy("digit"))
         hist = hist.withColumn("upto", upto).filter("upto >= need").groupBy("source").agg(F.min(F.struct("digit", (F.col("upto") - F.col("words")).alias("done"), F.col("words").alias("here"))).alias("at"))
         kept = state.drop("prefix", "done", "here")
-        state = kept.join(hist.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")), "left")
+        state = kept.join(hist.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
         state = state.select(*kept.columns, F.coalesce("at.digit", F.lit(0)).alias("prefix"), F.coalesce("at.done", F.lit(0)).alias("done"), F.coalesce("at.here", F.lit(0)).alias("here"))
         state = materialize(state, "mix")
     nearer = (F.col("done") + F.col("here") - F.col("need")) <= (F.col("need") - F.col("done"))
@@ -90,13 +93,12 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_repeat: float = MAX_REPEAT) -> DataFrame:
     """The rows of docs, each as often as the mix takes it (not at all, once, twice ...), with docs' columns."""
     slim = materialize(sized(docs).drop("doc_id"), "sizes")
-    limit = cuts(slim, weights, share, max_repeat).select(F.col("source").alias("__mix_source"), F.col("base").alias("__mix_base"), F.col("cut").alias("__mix_cut"))
-    rows = docs.withColumn("__mix_h", row_hash()).withColumn("__mix_source", F.col("source"))
-    rows = join_by_key(rows, limit, "__mix_source")
-    copies = (F.col("__mix_base") + (F.col("__mix_h") < F.col("__mix_cut")).cast("bigint")).cast("int")
-    rows = rows.withColumn("__mix_copies", copies).filter("__mix_copies > 0")
-    rows = rows.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    source, base, cut, h, copies, copy = unused(docs.columns, "source", "base", "cut", "h", "copies", "copy")
+    limit = cuts(slim, weights, share, max_repeat).select(F.col("source").alias(source), F.col("base").alias(base), F.col("cut").alias(cut))
+    rows = join_by_key(docs.withColumn(h, row_hash()).withColumn(source, F.col("source")), limit, source)
+    rows = rows.withColumn(copies, (F.col(base) + (F.col(h) < F.col(cut)).cast("bigint")).cast("int")).filter(F.col(copies) > 0)
+    rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    return rows.select(*quoted(docs.columns))
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

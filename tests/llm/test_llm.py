@@ -458,6 +458,23 @@ def test_mixing(spark):
     assert all(copies[r.doc_id] * r.size == r.taken for r in got)
 
 
+def test_mixing_many_sources(spark, monkeypatch):
+    rng = random.Random(14)
+    sources = [None if i % 97 == 0 else f"h{rng.randint(0, 60)}" for i in range(300)]
+    d = docs(spark, [text(rng.randint(0, 40), rng) for _ in sources], sources)
+    want = sorted(map(tuple, mixing.mix_plan(d).collect()))
+    monkeypatch.setattr("evisift.storage.SINGLE", 10)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(common, "HOT", 3)
+    assert sorted(map(tuple, mixing.mix_plan(d).collect())) == want
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    d = docs(spark, ["a b c"] * 6, ["s", "t"] * 3).withColumns({n: F.lit(n) for n in ("base", "cut", "copies", "copy", "a.b", "key")})
+    got = mixing.mix(d)
+    assert got.columns == d.columns and got.count() == 9 and got.filter("base <> 'base' or cut <> 'cut' or `a.b` <> 'a.b' or h <> 'y'").count() == 0
+
+
 def test_mixing_odd_rows(spark):
     assert mixing.mix_plan(odd(spark)).count() == 7
     assert mixing.mix_plan(odd(spark).limit(0)).count() == 0 and mixing.mix(odd(spark).limit(0)).count() == 0
