@@ -7,9 +7,15 @@ the sample's latent vectors are broadcast, every document is folded in and
 compared with all of them by exact cosine products in blocks, and the labels of
 its nearest neighbours are weighted by similarity.
 
+Similarities are rounded to DIGITS decimals, so that they don't depend on the block
+they are computed in; of neighbours that tie for the last place the first rows of
+the sample, in the order of ids, vote.
+
 Nulls and empty texts have no terms: their score is the share of label 1 in the
-sample. Without any labelled row every score is 0.5. Repeated rows get equal
-scores; other columns are carried along untouched.
+sample. Without any labelled row every score is 0.5. Very long texts are counted in
+chunks, whole. Repeated rows get equal scores. An empty table gives an empty result.
+Other columns are carried along untouched, but for one named as the score, which is
+replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from evisift.llm.labelled import fold, labelled_sample
 SAMPLE = (1500, 1500)
 HALF, RANK, NEIGHBOURS, THRESHOLD = 2048, 48, 15, 0.3
 TERMS = 2 * HALF
-CHUNK, BLOCK = 1 << 20, 256
+CHUNK, BLOCK, DIGITS = 1 << 20, 256, 5
 
 
 def _classes() -> np.ndarray:
@@ -98,12 +104,15 @@ class LatentModel:
         if not len(self.labels):
             return np.full(len(counts), self.base)
         x = _unit(_unit(np.log1p(counts) * self.idf) @ self.basis)
-        sims = x @ self.vectors.T
+        sims = np.round(x @ self.vectors.T, DIGITS)
         k = min(k, sims.shape[1])
-        near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        w = np.maximum(np.take_along_axis(sims, near, 1), 0).astype(np.float64) ** 4
+        last = np.partition(sims, sims.shape[1] - k, axis=1)[:, -k][:, None]
+        near, ties = sims > last, sims == last
+        near |= ties & (np.cumsum(ties, 1, dtype=np.int32) <= k - near.sum(1, keepdims=True))
+        at = np.nonzero(near)[1].reshape(len(sims), k)
+        w = np.maximum(np.take_along_axis(sims, at, 1), 0).astype(np.float64) ** 4
         total = w.sum(1)
-        votes = (w * self.labels[near]).sum(1)
+        votes = (w * self.labels[at]).sum(1)
         return np.clip(np.where(total > 0, votes / np.where(total > 0, total, 1), self.base), 0, 1)
 
 

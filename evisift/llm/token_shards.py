@@ -10,12 +10,14 @@ which sorts its range and writes shards in slot order, so reading training data
 a sequential read, and slot s lies ``stride * (s - first_slot)`` bytes into its shard.
 
 A record is its index (int64), its number of ids (int32), a zero (int32) and the
-ids as uint16, the rest zero. Files are written beside their place and moved, so a
-task that runs again writes the same file. Only a partition's last sequence is
-not full.
-
-Null and empty texts give an end mark alone; repeated rows are written again.
-An empty table gives no shard.
+ids, of two bytes or, for vocabularies beyond 65,536, of four, the rest zero. Files
+are written beside their place and moved, so a task that runs again writes the same
+file, and a run again over the same files gives the same shards and manifest. Only a
+partition's last sequence is not full.
+
+Null and empty texts give an end mark alone; a very long text runs over many
+sequences; repeated rows are written again, each at places of its own, so that ties
+don't arise. An empty table gives no shard. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -58,6 +60,10 @@ def permute(index: np.ndarray, n: int, key: int = KEY, rounds: int = 6) -> np.nd
     return x.astype(np.int64)
 
 
+def id_type(vocabulary: int) -> np.dtype:
+    return np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
+
+
 def room(docs: DataFrame, length: int, text_col: str) -> tuple[list[int], list[int]]:
     """By partition of docs: bytes of its texts, and the sequences that the partitions before could hold. One number a partition comes to the driver."""
     parts = docs.rdd.getNumPartitions()
@@ -81,9 +87,10 @@ def sequences(docs: DataFrame, model: str, length: int, key: int, shards: int, s
 
         raw, sizes, first = shared.value
         sp = sentencepiece.SentencePieceProcessor(model_proto=raw)
+        kind = id_type(sp.vocab_size())
         part, pack = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=3)
         end = sp.eos_id()
-        index, seen, held = first[part], 0, np.zeros(0, np.uint16)
+        index, seen, held = first[part], 0, np.zeros(0, kind)
 
         def full(ids: np.ndarray) -> Iterator[tuple]:
             nonlocal index
@@ -99,7 +106,7 @@ def sequences(docs: DataFrame, model: str, length: int, key: int, shards: int, s
                 for at in range(0, b.num_rows, TEXTS):
                     texts = b.column("text").slice(at, TEXTS).to_pylist()
                     seen += sum(len(t.encode()) for t in texts)
-                    flat = [np.array([*ids, end], np.uint16) for ids in sp.encode(texts)]
+                    flat = [np.array([*ids, end], kind) for ids in sp.encode(texts)]
                     held = np.concatenate([held, *flat])
                     cut = len(held) // length * length
                     yield from full(held[:cut])
@@ -115,14 +122,17 @@ def sequences(docs: DataFrame, model: str, length: int, key: int, shards: int, s
 
 
 def write_shards(docs: DataFrame, path: str, model: str = MODEL, length: int = LENGTH, key: int = KEY, shard_bytes: int = SHARD_BYTES, text_col: str = "text") -> DataFrame:
-    """Writes the shards below ``path`` when the result is computed, and gives their manifest: shard, path, first_slot, n_sequences, n_tokens, stride, sha256."""
+    """Writes the shards below ``path`` when the result is computed, and gives their manifest: shard, file (its name below path), first_slot, n_sequences, n_tokens, stride, sha256."""
     sizes, first = room(docs, length, text_col)
     if not first[-1]:
-        return docs.sparkSession.createDataFrame([], "shard int, path string, first_slot bigint, n_sequences bigint, n_tokens bigint, stride int, sha256 string")
+        return docs.sparkSession.createDataFrame([], "shard int, file string, first_slot bigint, n_sequences bigint, n_tokens bigint, stride int, sha256 string")
+    import sentencepiece
+
+    stride = HEADER + id_type(sentencepiece.SentencePieceProcessor(model_file=model).vocab_size()).itemsize * length
     shards = min(first[-1], -(-sum(sizes) // shard_bytes) or 1)
     rows = sequences(docs, model, length, key, shards, sizes, first, text_col)
     rows = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "place")
-    schema = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_sequences", pa.int64()), ("n_tokens", pa.int64()), ("sha256", pa.string())])
+    schema = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_sequences", pa.int64()), ("n_tokens", pa.int64()), ("sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -134,7 +144,7 @@ def write_shards(docs: DataFrame, path: str, model: str = MODEL, length: int = L
         def close() -> tuple:
             out.close()
             fs.move(f"{root}/.shard-{now:06d}.{attempt}", f"{root}/shard-{now:06d}.bin")
-            return now, f"{path}/shard-{now:06d}.bin", count, tokens, digest.hexdigest()
+            return now, f"shard-{now:06d}.bin", count, tokens, digest.hexdigest()
 
         def done() -> Iterator[tuple]:
             nonlocal now, out, count, tokens, digest
@@ -145,7 +155,7 @@ def write_shards(docs: DataFrame, path: str, model: str = MODEL, length: int = L
                             yield close()
                         now, count, tokens, digest = shard, 0, 0, hashlib.sha256()
                         out = fs.open_output_stream(f"{root}/.shard-{shard:06d}.{attempt}", buffer_size=1 << 20)
-                    record = np.array([index], "<i8").tobytes() + np.array([n, 0], "<i4").tobytes() + unpack.decompress(ids).ljust(2 * length, b"\0")
+                    record = np.array([index], "<i8").tobytes() + np.array([n, 0], "<i4").tobytes() + unpack.decompress(ids).ljust(stride - HEADER, b"\0")
                     out.write(record)
                     digest.update(record)
                     count, tokens = count + 1, tokens + n
@@ -154,16 +164,16 @@ def write_shards(docs: DataFrame, path: str, model: str = MODEL, length: int = L
 
         yield from batched(done(), schema)
 
-    made = rows.mapInArrow(run, "shard int, path string, n_sequences bigint, n_tokens bigint, sha256 string")
+    made = rows.mapInArrow(run, "shard int, file string, n_sequences bigint, n_tokens bigint, sha256 string")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
     made = made.withColumn("first_slot", F.coalesce(F.sum("n_sequences").over(before), F.lit(0)))
-    return made.select("shard", "path", "first_slot", "n_sequences", "n_tokens", F.lit(HEADER + 2 * length).alias("stride"), "sha256")
+    return made.select("shard", "file", "first_slot", "n_sequences", "n_tokens", F.lit(stride).alias("stride"), "sha256")
 
 
-def read_slots(path: str, begin: int, count: int, length: int = LENGTH) -> Iterator[tuple[int, np.ndarray]]:
-    """(index, ids) of ``count`` records of a shard from its record ``begin`` on: one seek, then a sequential read; a reader resumes at any record."""
+def read_slots(path: str, begin: int, count: int, length: int = LENGTH, kind: str = "<u2") -> Iterator[tuple[int, np.ndarray]]:
+    """(index, ids) of ``count`` records of a shard from its record ``begin`` on: one seek, then a sequential read; a reader resumes at any record. kind: of the ids, by the vocabulary."""
     fs, where = pafs.FileSystem.from_uri(path)
-    stride = HEADER + 2 * length
+    stride = HEADER + np.dtype(kind).itemsize * length
     with fs.open_input_file(where) as f:
         f.seek(begin * stride)
         for _ in range(count):
@@ -171,7 +181,7 @@ def read_slots(path: str, begin: int, count: int, length: int = LENGTH) -> Itera
             if len(raw) < stride:
                 return
             n = int(np.frombuffer(raw, "<i4", 1, 8)[0])
-            yield int(np.frombuffer(raw, "<i8", 1)[0]), np.frombuffer(raw, "<u2", n, HEADER)
+            yield int(np.frombuffer(raw, "<i8", 1)[0]), np.frombuffer(raw, kind, n, HEADER)
 
 
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,11 @@ overlapping windows of its words; the highest window decides, so that length
 does not dilute a passage.
 
 Nulls and empty texts have no words: their score is that of the bias alone.
-Without labelled rows of both classes every score is 0. Repeated rows get equal
-scores; other columns are carried along untouched.
+Without labelled rows of both classes every score is 0. Very long texts are scored
+whole; for the sample, labelled texts of more than LONGEST characters are not drawn,
+which bounds what the driver holds. Repeated rows get equal scores; words that tie
+need no order. An empty table gives an empty result. Other columns are carried along
+untouched, but for one named as the score, which is replaced.
 """
 
 from __future__ import annotations
@@ -33,11 +36,13 @@ from evisift.llm.labelled import fold, labelled_sample
 
 #: Labelled rows of class 0 and of class 1 that the model is fitted on, at most.
 SAMPLE = (2500, 1000)
+#: Characters of a text of the sample, at most.
+LONGEST = 100_000
 #: Passes over the sample: as many as make STEPS batches; in the first tenth windows are drawn at random.
 BUCKETS, DIM, STEPS, BATCH, RATE, SCALE = 1 << 16, 8, 1000, 64, 0.5, 20.0
 GRAMS, THRESHOLD = (3, 4, 5), 0.3
 #: Words of a window; of the shortest text that counts as it is. A word that follows itself counts once.
-WINDOW, LEAST = 64, 16
+WINDOW, LEAST = 32, 16
 #: Words whose share is kept by a worker, at most; then it starts anew.
 KEPT = 250_000
 TOKEN = re.compile(r"\w+")
@@ -161,11 +166,14 @@ class SubwordModel:
         return float((total[start + WINDOW] - total[start]).max()) / WINDOW
 
     def score(self, texts: list[str], kept: dict[str, float]) -> np.ndarray:
+        if self.bias == -np.inf:  # not fitted
+            return np.zeros(len(texts))
         return 1 / (1 + np.exp(-np.clip(self.logits(texts, kept), -50, 50)))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held: int = 2, most: tuple[int, int] = SAMPLE) -> SubwordModel:
     """Fitted on at most ``most`` labelled rows of either class outside the held-out fold."""
+    docs = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST)
     got = labelled_sample(docs, labels, label, fold("doc_id", folds) != held, most).toPandas().sort_values(["id", "text"], kind="stable")
     return SubwordModel.fit(list(got["text"]), got["y"].to_numpy())
 

@@ -1,12 +1,18 @@
 """URL filters: rules, and naive Bayes over segmented host names.
 
 A host's labels are often words run together. They are split by the most likely
-sequence of words under a unigram model (Viterbi): a lexicon, learnt from all
-tokens of all urls besides given words, and for what it doesn't hold a price that
-rises with the length. Learnt words of one or two letters don't take part in
-splitting: they'd cut ordinary words up. A multinomial naive Bayes with add-one
-smoothing, fitted on the labelled names below, scores the words of host and path.
-Words it hasn't met say nothing, nor do prefixes of hosts such as www and blog.
+sequence of words under a unigram model (Viterbi): a public word list in the order
+of frequency, its share falling with the rank, and all tokens of all urls, counted;
+and for what neither holds a price that rises with the length. Words of one or two
+letters don't take part in splitting unless a name below has them: they'd cut
+ordinary words up.
+
+A multinomial naive Bayes with add-one smoothing, fitted on the labelled names
+below, scores the words of host and path. The tables hold no labelled urls, so it is
+carried on to the table's own words by one round of expectation and maximisation:
+each url counts for its words by the odds it is unwanted, and a word that isn't
+among the names speaks if the urls that have it lean clearly to one side. Other
+words say nothing, nor do a host's last label and prefixes such as www and blog.
 
 The rules come first: a rule (host, path, verdict) fits its host and all its
 subdomains if the url's path starts with the rule's, and the longest that fits
@@ -14,22 +20,27 @@ decides. Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end,
 A-Z lower-cased; path: from there up to ``?``, ``#`` or the end.
 
 A null url, or one without ``://``, has an empty host and path; no rule fits it
-and its verdict is allow. Repeated rows are judged alike.
+and its verdict is allow. Very long urls are judged whole. Repeated rows are judged
+alike. Of splittings that cost the same the one with the shorter last known word
+stands, of rules that fit with the same length the last by name. An empty table gives
+an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import log
+from math import exp, log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evisift.llm.common import table
+from evisift.storage import materialize
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Labelled names: words that unwanted hosts and paths are made of, and words of ordinary ones.
@@ -54,42 +65,14 @@ ALLOWED = (
     "river valley", "mountain hiking", "green energy", "solar power", "baby clothes", "coffee roasters", "wine cellar", "bakery", "dental care", "hospital", "insurance",
     "programming tutorial", "linux kernel", "open data", "maps", "radio station", "theatre festival", "orchestra", "botanical garden", "zoo", "aquarium", "airport", "railway",
 )
-#: Ordinary words that take part in splitting besides the names' and the table's own; they say nothing about a url.
-GENERAL = tuple(
-    """a about above access account across action active actor after again age agency air all alliance alpha also always american among analysis analyst analytics and angel
-    animals answer any app apple apps area army around arts asia asset assist associates association at atlas audio august auto available average away back ball band base basic bay
-    be beach bear beauty because bed before behind bell below berlin beta better between beyond big bike bird black block blue boat body bold bone both box boy brain brand bridge
-    bright british brother brown build builder building built bus business but by cafe call camera camp can capital card cards care career cart case cat center central century
-    chain chair change channel charity chat check chemical chicago child children china choice circle citizen class classic clean clear climate clinic cloud coach coast cold
-    collection color commerce common company computer concert connect consult content control cook cool copy corner corp cost country county couple course court cover craft
-    creative crew cross culture current custom customer cycle dance dark database date day days deal dear debate deep delivery demo desert detail dev develop developer device
-    diary digital direct directory discover district doctor document dog domain door double down dr draw dream dress drive driver dry early earth east easy eco economy edge edit
-    editor education electric element end english enter enterprise entry environment equal essex estate europe even event events ever every exchange exhibit expert experts
-    explore express eye face fact factory fair faith fall fan farmers fashion feed field file files final finance find fine finger first fish fit five flat flight floor flow flower
-    fly focus foot for force foreign forest form forward foundation four frame france fresh friend friends from front fruit fuel full fun fund future gallery game games garage gate
-    general german get giant glass global go gold golf good grand graph gray great ground group grow growth guest hair half hall hand happy hard harbor has have head heart heat heavy
-    here hero high hill his holiday holy home homes hope horse host hot hotels hour house how human hunt ice idea image in india industry info inside institute inter international
-    into island it italian item its japan jazz job jobs journal just keep key kid kids kind king kit knowledge lab labor labs lady lake land large laser last late law lead leader
-    leaf learn learning left legal less lesson letter level library life light like line link list little live living local logic london long look lost love low lucky lunch
-    machine magazine magic main make maker man manager many map march marine mark master match material math matter may me media medical meet member memory men metal meter metro
-    middle middlesex military mind mini minute mobile model modern moment money month moon more morning most mother motor move movie much my name nation national native natural
-    nature near need net new next night nine no noble north not note now number nurse of off office oil old on one only open opera option or order organic other our out outdoor
-    over own pacific page paint paper parent park part partner party pass path pay peace pen people person pet phone photo photos piano picture pilot pine place plan planet plant
-    plastic play player plus point police policy pool port post power pro product products profile program project property public pure quality queen question quick quiet race
-    rain ranch range rapid read reader ready red region register rent resource rest restaurant rich ride right ring rise road rock roof room root rose round royal run safe
-    sail sales salt san sand save say school sea search season second secret section security see seed senior sense series service services set seven shape share sharp ship shoe
-    shore short show side sign silver simple singer site six size skill skin sky sleep small smart snow social society soft solution solutions some son song sound source south
-    space speak special specialist speech speed spirit spring square staff stage star start state steel step stock stone story street strong studio studios study style summer
-    sun super surf sussex swim system take talk tax tea teach teacher team tech technical technology ten test text than that the their them then therapist therapy there they
-    thing think this three through tiger time tip to today together tool tools top total touch tour tower town toy trade traffic trail train training transport tree trip true
-    trust try turn two type under union unique unisex unit united up urban use user valley value view village virtual vision visit voice volunteer walk wall want war warm was wash
-    water wave way we wealth web week welcome well west what wheel when where white who why wide wild will wind window winter wire wise with woman women wonder wood word
-    words work worker works workshop world write writer year yellow yes york you young your youth zero zone""".split()
-)
+#: A public vocabulary of words in the order of frequency, read by the driver; tokens that it counts for, and by how many ranks its head is flattened.
+LEXICON, PRIOR, FLAT = "/opt/tokenizers/word_bpe_49k.json", 50_000, 200
 #: Leading labels of hosts that tell how a site is served, not what it is: no evidence if another label but the last follows.
 PREFIX = re.compile(r"(www\d*|m|mobile|blogs?|amp|cdn|static|img|web)\Z")
 #: Words of the lexicon besides the given ones, at most: the most frequent of the table's. The letters of a word.
 LEARNT, LETTERS = 200_000, 32
+#: What the table's words say: urls without a lean that every word is taken to have besides its own, and the least and the most log odds of a word.
+SMOOTH, LEAST_ODDS, MOST_ODDS = 4.0, 1.0, 2.0
 TOKEN = re.compile(r"[a-z]+")
 
 
@@ -109,6 +92,16 @@ def rule_for(host: str, path: str, rules: tuple = RULES) -> tuple[str, str] | No
     return max(fits)[1:] if fits else None
 
 
+def common_words(path: str = LEXICON) -> dict[str, float]:
+    """Words of three letters or more of a vocabulary file with word ends, each with the tokens that it counts for, by Zipf and Mandelbrot."""
+    with open(path, "rb") as f:  # noqa: PTH123  the driver's own copy of the vocabulary
+        vocabulary = json.load(f)["model"]["vocab"]
+    words = [w[:-4] for w in sorted(vocabulary, key=vocabulary.get) if re.fullmatch(r"[a-z]{3,32}</w>", w)]
+    share = [1 / (r + FLAT) for r in range(len(words))]
+    whole = sum(share)
+    return {w: PRIOR * s / whole for w, s in zip(words, share, strict=True)}
+
+
 @dataclass
 class NameModel:
     """Unigram costs of the lexicon and the log ratios of naive Bayes."""
@@ -118,6 +111,9 @@ class NameModel:
     tokens: int | None = None
     blocked: tuple[str, ...] = BLOCKED
     allowed: tuple[str, ...] = ALLOWED
+    general: dict[str, float] = field(default_factory=dict)
+    #: Log odds of words that aren't among the names.
+    learnt: dict[str, float] = field(default_factory=dict)
     cost: dict[str, float] = field(init=False)
     ratio: dict[str, float] = field(init=False)
     kept: dict[str, list[str]] = field(init=False, default_factory=dict)
@@ -125,13 +121,13 @@ class NameModel:
     def __post_init__(self) -> None:
         bad, good = (Counter(w for name in names for w in name.split()) for names in (self.blocked, self.allowed))
         words = set(bad) | set(good)
-        lexicon = words | set(GENERAL) | {w for w in self.counts if 2 < len(w) <= LETTERS}
-        total = len(lexicon) + (sum(self.counts.values()) if self.tokens is None else self.tokens)
-        self.cost = {w: -log((self.counts.get(w, 0) + 1) / total) for w in lexicon}
+        lexicon = words | set(self.general) | {w for w in self.counts if 2 < len(w) <= LETTERS}
+        total = len(lexicon) + sum(self.general.values()) + (sum(self.counts.values()) if self.tokens is None else self.tokens)
+        self.cost = {w: -log((self.counts.get(w, 0) + self.general.get(w, 0.0) + 1) / total) for w in lexicon}
         self.unknown = log(total) + 2.0
         self.longest = max(map(len, lexicon), default=1)
         n_bad, n_good = sum(bad.values()) + len(words), sum(good.values()) + len(words)
-        self.ratio = {w: log((bad[w] + 1) / n_bad) - log((good[w] + 1) / n_good) for w in words}
+        self.ratio = self.learnt | {w: log((bad[w] + 1) / n_bad) - log((good[w] + 1) / n_good) for w in words}
 
     def segment(self, name: str) -> list[str]:
         """The likeliest words of a name of letters. A stretch outside of the lexicon costs ``unknown`` and two nats a letter."""
@@ -163,6 +159,8 @@ class NameModel:
         labels = host.split(".")
         while len(labels) > 2 and PREFIX.match(labels[0]):
             labels.pop(0)
+        if len(labels) > 1:  # the last label is no name
+            labels.pop()
         return [w for name in TOKEN.findall(".".join(labels)) + TOKEN.findall(path.lower()) for w in self.segment(name)]
 
     def score(self, host: str, path: str) -> float:
@@ -170,40 +168,74 @@ class NameModel:
         return sum(self.ratio.get(w, 0.0) for w in self.words(host, path))
 
 
-def fit_names(pages: DataFrame, url_col: str = "url", blocked: tuple[str, ...] = BLOCKED, allowed: tuple[str, ...] = ALLOWED) -> NameModel:
+def lean(unwanted: float, n: float) -> float:
+    """Log odds that a word adds if n urls have it, of which so many are expected to be unwanted; 0 if they don't lean clearly."""
+    share = (unwanted + SMOOTH / 2) / (n + SMOOTH)
+    odds = log(share / (1 - share))
+    return 0.0 if abs(odds) < LEAST_ODDS else max(-MOST_ODDS, min(MOST_ODDS, odds))
+
+
+def fit_names(pages: DataFrame, url_col: str = "url", blocked: tuple[str, ...] = BLOCKED, allowed: tuple[str, ...] = ALLOWED, lexicon: str = LEXICON) -> NameModel:
     """A model whose words are counted over all tokens of all urls: a token is what stands between characters other than letters.
 
-    The given words (the labelled names' and GENERAL) are counted first, where they
-    stand alone. Under these counts each distinct token is split, and all pieces
-    are counted, so that names run together count for their parts and a stretch
-    that no given word covers is a new word. At most one row a given word and
-    LEARNT rows come to the driver.
+    The given words (the labelled names' and the lexicon's) are counted first, where
+    they stand alone. Under these counts each distinct token is split, and all pieces
+    are counted, so that names run together count for their parts and a stretch that
+    no given word covers is a new word. Under those counts every url is split and
+    scored, and its words get its odds. At most one row a given word and twice LEARNT
+    rows come to the driver.
     """
+    spark = pages.sparkSession
+    general = common_words(lexicon)
+    given = {w for n in blocked + allowed for w in n.split()} | set(general)
     tokens = pages.select(F.explode(F.split(F.lower(url_col), "[^a-z]+")).alias("w")).filter("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
-    given = sorted({w for n in blocked + allowed for w in n.split()} | set(GENERAL))
-    alone = {r["w"]: r["n"] for r in tokens.groupBy(F.when(F.col("w").isin(given), F.col("w")).alias("w")).agg(F.sum("n").alias("n")).collect()}
-    total = sum(alone.values())
-    alone.pop(None, None)
-    shared = pages.sparkSession.sparkContext.broadcast(NameModel(alone, total, blocked, allowed))
+    tokens = materialize(tokens, "tokens")
+    total = tokens.agg(F.sum("n")).first()[0] or 0
+    names = spark.createDataFrame(pa.table({"w": sorted(given)}))
+    alone = {r["w"]: r["n"] for r in tokens.join(F.broadcast(names), "w").collect()}
+    first = spark.sparkContext.broadcast(NameModel(alone, total, blocked, allowed, general))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = first.value
         for b in batches:
             out = Counter()
             for token, n in zip(b.column("w").to_pylist(), b.column("n").to_pylist(), strict=True):
                 for w in model.segment(token):
                     out[w] += n
-            yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.string()), pa.array(out.values(), pa.int64())], ["w", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.string()), pa.array([w in model.general or w in model.ratio for w in out], pa.bool_()), pa.array(out.values(), pa.int64())], ["w", "given", "n"])
 
-    pieces = tokens.mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+    pieces = materialize(tokens.mapInArrow(split, "w string, given boolean, n bigint").groupBy("w", "given").agg(F.sum("n").alias("n")), "pieces")
     sums = pieces.agg(F.sum("n")).first()[0] or 0
-    kept = pieces.filter(F.length("w") <= LETTERS).withColumn("given", F.col("w").isin(given)).orderBy(F.desc("given"), F.desc("n"), "w").limit(LEARNT + len(given))
-    return NameModel({r["w"]: r["n"] for r in kept.collect()}, sums, blocked, allowed)
+    kept = pieces.filter(F.length("w") <= LETTERS).orderBy(F.desc("given"), F.desc("n"), "w").limit(LEARNT + len(given))
+    counts = {r["w"]: r["n"] for r in kept.collect()}
+    model = NameModel(counts, sums, blocked, allowed, general)
+    second = spark.sparkContext.broadcast(model)
+
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = second.value
+        for b in batches:
+            bad, every = Counter(), Counter()
+            for url in b.column("url").to_pylist():
+                words = set(model.words(*parts(url)))
+                p = 1 / (1 + exp(-max(-30.0, min(30.0, sum(model.ratio.get(w, 0.0) for w in words)))))
+                for w in words:
+                    if w not in model.ratio and len(w) <= LETTERS:
+                        bad[w] += round(p * 1e6)  # whole numbers: their sums don't depend on the order
+                        every[w] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(every.keys(), pa.string()), pa.array([bad[w] for w in every], pa.int64()), pa.array(every.values(), pa.int64())], ["w", "bad", "n"])
+
+    leans = pages.select(F.col(url_col).alias("url")).mapInArrow(expect, "w string, bad bigint, n bigint").groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    share = (F.col("bad") / 1e6 + SMOOTH / 2) / (F.col("n") + SMOOTH)
+    leans = leans.filter(F.abs(F.log(share / (1 - share))) >= LEAST_ODDS).orderBy(F.desc("n"), "w").limit(LEARNT)
+    learnt = {r["w"]: lean(r["bad"] / 1e6, r["n"]) for r in leans.collect()}
+    first.unpersist()
+    second.unpersist()
+    return NameModel(counts, sums, blocked, allowed, general, learnt)
 
 
-def judge(pages: DataFrame, rules: tuple = RULES, blocked: tuple[str, ...] = BLOCKED, allowed: tuple[str, ...] = ALLOWED, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: tuple = RULES, blocked: tuple[str, ...] = BLOCKED, allowed: tuple[str, ...] = ALLOWED, lexicon: str = LEXICON, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per row of pages: its id, host, path, rule (null if none fits), verdict and the words' log odds."""
-    shared = pages.sparkSession.sparkContext.broadcast(fit_names(pages, url_col, blocked, allowed))
+    shared = pages.sparkSession.sparkContext.broadcast(fit_names(pages, url_col, blocked, allowed, lexicon))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

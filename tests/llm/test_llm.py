@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 from fractions import Fraction
 
@@ -227,16 +228,58 @@ def test_urls(spark):
 
 
 def test_url_words_are_learnt_from_all_tokens(spark):
-    rows = [(i, f"http://{h}/{i}") for i, h in enumerate(["blog.adult-x.example.org", "www.adult-x.org", "m.casinoqz.com", *["zebraquark.example.com"] * 9, *["www.tapiolas.org"] * 7, *["quarkzebras.org"] * 5])]
+    rows = [(i, f"http://{h}/{i}") for i, h in enumerate(["blog.adult-x.example.org", "www.adult-x.org", "m.casinoqz.com", *["zebvaqua.example.com"] * 9, *["www.tapqiolas.org"] * 7, *["vaquazebs.org"] * 5])]
     pages = spark.createDataFrame(rows, "page_id long, url string")
     model = urls.fit_names(pages)
-    assert model.counts["tapiolas"] == 7 and model.counts["zebraquark"] == 9 and model.counts["http"] == 24
-    assert model.segment("casinotapiolas") == ["casino", "tapiolas"] and model.segment("casinoqz") == ["casino", "qz"]
-    assert model.segment("zebraquarktapiolas") == ["zebraquark", "tapiolas"] and model.words("www.blog.org", "") == ["blog", "org"]
+    assert model.counts["tapqiolas"] == 7 and model.counts["zebvaqua"] == 9 and model.counts["http"] == 24
+    assert model.segment("casinotapqiolas") == ["casino", "tapqiolas"] and model.segment("casinoqz") == ["casino", "qz"]
+    assert model.segment("zebvaquatapqiolas") == ["zebvaqua", "tapqiolas"] and model.words("www.blog.org", "") == ["blog"]
+    assert model.segment("mountainbikeclub") == ["mountain", "bike", "club"] and model.segment("therapist") == ["therapist"]
     got = [r.verdict for r in urls.judge(pages, rules=()).orderBy("page_id").collect()]
     assert got == ["block"] * 3 + ["allow"] * 21
 
 
+def test_url_words_lean_to_the_side_of_their_urls(spark):
+    hosts = ["casinopoker-quvim.com"] * 30 + ["citylibrary-stelb.org"] * 30 + ["quvim.com", "stelb.org", "www.example.com"]
+    pages = spark.createDataFrame([(i, f"https://{h}/p/{i}", "k") for i, h in enumerate(hosts)], "page_id long, url string, w string")
+    model = urls.fit_names(pages)
+    assert model.learnt["quvim"] > 1 and model.learnt["stelb"] < -1 and "example" not in model.learnt and "p" not in model.learnt
+    got = [r.verdict for r in urls.judge(pages, rules=()).orderBy("page_id").collect()]
+    assert got == ["block"] * 30 + ["allow"] * 30 + ["block", "allow", "allow"]
+
+
+def plain_odds(model, host, path):
+    """Log odds of multinomial naive Bayes with add-one smoothing over the names, and the table's words beside it."""
+    labels = host.split(".")
+    while len(labels) > 2 and re.fullmatch(r"www\d*|m|mobile|blogs?|amp|cdn|static|img|web", labels[0]):
+        labels = labels[1:]
+    labels = labels[:-1] or labels
+    names = [" ".join(x).split() for x in (urls.BLOCKED, urls.ALLOWED)]
+    every = set(names[0]) | set(names[1])
+    total = 0.0
+    for token in re.findall("[a-z]+", ".".join(labels)) + re.findall("[a-z]+", path.lower()):
+        for w in model.segment(token):
+            if w in every:
+                total += np.log((names[0].count(w) + 1) / (len(names[0]) + len(every))) - np.log((names[1].count(w) + 1) / (len(names[1]) + len(every)))
+            else:
+                total += model.learnt.get(w, 0.0)
+    return total
+
+
+def test_url_scores_against_a_plain_version(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url")
+    more = [(-1, "http://winbettingcasino.example.com/slots/free"), (-2, "https://openlibrary.org/books/history"), (-3, "http://x/" + "casino" * 2000)]
+    pages = pages.unionByName(spark.createDataFrame(more, "page_id long, url string"))
+    model = urls.fit_names(pages)
+    for r in urls.judge(pages).join(pages, "page_id").collect():
+        rest = re.split("[?#]", r.url.split("://", 1)[1])[0]
+        assert (r.host, r.path) == (rest.split("/")[0].lower(), rest[len(rest.split("/")[0]) :])
+        assert r.log_odds == pytest.approx(plain_odds(model, r.host, r.path))
+        fits = [(len(h) + len(p), h + p, v) for h, p, v in urls.RULES if ("." + r.host).endswith("." + h) and r.path.startswith(p)]
+        want = max(fits)[1:] if fits else (None, "block" if r.log_odds > 0 else "allow")
+        assert (r.rule, r.verdict) == want
+
+
 # 4 and 7 -----------------------------------------------------------------------------------
 
 
@@ -358,14 +401,111 @@ def test_quality(spark):
     assert scored.columns == [*odd(spark).columns, "s"] and all(0 <= r.s <= 1 for r in scored.collect())
 
 
+def plain_terms(t):
+    """Counts of the hashed grams, one gram after another."""
+    raw = t.encode("utf-8", "replace")
+    kind = lambda x: "a" if x >= 128 or 97 <= x <= 122 else "\n" if x == 10 else " " if x in (9, 11, 12, 13, 32) else "0" if 48 <= x <= 57 else "A" if 65 <= x <= 90 else chr(x)
+    out = np.zeros(quality.TERMS)
+    for part, codes, n in ((0, [ord(kind(x)) for x in raw], 4), (quality.HALF, list(raw), 3)):
+        for i in range(len(codes) - n + 1):
+            h = 0
+            for c in codes[i : i + n]:
+                h = h << 8 | c
+            out[part + (h * int(quality.MIX) % (1 << 64) >> 53)] += 1
+    return out
+
+
+def plain_quality(model, t):
+    x = np.log1p(plain_terms(t)) * model.idf.astype(np.float64)
+    x = x / np.linalg.norm(x) @ model.basis.astype(np.float64) if x.any() else np.zeros(model.basis.shape[1])
+    sims = model.vectors.astype(np.float64) @ (x / np.linalg.norm(x)) if x.any() else np.zeros(len(model.vectors))
+    near = sorted(range(len(sims)), key=lambda i: (-round(float(sims[i]), 5), i))[: quality.NEIGHBOURS]
+    w = [max(sims[i], 0) ** 4 for i in near]
+    return sum(a * model.labels[i] for a, i in zip(w, near, strict=True)) / sum(w) if sum(w) else model.base
+
+
+def test_quality_against_a_plain_version(spark):
+    d, y = labelled(spark, "quality")
+    d = d.filter("doc_id < 200").unionByName(odd(spark).filter("doc_id <> 6 or doc_id is null")).unionByName(docs(spark, ["日本語 ÄÖ", "x" * 70_000]).withColumn("doc_id", F.col("doc_id") + 900))
+    model = quality.fit_quality(d, y)
+    for r in quality.with_quality(d, y).collect():
+        assert r.score == pytest.approx(plain_quality(model, r.text or ""), abs=2e-3)
+
+
+def test_neighbours_that_tie(monkeypatch):
+    model = quality.LatentModel(np.ones(quality.TERMS, np.float32), np.eye(quality.TERMS, 2, dtype=np.float32), np.array([[1, 0]] * 5 + [[0, 1]], np.float32), np.array([1, 0, 0, 1, 1, 1], np.float32), 0.5)
+    x = np.zeros((300, quality.TERMS), np.float32)
+    x[:, 0] = 1
+    assert set(model.score(x, 3).tolist()) == {1 / 3} and set(model.score(x, 4).tolist()) == {0.5}
+
+
+def test_latent_space_is_the_leading_one():
+    rng = np.random.default_rng(2)
+    topic, term = np.arange(80) % 5 % 3, np.arange(quality.TERMS) % 7 % 4
+    counts = (9 * (topic[:, None] == term[None, :]) + (rng.random((80, quality.TERMS)) < 0.02)).astype(np.float32)
+    model = quality.LatentModel.fit(counts, np.arange(80) % 2, rank=3)
+    a = np.log1p(counts) * (np.log(81 / (1 + (counts > 0).sum(0))) + 1)
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    best = np.linalg.svd(a, full_matrices=False)[1][:3]
+    assert np.linalg.norm(a @ model.basis, axis=0) == pytest.approx(best, rel=2e-2)
+
+
+@pytest.mark.parametrize("f", [quality.with_quality, toxicity.with_toxicity])
+def test_scores_of_an_empty_table(spark, f):
+    _, y = labelled(spark, "quality")
+    d = docs(spark, ["a"]).limit(0)
+    assert f(d, y, "n").count() == 0 and f(d, y.limit(0), "n").columns == [*d.columns, "n"]
+
+
 def test_quality_without_labels(spark):
     d, y = labelled(spark, "quality")
     assert {r.score for r in quality.with_quality(d.limit(3), y.limit(0)).collect()} == {0.5}
 
 
+def plain_toxicity(model, t):
+    """The highest mean share of the windows, word by word and subword by subword."""
+    every = re.findall(r"\w+", t.lower())
+    words = [w for i, w in enumerate(every) if not i or w != every[i - 1]]
+
+    def share(w):
+        raw = b"<" + w.encode() + b">"
+        got = [zlib.crc32(raw) % toxicity.BUCKETS]
+        for n in (3, 4, 5):
+            for i in range(len(raw) - n + 1):
+                h = n
+                for c in raw[i : i + n]:
+                    h = (h * 0x100000001B3 ^ c) % (1 << 64)
+                got.append((h * 0x9E3779B97F4A7C15 % (1 << 64) >> 40) % toxicity.BUCKETS)
+        return sum(float(model.share[k]) for k in got) / len(got)
+
+    if not words:
+        return 1 / (1 + np.exp(-model.bias))
+    s, n = [share(w) for w in words], toxicity.WINDOW
+    tops = [sum(s) / max(len(s), toxicity.LEAST)] if len(s) <= n else [sum(s[k : k + n]) / n for k in [*range(0, len(s) - n, n // 2), len(s) - n]]
+    return 1 / (1 + np.exp(-(model.bias + max(tops))))
+
+
+def test_toxicity_against_a_plain_version(spark):
+    d, y = labelled(spark, "toxic")
+    d = d.filter("doc_id < 700").unionByName(odd(spark)).unionByName(docs(spark, ["ß ÄÖ 日本語", "a a a a b", "x" * 5000]).withColumn("doc_id", F.col("doc_id") + 9000))
+    model = toxicity.fit_toxicity(d, y)
+    got = toxicity.with_toxicity(d, y).filter("doc_id is null or doc_id % 7 = 0 or doc_id < 8 or doc_id >= 9000").collect()
+    assert len(got) > 100 and len({round(r.score, 3) for r in got}) > 20
+    for r in got:
+        assert r.score == pytest.approx(plain_toxicity(model, r.text or ""), rel=1e-4, abs=1e-6)
+
+
+def test_training_separates_and_generalises():
+    texts, y = ["bad word here", "good word there"] * 4, np.array([1, 0] * 4)
+    before = toxicity.SubwordModel.fit(texts, y)
+    odds = before.logits(texts, {})
+    assert (odds[::2] > 2).all() and (odds[1::2] < -2).all()
+    assert before.words(["baad"])[0] > before.words(["gooood"])[0]  # unseen misspellings lean to the words they share subwords with
+
+
 def test_toxicity_settings():
-    # four dimensions and 900 steps find fewer toxic texts (README)
-    assert (toxicity.DIM, toxicity.STEPS) == (8, 1000)
+    # four dimensions, 900 steps or windows of 64 words find fewer toxic texts (README)
+    assert (toxicity.DIM, toxicity.STEPS, toxicity.WINDOW) == (8, 1000, 32)
 
 
 def test_labels_of_other_documents_use_up_no_bound(spark):
@@ -381,7 +521,10 @@ def test_toxicity(spark):
     held = [r for r in got if r.f == 2]
     assert len(held) > 30 and np.mean([r.p == r.doc_id % 2 for r in held]) > 0.9
     unseen = docs(spark, [text(50, random.Random(1)) + " blorgishest " + text(50, random.Random(2)), text(100, random.Random(3))])
-    assert [r.p for r in toxicity.with_toxicity(unseen, y.limit(0)).select(toxicity.predicted().alias("p")).collect()] == [0, 0]
+    assert [r.score for r in toxicity.with_toxicity(unseen, y.limit(0)).collect()] == [0.0, 0.0]
+    mixed = d.unionByName(unseen.withColumn("doc_id", F.col("doc_id") + 5000)).unionByName(odd(spark).withColumn("doc_id", F.col("doc_id") + 7000))
+    late = {r.doc_id: r for r in toxicity.with_toxicity(mixed, y, "label").filter("doc_id >= 5000").collect()}
+    assert late[5000].label >= 0.3 > late[5001].label and late[7005].label == late[7006].label and late[7001].label == late[7002].label
     assert all(0 <= r.score <= 1 for r in toxicity.with_toxicity(odd(spark), y.limit(0)).collect())
 
 
@@ -498,14 +641,17 @@ def test_shards(spark):
     rng = random.Random(6)
     texts = [text(rng.randint(0, 200), rng) for _ in range(120)] + ["", None, "x"]
     d = docs(spark, texts).repartition(3).persist()
-    manifest = token_shards.write_shards(d, new_path(spark, "t"), length=64, shard_bytes=8_000).orderBy("shard").collect()
+    out = new_path(spark, "t")
+    manifest = token_shards.write_shards(d, out, length=64, shard_bytes=8_000).orderBy("shard").collect()
+    again = token_shards.write_shards(d, new_path(spark, "t"), length=64, shard_bytes=8_000).orderBy("shard").collect()
+    assert manifest == again and token_shards.id_type(65_537).itemsize == 4
     assert len(manifest) > 2 and [r.first_slot for r in manifest] == np.cumsum([0] + [r.n_sequences for r in manifest])[:-1].tolist()
     found = {}
     for r in manifest:
-        for index, ids in token_shards.read_slots(r.path, 0, r.n_sequences, 64):
+        for index, ids in token_shards.read_slots(f"{out}/{r.file}", 0, r.n_sequences, 64):
             assert index not in found
             found[index] = ids
-        assert token_shards.read_slots(r.path, 1, 1, 64).__next__()[1].tolist() in [x.tolist() for x in found.values()]
+        assert token_shards.read_slots(f"{out}/{r.file}", 1, 1, 64).__next__()[1].tolist() in [x.tolist() for x in found.values()]
     stream = np.concatenate([found[i] for i in sorted(found)]).tolist()
     got, doc = [], []
     for x in stream:
