@@ -686,3 +686,104 @@ def test_pipeline_stages(spark):
     assert steps["sentencepiece encoding and decoding"](spark, mixed, sf).count() == mixed.count()
     clean = steps["toxicity"](spark, d, sf)
     assert clean.columns == d.columns and set(ids(clean)) <= set(ids(d)) and clean.count() > 0.8 * d.count()
+
+
+def plain_mix(rows):
+    """How often each of the rows (id, text, source) is taken: words in the order of their hashes until a source's target, the one at the border if that is nearer."""
+    size = [len((t or "").split()) for _, t, _ in rows]
+    h = [int(hashlib.md5(f"{'' if i is None else i} {t or ''}".encode()).hexdigest()[:15], 16) for i, t, _ in rows]
+    whole = Counter()
+    for n, (_, _, s) in zip(size, rows, strict=True):
+        whole[s] += n
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sorted(whole, key=lambda s: (s is None, s or "")))}
+    left, target, total = set(whole), {}, 1.5 * sum(size)
+    while left:
+        share = (total - sum(target.values())) / sum(weight[s] for s in left)
+        over = {s for s in left if weight[s] * share > 2 * whole[s]} or left
+        target |= {s: min(2.0 * whole[s], weight[s] * share) for s in over}
+        left -= over
+    out = [0] * len(rows)
+    for s in whole:
+        mine = sorted((k for k, r in enumerate(rows) if r[2] == s), key=lambda k: h[k])
+        base = int(target[s] // whole[s]) if whole[s] else 0
+        need, at = target[s] - base * whole[s], 0
+        for hash_ in sorted({h[k] for k in mine}):
+            same = [k for k in mine if h[k] == hash_]
+            here = sum(size[k] for k in same)
+            take = at + here < need or (at < need <= at + here and at + here - need <= need - at)
+            for k in same:
+                out[k] = base + take
+            at += here
+    return out
+
+
+def test_pipeline_against_a_plain_version(spark, tmp_path):
+    import sentencepiece
+
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    rows, labels = [], []
+    for i in range(260):
+        t, good, toxic = text(rng.randint(20, 90), rng), i % 4 != 0, i % 5 == 1
+        if toxic:
+            w = t.split()
+            for _ in range(4):
+                w.insert(rng.randrange(len(w)), rng.choice(["blorgish", "blorgishly", "xblorgish"]))
+            t = " ".join(w)
+        if not good:
+            t = " ".join(w + rng.choice(["***", "!!", "$$$"]) for w in t.split())
+        rows.append((i, t, rng.choice(["a", "b", "c", None])))
+        labels.append((i, int(good), int(toxic)))
+    for i in range(40):
+        n, t, s = rows[rng.randrange(260)]
+        w = t.split()
+        w[rng.randrange(len(w))] = "swap"
+        rows.append((300 + i if i % 3 else n, " ".join(w) if i % 2 else t, s))
+    rows += [(400, None, "a"), (401, "", "b"), (None, "a b c d e f g h", "a"), (402, text(30_000, rng), "c"), *rows[:3]]
+    frame = spark.createDataFrame([(*r, "x", 1.5, 7, 8, "y") for r in rows], "doc_id long, text string, source string, lang string, score double, k int, base int, key string")
+    frame.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    y = spark.read.parquet(str(tmp_path / "labels.parquet"))
+    left = list(rows)
+    model = quality.fit_quality(frame, y)
+    scores = [plain_quality(model, t or "") for _, t, _ in left]
+    assert all(abs(s - 0.3) > 5e-3 for s in scores)
+    left = [r for r, s in zip(left, scores, strict=True) if s >= 0.3]
+    model = toxicity.fit_toxicity(spark.createDataFrame(left, "doc_id long, text string, source string"), y)
+    scores = [plain_toxicity(model, t or "") for _, t, _ in left]
+    assert all(abs(s - 0.3) > 1e-4 for s in scores)
+    left = [r for r, s in zip(left, scores, strict=True) if s < 0.3]
+    assert len(rows) * 0.4 < len(left) < len(rows) * 0.9
+    sets = [shingle_set(t) for _, t, _ in left]
+    label = list(range(len(left)))
+    for a in range(len(left)):
+        for b in range(a):
+            if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9 and label[a] != label[b]:
+                label = [label[b] if x == label[a] else x for x in label]
+    first = {}
+    for k, (i, _, _) in enumerate(left):
+        if sets[k]:
+            first[label[k]] = min(first.get(label[k], (True, 0)), (i is None, i or 0))
+    some = [[r for r, x in zip(left, label, strict=True) if x == c and (r[0] is None, r[0] or 0) == first[c]] for c in first]
+    assert any(len({t for _, t, _ in c}) > 1 or len(c) > 1 for c in some)
+    # of rows that repeat the class's smallest id any one may stay: the stage says which
+    stage = dict(corpus_pipeline.STAGES)["n-gram jaccard join"]
+    kept = [tuple(r) for r in stage(spark, spark.createDataFrame(left, "doc_id long, text string, source string"), str(tmp_path)).collect()]
+    assert len(kept) == len(some) + sum(not s for s in sets)
+    assert all(sum(r in kept for r in {*c}) == 1 for c in some) and all(r in kept for r, s in zip(left, sets, strict=True) if not s)
+    sp = sentencepiece.SentencePieceProcessor(model_file=wfst.MODEL)
+    want = Counter()
+    for (i, t, _), n in zip(kept, plain_mix(kept), strict=True):
+        want[(i, tuple(sp.encode(t or "")))] += n
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert Counter((r.doc_id, tuple(r.token_ids)) for r in got.collect()) == +want
+    assert got.filter("not round_trip or n_tokens <> size(token_ids)").count() == 0
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    docs(spark, ["a"]).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
