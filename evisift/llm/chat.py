@@ -13,7 +13,10 @@ memory than its longest turn.
 
 A null text counts as empty, a null role as the empty role. A null conversation
 is one of its own. Turns with the same number follow each other by role and
-text; repeated rows are repeated turns; null turn numbers come first.
+text; repeated rows are repeated turns; null turn numbers come first. A very long
+text is rendered and parsed whole. One conversation is digested by one task, as its
+hash is sequential. An empty table gives an empty result. Other columns, of whatever
+name, are not read.
 """
 
 from __future__ import annotations

@@ -1,30 +1,38 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-A model is compiled to three machines: the normaliser (dummy prefix, white space
-to U+2581), the acceptor of its pieces, and byte fallback for characters without
-a piece. Composed with an input they give a lattice whose states are a position
-and the piece that ends there; the arcs' weights add up in the tropical semiring
-and the path of least weight is the encoding.
-
-A BPE model merges by rank and not by sums of scores, so the plain shortest path
-over scores is not what it means. Its lattice has the further condition, a
-finite-state one, that two pieces may follow each other only if merging their
-joined text gives these two again. One path meets it, the BPE encoding, and every
-position has one such prefix; the shortest path keeps it as its only state.
-Unigram models have no such condition and take the least sum of minus scores.
-
-No piece has U+2581 after another character, so a text is the concatenation of
-the paths of its words, and paths of words met before are kept (bounded).
-
-Nulls are encoded as empty texts, to no ids. Texts that hold U+2581 decode with a
-space there, as the model says; decoding gives every other text back.
+A model is compiled to weighted machines: the normaliser (dummy prefix, white space
+to U+2581), the transducer of its pieces (a piece's weight is minus its score, for BPE
+its merge rank), byte fallback for characters without a piece, and the acceptor of
+pairs, which says whether a piece may follow another. Composed with an input they
+give a lattice whose states are a position and the piece that ends there; weights add
+up along a path in the tropical semiring and the path of least weight is the encoding.
+
+A BPE model merges by rank and not by sums of weights, so the plain shortest path is
+not what it means. Its acceptor of pairs gives weight 0 to two pieces if merging their
+joined text gives these two again, and infinity else. One path of finite weight is
+left, the BPE encoding. Unigram models have an acceptor of weight 0 throughout.
+
+No piece has U+2581 after another character, so a text is the concatenation of the
+paths of its words, and paths of words met before are kept (bounded). Words of one
+length go through their lattices together: as one path at most reaches a position of
+a BPE lattice with finite weight, the first that is found is the least. Words with
+fallback, very long ones and those of unigram models take ``shortest``, arc by arc.
+
+Nulls are encoded as empty texts, to no ids; very long texts are encoded whole;
+repeated rows get equal ids. Of unigram paths of equal weight the one whose last piece
+begins first stands, as it does before that. Texts that hold U+2581 decode with a
+space there, as the model says; decoding gives every other text back. An empty table
+gives an empty result. Columns besides id and text are not read, but decode() carries
+all along.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import inf
 
 import numpy as np
 import pandas as pd
@@ -38,10 +46,12 @@ from evisift.llm.common import table, text_or_empty
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Entries of each worker's tables of words and of pairs, at most; then they start anew.
-KEPT_WORDS, KEPT_PAIRS = 600_000, 400_000
+KEPT_WORDS, KEPT_PAIRS = 300_000, 400_000
 #: Bits of the tables of piece hashes and of pairs. Longer words than LONG are encoded one by one.
 PIECE_BITS, PAIR_BITS, LONG = 18, 20, 40
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Stands for a piece where there is none: a word's begin, bytes.
+FALLBACK = -2
 #: Characters of the texts that are encoded together, about.
 BATCH = 4 << 20
 
@@ -56,6 +66,8 @@ class Pieces:
     unknown: int
     bpe: bool
     prefix: bool
+    #: Tells models apart.
+    name: str = ""
 
     @classmethod
     def read(cls, path: str = MODEL) -> Pieces:
@@ -63,7 +75,8 @@ class Pieces:
 
         m = pb2.ModelProto()
         with open(path, "rb") as f:  # noqa: PTH123  the driver's own copy of the vocabulary
-            m.ParseFromString(f.read())
+            raw = f.read()
+        m.ParseFromString(raw)
         spec = m.normalizer_spec
         if m.trainer_spec.model_type not in (1, 2) or spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces:
             raise ValueError("only BPE and unigram models with the identity normaliser are supported")
@@ -71,7 +84,7 @@ class Pieces:
         text = [p.piece if p.type in (kinds.NORMAL, kinds.USER_DEFINED) else None for p in m.pieces]
         byte = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == kinds.BYTE}
         unknown = next(i for i, p in enumerate(m.pieces) if p.type == kinds.UNKNOWN)
-        return cls(text, [p.score for p in m.pieces], byte, unknown, m.trainer_spec.model_type == 2, spec.add_dummy_prefix)
+        return cls(text, [p.score for p in m.pieces], byte, unknown, m.trainer_spec.model_type == 2, spec.add_dummy_prefix, hashlib.sha256(raw).hexdigest())
 
 
 class Transducer:
@@ -81,6 +94,7 @@ class Transducer:
         self.longest = max(map(len, self.ids), default=1)
         order = {s: r for r, s in enumerate(sorted(set(pieces.score), reverse=True))}
         self.rank = [order[s] for s in pieces.score]
+        self.worst = 10 - min(pieces.score, default=0.0)
         self.raw = [b"" if s is None else s.encode() for s in pieces.surface]
         for value, i in pieces.byte.items():
             self.raw[i] = bytes([value])
@@ -192,7 +206,7 @@ class Transducer:
             by.setdefault(len(w) if self.pieces.bpe and len(w) <= LONG else 0, []).append(w)
         for n, same in by.items():
             if not n:
-                yield from ((w, self.path(w)) for w in same)
+                yield from ((w, self.shortest(w)) for w in same)
                 continue
             codes = np.frombuffer("".join(same).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).astype(np.uint64)
             h, arcs = np.zeros_like(codes), []
@@ -230,54 +244,45 @@ class Transducer:
                 at = np.where(live, back[every, at], 0)
             begin = n - used
             for w, row, s, odd in zip(same, out, begin.tolist(), raw.tolist(), strict=True):
-                yield w, self.path(w) if odd else row[s:].tobytes()
+                yield w, self.shortest(w) if odd else row[s:].tobytes()
 
-    def path(self, text: str) -> bytes:
-        """Ids of one word as int32, by the shortest path through its lattice."""
-        return self._only_path(text) if self.pieces.bpe else self._least_path(text)
-
-    def _fallback(self, ch: str) -> list[int]:
+    def fallback(self, ch: str) -> list[int]:
         return [self.pieces.byte[x] for x in ch.encode("utf-8", "replace")] if self.pieces.byte else [self.pieces.unknown]
 
-    def _only_path(self, text: str) -> bytes:
-        ids, longest, follows, pairs = self.ids, self.longest, self.follows, self.pairs
-        last, back = [-1] * (len(text) + 1), [0] * (len(text) + 1)
-        for i in range(1, len(text) + 1):
-            for j in range(max(0, i - longest), i):
-                p = ids.get(text[j:i])
-                if p is None:
-                    continue
-                q = last[j]
-                if q >= 0:
-                    ok = pairs.get(q << 32 | p)
-                    if ok is None:
-                        ok = follows(q, p)
-                    if not ok:
-                        continue
-                last[i], back[i] = p, j
-                break
-            else:
-                last[i], back[i] = -2, i - 1  # no piece: bytes, which nothing merges with
-        return self._trace(text, last, back)
-
-    def _least_path(self, text: str) -> bytes:
-        worst = min(self.pieces.score) - 10
-        best, last, back = [0.0], [-1], [0]
-        for i in range(1, len(text) + 1):
-            arcs = [(best[j] - self.pieces.score[p], j, p) for j in range(max(0, i - self.longest), i) if (p := self.ids.get(text[j:i])) is not None]
-            if text[i - 1] not in self.ids:
-                arcs.append((best[i - 1] - worst, i - 1, -2))
-            cost, j, p = min(arcs)
-            best.append(cost)
-            back.append(j)
-            last.append(p)
-        return self._trace(text, last, back)
-
-    def _trace(self, text: str, last: list[int], back: list[int]) -> bytes:
-        out, i = [], len(text)
-        while i:
-            out.append(last[i : i + 1] if last[i] >= 0 else self._fallback(text[i - 1]))
-            i = back[i]
+    def arcs(self, text: str, end: int) -> Iterator[tuple[int, int, float]]:
+        """The lattice's arcs into a position: where they begin, their piece (FALLBACK for a character without one) and their weight."""
+        for begin in range(max(0, end - self.longest), end):
+            piece = self.ids.get(text[begin:end])
+            if piece is not None:
+                yield begin, piece, -self.pieces.score[piece]
+        if text[end - 1] not in self.ids:
+            yield end - 1, FALLBACK, self.worst
+
+    def pair(self, before: int, piece: int) -> float:
+        """Weight of a pair of pieces: 0 or infinity. Nothing merges over a fallback or a word's begin."""
+        if not self.pieces.bpe or before < 0 or piece < 0:
+            return 0.0
+        return 0.0 if self.follows(before, piece) else inf
+
+    def shortest(self, text: str) -> bytes:
+        """Ids of one word as int32, along the path of least weight through its lattice. For each position: by the piece that ends there, the least weight and the arc it came by. Without an acceptor of pairs one state a position is enough."""
+        best: list[dict[int, tuple[float, int, int]]] = [{FALLBACK: (0.0, -1, -1)}]
+        for end in range(1, len(text) + 1):
+            here: dict[int, tuple[float, int, int]] = {}
+            for begin, piece, weight in self.arcs(text, end):
+                for before, (so_far, _, _) in best[begin].items():
+                    total = so_far + weight + self.pair(before, piece)
+                    if total < (here[piece][0] if piece in here else inf):
+                        here[piece] = (total, begin, before)
+            if not self.pieces.bpe:
+                least = min(here, key=lambda p: here[p][:2])
+                here = {least: here[least]}
+            best.append(here)
+        out, at = [], len(text)
+        piece = min(best[at], key=lambda p: best[at][p][:2]) if text else FALLBACK
+        while at:
+            out.append([piece] if piece >= 0 else self.fallback(text[at - 1]))
+            _, at, piece = best[at][piece]
         return np.array([x for part in reversed(out) for x in part], np.int32).tobytes()
 
     def encode(self, text: str) -> bytes:
@@ -310,6 +315,17 @@ class Transducer:
         return text[1:] if self.pieces.prefix and text[:1] == " " else text
 
 
+COMPILED: dict[str, Transducer] = {}
+
+
+def compiled(pieces: Pieces) -> Transducer:
+    """The worker's machine for a model, compiled once."""
+    if pieces.name not in COMPILED:
+        COMPILED.clear()
+        COMPILED[pieces.name] = Transducer(pieces)
+    return COMPILED[pieces.name]
+
+
 def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: its id, n_tokens, token_ids, and round_trip: whether decoding them gives the text back. The model is read by the driver and broadcast (its size is the vocabulary's)."""
     spark = docs.sparkSession
@@ -317,7 +333,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(shared.value)
+        machine = compiled(shared.value)
         for whole in batches:
             part = np.cumsum(pc.utf8_length(whole.column("text")).to_numpy()) // BATCH
             for at, end in zip(*(x.tolist() for x in (np.searchsorted(part, np.unique(part)), np.searchsorted(part, np.unique(part), "right"))), strict=True):
@@ -339,7 +355,7 @@ def decode(tokens: DataFrame, model: str = MODEL, ids_col: str = "token_ids", na
 
     @F.pandas_udf("string")
     def text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        machine = Transducer(shared.value)
+        machine = compiled(shared.value)
         for ids in parts:
             yield pd.Series([None if i is None else machine.decode(np.asarray(i)) for i in ids], dtype=object)
 

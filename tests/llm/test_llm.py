@@ -547,6 +547,8 @@ def test_transducer_equals_the_library(spark):
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(1500)] + [text(2000, rng), "x" * 5000, " " * 50, "", "é" * 300]
     got = [np.frombuffer(x, np.int32).tolist() for x in m.encode_all(texts)]
     assert got == sp.encode(texts) == [np.frombuffer(m.encode(t), np.int32).tolist() for t in texts]
+    words = sorted({w for t in texts for w in m.unit.findall(wfst.SPACE + t.replace(" ", wfst.SPACE)) if len(w) < 200})
+    assert all(m.shortest(w) == p for w, p in m.paths(words))  # one by one as all together
     assert [m.decode(np.array(x, np.int32)) for x in got] == [t.replace(chr(0x2581), " ") for t in texts]
     out = wfst.encode(odd(spark))
     assert out.count() == 7 and out.filter("not round_trip").count() == 0
@@ -562,7 +564,7 @@ def test_unigram_path_is_the_least():
         return 0.0 if not t else min(-p.score[m.ids[t[:k]]] + best(t[k:]) for k in (1, 2, 3) if t[:k] in m.ids)
 
     for t in ("abab", "baba", "aabba", "abaaba"):
-        ids = np.frombuffer(m.path(t), np.int32)
+        ids = np.frombuffer(m.shortest(t), np.int32)
         assert "".join(p.surface[i] for i in ids) == t and -sum(p.score[i] for i in ids) == pytest.approx(best(t))
 
 
