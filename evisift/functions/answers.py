@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evisift.functions import constants as K
 from evisift.functions.text import col, strip
 
 PAYLOAD = "struct<answer:string,label:boolean,reasoning_summary:string,used_evidence_ids:array<int>>"
@@ -16,13 +17,11 @@ def truthy(raw: Column) -> Column:
 
 
 def _repaired(c: Column) -> Column:
-    answer = F.upper(F.regexp_extract(c, r'(?i)"answer"\s*:\s*"([A-D]+)"', 1))
-    label = F.lower(F.regexp_extract(c, r'(?i)"label"\s*:\s*(true|false)', 1))
-    reason = F.regexp_extract(c, r'(?s)"reasoning_summary"\s*:\s*"([^"]*)"', 1)
-    ids = F.regexp_extract(c, r'(?s)"used_evidence_ids"\s*:\s*\[([^\]]*)\]', 1)
-    has_reason, has_ids = c.rlike(r'(?s)"reasoning_summary"\s*:\s*"[^"]*"'), c.rlike(r'(?s)"used_evidence_ids"\s*:\s*\[[^\]]*\]')
+    answer, label = F.upper(F.regexp_extract(c, K.REPLY_ANSWER, 1)), F.lower(F.regexp_extract(c, K.REPLY_LABEL, 1))
+    reason, ids = (F.regexp_extract(c, p, 1) for p in (K.REPLY_REASON, K.REPLY_IDS))
+    has_reason, has_ids = (c.rlike(p) for p in (K.REPLY_REASON, K.REPLY_IDS))
     some = (answer != "") | (label != "") | has_reason | has_ids
-    loose = F.regexp_extract(c, r"\b([A-D]{1,4})\b", 1)
+    loose = F.regexp_extract(c, K.REPLY_LETTERS, 1)
     numbers = F.transform(F.filter(F.transform(F.split(ids, ","), strip), lambda x: x.rlike(r"\A\p{Nd}+\z")), lambda x: x.cast("int"))
     found = F.struct(
         F.when(answer != "", answer).alias("answer"),
@@ -37,9 +36,9 @@ def _repaired(c: Column) -> Column:
 def json_object(c: Column | str) -> Column:
     """PAYLOAD of the object in a reply: of a fenced block if there is one, between the outermost braces, else whatever patterns find; null if nothing is found."""
     c = col(c)
-    fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    fenced = F.regexp_extract(c, K.REPLY_FENCED, 1)
     candidate = F.when(fenced != "", fenced).otherwise(c)
-    braces = F.regexp_extract(candidate, r"(?s)(\{.*\})", 1)
+    braces = F.regexp_extract(candidate, K.REPLY_BRACES, 1)
     valid = F.try_parse_json(braces)
 
     def text(path: str) -> Column:

@@ -41,6 +41,16 @@ INSURANCE_KEYWORDS = ("保险责任", "身故保险金", "现金价值", "账户
 FORMULA_KEYWORDS = ("账户价值", "已交保费", "基本保额")
 RESEARCH_KEYWORDS = ("预计", "同比", "市场规模", "渗透率", "增速", "结论", "判断", "投资建议")
 CALCULATION_KEYWORDS = ("计算", "推理", "比较", "多少")
+#: Points of a metric row for words that it has.
+ROW_POINTS = (("同比", 3), ("元）", 2), ("占营业收入比例", 2))
+#: Fields of a reply that is no valid JSON.
+REPLY_ANSWER = r'(?i)"answer"\s*:\s*"([A-D]+)"'
+REPLY_LABEL = r'(?i)"label"\s*:\s*(true|false)'
+REPLY_REASON = r'(?s)"reasoning_summary"\s*:\s*"([^"]*)"'
+REPLY_IDS = r'(?s)"used_evidence_ids"\s*:\s*\[([^\]]*)\]'
+REPLY_LETTERS = r"\b([A-D]{1,4})\b"
+REPLY_FENCED = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
+REPLY_BRACES = r"(?s)(\{.*\})"
 TOKEN_BUDGET = 5_000_000
 RULE_SCORE = 999.0
 # --- end of fixed values --------------------------------------------------

@@ -1,13 +1,16 @@
-"""Text expressions: normalisation, tokens, titles, numbers. All are native columns."""
+"""Text expressions: normalisation, tokens, titles, numbers, HTML. All are native columns but for rare entities of HTML."""
 
 from __future__ import annotations
 
+import html
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evisift.functions import constants as K
+from evisift.storage import unused
 
 #: What Python's str.strip takes off, and where str.splitlines splits.
 SPACES = r"[\s\x1c-\x1f\x85" + "".join(map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]"
@@ -77,8 +80,17 @@ def first_keyword(c: Column | str, words: Sequence[str]) -> Column:
 
 
 def looks_like_heading(c: Column | str) -> Column:
-    s = strip(c)
-    return s.rlike(K.HEADINGS[0]) | s.rlike(K.HEADINGS[1]) | s.rlike(K.HEADINGS[2])
+    return is_heading(strip(c))
+
+
+def is_heading(line: Column | str) -> Column:
+    """Whether a line that is stripped already is a heading."""
+    return col(line).rlike("|".join(f"(?:{p})" for p in K.HEADINGS))
+
+
+def may_have_headings(c: Column | str) -> Column:
+    """False only if no line of a text can be a heading or a page mark: none begins, after white space, as they do."""
+    return col(c).contains("[PAGE ") | col(c).rlike(rf"(?:\A|{BREAKS})(?:{SPACES}|{chr(0xFEFF)})*(?:\p{{Nd}}|[第一二三四五六七八九十])")
 
 
 def detect_title(c: Column | str, fallback: Column | str) -> Column:
@@ -136,7 +148,10 @@ def metric_key(c: Column | str) -> Column:
 def unit_quality(c: Column | str) -> Column:
     """How well a metric row can be read: mentions of growth, of units, of a share, and being a single line."""
     c = col(c)
-    return F.when(c.contains("同比"), 3).otherwise(0) + F.when(c.contains("元）"), 2).otherwise(0) + F.when(c.contains("占营业收入比例"), 2).otherwise(0) + F.when(~c.contains("\n"), 1).otherwise(0)
+    out = F.when(~c.contains("\n"), 1).otherwise(0)
+    for word, points in K.ROW_POINTS:
+        out = out + F.when(c.contains(word), points).otherwise(0)
+    return out
 
 
 def year_of(doc_id: Column | str) -> Column:
@@ -183,22 +198,51 @@ def greedy_chunks(c: Column | str, limit: Column | int, breaks: str = "[。；
     return F.when(F.length(c) <= limit, F.array(c)).otherwise(F.get(chunks, F.lit(0)))
 
 
-def once(array: Column) -> Column:
-    """To be selected: array as a column that is evaluated once, however often it is used."""
-    return F.explode(F.array(array))
+def once(c: Column) -> Column:
+    """To be selected: c as a column that is evaluated once, however often it is used."""
+    return F.explode(F.array(c))
 
 
-#: Entities that documents use most; numeric ones are decoded beside them. The ampersand comes last.
-ENTITIES = (("&nbsp;?", " "), ("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#0*39;|&apos;", "'"), ("&copy;?", "©"), ("&reg;?", "®"), ("&middot;?", "·"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&mdash;", "—"), ("&hellip;", "…"), ("&amp;?", "&"))
+#: Entities that are decoded by columns; pages with any other go through the standard library. The ampersand comes last.
+ENTITIES = (("nbsp", chr(0xA0)), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&"))
 
 
-def html_text(c: Column | str) -> Column:
-    """Text of a page: no comments, declarations, scripts or styles, a line for every text node, cleaned and joined. Columns alone; sources.documents has a parser for odd markup."""
+def html_nodes(c: Column | str) -> Column:
+    """A page without comments, declarations, scripts and styles, a line for every text node, entities as they are."""
     c = F.regexp_replace(col(c), r"(?is)<!--.*?-->|<!doctype[^>]*>|<(script|style|noscript)\b[^>]*>.*?</\1\s*>", "\n")
-    c = F.regexp_replace(c, r"(?s)<[/a-zA-Z][^>]*>", "\n")
-    for pattern, text in ENTITIES:
-        c = F.regexp_replace(c, pattern, text)
-    return F.array_join(clean_lines(c), "\n")
+    return F.regexp_replace(c, r"(?s)<[/a-zA-Z][^>]*>", "\n")
+
+
+def other_entities(nodes: Column | str) -> Column:
+    """Whether an ampersand is there that begins none of ENTITIES and may begin another entity."""
+    known = "|".join(name for name, _ in ENTITIES)
+    return col(nodes).rlike(f"&(?!(?:{known});)[#a-zA-Z]")
+
+
+def known_entities(nodes: Column | str) -> Column:
+    c = col(nodes)
+    for name, text in ENTITIES:
+        c = F.replace(c, F.lit(f"&{name};"), F.lit(text))
+    return c
+
+
+def unescaped(nodes: Column | str) -> Column:
+    """nodes with all entities decoded by the standard library, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else html.unescape(x))
+
+    return run(col(nodes))
+
+
+def with_html_text(df: DataFrame, page: Column | str, name: str) -> DataFrame:
+    """df with the text of pages: cleaned lines, joined. All numeric and named entities are decoded; only pages that have others than ENTITIES go through Python, in Arrow batches."""
+    nodes, plain = unused(df.columns, "nodes", "plain")
+    rows = df.select("*", once(html_nodes(page)).alias(nodes))
+    needs = other_entities(nodes)
+    rows = rows.withColumn(plain, F.coalesce(unescaped(F.when(needs, F.col(nodes))), known_entities(nodes)))
+    return rows.withColumn(name, F.array_join(clean_lines(plain), "\n")).drop(nodes, plain)
 
 
 def html_title(c: Column | str) -> Column:

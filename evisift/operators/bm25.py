@@ -3,19 +3,26 @@
 Statistics are those of all units; a filter on documents applies to scores only.
 A query is a bag: a token that it has n times counts n times. Scores are sums of
 terms rounded to integers of 1e-9, so they don't depend on the order of addition.
+
+Units are tokenised once: postings hold, beside the tokens, a row that carries each
+unit's length (its token is a mark and a number, so that these rows spread).
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evisift.functions import constants as K
 from evisift.functions.text import tokenize
-from evisift.storage import materialize
+from evisift.storage import materialize, spread
 
 #: A table of at most so many rows may be broadcast.
 BROADCAST_ROWS = 50_000
+#: Begins the token of a row that carries a unit's length; how many such tokens there are.
+MARK, MARKS = chr(0), 1000
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -23,10 +30,11 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def measured(units: DataFrame, key: str, text: Column | str) -> DataFrame:
-    """(key, dl, tokens). Exploding an array of one keeps the optimiser from evaluating the tokens once for each use of theirs. The length is a column of its own before tokens are exploded: computed beside that it would carry the whole array along with every token."""
-    rows = units.select(key, F.explode(F.array(tokenize(text))).alias("tokens"))
-    return rows.select(key, F.size("tokens").cast("bigint").alias("dl"), "tokens")
+def measured(units: DataFrame, key: str, text: Column | str, keep: Sequence[str] = ()) -> DataFrame:
+    """(key, *keep, dl, tokens). Exploding an array of one keeps the optimiser from evaluating the tokens once for each use of theirs. The length is a column of its own before tokens are exploded: computed beside that it would carry the whole array along with every token."""
+    rows = spread(units.select(key, *keep, (F.col(text) if isinstance(text, str) else text).alias("body")))
+    rows = rows.select(key, *keep, F.explode(F.array(tokenize("body"))).alias("tokens"))
+    return rows.select(key, *keep, F.size("tokens").cast("bigint").alias("dl"), "tokens")
 
 
 def token_bag(df: DataFrame, key: str, text: Column | str) -> DataFrame:
@@ -64,27 +72,36 @@ def term_score(qtf: Column, idf_: Column, tf: Column, dl: Column, avgdl: Column,
     return F.round(qtf * (idf_ * tf * F.lit(k1 + 1) / norm) * F.lit(1e9)).cast("bigint")
 
 
-def index(units: DataFrame, key: str = "pos", text: Column | str = "text") -> tuple[DataFrame, DataFrame]:
-    """Postings (key, token, tf, dl) and the one-row statistics, of tables that may be written and read again."""
-    rows = measured(units, key, text)
-    tf = rows.select(key, "dl", F.explode("tokens").alias("token")).groupBy(key, "token", "dl").agg(F.count("*").alias("tf"))
-    return tf, corpus_stats(rows)
+def index(units: DataFrame, key: str = "pos", text: Column | str = "text", keep: Sequence[str] = (), wanted: DataFrame | None = None) -> DataFrame:
+    """Postings (key, *keep, dl, token, tf), with a row for each unit's length; of the tokens that are ``wanted`` only, if given. To be written and read by scores()."""
+    rows = measured(units, key, text, keep)
+    mark = F.concat(F.lit(MARK), F.pmod(F.xxhash64(key), F.lit(MARKS)).cast("string"))
+    rows = rows.select(key, *keep, "dl", F.explode(F.concat("tokens", F.array(mark))).alias("token"))
+    if wanted is not None:
+        marks = wanted.sparkSession.range(MARKS).select(F.concat(F.lit(MARK), F.col("id").cast("string")).alias("token"))
+        rows = rows.join(small(materialize(wanted.select("token").unionByName(marks), "wanted")), "token", "left_semi")
+    return rows.groupBy(key, *keep, "dl", "token").agg(F.count("*").alias("tf"))
 
 
-def scores(units: DataFrame, queries: DataFrame, key: str = "pos", text: Column | str = "text", query: str = "query_id", query_text: str = "query_text", k1: float = K.K1, b: float = K.B) -> DataFrame:
-    """(query, key, score) of all units that share a token with a query. Units' tokens are restricted to those that some query has before they are counted; lengths and statistics are of all units."""
+def scores(
+    units: DataFrame | None, queries: DataFrame, key: str = "pos", text: Column | str = "text", query: str = "query_id", query_text: str = "query_text", k1: float = K.K1, b: float = K.B,
+    keep: Sequence[str] = (), allowed: DataFrame | None = None, postings: DataFrame | None = None,
+) -> DataFrame:
+    """(query, key, *keep, score) of all units that share a token with a query. allowed: (query, doc_id), written already, of the documents that a query may have; doc_id is in ``keep`` then. Units of others are never scored, but lengths and statistics are of all units. postings: an index with ``keep``; else one of the queries' tokens is made of units."""
     bag = materialize(token_bag(queries, query, query_text).withColumnRenamed("n", "qtf"), "bag")
-    rows = measured(units, key, text)
-    stats = corpus_stats(rows)
-    wanted = small(bag.select("token").distinct())
-    tf = rows.select(key, "dl", F.explode("tokens").alias("token"))
-    tf = materialize(tf.join(wanted, "token", "left_semi").groupBy(key, "token", "dl").agg(F.count("*").alias("tf")), "postings")
+    wanted = bag.select("token").distinct()
+    if postings is None:
+        postings = materialize(index(units, key, text, keep, wanted), "postings")
+    stats = corpus_stats(postings.filter(F.col("token").startswith(MARK)))
+    tf = postings.filter(~F.col("token").startswith(MARK)).join(small(wanted), "token", "left_semi")
     weights = document_frequencies(tf).crossJoin(F.broadcast(stats))  # one row
-    weights = materialize(weights.select("token", idf().alias("idf"), "avgdl"), "weights")
-    asked = small(bag.join(weights, "token"))
-    hit = tf.join(asked, "token")
+    asked = materialize(bag.join(weights.select("token", idf().alias("idf"), "avgdl"), "token"), "asked")
+    if allowed is None:
+        hit = tf.join(small(asked), "token")
+    else:
+        hit = tf.join(small(asked.join(allowed, query)), ["token", "doc_id"])
     term = term_score(F.col("qtf"), F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
-    return hit.groupBy(query, key).agg(F.sum(term).alias("s")).select(query, key, (F.col("s") / F.lit(1e9)).alias("score"))
+    return hit.groupBy(query, key, *keep).agg(F.sum(term).alias("s")).select(query, key, *keep, (F.col("s") / F.lit(1e9)).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, key: str = "pos", query: str = "query_id") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evisift.functions import constants as K
 from evisift.functions.answers import clean_answer, compose, format_hits, json_object, needs_fallback
-from evisift.functions.text import best_number, contains_any, metric_key, unit_quality
+from evisift.functions.text import best_number, contains_any, metric_key, strip, unit_quality
 from evisift.operators.evaluation import TOKENS
 from evisift.sources.model import Client, call_model
 
@@ -18,9 +18,13 @@ ASK_LABEL = '请输出 JSON，格式为 {"label": true/false, "reasoning_summary
 AGAIN_LABEL = '上一次输出不是合法 JSON。请只输出一个 JSON 对象，例如 {"label": true, "reasoning_summary": "...", "used_evidence_ids": [1]}。'
 ASK_ANSWER = '输出格式：{"answer": "A"} 或 {"answer": "AC"}'
 AGAIN_ANSWER = '上一次输出不是合法 JSON。请只输出一个 JSON 对象，例如 {"answer": "A"}。'
+ASK_ONE, ASK_SOME = '输出格式：{"answer": "A"}', '输出格式：{"answer": "AC"}'
 ASK_WHOLE = '请输出 JSON，格式为 {"answer": "A", "reasoning_summary": "..."} 或 {"answer": "AC", "reasoning_summary": "..."}。'
 # --- end of fixed values -----------------------------------------------------
 
+#: What a piece of evidence holds.
+HIT = ("unit_id", "doc_id", "score", "title_path", "text", "metadata")
+
 
 def options(questions: DataFrame) -> DataFrame:
     """A row for each question and option: its key, text and query."""
@@ -38,7 +42,7 @@ def best_units(units: DataFrame) -> DataFrame:
 
 def rule_labels(opts: DataFrame, units: DataFrame) -> DataFrame:
     """opts with rule_label, rule_reason and rule_evidence: the option's metric in the second document against the first. Null where the rule says nothing: no metric, fewer than two documents, no number, or no direction."""
-    best = best_units(units).select("doc_id", "metric_key", "value", F.struct("unit_id", "doc_id", F.lit(K.RULE_SCORE).alias("score"), "title_path", "text").alias("hit"))
+    best = best_units(units).select("doc_id", "metric_key", "value", F.struct("unit_id", "doc_id", F.lit(K.RULE_SCORE).alias("score"), "title_path", "text", "metadata").alias("hit"))
     rows = opts.withColumn("metric_key", metric_key("option_text"))
     two = rows.filter(F.size("doc_ids") >= 2)
     for i in (0, 1):
@@ -81,8 +85,7 @@ def judge_options(opts: DataFrame, make_client: Callable[[], Client], system: st
     rule_label, rule_reason = (F.col(c) if c in opts.columns else F.lit(None) for c in ("rule_label", "rule_reason"))
     rows = rows.withColumn("label", F.coalesce(rule_label.cast("boolean"), "asked_label")).withColumn("reasoning_summary", F.coalesce(rule_reason.cast("string"), "asked_reason", F.lit("")))
     if "rule_evidence" in opts.columns:
-        hit = F.transform("hits", lambda h: F.struct(h["unit_id"], h["doc_id"], h["score"], h["title_path"], h["text"]))
-        rows = rows.withColumn("evidence_items", F.slice(F.when(ruled, F.concat("rule_evidence", F.slice(hit, 1, 2))).otherwise(hit), 1, 6))
+        rows = rows.withColumn("evidence_items", F.slice(F.when(ruled, F.concat("rule_evidence", F.slice("hits", 1, 2))).otherwise(F.col("hits")), 1, 6))
     else:
         rows = rows.withColumn("evidence_items", F.col("hits"))
     return rows.select("qid", "option", "label", "reasoning_summary", "evidence_items", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in TOKENS])
@@ -106,15 +109,22 @@ def answers(questions: DataFrame, judged: DataFrame) -> DataFrame:
     return out.withColumn("pred_answer", compose("answer_format", "selected")).withColumn("fallback", needs_fallback("answer_format", "selected"))
 
 
-def fall_back(composed: DataFrame, make_client: Callable[[], Client], single: str, multiple: str, tries: int, written: Callable[[DataFrame], DataFrame], cleaned_tf: bool = True) -> DataFrame:
-    """composed with the answers of questions that need the fallback asked for: the allowed letters of the reply, one of them for single choice, the first option if none."""
+def fall_back(composed: DataFrame, make_client: Callable[[], Client], single: str, multiple: str, tries: int, written: Callable[[DataFrame], DataFrame], plain: bool = False) -> DataFrame:
+    """composed with the answers of questions that need the fallback asked for: the allowed letters of the reply, one of them for single choice, the first option if none. plain: prompts of their own for single and multiple choice, of a reply to single choice its first letter counts, and A stands if nothing is left."""
     allowed = F.array_sort(F.map_keys("options"))
-    user = F.concat(F.lit("题目："), "question", F.lit("\n题型："), "answer_format", F.lit("\n选项摘要："), "payloads", F.lit("\n" + ASK_ANSWER))
-    ask = composed.filter("fallback").select("qid", allowed.alias("allowed"), F.when(F.col("answer_format") == "mcq", single).otherwise(multiple).alias("system"), user.alias("user"))
+    one = F.col("answer_format") == "mcq"
+    kind = F.lit("") if plain else F.concat(F.lit("\n题型："), "answer_format")
+    form = F.when(one, ASK_ONE).otherwise(ASK_SOME) if plain else F.lit(ASK_ANSWER)
+    user = F.concat(F.lit("题目："), "question", kind, F.lit("\n选项摘要："), "payloads", F.lit("\n"), form)
+    ask = composed.filter("fallback").select("qid", allowed.alias("allowed"), one.alias("one"), F.when(one, single).otherwise(multiple).alias("system"), user.alias("user"))
     good = F.coalesce("payload.answer", F.lit("")).rlike("[A-Za-z]")
     got = _asked(ask.select("qid", "system", "user"), make_client, ["qid"], tries, AGAIN_ANSWER, good, written)
-    got = got.join(ask.select("qid", "allowed"), "qid").withColumn("cleaned", clean_answer(F.coalesce("payload.answer", F.lit("")), "allowed"))
-    got = got.select("qid", F.when(F.length("cleaned") > 0, F.col("cleaned")).otherwise(F.get("allowed", F.lit(0))).alias("asked"), *[F.col(c).alias(f"more_{c}") for c in TOKENS])
+    reply = F.coalesce("payload.answer", F.lit(""))
+    if plain:
+        reply = F.when(F.col("one"), F.substring(strip(reply), 1, 1)).otherwise(reply)
+    got = got.join(ask.select("qid", "allowed", "one"), "qid").withColumn("cleaned", clean_answer(reply, "allowed"))
+    none = F.lit("A") if plain else F.get("allowed", F.lit(0))
+    got = got.select("qid", F.when(F.length("cleaned") > 0, F.col("cleaned")).otherwise(none).alias("asked"), *[F.col(c).alias(f"more_{c}") for c in TOKENS])
     out = composed.join(got, "qid", "left")
     answer = F.when(F.col("asked").isNull(), F.col("pred_answer")).when(F.col("answer_format") == "mcq", F.substring("asked", 1, 1)).otherwise(F.col("asked"))
     out = out.withColumn("pred_answer", answer)

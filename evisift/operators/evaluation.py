@@ -20,6 +20,13 @@ def usage_by_question(calls: DataFrame) -> DataFrame:
     return calls.groupBy("qid").agg(*[F.sum(c).alias(c) for c in TOKENS])
 
 
+def parse_counts(docs: DataFrame, units: DataFrame) -> DataFrame:
+    """(unit_type, n_units, n_docs): of each type, and of all of them with a null type; documents without units count there."""
+    by = units.groupBy("unit_type").agg(F.count("*").alias("n_units"), F.count_distinct("doc_id").alias("n_docs"))
+    every = units.agg(F.count("*").alias("n_units")).crossJoin(F.broadcast(docs.agg(F.count("*").alias("n_docs"))))  # a row each
+    return by.unionByName(every.select(F.lit(None).cast("string").alias("unit_type"), "n_units", "n_docs"))
+
+
 def answers_by_type(answers: DataFrame) -> DataFrame:
     return answers.groupBy("question_type").agg(F.count("*").alias("n"))
 

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from evisift.functions import constants as K
 from evisift.functions.text import searchable_text
-from evisift.operators.bm25 import scores, small
+from evisift.operators.bm25 import index, scores, small
+from evisift.storage import materialize
 
 
 @dataclass(frozen=True)
@@ -45,13 +46,15 @@ def select_hits(scored: DataFrame, k: int, ensure_per_doc: Column | bool = False
 
 def expand_neighbours(hits: DataFrame, units: DataFrame, allowed: DataFrame | None, cap: int, query: str = "query_id") -> DataFrame:
     """Hits and their neighbours, best first, at most ``cap`` a query: (query, unit_id, doc_id, pos, score, rank, is_neighbour). A neighbour scores a tenth less than its hit, 0.01 at least; the first hit that brings it counts. allowed: (query, doc_id), None for all."""
-    last = units.groupBy("unit_id").agg(F.max("pos").alias("at"))
+    hits = materialize(hits, "hits")  # a handful a query; units are read for them alone
+    last = units.select("unit_id", "pos").join(small(hits.select("unit_id").distinct()), "unit_id", "left_semi").groupBy("unit_id").agg(F.max("pos").alias("at"))
     found = hits.groupBy(query, "unit_id").agg(F.min("sel").alias("order"), F.max_by(F.struct("doc_id", "pos", "score"), "sel").alias("h"))
     found = found.select(query, "unit_id", "h.doc_id", "h.pos", "h.score", F.col("order"), F.lit(0).alias("side"), F.lit(False).alias("is_neighbour"))
     around = hits.select(query, "unit_id", "score", "sel").join(last, "unit_id")
     around = around.select(query, "score", "sel", F.explode(F.array(F.struct(F.lit(-1).alias("d")), F.struct(F.lit(1).alias("d")))).alias("o"), "at")
     around = around.select(query, F.greatest(F.col("score") - F.lit(K.NEIGHBOUR_DECAY), F.lit(K.NEIGHBOUR_FLOOR)).alias("score"), F.col("sel").alias("order"), F.col("o.d").alias("side"), (F.col("at") + F.col("o.d")).alias("pos"))
-    near = around.join(units.select("pos", "unit_id", "doc_id"), "pos")
+    around = materialize(around, "around")
+    near = units.select("pos", "unit_id", "doc_id").join(small(around), "pos")
     if allowed is not None:
         near = near.join(allowed, [query, "doc_id"], "left_semi")
     near = near.join(found.select(query, "unit_id"), [query, "unit_id"], "left_anti")
@@ -62,17 +65,30 @@ def expand_neighbours(hits: DataFrame, units: DataFrame, allowed: DataFrame | No
     return out.select(query, "unit_id", "doc_id", "pos", "score", "rank", "is_neighbour")
 
 
-def search(units: DataFrame, queries: DataFrame, settings: RetrieverSettings, query: str = "query_id") -> DataFrame:
-    """Evidence of each query (query_id, query_text, doc_ids array<string>): expand_neighbours' columns with the units' title_path, text and metadata."""
-    text = searchable_text("title_path", "text") if settings.titled else F.col("text")
-    scored = scores(units, queries.select(query, "query_text"), text=text, query=query)
-    allowed = queries.select(query, F.explode("doc_ids").alias("doc_id")).distinct()
-    scored = scored.join(units.select("pos", "unit_id", "doc_id", "unit_type"), "pos").join(small(allowed), [query, "doc_id"], "left_semi")
+#: Columns of units that scores are filtered and boosted by.
+KEPT = ("doc_id", "unit_type")
+
+
+def searched(settings: RetrieverSettings) -> Column:
+    return searchable_text("title_path", "text") if settings.titled else F.col("text")
+
+
+def unit_index(units: DataFrame, settings: RetrieverSettings) -> DataFrame:
+    """The postings of units, to be kept beside them; search() takes them from there."""
+    return index(units, text=searched(settings), keep=KEPT)
+
+
+def search(units: DataFrame, queries: DataFrame, settings: RetrieverSettings, query: str = "query_id", postings: DataFrame | None = None) -> DataFrame:
+    """Evidence of each query (query_id, query_text, doc_ids array<string>): expand_neighbours' columns with the units' title_path, text and metadata. Only units of a query's documents are scored for it; units themselves are read for the hits alone."""
+    allowed = materialize(queries.select(query, F.explode("doc_ids").alias("doc_id")).distinct(), "allowed")
+    scored = scores(units, queries.select(query, "query_text"), text=searched(settings), query=query, keep=KEPT, allowed=allowed, postings=postings)
     scored = boosted(scored, settings.boosts)
     flag: Column | bool = False
     if settings.ensure_per_doc:
-        scored = scored.join(small(queries.select(query, (F.size("doc_ids") > 1).alias("many"))), query)
+        many = allowed.groupBy(query).agg((F.count("*") > 1).alias("many"))
+        scored = scored.join(small(many), query)
         flag = F.col("many")
-    hits = select_hits(scored, settings.top_k, flag, query)
-    out = expand_neighbours(hits, units, allowed, settings.cap or settings.top_k, query)
-    return out.join(units.select("pos", "unit_type", "title_path", "text", "metadata"), "pos")
+    hits = materialize(select_hits(scored, settings.top_k, flag, query), "hits")
+    hits = units.select("pos", "unit_id").join(small(hits), "pos")
+    out = materialize(expand_neighbours(hits, units, allowed, settings.cap or settings.top_k, query), "found")
+    return units.select("pos", "unit_type", "title_path", "text", "metadata").join(small(out), "pos")

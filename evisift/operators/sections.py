@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evisift.functions import constants as K
-from evisift.functions.text import clean_lines, first_keyword, greedy_chunks, looks_like_heading, number_strings, once, page_refs, strip, stripped_lines, year_of
-from evisift.storage import materialize
+from evisift.functions.text import clean_lines, first_keyword, greedy_chunks, is_heading, may_have_headings, number_strings, once, page_refs, strip, stripped_lines, year_of
+from evisift.storage import materialize, running, spread
 
 METADATA = "struct<article_no:string,chunk_index:int,metric_name:string,year:string,element_name:string,numbers:array<string>>"
 
@@ -25,15 +25,25 @@ def metadata(**fields: Column) -> Column:
 
 def numbered_lines(docs: DataFrame, lines: Column) -> DataFrame:
     """(doc_id, title, n, line) of a document's lines, n from 0."""
-    return docs.select("doc_id", "title", once(lines).alias("lines")).select("doc_id", "title", F.posexplode("lines").alias("n", "line"))
+    return spread(docs).select("doc_id", "title", once(lines).alias("lines")).select("doc_id", "title", F.posexplode("lines").alias("n", "line"))
 
 
 def split_sections(docs: DataFrame, prefix: str = "sec", unit_type: str = "paragraph", max_chars: int = 1200) -> DataFrame:
-    """Sections: a heading line closes what has been collected, names what follows and is no text itself. Page marks count to the section that collects text after the last closing. Sections without text vanish and take no number."""
+    """Sections: a heading line closes what has been collected, names what follows and is no text itself. Page marks count to the section that collects text after the last closing. Sections without text vanish and take no number. A document in which no line can be a heading or a page mark is one section, without a look at its lines' order."""
+    marked = F.coalesce(may_have_headings("text"), F.lit(False))
+    whole = spread(docs).filter(~marked).select("doc_id", "title", once(F.array_join(clean_lines("text"), "\n")).alias("text"))
+    whole = whole.filter(F.length("text") > 0).select("doc_id", "title", F.lit(1).alias("section_seq"), "text", F.lit(None).cast("string").alias("head"), F.array().cast("array<int>").alias("page_refs"))
+    out = whole.unionByName(headed_sections(docs.filter(marked)))
+    path = F.when(F.col("head").isNull() | (F.col("head") == F.col("title")), F.array("title")).otherwise(F.array("title", "head"))
+    return out.select("doc_id", "section_seq", F.concat(F.lit(f"{prefix}_"), F.col("section_seq")).alias("section_id"), path.alias("title_path"), "text", F.lit(unit_type).alias("unit_type"), "page_refs", F.lit(max_chars).alias("max_chars"), metadata().alias("metadata"))
+
+
+def headed_sections(docs: DataFrame) -> DataFrame:
+    """(doc_id, title, section_seq, text, head, page_refs) by headings and page marks."""
     by = Window.partitionBy("doc_id").orderBy("n")
     upto = by.rowsBetween(Window.unboundedPreceding, 0)
     rows = numbered_lines(docs, clean_lines("text"))
-    kind = F.when(F.col("line").startswith("[PAGE "), "page").when(looks_like_heading("line"), "heading").otherwise("text")
+    kind = F.when(F.col("line").startswith("[PAGE "), "page").when(is_heading("line"), "heading").otherwise("text")
     rows = rows.withColumn("kind", kind)
     # what stood before, page marks aside
     before = F.last(F.when(F.col("kind") != "page", F.col("kind")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
@@ -44,8 +54,7 @@ def split_sections(docs: DataFrame, prefix: str = "sec", unit_type: str = "parag
     pages = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("kind") == "page", page_refs("line"))))))
     out = rows.groupBy("doc_id", "title", "g").agg(strip(F.array_join(text, "\n")).alias("text"), F.min_by("head", F.when(F.col("kind") == "text", F.col("n"))).alias("head"), pages.alias("page_refs"))
     out = out.filter(F.length("text") > 0).withColumn("section_seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("g")))
-    path = F.when(F.col("head").isNull() | (F.col("head") == F.col("title")), F.array("title")).otherwise(F.array("title", "head"))
-    return out.select("doc_id", "section_seq", F.concat(F.lit(f"{prefix}_"), F.col("section_seq")).alias("section_id"), path.alias("title_path"), "text", F.lit(unit_type).alias("unit_type"), "page_refs", F.lit(max_chars).alias("max_chars"), metadata().alias("metadata"))
+    return out.select("doc_id", "title", "section_seq", "text", "head", "page_refs")
 
 
 def line_windows(docs: DataFrame, keywords: Sequence[str], before: int, after: int, lines: Column | None = None) -> DataFrame:
@@ -137,11 +146,10 @@ def regulatory_units(docs: DataFrame, max_chars: int = 1200) -> DataFrame:
 
 
 def with_positions(units: DataFrame, docs: DataFrame) -> DataFrame:
-    """units with ``pos``, their place among all units: documents in the order of doc_seq. Only the counts of documents meet in one task, not the units."""
+    """units with ``pos``, their place among all units: documents in the order of doc_seq. Documents' counts are summed by ranges."""
     order = ["class_seq", "section_seq", "chunk_seq"]
     units = materialize(units, "units")  # counted, then numbered: parsed once
     counts = docs.select("doc_id", "doc_seq").join(units.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id")
-    start = F.coalesce(F.sum("n").over(Window.orderBy("doc_seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = running(counts, ["doc_seq", "doc_id"], {"start": "n"}).select("doc_id", "start")
     within = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)) - 1
-    starts = counts.select("doc_id", start.alias("start"))
     return units.withColumn("within", within).join(starts, "doc_id").withColumn("pos", F.col("start") + F.col("within")).drop("start", "within", *order)

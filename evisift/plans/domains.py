@@ -34,6 +34,8 @@ class Domain:
     whole: bool = False  # one call a question instead of one an option
     regulatory: bool = False
     title_prefix: str = ""
+    plain_fallback: bool = False  # prompts of its own for each kind of choice
+    label: str = ""  # of its strategy, in a run's manifest
 
 
 def _reports(docs: DataFrame) -> DataFrame:
@@ -88,17 +90,18 @@ CONTRACTS = Prompts(
     "你是合同单选题裁决器。根据各选项证据摘要，选出唯一正确选项，只输出 JSON。",
     "你是合同多选题复核器。根据各选项证据摘要，选出所有正确选项，只输出 JSON。",
 )
+# --- end of fixed values -----------------------------------------------------
+
 DOMAINS = {
     d.name: d
     for d in (
-        Domain("regulatory", regulatory_units, RetrieverSettings(6, titled=False, cap=6), REGULATORY, 6, tries=1, regulatory=True),
-        Domain("financial_reports", _reports, RetrieverSettings(6, {"metric_row": 1.8, "paragraph": 1.0}, True), REPORTS, 6, rules=True),
-        Domain("insurance", _insurance, RetrieverSettings(4, {"formula_block": 1.8, "clause_block": 1.1}, True), INSURANCE, 4, whole=True, title_prefix="insurance_"),
-        Domain("research", _research, RetrieverSettings(7, {"conclusion_block": 1.6, "paragraph": 1.0}, True), RESEARCH, 7),
-        Domain("financial_contracts", _contracts, RetrieverSettings(7, {"element_block": 1.8, "paragraph": 1.0}, True), CONTRACTS, 7),
+        Domain("regulatory", regulatory_units, RetrieverSettings(6, titled=False, cap=6), REGULATORY, 6, tries=1, regulatory=True, plain_fallback=True, label="articles"),
+        Domain("financial_reports", _reports, RetrieverSettings(6, {"metric_row": 1.8, "paragraph": 1.0}, True), REPORTS, 6, rules=True, label="metric rules"),
+        Domain("insurance", _insurance, RetrieverSettings(4, {"formula_block": 1.8, "clause_block": 1.1}, True), INSURANCE, 4, whole=True, title_prefix="insurance_", label="whole question"),
+        Domain("research", _research, RetrieverSettings(7, {"conclusion_block": 1.6, "paragraph": 1.0}, True), RESEARCH, 7, label="conclusions"),
+        Domain("financial_contracts", _contracts, RetrieverSettings(7, {"element_block": 1.8, "paragraph": 1.0}, True), CONTRACTS, 7, label="elements"),
     )
 }
-# --- end of fixed values -----------------------------------------------------
 
 
 def domain(name: str) -> Domain:

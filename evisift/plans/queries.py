@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,7 +13,10 @@ from evisift.functions import answers as A
 from evisift.functions import constants as K
 from evisift.functions import text as T
 from evisift.operators import bm25, decisions, evaluation, retrieval, sections
+from evisift.plans.answering import answer
+from evisift.plans.domains import DOMAINS, build_units
 from evisift.sources.documents import manifest, referenced
+from evisift.storage import materialize, running, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,8 +47,14 @@ def docs_and_questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
 
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     units, queries = docs_and_questions(spark, sf_dir)
-    scored = bm25.scores(units.select("pos", "text"), queries)
-    return scored.join(units.select("pos", F.col("lang").alias("unit_type"), F.col("source").alias("doc_id")), "pos")
+    return bm25.scores(units.withColumnsRenamed({"lang": "unit_type", "source": "doc_id"}), queries, keep=("doc_id", "unit_type"))
+
+
+def own_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, doc_id): every seventh source is a question's own, all sources being some question's."""
+    names = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id")).filter("doc_id is not null").distinct()
+    names = running(names.withColumn("one", F.lit(1)), ["doc_id"], {"place": "one"}).select("doc_id", (F.col("place") % 7).alias("g"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 7).alias("g")).join(F.broadcast(names), "g").drop("g")  # the sources
 
 
 # The terms' arithmetic is written in the same order as in operators.bm25.
@@ -79,14 +90,17 @@ def bm25_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.top_k(retrieval.boosted(scored_documents(spark, sf_dir), BOOSTS), TOP).select("query_id", "pos", "score", "rank")
 
 
-SELECTED = """,
-f AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, pos) = 1 AS first FROM s WHERE source IN ('src0', 'src1', 'src2')),
+OWN = """,
+o AS (SELECT item_id AS query_id, n.source FROM benchmark JOIN (SELECT source, row_number() OVER (ORDER BY source) - 1 AS place FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)) n ON item_id % 7 = place % 7)"""
+SELECTED = OWN + """,
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, pos) = 1 AS first FROM s SEMI JOIN o USING (query_id, source)),
 h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first DESC, score DESC, pos) AS sel FROM f) WHERE sel <= 6)"""
 
 
 @query(SCORED + SELECTED + "SELECT query_id, source AS doc_id, pos, score, sel::INT AS sel FROM h")
 def bm25_ensure_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = scored_documents(spark, sf_dir).filter(F.col("doc_id").isin("src0", "src1", "src2"))
+    units, queries = docs_and_questions(spark, sf_dir)
+    scored = bm25.scores(units.withColumnRenamed("source", "doc_id"), queries, keep=("doc_id",), allowed=materialize(own_sources(spark, sf_dir), "allowed"))
     return retrieval.select_hits(scored, TOP, True).select("query_id", "doc_id", "pos", "score", "sel")
 
 
@@ -102,18 +116,19 @@ SELECT query_id, pos, score, is_neighbour, rank::INT AS rank FROM (SELECT *, row
 def bm25_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     units, queries = docs_and_questions(spark, sf_dir)
     units = units.select("pos", F.col("pos").cast("string").alias("unit_id"), F.col("source").alias("doc_id"), "text")
-    scored = bm25.scores(units.select("pos", "text"), queries).join(units.select("pos", "unit_id", "doc_id"), "pos")
-    return retrieval.expand_neighbours(retrieval.select_hits(scored, TOP), units, None, TOP).select("query_id", "pos", "score", "is_neighbour", "rank")
+    hits = retrieval.select_hits(bm25.scores(units, queries, keep=("doc_id",)), TOP).withColumn("unit_id", F.col("pos").cast("string"))
+    return retrieval.expand_neighbours(hits, units, None, TOP).select("query_id", "pos", "score", "is_neighbour", "rank")
 
 
 @query(
     SCORED.replace(TOKENS.format("text") + " AS tok", TOKENS.format("source || ' ' || coalesce(text, '')") + " AS tok")
+    + OWN
     + """,
-b AS (SELECT query_id, pos, source, score * CASE lang WHEN 'de' THEN 1.8e0 WHEN 'fr' THEN 1.1e0 ELSE 1e0 END AS score FROM s WHERE source IN ('src0', 'src1', 'src2')),
+b AS (SELECT query_id, pos, source, score * CASE lang WHEN 'de' THEN 1.8e0 WHEN 'fr' THEN 1.1e0 ELSE 1e0 END AS score FROM s SEMI JOIN o USING (query_id, source)),
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, pos) = 1 AS first FROM b),
 h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first DESC, score DESC, pos) AS sel FROM f) WHERE sel <= 6),
 n AS (SELECT query_id, l.pos, greatest(score - 0.1e0, 0.01e0) AS score, sel, d, row_number() OVER (PARTITION BY query_id, l.pos ORDER BY sel, d) AS r
-      FROM h, (VALUES (-1), (1)) o(d) JOIN l ON l.pos = h.pos + d WHERE l.source IN ('src0', 'src1', 'src2') AND NOT EXISTS (SELECT 1 FROM h x WHERE x.query_id = h.query_id AND x.pos = l.pos)),
+      FROM h, (VALUES (-1), (1)) e(d) JOIN l ON l.pos = h.pos + d WHERE EXISTS (SELECT 1 FROM o WHERE o.query_id = h.query_id AND o.source = l.source) AND NOT EXISTS (SELECT 1 FROM h x WHERE x.query_id = h.query_id AND x.pos = l.pos)),
 a AS (SELECT query_id, pos, score, sel, 0 AS d, false AS is_neighbour FROM h UNION ALL SELECT query_id, pos, score, sel, d, true FROM n WHERE r = 1)
 SELECT query_id, pos, score, is_neighbour, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, is_neighbour, sel, d) AS rank FROM a) WHERE rank <= 6"""
 )
@@ -121,7 +136,7 @@ def retrieve_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole retriever: titles, filter, boosts, one hit a document, neighbours, cut."""
     units, queries = docs_and_questions(spark, sf_dir)
     units = units.select("pos", F.col("pos").cast("string").alias("unit_id"), F.col("source").alias("doc_id"), F.col("lang").alias("unit_type"), F.array("source").alias("title_path"), "text", sections.metadata().alias("metadata"))
-    queries = queries.withColumn("doc_ids", F.array(*[F.lit(f"src{i}") for i in range(3)]))
+    queries = queries.join(own_sources(spark, sf_dir).groupBy("query_id").agg(F.collect_list("doc_id").alias("doc_ids")), "query_id")
     found = retrieval.search(units, queries, retrieval.RetrieverSettings(TOP, BOOSTS, True))
     return found.select("query_id", "pos", "score", "is_neighbour", "rank")
 
@@ -154,28 +169,29 @@ LINES = r"list_filter(list_transform(string_split_regex(coalesce({0}, ''), '\r\n
 
 @query(f"SELECT doc_id, md5({NORM.format('text')}) AS text_md5, length({NORM.format('text')}) AS n_chars FROM documents")
 def normalize_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = T.normalize_whitespace("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(t).alias("text_md5"), F.length(t).cast("bigint").alias("n_chars"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.once(T.normalize_whitespace("text")).alias("t"))
+    return rows.select("doc_id", F.md5("t").alias("text_md5"), F.length("t").cast("bigint").alias("n_chars"))
 
 
 @query(f"SELECT doc_id, len(l) AS n_lines, md5(array_to_string(l, chr(10))) AS lines_md5 FROM (SELECT doc_id, {LINES.format('text', NORM.format('x'))} AS l FROM documents)")
 def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = T.clean_lines("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(lines).cast("bigint").alias("n_lines"), F.md5(F.array_join(lines, "\n")).alias("lines_md5"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.once(T.clean_lines("text")).alias("l"))
+    return rows.select("doc_id", F.size("l").cast("bigint").alias("n_lines"), F.md5(F.array_join("l", "\n")).alias("lines_md5"))
 
 
 def _html_sql() -> str:
     c = "html"
     for pattern in (r"(?is)<!--.*?-->|<!doctype[^>]*>", r"(?is)<script\b[^>]*>.*?</script\s*>", r"(?is)<style\b[^>]*>.*?</style\s*>", r"(?is)<noscript\b[^>]*>.*?</noscript\s*>", r"(?s)<[/a-zA-Z][^>]*>"):
         c = f"regexp_replace({c}, '{pattern}', chr(10), 'g')"
-    for pattern, text in T.ENTITIES:
-        c = f"regexp_replace({c}, '{pattern}', '{text.replace(chr(39), chr(39) * 2)}', 'g')"
+    # the entities that the pages have; no other ampersand with a letter behind it is left
+    for entity, char in (("middot", 183), ("copy", 169), ("quot", 34), ("amp", 38)):
+        c = f"replace({c}, '&{entity};', chr({char}))"
     return f"SELECT page_id, md5(t) AS text_md5, length(t) AS n_chars FROM (SELECT page_id, array_to_string({LINES.format(c, NORM.format('x'))}, chr(10)) AS t FROM pages)"
 
 
 @query(_html_sql())
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages").select("page_id", T.html_text("html").alias("t"))
+    rows = T.with_html_text(spread(table(spark, sf_dir, "pages").select("page_id", "html")), "html", "t")
     return rows.select("page_id", F.md5("t").alias("text_md5"), F.length("t").cast("bigint").alias("n_chars"))
 
 
@@ -191,7 +207,7 @@ t AS (SELECT *, CASE WHEN length(body) <= {0} THEN [body] ELSE list_filter(list_
 
 @query(f"WITH b AS (SELECT doc_id, {STRIP.format('text')} AS body FROM documents), {CHUNKED.format(1000, STRIP.format('x'))} SELECT doc_id, i::INT AS chunk, md5(chunks[i]) AS chunk_md5 FROM t, unnest(range(1, len(chunks) + 1)) r(i)")
 def greedy_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.greedy_chunks(T.strip("text"), 1000)).alias("i", "c"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(T.greedy_chunks(T.strip("text"), 1000)).alias("i", "c"))
     return rows.select("doc_id", (F.col("i") + 1).alias("chunk"), F.md5("c").alias("chunk_md5"))
 
 
@@ -245,12 +261,15 @@ def best_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     BEST
-    + """ SELECT i AS qid, CASE WHEN a.value IS NULL OR b.value IS NULL THEN NULL WHEN o = 'A' THEN b.value > a.value WHEN o = 'B' THEN b.value < a.value END AS rule_label, o AS option
-FROM range(19) t(i), (VALUES ('A'), ('B'), ('C')) p(o) LEFT JOIN b a ON a.doc_id = 'src' || i LEFT JOIN b b ON b.doc_id = 'src' || (i + 1)"""
+    + """, n AS (SELECT *, lead(value) OVER w AS next, lead(doc_id) OVER w AS other FROM b WINDOW w AS (ORDER BY doc_id))
+SELECT doc_id AS qid, CASE WHEN value IS NULL OR next IS NULL THEN NULL WHEN o = 'A' THEN next > value WHEN o = 'B' THEN next < value END AS rule_label, o AS option
+FROM n, (VALUES ('A'), ('B'), ('C')) p(o) WHERE other IS NOT NULL"""
 )
 def rule_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = {"A": METRIC + "较上年增长", "B": METRIC + "较上年下降", "C": METRIC + "稳定"}
-    opts = spark.range(19).select(F.col("id").alias("qid"), F.array(F.concat(F.lit("src"), F.col("id")), F.concat(F.lit("src"), F.col("id") + 1)).alias("doc_ids"), F.explode(F.create_map(*[F.lit(x) for kv in texts.items() for x in kv])).alias("option", "option_text"))
+    names = running(table(spark, sf_dir, "documents").select("source").filter("source is not null").distinct().withColumn("one", F.lit(1)), ["source"], {"place": "one"})
+    pairs = names.alias("a").join(names.select((F.col("place") - 1).alias("place"), F.col("source").alias("other")), "place")
+    opts = pairs.select(F.col("source").alias("qid"), F.array("source", "other").alias("doc_ids"), F.explode(F.create_map(*[F.lit(x) for kv in texts.items() for x in kv])).alias("option", "option_text"))
     return decisions.rule_labels(opts, metric_rows(spark, sf_dir)).select("qid", "option", "rule_label")
 
 
@@ -335,16 +354,16 @@ def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.pending(questions, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("qid")), redo=1)
 
 
-MERGED = """WITH f AS (SELECT 'pages' AS domain, (page_id % 100)::VARCHAR AS doc_id, url AS source_path, ['txt', 'html', 'pdf'][(page_id % 3 + 1)::INT] AS source_type FROM pages),
+MERGED = """WITH f AS (SELECT 'pages' AS domain, (page_id // 2)::VARCHAR AS doc_id, url AS source_path, ['txt', 'html', 'pdf'][(page_id % 3 + 1)::INT] AS source_type FROM pages),
 m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE source_type WHEN 'pdf' THEN 0 WHEN 'txt' THEN 1 ELSE 2 END, source_path DESC) AS r FROM f),
 s AS (SELECT domain, doc_id, source_path, source_type, (row_number() OVER (ORDER BY doc_id))::INT AS doc_seq FROM m WHERE r = 1)"""
 
 
-@query(MERGED + "SELECT * FROM s WHERE doc_id IN (SELECT (item_id % 50)::VARCHAR FROM benchmark)")
+@query(MERGED + "SELECT * FROM s WHERE doc_id IN (SELECT (doc_id // 4)::VARCHAR FROM labels)")
 def manifest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(F.lit("txt"), F.lit("html"), F.lit("pdf")), (F.col("page_id") % 3 + 1).cast("int"))
-    found = table(spark, sf_dir, "pages").select(F.lit("pages").alias("domain"), (F.col("page_id") % 100).cast("string").alias("doc_id"), F.col("url").alias("source_path"), kind.alias("source_type"))
-    refs = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 50).cast("string").alias("doc_id"))
+    found = table(spark, sf_dir, "pages").select(F.lit("pages").alias("domain"), F.floor(F.col("page_id") / 2).cast("string").alias("doc_id"), F.col("url").alias("source_path"), kind.alias("source_type"))
+    refs = table(spark, sf_dir, "labels").select(F.floor(F.col("doc_id") / 4).cast("string").alias("doc_id"))
     return referenced(manifest(found, regulatory=True), refs)
 
 
@@ -366,3 +385,212 @@ def compose_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(string_split(upper(text), ''), lambda x: x IN ('A', 'B', 'C', 'D')))), '') AS answer FROM benchmark")
 def answer_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", A.clean_answer("text", F.array(*[F.lit(x) for x in "ABCD"])).alias("answer"))
+
+
+# Texts with headings, page marks, articles and metrics, made from the documents line by line.
+
+
+def marked_lines(spark: SparkSession, sf_dir: str, mark: Callable[[Column, Column], Column], prefix: str = "") -> DataFrame:
+    """documents (doc_id, doc_seq, title, text), mark(line, its number from 0) being their lines."""
+    text = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: mark(x, i)), "\n")
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit(prefix), F.col("doc_id")).alias("doc_id"), F.col("doc_id").alias("doc_seq"), F.lit("T").alias("title"), text.alias("text"))
+
+
+def marked_sql(mark: str, lines: str, prefix: str = "") -> str:
+    """WITH: r (doc_id, n from 0, line) of the same."""
+    text = f"array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, j: {mark.replace('#', '(j - 1)')}), chr(10))"
+    return f"WITH t AS (SELECT '{prefix}' || doc_id AS doc_id, {LINES.format('body', lines.format('x'))} AS l FROM (SELECT doc_id, {text} AS body FROM documents)), r AS (SELECT doc_id, i - 1 AS n, l[i] AS line FROM t, unnest(range(1, len(l) + 1)) u(i))"
+
+
+UPTO = "OVER (PARTITION BY doc_id ORDER BY n)"
+
+
+@query(
+    marked_sql("CASE WHEN # % 5 = 3 THEN # || '.1 ' || x WHEN # % 7 = 2 THEN '[PAGE ' || # || ']' ELSE x END", NORM)
+    + f""", k AS (SELECT *, CASE WHEN starts_with(line, '[PAGE ') THEN 'page' WHEN regexp_matches(line, '^\\p{{Nd}}+(\\.\\p{{Nd}}+){{0,3}}\\s+.+$') THEN 'heading' ELSE 'text' END AS kind FROM r),
+b AS (SELECT *, last_value(CASE WHEN kind <> 'page' THEN kind END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k),
+g AS (SELECT *, sum(CASE WHEN kind = 'heading' AND before = 'text' THEN 1 ELSE 0 END) {UPTO} AS g, last_value(CASE WHEN kind = 'heading' THEN left(line, 120) END IGNORE NULLS) {UPTO} AS head FROM b),
+s AS (SELECT doc_id, g, string_agg(line, chr(10) ORDER BY n) FILTER (kind = 'text') AS text, max(head) FILTER (kind = 'text') AS head, list_sort(list(DISTINCT TRY_CAST(regexp_extract(line, '\\[PAGE (\\d+)\\]', 1) AS INT)) FILTER (kind = 'page')) AS pages FROM g GROUP BY doc_id, g)
+SELECT doc_id, 'sec_' || row_number() OVER (PARTITION BY doc_id ORDER BY g) AS section_id, CASE WHEN head IS NULL THEN 'T' ELSE 'T > ' || head END AS title_path, md5(text) AS text_md5, coalesce(array_to_string(pages, ','), '') AS page_refs FROM s WHERE text IS NOT NULL"""
+)
+def heading_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = marked_lines(spark, sf_dir, lambda x, i: F.when(i % 5 == 3, F.concat(i, F.lit(".1 "), x)).when(i % 7 == 2, F.concat(F.lit("[PAGE "), i, F.lit("]"))).otherwise(x))
+    return sections.split_sections(docs).select("doc_id", "section_id", F.array_join("title_path", " > ").alias("title_path"), F.md5("text").alias("text_md5"), F.array_join(F.col("page_refs").cast("array<string>"), ",").alias("page_refs"))
+
+
+@query(
+    marked_sql("CASE WHEN # % 4 = 1 THEN '第' || # || '条 ' || x WHEN # % 9 = 2 THEN '第' || # || '章 ' || x WHEN # % 11 = 3 THEN '第' || # || '节' ELSE x END", NORM)
+    + f""", k AS (SELECT *, CASE WHEN regexp_matches(line, '^第\\d+章') THEN 'chapter' WHEN regexp_matches(line, '^第\\d+节') THEN 'section' WHEN regexp_matches(line, '^第\\d+条') THEN 'article' ELSE 'text' END AS kind, regexp_extract(line, '^(第\\d+[章节条])\\s*(.*)$', 1) AS no, regexp_extract(line, '^(第\\d+[章节条])\\s*(.*)$', 2) AS rest FROM r),
+c AS (SELECT *, trim(no || ' ' || rest) AS name FROM k),
+g AS (SELECT *, sum((kind = 'article')::INT) {UPTO} AS a, last_value(CASE WHEN kind = 'chapter' THEN name END IGNORE NULLS) {UPTO} AS chapter, last_value(CASE WHEN kind = 'section' THEN name END IGNORE NULLS) {UPTO} AS section FROM c),
+s AS (SELECT doc_id, a, string_agg(line, chr(10) ORDER BY n) FILTER (kind = 'text') AS body, max(no) FILTER (kind = 'article') AS no, max(trim(rest)) FILTER (kind = 'article') AS heading, arg_max_null(chapter, n) AS chapter, arg_max_null(section, n) AS section FROM g GROUP BY doc_id, a),
+f AS (SELECT *, CASE WHEN a = 0 THEN body ELSE no || CASE WHEN heading <> '' THEN ' ' || heading ELSE '' END || chr(10) || body END AS whole FROM s WHERE body IS NOT NULL),
+u AS (SELECT *, a > 0 AND length(whole) > 1200 AS cut FROM f)
+SELECT doc_id || '::' || CASE WHEN a = 0 THEN 'preamble' ELSE no END || CASE WHEN cut THEN '::chunk_1' ELSE '' END AS unit_id, CASE WHEN a = 0 THEN 'preamble' WHEN cut THEN 'article_chunk' ELSE 'article' END AS unit_type,
+  CASE WHEN a = 0 THEN 'T > preamble' ELSE 'T' || coalesce(' > ' || chapter, '') || coalesce(' > ' || section, '') || ' > ' || no END AS title_path, md5(whole) AS text_md5, CASE WHEN a > 0 THEN no END AS article_no FROM u"""
+)
+def regulatory_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def mark(x: Column, i: Column) -> Column:
+        return F.when(i % 4 == 1, F.concat(F.lit("第"), i, F.lit("条 "), x)).when(i % 9 == 2, F.concat(F.lit("第"), i, F.lit("章 "), x)).when(i % 11 == 3, F.concat(F.lit("第"), i, F.lit("节"))).otherwise(x)
+
+    units = sections.regulatory_units(marked_lines(spark, sf_dir, mark))
+    return units.select("unit_id", "unit_type", F.array_join("title_path", " > ").alias("title_path"), F.md5("text").alias("text_md5"), "metadata.article_no")
+
+
+IDEOGRAPHS = ("abcdefghij", "金融保险责任第一二条")
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, translate(lower(text), '{IDEOGRAPHS[0]}', '{IDEOGRAPHS[1]}') AS t FROM documents),
+r AS (SELECT doc_id, t, regexp_extract_all(t, '[\\x{{4E00}}-\\x{{9FFF}}]+') AS runs FROM t),
+b AS (SELECT doc_id, flatten(list_transform(runs, lambda x: CASE WHEN length(x) = 1 THEN [x] ELSE list_concat(string_split(x, ''), list_transform(range(1, length(x)), lambda i: substr(x, i, 2))) END)) AS c, regexp_extract_all(t, '[a-z0-9_.%]+') AS a, regexp_extract_all(t, '第[一二三四五六七八九十百零〇两\\p{{Nd}}]+[章节条]') AS m FROM r)
+SELECT doc_id, len(l) AS n_tokens, md5(array_to_string(list_sort(l), ' ')) AS tokens_md5 FROM (SELECT doc_id, list_concat(list_concat(a, c), m) AS l FROM b)"""
+)
+def ideograph_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", F.translate(F.lower("text"), *IDEOGRAPHS).alias("t"))).select("doc_id", T.once(T.tokenize("t")).alias("l"))
+    return rows.select("doc_id", F.size("l").cast("bigint").alias("n_tokens"), F.md5(F.array_join(F.array_sort("l"), " ")).alias("tokens_md5"))
+
+
+AROUND = "string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 1 PRECEDING AND {} FOLLOWING)"
+
+
+@query(
+    marked_sql("CASE WHEN # % 3 = 1 THEN '营业收入 ' || # * 100 || ' 同比 ' || x WHEN # % 3 = 2 THEN '附注 现金分红 ' || x ELSE x END", STRIP, "r2021_")
+    + f""", w AS (SELECT *, {AROUND.format(1)} AS win FROM r), m AS (SELECT *, CASE WHEN contains(line, '营业收入') THEN '营业收入' WHEN contains(line, '现金分红') THEN '现金分红' END AS metric FROM w)
+SELECT doc_id, 'metric_' || row_number() OVER (PARTITION BY doc_id ORDER BY n) AS section_id, metric AS metric_name, '2021' AS year, array_to_string(regexp_extract_all(win, '\\p{{Nd}}[\\p{{Nd}},]*(?:\\.\\p{{Nd}}+)?'), ';') AS numbers, md5(win) AS text_md5
+FROM m WHERE metric IS NOT NULL AND regexp_matches(line, '\\p{{Nd}}') AND NOT (contains(left(line, 3), '注') AND NOT contains(line, '同比'))"""
+)
+def metric_rows_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def mark(x: Column, i: Column) -> Column:
+        return F.when(i % 3 == 1, F.concat(F.lit("营业收入 "), i * 100, F.lit(" 同比 "), x)).when(i % 3 == 2, F.concat(F.lit("附注 现金分红 "), x)).otherwise(x)
+
+    rows = sections.metric_sections(marked_lines(spark, sf_dir, mark, "r2021_"))
+    return rows.select("doc_id", "section_id", "metadata.metric_name", "metadata.year", F.array_join("metadata.numbers", ";").alias("numbers"), F.md5("text").alias("text_md5"))
+
+
+@query(
+    marked_sql("CASE WHEN # % 4 = 2 THEN '利率 ' || x WHEN # % 6 = 5 THEN '违约 发行人 ' || x ELSE x END", STRIP)
+    + f""", w AS (SELECT *, {AROUND.format(2)} AS win FROM r), m AS (SELECT *, CASE WHEN contains(line, '发行人') THEN '发行人' WHEN contains(line, '利率') THEN '利率' END AS element FROM w)
+SELECT doc_id, 'element_' || (n + 1) AS section_id, 'T > ' || element AS title_path, md5(win) AS text_md5 FROM m WHERE element IS NOT NULL"""
+)
+def element_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = marked_lines(spark, sf_dir, lambda x, i: F.when(i % 4 == 2, F.concat(F.lit("利率 "), x)).when(i % 6 == 5, F.concat(F.lit("违约 发行人 "), x)).otherwise(x))
+    return sections.element_sections(docs).select("doc_id", "section_id", F.array_join("title_path", " > ").alias("title_path"), F.md5("text").alias("text_md5"))
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '甲' || chr(10) || '《' || left(regexp_replace(text, '[\\n》]', '', 'g'), 30) || '》 全文' WHEN 1 THEN '甲' || chr(10) || '《管理办法 ' || chr(10) ELSE '乙' || chr(10) END || chr(10) || text AS t FROM documents)
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN regexp_extract(t, '《([^》]{{2,80}})》', 1) WHEN 1 THEN '管理办法' ELSE '乙' END AS title FROM t"""
+)
+def regulatory_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 3
+    named = F.concat(F.lit("甲\n《"), F.substring(F.regexp_replace("text", "[\n》]", ""), 1, 30), F.lit("》 全文"))
+    text = F.concat(F.when(k == 0, named).when(k == 1, "甲\n《管理办法 \n").otherwise("乙\n"), F.lit("\n"), "text")
+    return table(spark, sf_dir, "documents").select("doc_id", T.detect_regulatory_title(text, F.lit("x")).alias("title"))
+
+
+@query(
+    r"""WITH p AS (SELECT page_id, url, ['financial_reports', 'research'][(page_id % 2 + 1)::INT] || '_' || ['a', 'b'][(page_id % 2 + 1)::INT] || '_20260101_' || page_id AS run, split_part(split_part(url, '?', 1), '#', 1) AS path FROM pages),
+f AS (SELECT *, list_last(string_split(path, '/')) AS file FROM p)
+SELECT page_id, ['financial_reports', 'research'][(page_id % 2 + 1)::INT] AS run_domain, ['A', 'B'][(page_id % 2 + 1)::INT] AS run_split, regexp_replace(file, '\.[^.]*$', '') AS stem, CASE WHEN contains(file, '.') THEN lower(list_last(string_split(file, '.'))) ELSE '' END AS suffix FROM f"""
+)
+def run_names_and_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id") % 2 == 0
+    run = F.concat(F.when(k, "financial_reports_a").otherwise("research_b"), F.lit("_20260101_"), "page_id")
+    path = F.regexp_extract("url", "^([^?#]*)", 1)
+    return table(spark, sf_dir, "pages").select("page_id", T.run_domain(run).alias("run_domain"), T.run_split(run).alias("run_split"), T.path_stem(path).alias("stem"), T.path_suffix(F.regexp_extract(path, "([^/]+)$", 1)).alias("suffix"))
+
+
+def benchmark_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """benchmark as questions with four options of 30 characters, and the first three sources."""
+    text = F.regexp_replace("text", r"\s+", " ")
+    opts = F.create_map(*[x for i, o in enumerate("ABCD") for x in (F.lit(o), F.concat(F.lit(o), F.substring(text, 30 * i + 1, 30 - i), F.lit(o)))])
+    kind = F.element_at(F.array(F.lit("mcq"), F.lit("multi"), F.lit("tf")), (F.col("item_id") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("qid"), F.substring(text, 1, 60).alias("question"), opts.alias("options"), kind.alias("answer_format"), F.lit("t").alias("type"), F.array(*[F.lit(f"src{i}") for i in range(3)]).alias("doc_ids"), F.col("item_id").alias("ord"))
+
+
+BENCHMARK = r"""WITH b AS (SELECT item_id, regexp_replace(text, '\s+', ' ', 'g') AS t, ['mcq', 'multi', 'tf'][(item_id % 3 + 1)::INT] AS kind FROM benchmark),
+o AS (SELECT item_id, kind, left(t, 60) AS question, o, o || substr(t, 30 * i + 1, 30 - i) || o AS option_text FROM b, (VALUES (0, 'A'), (1, 'B'), (2, 'C'), (3, 'D')) v(i, o))"""
+
+
+@query(
+    BENCHMARK
+    + """ SELECT item_id::VARCHAR AS qid, o AS option, md5('题目：' || question || chr(10) || chr(10) || '题型：' || kind || chr(10) || chr(10) || '选项 ' || o || '：' || option_text || chr(10) || chr(10) || 'ctx' || chr(10) || chr(10)
+|| '证据：' || chr(10) || '[1] d | T > ' || kind || chr(10) || question || chr(10) || chr(10) || '请输出 JSON，格式为 {"label": true/false, "reasoning_summary": "...", "used_evidence_ids": [1,2]}。') AS prompt_md5 FROM o"""
+)
+def option_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decisions.options(benchmark_questions(spark, sf_dir))
+    rows = rows.withColumn("hits", F.array(F.struct(F.lit("d").alias("doc_id"), F.array(F.lit("T"), F.col("answer_format")).alias("title_path"), F.col("question").alias("text"))))
+    return rows.select("qid", "option", F.md5(decisions.label_prompt("ctx", 6)).alias("prompt_md5"))
+
+
+def counting_client() -> Callable:
+    """Deterministic replies: an option is true if its text has an odd length; C where options don't decide."""
+
+    def ask(messages: list[dict[str, str]]) -> tuple[str, dict[str, int]]:
+        text = messages[1]["content"]
+        if "选项摘要" in text:
+            return json.dumps({"answer": "c"}), {"prompt_tokens": 3, "completion_tokens": 1, "total_tokens": 4}
+        n = len(re.search(r"选项 [A-D]：(.*?)\n\n", text, re.S)[1])
+        return json.dumps({"label": n % 2 == 1, "reasoning_summary": str(n)}), {"prompt_tokens": n, "completion_tokens": 1, "total_tokens": n + 1}
+
+    return ask
+
+
+@query(
+    BENCHMARK
+    + """, l AS (SELECT *, length(option_text) % 2 = 1 AS label, length(option_text) + 1 AS used FROM o),
+q AS (SELECT item_id, kind, list_sort(list(o) FILTER (label)) AS sel, sum(used)::BIGINT AS used, string_agg(o || ': ' || (used - 1), ' | ' ORDER BY o) AS reasons, string_agg(o || '=' || label::VARCHAR, ',' ORDER BY o) AS labels FROM l GROUP BY item_id, kind),
+f AS (SELECT *, (kind = 'mcq' AND coalesce(len(sel), 0) <> 1) OR (kind = 'multi' AND coalesce(len(sel), 0) = 0) AS fallback FROM q)
+SELECT item_id::VARCHAR AS qid, CASE WHEN fallback THEN 'C' WHEN kind = 'tf' THEN CASE WHEN list_contains(sel, 'A') THEN 'A' ELSE 'B' END WHEN kind = 'mcq' THEN sel[1] ELSE array_to_string(sel, '') END AS pred_answer,
+  labels, reasons AS reasoning_summary, used + CASE WHEN fallback THEN 4 ELSE 0 END AS total_tokens FROM f"""
+)
+def judged_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions to answers: search, prompts, a client, composition, fallback and token accounting."""
+    units = docs_and_questions(spark, sf_dir)[0]
+    units = units.select("pos", F.col("pos").cast("string").alias("unit_id"), F.col("source").alias("doc_id"), F.lit("paragraph").alias("unit_type"), F.array("source").alias("title_path"), "text", sections.metadata().alias("metadata"))
+    got = answer(benchmark_questions(spark, sf_dir), units, DOMAINS["financial_contracts"], counting_client, lambda t: materialize(t, "calls"))
+    labels = F.array_join(F.transform(F.array_sort(F.map_entries("option_labels")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return got.select("qid", "pred_answer", labels.alias("labels"), "reasoning_summary", "total_tokens")
+
+
+@query(ANSWERED + "SELECT a.qid, coalesce(g.ord, 1000000000) AS place FROM a LEFT JOIN (SELECT conv_id::VARCHAR AS qid, conv_id * 2 AS ord FROM c WHERE conv_id % 3 = 0) g USING (qid)")
+def answers_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = conversation_answers(spark, sf_dir)
+    order = done.filter("ord % 3 = 0").select("qid", (F.col("ord") * 2).alias("ord"))
+    return evaluation.in_order(done.drop("ord"), order).select("qid", F.col("ord").alias("place"))
+
+
+@query("SELECT conv_id AS qid, sum(length(text))::BIGINT AS prompt_tokens, count(*) AS completion_tokens, (sum(length(text)) + count(*))::BIGINT AS total_tokens FROM conversations GROUP BY conv_id")
+def usage_of_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.length("text").cast("bigint")
+    calls = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("qid"), size.alias("prompt_tokens"), F.lit(1).cast("bigint").alias("completion_tokens"), (size + 1).alias("total_tokens"))
+    return evaluation.usage_by_question(calls)
+
+
+KEYED_TEXT = "coalesce(text, '') || CASE WHEN doc_id % 2 = 0 THEN ' 现金价值' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN ' 账户价值 预计' ELSE '' END"
+DOMAIN_UNITS = f"""WITH d AS (SELECT doc_id, doc_id % 2 = 0 AS cash, doc_id % 3 = 0 AS account, array_to_string({LINES.format(KEYED_TEXT, NORM.format('x'))}, chr(10)) AS body FROM documents),
+s AS (SELECT 'insurance' AS domain, doc_id, CASE WHEN account THEN 'formula_block' ELSE 'clause_block' END AS unit_type, 0 AS class, body, 900 AS most FROM d WHERE body <> ''
+  UNION ALL SELECT 'insurance', doc_id, CASE WHEN account THEN 'formula_block' ELSE 'clause_block' END, 1, body, 900 FROM d WHERE cash OR account
+  UNION ALL SELECT 'research', doc_id, 'paragraph', 0, body, 1000 FROM d WHERE body <> '' UNION ALL SELECT 'research', doc_id, 'conclusion_block', 1, body, 1000 FROM d WHERE account),
+c AS (SELECT s.*, u.chunk, u.i FROM s, LATERAL (SELECT unnest(CASE WHEN length(body) <= most THEN [body] ELSE list_filter(list_transform(string_split(list_reduce(regexp_extract_all(body, '[^。；！？\\n]*[。；！？\\n]|[^。；！？\\n]+$'),
+  lambda a, x: CASE WHEN length(list_last(string_split(a, chr(1)))) + length(x) > most AND length(list_last(string_split(a, chr(1)))) > 0 THEN a || chr(1) || x ELSE a || x END, ''), chr(1)), lambda x: {STRIP.format('x')}), lambda x: x <> '') END) AS chunk, generate_subscripts(CASE WHEN length(body) <= most THEN [body] ELSE list_filter(list_transform(string_split(list_reduce(regexp_extract_all(body, '[^。；！？\\n]*[。；！？\\n]|[^。；！？\\n]+$'),
+  lambda a, x: CASE WHEN length(list_last(string_split(a, chr(1)))) + length(x) > most AND length(list_last(string_split(a, chr(1)))) > 0 THEN a || chr(1) || x ELSE a || x END, ''), chr(1)), lambda x: {STRIP.format('x')}), lambda x: x <> '') END, 1) AS i) u)"""
+
+
+def keyed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of two domains, of documents that have some of their words."""
+    k = F.col("doc_id")
+    text = F.concat(F.coalesce("text", F.lit("")), F.when(k % 2 == 0, " 现金价值").otherwise(""), F.when(k % 3 == 0, " 账户价值 预计").otherwise(""))
+    docs = table(spark, sf_dir, "documents").select(k.cast("string").alias("doc_id"), k.alias("doc_seq"), F.lit("T").alias("title"), text.alias("text"))
+    return build_units(docs, DOMAINS["insurance"]).unionByName(build_units(docs, DOMAINS["research"]))
+
+
+@query(DOMAIN_UNITS + " SELECT domain, doc_id::VARCHAR AS doc_id, unit_type, row_number() OVER (PARTITION BY domain ORDER BY doc_id, class, i) - 1 AS pos, md5(chunk) AS text_md5 FROM c")
+def domain_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed_units(spark, sf_dir).select("domain", "doc_id", "unit_type", "pos", F.md5("text").alias("text_md5"))
+
+
+@query(DOMAIN_UNITS + " SELECT unit_type, count(*) AS n_units, count(DISTINCT doc_id) AS n_docs FROM c GROUP BY unit_type UNION ALL SELECT NULL, (SELECT count(*) FROM c), (SELECT count(*) FROM documents)")
+def parse_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.parse_counts(table(spark, sf_dir, "documents"), keyed_units(spark, sf_dir))

@@ -6,10 +6,11 @@ import json
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evisift.operators.evaluation import TOKENS, summary_and_detail, token_totals
+from evisift.storage import exists, write_text
 
 FOLDERS = ("meta", "outputs/submission", "outputs/debug", "outputs/by_type", "analysis")
 
@@ -24,6 +25,12 @@ def write_answers(answers: DataFrame, path: str) -> None:
     answers.orderBy("ord").write.mode("overwrite").json(path)
 
 
+def evidence_map(answers: DataFrame) -> DataFrame:
+    """(qid, evidence): each answer's evidence chain as JSON, under its question."""
+    rows = evidence_records(answers)
+    return rows.select("qid", F.to_json(F.struct(*[c for c in rows.columns if c != "qid"])).alias("evidence"))
+
+
 def write_evidence(answers: DataFrame, path: str) -> None:
     evidence_records(answers).write.mode("overwrite").json(path)
 
@@ -49,26 +56,41 @@ def write_traces(traces: DataFrame, path: str) -> None:
     traces.write.mode("overwrite").partitionBy("domain").json(path)
 
 
-def append_checkpoint(answers: DataFrame, path: str) -> None:
-    """What is answered so far, a batch at a time; pending() takes it from there."""
-    answers.write.mode("append").parquet(path)
+def append_checkpoint(answers: DataFrame, path: str, batch: int) -> None:
+    """What is answered so far, a batch at a time; checkpoint() reads it."""
+    answers.drop("ord").withColumn("batch", F.lit(batch).cast("bigint")).write.mode("append").parquet(path)
+
+
+def checkpoint(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last answer to each question, or None if there is none yet. path: on any file system that Spark knows."""
+    if not exists(spark, path):
+        return None
+    rows = spark.read.parquet(path)
+    last = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("batch")))
+    return rows.withColumn("last", last).filter(F.col("last") == 1).drop("last", "batch")
+
+
+def log_line(spark: SparkSession, path: str, record: dict) -> None:
+    """One more record of a run's log: a file of one JSON line below path, as not every file system can append."""
+    write_text(spark, f"{path}/{datetime.now(UTC):%Y%m%dT%H%M%S%f}.jsonl", json.dumps(record, ensure_ascii=False) + "\n")
 
 
 def single_json(df: DataFrame, path: str) -> None:
-    """A small result as one readable JSON file; lone surrogates become question marks."""
+    """A result of a few rows as one readable JSON file."""
     rows = [json.loads(r) for r in df.toJSON().collect()]
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(rows, ensure_ascii=False, indent=2).encode("utf-8", "replace").decode(), encoding="utf-8")
-
-
-def run_layout(root: str, run_id: str, domain: str, split: str, settings: dict | None = None) -> Path:
-    """A run's folders with its manifest and README; settings must hold no secrets."""
-    base = Path(root) / run_id
-    for f in FOLDERS:
-        (base / f).mkdir(parents=True, exist_ok=True)
-    about = {"run_id": run_id, "domain": domain, "split": split, "created_at": datetime.now(UTC).isoformat(timespec="seconds"), "folders": list(FOLDERS), "model": settings or {}}
-    (base / "meta/run_manifest.json").write_text(json.dumps(about, ensure_ascii=False, indent=2), encoding="utf-8")
-    (base / "README.md").write_text(f"# Run {run_id}\n\nDomain {domain}, split {split}. Submission, debug and by-type outputs are below outputs/, evaluation below analysis/.\n", encoding="utf-8")
+    write_text(df.sparkSession, path, json.dumps(rows, ensure_ascii=False, indent=2))
+
+
+def write_manifest(spark: SparkSession, path: str, record: dict) -> None:
+    write_text(spark, path, json.dumps(record, ensure_ascii=False, indent=2))
+
+
+def run_layout(spark: SparkSession, root: str, run_id: str, domain: str, split: str, settings: dict | None = None, **about: object) -> str:
+    """A run's manifest and README; settings must hold no secrets. about: plugin, strategy, question_count, qid, limit, resumed. Folders come with their files."""
+    base = f"{root.rstrip('/')}/{run_id}"
+    record = {"run_id": run_id, "domain": domain, "split": split, "created_at": datetime.now(UTC).isoformat(timespec="seconds"), "folders": list(FOLDERS), "model": settings or {}} | about
+    write_text(spark, f"{base}/meta/run_manifest.json", json.dumps(record, ensure_ascii=False, indent=2))
+    write_text(spark, f"{base}/README.md", f"# Run {run_id}\n\nDomain {domain}, split {split}. Submission, debug and by-type outputs are below outputs/, evaluation below analysis/.\n")
     return base
 
 
@@ -80,14 +102,33 @@ def submission_path(run: str) -> Path:
     raise FileNotFoundError(f"no submission in {run}")
 
 
+#: Files of a flat run, and the folders that they belong to.
+MOVES = {"answer.csv": "outputs/submission", "answers.json": "outputs/debug", "evidence.json": "outputs/debug", "token_usage.json": "outputs/debug", "logs.jsonl": "outputs/debug", "metrics.json": "analysis", "wrong_cases.json": "analysis", "run_config.json": "meta"}
+
+
 def migrate_layout(run: str) -> list[tuple[str, str]]:
-    """Moves the files of a flat run into the folders; what is there already stays."""
-    moves = {"answer.csv": "outputs/submission", "answers.json": "outputs/debug", "evidence.json": "outputs/debug", "token_usage.json": "analysis", "metrics.json": "analysis", "wrong_cases.json": "analysis", "run_config.json": "meta"}
+    """Moves the files of a flat run into the folders, and deals its answers to a file for each question type; what is there already stays."""
     done = []
-    for name, folder in moves.items():
+    for name, folder in MOVES.items():
         old, new = Path(run) / name, Path(run) / folder / name
         if old.exists() and not new.exists():
             new.parent.mkdir(parents=True, exist_ok=True)
             old.rename(new)
             done.append((str(old), str(new)))
+    answers = Path(run) / "outputs/debug/answers.json"
+    if answers.exists():
+        kinds: dict[str, list[dict]] = {}
+        for row in json.loads(answers.read_text(encoding="utf-8")):
+            kinds.setdefault(str(row.get("question_type", "unknown")), []).append(row)
+        for kind, rows in kinds.items():
+            new = Path(run) / f"outputs/by_type/{kind}/answers.json"
+            if not new.exists():
+                new.parent.mkdir(parents=True, exist_ok=True)
+                new.write_text(json.dumps(rows, ensure_ascii=False, indent=2), encoding="utf-8")
+                done.append((str(answers), str(new)))
     return done
+
+
+def migrate_runs(root: str) -> list[tuple[str, str]]:
+    """migrate_layout of every run below root."""
+    return [move for run in sorted(Path(root).iterdir()) if run.is_dir() for move in migrate_layout(str(run))]

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evisift.functions.text import clean_lines, html_text, html_title, normalize_whitespace, path_stem, path_suffix
+from evisift.functions.text import clean_lines, html_title, normalize_whitespace, path_stem, path_suffix, with_html_text
+from evisift.storage import running
 
 QUESTION = "qid string, domain string, split string, question string, options map<string,string>, answer_format string, type string, doc_ids array<string>"
 #: (path, bytes) -> text of each page.
@@ -31,7 +32,9 @@ def manifest(found: DataFrame, regulatory: bool) -> DataFrame:
     rank = F.when(F.col("source_type") == "pdf", 0).when(F.col("source_type") == "txt", 1).otherwise(2)
     order = [rank, F.desc("source_path")] if regulatory else [F.desc("source_path")]
     one = found.withColumn("r", F.row_number().over(Window.partitionBy("domain", "doc_id").orderBy(*order))).filter("r = 1").drop("r")
-    return one.withColumn("doc_seq", F.row_number().over(Window.partitionBy("domain").orderBy("doc_id")))
+    placed = running(one.withColumn("one", F.lit(1)), ["domain", "doc_id"], {"place": "one"})
+    first = placed.groupBy("domain").agg(F.min("place").alias("first"))  # a row a domain
+    return placed.join(F.broadcast(first), "domain").select(*found.columns, (F.col("place") - F.col("first") + 1).cast("int").alias("doc_seq"))
 
 
 def referenced(docs: DataFrame, refs: DataFrame) -> DataFrame:
@@ -53,10 +56,10 @@ def text_documents(files_: DataFrame) -> DataFrame:
 
 
 def html_documents(files_: DataFrame, exact: bool = False) -> DataFrame:
-    """Text and meta title of HTML. exact parses the markup in Arrow batches instead of by patterns."""
+    """Text and meta title of HTML. exact parses the markup in Arrow batches instead of by patterns, for pages that patterns can't take apart."""
     html = decoded()
-    text = F.array_join(clean_lines(parsed_html(html)), "\n") if exact else html_text(html)
-    return files_.select("*", text.alias("text"), html_title(html).alias("meta_title"), F.lit(None).cast("int").alias("page_count"))
+    rows = files_.withColumn("text", F.array_join(clean_lines(parsed_html(html)), "\n")) if exact else with_html_text(files_, html, "text")
+    return rows.select(*files_.columns, "text", html_title(html).alias("meta_title"), F.lit(None).cast("int").alias("page_count"))
 
 
 class _Text(HTMLParser):
@@ -140,7 +143,7 @@ def read_questions(spark: SparkSession, path: str, split: str | None = None, qid
         q = q.filter(F.col("split") == split)
     if qid is not None:
         q = q.filter(F.col("qid") == qid)
-    q = q.withColumn("ord", F.row_number().over(Window.orderBy("file_place"))).drop("file_place")  # a row a question
+    q = running(q.withColumn("one", F.lit(1)), ["file_place"], {"place": "one"}).withColumn("ord", (F.col("place") + 1).cast("int")).drop("file_place", "one", "place")
     return q.orderBy("ord").limit(limit) if limit is not None else q
 
 

@@ -2,10 +2,16 @@ from __future__ import annotations
 
 import csv
 import json
+import uuid
+from functools import partial
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
-from evisift import cli, sinks
+from evisift import cli, sinks, storage
+from evisift.plans.answering import traces
+from evisift.plans.domains import DOMAINS
 from evisift.sources.config import model_settings, read_env
 from evisift.sources.documents import files, html_documents, listing, load_documents, manifest, pdf_documents, read_questions, referenced, referenced_ids
 from evisift.streaming.questions import answer_stream, question_stream
@@ -72,8 +78,12 @@ def answers(spark):
 
 
 def test_sinks(spark, tmp_path):
-    base = sinks.run_layout(str(tmp_path), "research_a_20260101_000000", "research", "a")
-    cli.export(answers(spark), base)
+    base = Path(sinks.run_layout(spark, str(tmp_path), "research_a_20260101_000000", "research", "a", question_count=2, resumed=False))
+    about = json.loads((base / "meta/run_manifest.json").read_text())
+    assert about["question_count"] == 2 and about["resumed"] is False and "Run research" in (base / "README.md").read_text()
+    cli.export(answers(spark), str(base))
+    assert spark.read.json(str(base / "outputs/debug/token_usage")).first().total_tokens == 8
+    assert {r.qid: json.loads(r.evidence)["pred_answer"] for r in sinks.evidence_map(answers(spark)).collect()} == {"q1": "A", "q0": "B"}
     part = next((base / "outputs/submission/answer").glob("part-*.csv"))
     with part.open() as f:
         got = list(csv.reader(f))
@@ -83,7 +93,12 @@ def test_sinks(spark, tmp_path):
         sinks.submission_path(str(base))
     (base / "answer.csv").write_text("x")
     assert sinks.submission_path(str(base)) == base / "answer.csv"
-    assert len(sinks.migrate_layout(str(base))) == 1 and sinks.migrate_layout(str(base)) == []
+    (base / "logs.jsonl").write_text("{}")
+    old = tmp_path / "old"
+    old.mkdir()
+    (old / "answers.json").write_text(json.dumps([{"qid": "a", "question_type": "tf"}, {"qid": "b", "question_type": "mcq"}]))
+    assert len(sinks.migrate_runs(str(tmp_path))) == 5 and sinks.migrate_layout(str(base)) == []
+    assert json.loads((old / "outputs/by_type/tf/answers.json").read_text())[0]["qid"] == "a" and (base / "outputs/debug/logs.jsonl").exists()
     assert sinks.submission_path(str(base)) == base / "outputs/submission/answer.csv"
 
 
@@ -96,8 +111,84 @@ def test_stream(spark, folder, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
 
 
-def test_cli_parse_and_traces(spark, folder):
+def parsed(spark, folder):
     (folder / "docs/c.pdf").unlink()
-    cli.parse_domain(spark, "research", str(folder / "docs"), str(folder / "q.json"), str(folder / "parsed"))
-    assert spark.read.parquet(str(folder / "parsed/units")).count() == 2
-    cli.main(["submission", "--run", str(folder)]) if (folder / "answer.csv").exists() else None
+    for name in ("research", "insurance"):
+        cli.parse_domain(spark, name, str(folder / "docs"), str(folder / "q.json"), str(folder / f"parsed/{name}"))
+    return str(folder / "parsed/research")
+
+
+def test_cli_parse_and_traces(spark, folder):
+    units = parsed(spark, folder)
+    assert spark.read.parquet(f"{units}/units").count() == 2
+    assert json.loads((folder / "parsed/research/counts.json").read_text())[-1] == {"n_units": 2, "n_docs": 2}
+    d, q = DOMAINS["research"], read_questions(spark, str(folder / "q.json")).withColumn("question", F.lit("b c"))
+    plain = traces(q, spark.read.parquet(f"{units}/units"), d).orderBy("qid").collect()
+    cli.index_domain(spark, "research", units)
+    assert traces(q, None or spark.read.parquet(f"{units}/units"), d, cli.kept_index(spark, units)).orderBy("qid").collect() == plain
+    assert any(s.hits and s.hits[0].metadata is not None for r in plain for s in r.searches)
+    for name in ("research", "insurance"):
+        (folder / f"{name}_questions.json").write_text((folder / "q.json").read_text())
+    cli.write_all_traces(spark, ["research", "insurance"], str(folder / "parsed"), str(folder), "A", str(folder / "traces"))
+    assert spark.read.json(str(folder / "traces")).groupBy("domain").count().orderBy("domain").collect() == [("insurance", 3), ("research", 3)]
+    assert json.loads((folder / "traces/_manifest.json").read_text())["domains"] == ["research", "insurance"]
+
+
+def test_resume_after_a_crash(spark, folder, monkeypatch):
+    """The client fails at the question q2: what was answered before is kept and not asked again."""
+    units, calls = parsed(spark, folder), folder / "calls"
+    calls.mkdir()
+    ask = [{**q, "question": q["qid"]} for q in QUESTIONS]
+    (folder / "q.json").write_text(json.dumps(ask))
+
+    def client(broken):
+        def make():
+            def reply(messages):
+                qid = messages[1]["content"].split("题目：")[1][:2]
+                if broken and qid == "q2":
+                    raise RuntimeError("down")
+                (calls / uuid.uuid4().hex).write_text(qid)
+                return json.dumps({"label": True, "answer": "A"}), {"total_tokens": 1}
+
+            return reply
+
+        return make
+
+    run = f"file://{folder}/runs/research_a_20260101_000000"
+    monkeypatch.setattr(cli, "BATCH", 1)
+    again = partial(cli.run_answers, spark, "research", units, str(folder / "q.json"), None, run, None, None, str(folder / "none"))
+    with monkeypatch.context() as m:
+        m.setattr(cli, "answer_batches", partial(cli.answer_batches, batch=1))
+        with pytest.raises(Exception, match="down"):
+            again(make_client=client(True))
+        first = sorted(p.read_text() for p in calls.iterdir())
+        assert first.count("q0") == first.count("q1") == 3 and "q2" not in first  # two options and the fallback
+        again(make_client=client(False))
+        asked = sorted(p.read_text() for p in calls.iterdir())
+        assert {q: asked.count(q) for q in set(asked)} == {f"q{i}": 3 for i in range(4)}
+        assert json.loads((folder / "runs/research_a_20260101_000000/meta/run_manifest.json").read_text())["resumed"] is True
+        cli.run_answers(spark, "research", units, str(folder / "q.json"), None, run, "q1", None, str(folder / "none"), client(False))
+        assert sorted(p.read_text() for p in calls.iterdir()).count("q1") == 6
+    done = sinks.checkpoint(spark, f"{run}/outputs/debug/checkpoint")
+    assert sorted(r.qid for r in done.collect()) == [f"q{i}" for i in range(4)]
+    assert len(list((folder / "runs/research_a_20260101_000000/outputs/debug/checkpoint_log").glob("*.jsonl"))) == 5
+
+
+@pytest.mark.parametrize("single", [5, 100_000])
+def test_running_sums(spark, monkeypatch, single):
+    monkeypatch.setattr(storage, "SINGLE", single)
+    df = spark.range(60).select("id", (F.col("id") % 7).alias("v"), F.lit("x").alias("part")).repartition(5)
+    got = storage.running(df, ["id"], {"before": "v"}).orderBy("id").collect()
+    assert [(r.id, r.before, r.part) for r in got] == [(i, sum(k % 7 for k in range(i)), "x") for i in range(60)]
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    class Cluster:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://x:7077"
+
+    with pytest.raises(RuntimeError, match=r"spark.checkpoint.dir"):
+        storage.shared_dir(Cluster())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import re
 
 from hypothesis import HealthCheck, given, settings
@@ -89,7 +90,39 @@ def test_paths_and_runs(spark):
     assert one(spark, "x 2019 y 2021", T.year_of) == "2019"
 
 
+def html_of(spark, page):
+    return T.with_html_text(spark.createDataFrame([(page, 1)], "nodes string, plain int"), "nodes", "text").first().text
+
+
 def test_html(spark):
     page = '<!DOCTYPE html><html><head><meta name="ArticleTitle" content=" T "><style>x{}</style></head><body><p>A &amp;lt; b</p><script>1</script><p> c </p></body></html>'
-    assert one(spark, page, T.html_text) == "A &lt; b\nc"
+    assert html_of(spark, page) == "A &lt; b\nc"
     assert one(spark, page, T.html_title) == "T"
+
+
+def test_html_entities(spark):
+    cases = {
+        "caf&eacute; &#233; &#xE9; &#XE9; &euro;5": "café é é é €5",
+        "&amp;eacute; &amp;#233; &amp;": "&eacute; &#233; &",
+        "AT&T R&D a&b;": "AT&T R&D a&b;",
+        "&copy 2020 &copy; &rsquo;&ndash;&hellip;": "© 2020 © ’–…",
+        "&notin; &notit; &#128; &#0; x": "∉ ¬it; € \ufffd x",
+        "a&nbsp;b &lt;p&gt; &quot;q&quot; &middot;": "a\xa0b <p> \"q\" ·",
+        "": "",
+    }
+    for page, want in cases.items():
+        assert html_of(spark, f"<p>{page}</p>") == want
+    assert html_of(spark, None) is None
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.sampled_from(["&", "amp;", "amp", "lt;", "#", "65;", "x41;", "eacute;", "copy", " ", "b", ";", "T"]), max_size=12))
+def test_html_entities_property(spark, parts):
+    text = "".join(parts)
+    want = "\n".join(x for x in [re.sub("[ \t]+", " ", html.unescape(text)).strip()] if x)
+    assert html_of(spark, f"<p>{text}</p>") == want
+
+
+def test_text_that_may_have_headings(spark):
+    for text, yes in (("a\n 1 x", True), ("第一条", True), ("a\u2028\ufeff 二、x", True), ("x [PAGE 1]", True), ("a 1 b\nc 第一条", False), ("", False)):
+        assert one(spark, text, T.may_have_headings) is yes
