@@ -20,6 +20,7 @@ replaced.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -88,11 +89,14 @@ class LatentModel:
 
     @classmethod
     def fit(cls, counts: np.ndarray, labels: np.ndarray, rank: int = RANK) -> LatentModel:
+        """counts, a float32 row a text, are overwritten."""
         n = len(labels)
         if not n:
             return cls(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32), 0.5)
         idf = (np.log((1 + n) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
-        a = _unit(np.log1p(counts) * idf)
+        a = np.log1p(counts, out=counts)
+        a *= idf
+        a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), np.float32(1e-30))
         q = np.random.default_rng(7).standard_normal((TERMS, min(rank + 16, n))).astype(np.float32)
         for _ in range(3):  # subspace iteration for the leading right singular vectors
             q, _ = np.linalg.qr(a.T @ (a @ q))
@@ -122,11 +126,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fold
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            yield pd.DataFrame({"id": p["id"], "y": p["y"], "c": [term_counts(t).astype(np.uint32).tobytes() for t in p["text"]]})
+            yield pd.DataFrame({"id": p["id"], "y": p["y"], "c": [zlib.compress(term_counts(t).astype(np.uint32).tobytes(), 1) for t in p["text"]]})
 
-    got = sample.mapInPandas(count, f"id {dict(sample.dtypes)['id']}, y int, c binary").toPandas()
-    got = got.sort_values(["id", "c"], kind="stable")
-    counts = np.frombuffer(b"".join(got["c"]), np.uint32).reshape(-1, TERMS).astype(np.float32)
+    got = sample.mapInPandas(count, f"id {dict(sample.dtypes)['id']}, y int, c binary").toArrow()  # mostly zeros: small when compressed
+    got = got.sort_by("id")  # which are unique
+    counts = np.zeros((got.num_rows, TERMS), np.float32)
+    for k, c in enumerate(got["c"]):
+        counts[k] = np.frombuffer(zlib.decompress(c.as_py()), np.uint32)
     return LatentModel.fit(counts, got["y"].to_numpy())
 
 

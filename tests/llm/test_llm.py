@@ -443,7 +443,7 @@ def test_latent_space_is_the_leading_one():
     rng = np.random.default_rng(2)
     topic, term = np.arange(80) % 5 % 3, np.arange(quality.TERMS) % 7 % 4
     counts = (9 * (topic[:, None] == term[None, :]) + (rng.random((80, quality.TERMS)) < 0.02)).astype(np.float32)
-    model = quality.LatentModel.fit(counts, np.arange(80) % 2, rank=3)
+    model = quality.LatentModel.fit(counts.copy(), np.arange(80) % 2, rank=3)
     a = np.log1p(counts) * (np.log(81 / (1 + (counts > 0).sum(0))) + 1)
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     best = np.linalg.svd(a, full_matrices=False)[1][:3]
