@@ -45,7 +45,7 @@ WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS, STEP = 24, 4, 16
 HASHES = BANDS * ROWS
 #: Members of a band that are compared in one task; classes of a block that are verified in one task, with another block, and bytes of their sets, about.
-CELL, BLOCK, BLOCK_BYTES = 2048, 1024, 8 << 20
+CELL, BLOCK, BLOCK_BYTES = 2048, 384, 4 << 20
 TOKEN = re.compile(WORD)
 MIX, PRIME = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
 _RNG = np.random.default_rng(5)
@@ -180,7 +180,7 @@ def intersections(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) ->
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
     out = np.full((len(rows), len(cols)), float(everywhere), np.float32)
-    wide = 4096
+    wide = 1024
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
         s, e = np.searchsorted(column, [at, at + wide])
         m = np.zeros((len(sets), wide), np.float32)

@@ -46,7 +46,7 @@ from evisift.llm.common import table, text_or_empty
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Entries of each worker's tables of words and of pairs, at most; then they start anew.
-KEPT_WORDS, KEPT_PAIRS = 300_000, 400_000
+KEPT_WORDS, KEPT_PAIRS = 100_000, 100_000
 #: Bits of the tables of piece hashes and of pairs. Longer words than LONG are encoded one by one.
 PIECE_BITS, PAIR_BITS, LONG = 18, 20, 40
 MIX = np.uint64(0x9E3779B97F4A7C15)
