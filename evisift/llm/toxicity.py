@@ -84,15 +84,18 @@ class SubwordModel:
     @classmethod
     def fit(cls, texts: list[str], labels: np.ndarray) -> SubwordModel:
         """Joint AdaGrad descent of embeddings and softmax on the cross entropy, classes weighted alike. A text stands by one window an epoch: a random one at first, then the one that scores highest, as in scoring; clean texts by a random one too."""
-        seqs = [TOKEN.findall(t.lower()) for t in texts]
-        labels = np.asarray([y for y, s in zip(labels, seqs, strict=True) if s], np.int64)
-        seqs = [s for s in seqs if s]
+        met: dict[str, int] = {}
+        seqs = [np.fromiter((met.setdefault(w, len(met)) for w in TOKEN.findall(t.lower())), np.int64) for t in texts]  # a text's words at a time
+        labels = np.asarray([y for y, s in zip(labels, seqs, strict=True) if len(s)], np.int64)
+        seqs = [s for s in seqs if len(s)]
         if len(np.unique(labels)) < 2:
             return cls(np.zeros(BUCKETS, np.float32), -np.inf)
-        vocab = {w: i for i, w in enumerate(sorted({w for s in seqs for w in s}))}
-        grams, first = buckets(list(vocab))
+        vocab = sorted(met)
+        place = np.empty(len(vocab), np.int64)
+        place[[met[w] for w in vocab]] = np.arange(len(vocab))
+        grams, first = buckets(vocab)
         size = np.diff(first)
-        seqs = [np.fromiter(map(vocab.__getitem__, s), np.int64, len(s)) for s in seqs]
+        seqs = [place[s] for s in seqs]
         seqs = [s[np.append(True, s[1:] != s[:-1])] for s in seqs]
         rng = np.random.default_rng(11)
         e = (rng.random((BUCKETS, DIM), np.float32) - 0.5) / DIM
