@@ -665,6 +665,23 @@ def test_shards(spark):
     assert not doc and Counter(got) == Counter(tuple(sp.encode(t or "")) for t in texts)
     assert sum(r.n_tokens for r in manifest) == len(stream)
     assert token_shards.write_shards(d.limit(0), new_path(spark, "t")).count() == 0
+    slots = {i: r.first_slot + k for r in manifest for k, (i, _) in enumerate(token_shards.read_slots(f"{out}/{r.file}", 0, r.n_sequences, 64))}
+    n = len(slots)
+    assert [slots[i] for i in range(n)] == token_shards.permute(np.arange(n), n).tolist()
+
+
+def test_shard_words(monkeypatch):
+    with open(token_shards.MODEL, "rb") as f:
+        words = token_shards.Words(f.read())
+    rng = random.Random(7)
+    some = [" ", " ", "a", "ing", "\n", "é", "漢", "😀", "  ", "\t", "the", "▁", ".", "</s>", "<0x0A>"]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + ["x" * 3000, "", text(500, rng)]
+    want = b"".join(words.raw(words.library.encode(t)) + words.end for t in texts)
+    assert words.apart and b"".join(words.encode(texts)) == want and b"".join(words.encode([])) == b""
+    monkeypatch.setattr(token_shards, "PART", 50)
+    monkeypatch.setattr(token_shards, "KEPT", 100)
+    monkeypatch.setattr(token_shards, "LONGEST", 3)
+    assert b"".join(words.encode(texts)) == want
 
 
 # pipeline ----------------------------------------------------------------------------------
