@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evisift.llm import chat, mixing, multi_index, near_duplicates, quality, token_shards, topk, toxicity, urls, wfst
+from evisift.llm import chat, merkle, mixing, multi_index, near_duplicates, quality, token_shards, topk, toxicity, urls, wfst
 
 QUERIES = {
     "op1_ngram_jaccard": near_duplicates.op1_ngram_jaccard,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_token_shards": token_shards.op10_token_shards,
+    "op12_merkle": merkle.op12_merkle,
 }
 ORACLES = {
     "op1_ngram_jaccard": near_duplicates.ORACLE,
@@ -22,4 +23,5 @@ ORACLES = {
     "op4_near_vectors": multi_index.ORACLE,
     "op7_exact_top_k": topk.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
+    "op12_merkle": merkle.ORACLE,
 }
