@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evisift.llm import chat, merkle, mixing, multi_index, near_duplicates, quality, token_shards, topk, toxicity, urls, wfst
+from evisift.llm import chat, importance, merkle, mixing, multi_index, near_duplicates, quality, token_shards, topk, toxicity, urls, wfst
 
 QUERIES = {
     "op1_ngram_jaccard": near_duplicates.op1_ngram_jaccard,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_token_shards": token_shards.op10_token_shards,
     "op12_merkle": merkle.op12_merkle,
+    "op13_importance": importance.op13_importance,
 }
 ORACLES = {
     "op1_ngram_jaccard": near_duplicates.ORACLE,
@@ -24,4 +25,5 @@ ORACLES = {
     "op7_exact_top_k": topk.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
     "op12_merkle": merkle.ORACLE,
+    "op13_importance": importance.ORACLE,
 }
