@@ -211,8 +211,8 @@ def trees(leaves: DataFrame, order: Sequence[str]) -> tuple[DataFrame, DataFrame
         # a block is the part of the tree below a node of level target
         found = state.filter(open_).withColumn("block", F.expr(f"idx div cast(pow({ARITY}, {target} - level) as bigint)"))
 
-        def build(rows: pd.DataFrame, target: int = target) -> pd.DataFrame:
-            members, top = block(rows, target)
+        def build(rows: pd.DataFrame) -> pd.DataFrame:
+            members, top = block(rows, target)  # noqa: B023  sent to the executors before target changes
             gid = int(rows["gid"].iloc[0])
             new = {"gid": gid, "size": int(rows["size"].iloc[0]), "height": int(rows["height"].iloc[0]), "at": 0} | top
             return pd.DataFrame([m | {"gid": gid} for m in members] + [new], columns=["gid", "size", "height", "level", "idx", "digest", "up_level", "up_idx", "path"]).astype({c: "Int64" for c in ("gid", "size", "height", "level", "idx", "up_level", "up_idx")}).assign(path=lambda d: [p if isinstance(p, list) else None for p in d["path"]])
