@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evisift.llm import chat, importance, merkle, mixing, multi_index, near_duplicates, quality, token_shards, topk, toxicity, urls, wfst
+from evisift.llm import chat, context_mixing, importance, merkle, mixing, multi_index, near_duplicates, quality, token_shards, topk, toxicity, urls, wfst
 
 QUERIES = {
     "op1_ngram_jaccard": near_duplicates.op1_ngram_jaccard,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_token_shards": token_shards.op10_token_shards,
+    "op11_lm_scoring": context_mixing.op11_lm_scoring,
     "op12_merkle": merkle.op12_merkle,
     "op13_importance": importance.op13_importance,
 }
