@@ -38,7 +38,7 @@ from evisift.storage import materialize, running
 BUCKETS, GRAMS, LEAST_WORDS, SHARE, SEED = 10_000, 2, 20, 25, 7
 #: Characters of the pieces of a long text; of the texts that DuckDB takes apart at once.
 PIECE, BLOCK = 1 << 20, 2 << 20
-SEPARATOR = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]")
+SEPARATOR = re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 
 
 def _folded() -> np.ndarray:

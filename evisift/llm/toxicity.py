@@ -13,9 +13,9 @@ does not dilute a passage.
 
 Nulls and empty texts have no words: their score is that of the bias alone.
 Without labelled rows of both classes every score is 0. Very long texts are scored
-whole; for the sample, labelled texts of more than LONGEST characters are not drawn,
-which bounds what the driver holds. Repeated rows get equal scores; words that tie
-need no order. An empty table gives an empty result. Other columns are carried along
+whole; in the sample a text of more than ``words`` words stands by runs of RUN words,
+evenly spread from its beginning to its end, which bounds what the driver holds.
+Repeated rows get equal scores; words that tie need no order. An empty table gives an empty result. Other columns are carried along
 untouched, but for one named as the score, which is replaced.
 """
 
@@ -36,8 +36,10 @@ from evisift.llm.labelled import fold, labelled_sample
 
 #: Labelled rows of class 0 and of class 1 that the model is fitted on, at most.
 SAMPLE = (2500, 1000)
-#: Characters of a text of the sample, at most.
-LONGEST = 100_000
+#: Words that a text of the sample gives, at most, and those of each run that a longer one is cut to.
+WORDS, RUN = 8192, 128
+#: Models that are averaged: being linear, they make one.
+SEEDS = (11, 12, 13)
 #: Passes over the sample: as many as make STEPS batches; in the first tenth windows are drawn at random.
 BUCKETS, DIM, STEPS, BATCH, RATE, SCALE = 1 << 16, 8, 1000, 64, 0.5, 20.0
 GRAMS, THRESHOLD = (3, 4, 5), 0.3
@@ -70,6 +72,16 @@ def buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ids[order], np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(raw)))])
 
 
+def thinned(text: str, most: int) -> list[str]:
+    """A text's words, those that follow themselves once; of more than ``most`` words runs of them, evenly spread."""
+    words = TOKEN.findall(text.lower())
+    words = [w for w, before in zip(words, [None, *words], strict=False) if w != before]
+    if len(words) <= most:
+        return words
+    starts = np.linspace(0, len(words) - RUN, max(1, most // RUN)).astype(int)
+    return [w for s in starts for w in words[s : s + RUN]]
+
+
 def windows(n: int) -> np.ndarray:
     """Where the windows of a text of n words begin: at every half window, the last one ending with the text."""
     return np.append(np.arange(0, n - WINDOW, WINDOW // 2), max(n - WINDOW, 0))
@@ -82,10 +94,10 @@ class SubwordModel:
     bias: float
 
     @classmethod
-    def fit(cls, texts: list[str], labels: np.ndarray) -> SubwordModel:
-        """Joint AdaGrad descent of embeddings and softmax on the cross entropy, classes weighted alike. A text stands by one window an epoch: a random one at first, then the one that scores highest, as in scoring; clean texts by a random one too."""
+    def fit(cls, texts: list[list[str]], labels: np.ndarray, seeds: tuple[int, ...] = SEEDS) -> SubwordModel:
+        """The mean of a model a seed. texts: their words."""
         met: dict[str, int] = {}
-        seqs = [np.fromiter((met.setdefault(w, len(met)) for w in TOKEN.findall(t.lower())), np.int64) for t in texts]  # a text's words at a time
+        seqs = [np.fromiter((met.setdefault(w, len(met)) for w in t), np.int64, len(t)) for t in texts]  # a text's words at a time
         labels = np.asarray([y for y, s in zip(labels, seqs, strict=True) if len(s)], np.int64)
         seqs = [s for s in seqs if len(s)]
         if len(np.unique(labels)) < 2:
@@ -93,19 +105,24 @@ class SubwordModel:
         vocab = sorted(met)
         place = np.empty(len(vocab), np.int64)
         place[[met[w] for w in vocab]] = np.arange(len(vocab))
+        seqs = [place[s] for s in seqs]
         grams, first = buckets(vocab)
+        fitted = [cls.descend(seqs, labels, grams, first, seed) for seed in seeds]
+        return cls(np.mean([m.share for m in fitted], 0).astype(np.float32), float(np.mean([m.bias for m in fitted])))
+
+    @classmethod
+    def descend(cls, seqs: list[np.ndarray], labels: np.ndarray, grams: np.ndarray, first: np.ndarray, seed: int) -> SubwordModel:
+        """Joint AdaGrad descent of embeddings and softmax on the cross entropy, classes weighted alike. A text stands by one window an epoch: a random one at first, then the one that scores highest, as in scoring; clean texts by a random one too. In doubles and without BLAS, whose sums depend on its threads."""
         size = np.diff(first)
-        seqs = [place[s] for s in seqs]
-        seqs = [s[np.append(True, s[1:] != s[:-1])] for s in seqs]
-        rng = np.random.default_rng(11)
-        e = (rng.random((BUCKETS, DIM), np.float32) - 0.5) / DIM
-        u, b = (rng.random((DIM, 2), np.float32) - 0.5) / DIM, np.zeros(2, np.float32)
-        ge, gu, gb = np.full((BUCKETS, DIM), 1e-6, np.float32), np.full((DIM, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
+        rng = np.random.default_rng(seed)
+        e = (rng.random((BUCKETS, DIM)) - 0.5) / DIM
+        u, b = (rng.random((DIM, 2)) - 0.5) / DIM, np.zeros(2)
+        ge, gu, gb = np.full((BUCKETS, DIM), 1e-6), np.full((DIM, 2), 1e-6), np.full(2, 1e-6)
         epochs = -(-STEPS // -(-len(labels) // BATCH))
         for epoch in range(epochs):
             rate = RATE * (1 - epoch / epochs)
             bags, of = [], []
-            share = np.add.reduceat((e @ (u[:, 1] - u[:, 0]))[grams], first[:-1]) / size if epoch >= epochs / 10 else None
+            share = np.add.reduceat(np.einsum("bd,d->b", e, u[:, 1] - u[:, 0])[grams], first[:-1]) / size if epoch >= epochs / 10 else None
             for s, y in zip(seqs, labels, strict=True):
                 start = windows(len(s))
                 picks = set() if y and share is not None else {int(rng.choice(start))}
@@ -115,7 +132,7 @@ class SubwordModel:
                 bags += [s[k : k + WINDOW] for k in sorted(picks)]
                 of += [y] * len(picks)
             of = np.array(of)
-            weight = (len(of) / (2 * np.bincount(of, minlength=2)))[of].astype(np.float32)
+            weight = (len(of) / (2 * np.bincount(of, minlength=2)))[of]
             order = rng.permutation(len(of))
             for at in range(0, len(order), BATCH):
                 pick = order[at : at + BATCH]
@@ -123,22 +140,23 @@ class SubwordModel:
                 row = np.repeat(np.arange(len(pick)), [len(bags[i]) for i in pick])
                 n, w = size[words], np.bincount(row)
                 inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                ids, row, w = grams[np.repeat(first[words], n) + inner], np.repeat(row, n), np.repeat(SCALE / n / np.maximum(w[row], LEAST), n).astype(np.float32)
+                ids, row, w = grams[np.repeat(first[words], n) + inner], np.repeat(row, n), np.repeat(SCALE / n / np.maximum(w[row], LEAST), n)
                 rows_e = e[ids] * w[:, None]
-                h = np.stack([np.bincount(row, rows_e[:, k], len(pick)) for k in range(DIM)], 1).astype(np.float32)
-                z = h @ u + b
+                h = np.stack([np.bincount(row, rows_e[:, k], len(pick)) for k in range(DIM)], 1)
+                z = np.einsum("rd,dc->rc", h, u) + b
                 p = np.exp(z - z.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
-                d = (p - np.eye(2, dtype=np.float32)[of[pick]]) * weight[pick, None] / len(pick)
-                du, db, dh = h.T @ d, d.sum(0), d @ u.T
-                de = np.stack([np.bincount(ids, dh[row, k] * w, BUCKETS) for k in range(DIM)], 1).astype(np.float32)
-                ge += de**2
-                e -= rate * de / np.sqrt(ge)
+                d = (p - np.eye(2)[of[pick]]) * weight[pick, None] / len(pick)
+                du, db, dh = np.einsum("rd,rc->dc", h, d), d.sum(0), np.einsum("rc,dc->rd", d, u)
+                met, place = np.unique(ids, return_inverse=True)  # the other buckets' gradient is 0
+                de = np.stack([np.bincount(place, dh[row, k] * w, len(met)) for k in range(DIM)], 1)
+                ge[met] += de**2
+                e[met] -= rate * de / np.sqrt(ge[met])
                 gu += du**2
                 u -= rate * du / np.sqrt(gu)
                 gb += db**2
                 b -= rate * db / np.sqrt(gb)
-        return cls((e @ (u[:, 1] - u[:, 0]) * SCALE).astype(np.float32), float(b[1] - b[0]))
+        return cls(np.einsum("bd,d->b", e, u[:, 1] - u[:, 0]) * SCALE, float(b[1] - b[0]))
 
     def words(self, words: list[str]) -> np.ndarray:
         ids, at = buckets(words)
@@ -174,11 +192,16 @@ class SubwordModel:
         return 1 / (1 + np.exp(-np.clip(self.logits(texts, kept), -50, 50)))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held: int = 2, most: tuple[int, int] = SAMPLE) -> SubwordModel:
-    """Fitted on at most ``most`` labelled rows of either class outside the held-out fold."""
-    docs = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST)
-    got = labelled_sample(docs, labels, label, fold("doc_id", folds) != held, most).toPandas().sort_values(["id", "text"], kind="stable")
-    return SubwordModel.fit(list(got["text"]), got["y"].to_numpy())
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held: int = 2, most: tuple[int, int] = SAMPLE, words: int = WORDS) -> SubwordModel:
+    """Fitted on at most ``most`` labelled rows of either class outside the held-out fold, and at most ``words`` words of each. Executors take the texts apart: their words come to the driver, compressed."""
+    sample = labelled_sample(docs, labels, label, fold("doc_id", folds) != held, most)
+
+    def take(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield pd.DataFrame({"id": p["id"], "y": p["y"], "w": [zlib.compress(" ".join(thinned(t, words)).encode("utf-8", "replace"), 1) for t in p["text"]]})
+
+    got = sample.mapInPandas(take, f"id {dict(sample.dtypes)['id']}, y int, w binary").toArrow().sort_by("id")  # ids are unique
+    return SubwordModel.fit([zlib.decompress(w.as_py()).decode().split() for w in got["w"]], got["y"].to_numpy())
 
 
 def scorer(spark: SparkSession, model: SubwordModel):  # noqa: ANN201
