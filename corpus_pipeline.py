@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evisift.llm import mixing, near_duplicates, quality, toxicity, wfst
 from evisift.llm.common import quoted, table
-from evisift.storage import materialize, unused
+from evisift.storage import materialize, scope, unused
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,5 +61,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), "stage")
+        with scope():  # a stage's own tables go when its result is written
+            docs = materialize(stage(spark, docs, sf_dir), "stage", outer=True)
     return docs

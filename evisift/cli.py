@@ -15,19 +15,21 @@ import argparse
 from collections.abc import Callable, Sequence
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import ArrowInvalid
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from evisift import sinks
 from evisift.functions.text import timestamp_id
 from evisift.operators.evaluation import accuracy, answers_by_type, in_order, parse_counts, pending, wrong_cases
 from evisift.operators.retrieval import unit_index
-from evisift.plans.answering import answer, traces
+from evisift.plans.answering import answer, asked_rows, traces, with_hits
 from evisift.plans.domains import DOMAINS, build_units, domain, titled
 from evisift.sources.config import model_settings, read_env
 from evisift.sources.documents import listing, load_documents, manifest, read_gold, read_questions, referenced, referenced_ids
-from evisift.sources.model import Client, http_client
-from evisift.storage import exists, materialize
+from evisift.sources.ledger import Ledger
+from evisift.sources.model import Calling, Client, http_client
+from evisift.storage import exists, finished, materialize, scope
 
 
 #: Questions that are answered before the run is written again.
@@ -55,21 +57,36 @@ def kept_index(spark: SparkSession, parsed: str) -> DataFrame | None:
     return spark.read.parquet(f"{parsed}/index") if exists(spark, f"{parsed}/index") else None
 
 
+def ledger_below(path: str) -> str | None:
+    """Where a run keeps its calls, if that is a folder that tasks can write to from Python."""
+    try:
+        Ledger(path)
+    except (ArrowInvalid, OSError):
+        return None
+    return path
+
+
 def answer_batches(spark: SparkSession, asked: DataFrame, name: str, parsed: str, path: str, qid: str | None, make_client: Callable[[], Client], batch: int = BATCH) -> None:
-    """Answers what isn't answered yet, a batch of questions at a time, each of which is written before the next is asked."""
+    """Answers what isn't answered yet: all is searched at once, then a batch of questions at a time is asked and written before the next. Single calls are kept in a ledger beside the answers."""
     d, units, postings = domain(name), spark.read.parquet(f"{parsed}/units"), kept_index(spark, parsed)
     done = sinks.checkpoint(spark, path)
     todo = materialize(asked if done is None else pending(asked, done, qid), "todo")
     number = 0 if done is None else spark.read.parquet(path).agg(F.max("batch")).first()[0] + 1
+    if todo.isEmpty():
+        return
+    calling = Calling(make_client, ledger_below(f"{path}_calls"), str(number) if qid and done is not None else "")
+    rows = materialize(with_hits(asked_rows(todo, d), units, d, postings), "searched")
     last = -1
     while True:
         some = materialize(todo.filter(F.col("ord") > last).orderBy("ord").limit(batch), "batch")
         top = some.agg(F.max("ord")).first()[0]
         if top is None:
             return
-        got = materialize(answer(some, units, d, make_client, lambda t: materialize(t, "calls"), postings), "answers")
-        sinks.append_checkpoint(got, path, number)
-        sinks.log_line(spark, f"{path}_log", {"batch": number, "questions": got.count(), "total_tokens": got.agg(F.sum("total_tokens")).first()[0]})
+        counted = Observation("batch")
+        with scope():
+            got = answer(some, units, d, calling, lambda t: materialize(t, "calls"), postings, rows)
+            sinks.append_checkpoint(got.observe(counted, F.count("*").alias("questions"), F.sum("total_tokens").alias("total_tokens")), path, number)
+        sinks.log_line(spark, f"{path}_log", {"batch": number} | counted.get)
         last, number = top, number + 1
 
 
@@ -87,7 +104,7 @@ def run_answers(spark: SparkSession, name: str, parsed: str, questions: str, spl
     path = f"{out}/outputs/debug/checkpoint"
     d = domain(name)
     sinks.run_layout(
-        spark, root or ".", run_id, name, split or "", settings.public() if settings else None, plugin=d.name, strategy=d.label, question_count=asked.count(), qid=qid, limit=limit, resumed=exists(spark, path)
+        spark, root or ".", run_id, name, split or "", settings.public() if settings else None, plugin=d.name, strategy=d.label, question_count=asked.count(), qid=qid, limit=limit, resumed=finished(spark, path)
     )
     answer_batches(spark, asked, name, parsed, path, qid, make_client)
     order = read_questions(spark, questions, split)
@@ -96,10 +113,10 @@ def run_answers(spark: SparkSession, name: str, parsed: str, questions: str, spl
 
 
 def export(answers: DataFrame, base: str) -> None:
-    sinks.write_answers(answers, f"{base}/outputs/debug/answers")
-    sinks.write_evidence(answers, f"{base}/outputs/debug/evidence")
-    sinks.write_submission(answers, f"{base}/outputs/submission/answer")
-    sinks.write_usage(answers, f"{base}/outputs/debug/token_usage")
+    sinks.write_answers(answers, f"{base}/outputs/debug/answers.json")
+    sinks.write_evidence(answers, f"{base}/outputs/debug/evidence.json")
+    sinks.write_submission(answers, f"{base}/outputs/submission/answer.csv")
+    sinks.write_usage(answers, f"{base}/outputs/debug/token_usage.json")
     sinks.write_by_type(answers, f"{base}/outputs/by_type")
 
 
@@ -139,15 +156,13 @@ def main(argv: list[str] | None = None) -> None:
         for a in args:
             c.add_argument(a.rstrip("?"), required=not a.endswith("?"))
     a = p.parse_args(argv)
+    spark = SparkSession.builder.appName("evisift").getOrCreate()
     if a.command == "submission":
-        print(sinks.submission_path(a.run))
-        return
-    if a.command == "migrate":
-        for old, new in sinks.migrate_layout(a.run) if a.run else sinks.migrate_runs(a.runs):
+        print(sinks.submission_path(spark, a.run))
+    elif a.command == "migrate":
+        for old, new in sinks.migrate_layout(spark, a.run) if a.run else sinks.migrate_runs(spark, a.runs):
             print(old, "->", new)
-        return
-    spark = SparkSession.builder.appName("evisift").getOrCreate()
-    if a.command == "parse":
+    elif a.command == "parse":
         parse_domain(spark, a.domain, a.documents, a.questions, a.out)
     elif a.command == "index":
         index_domain(spark, a.domain, a.parsed)

@@ -19,27 +19,35 @@ from evisift.functions import constants as K
 from evisift.functions.text import tokenize
 from evisift.storage import materialize, spread
 
-#: A table of at most so many rows may be broadcast.
-BROADCAST_ROWS = 50_000
+#: A table of at most so many rows may be broadcast; one of so many pairs of keys.
+BROADCAST_ROWS, BROADCAST_PAIRS = 50_000, 200_000
 #: Begins the token of a row that carries a unit's length; how many such tokens there are.
 MARK, MARKS = chr(0), 1000
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if its size is within bounds; its rows are counted for that."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if its size is within bounds; its rows are counted for that. most: more for rows of a few numbers."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def measured(units: DataFrame, key: str, text: Column | str, keep: Sequence[str] = ()) -> DataFrame:
-    """(key, *keep, dl, tokens). Exploding an array of one keeps the optimiser from evaluating the tokens once for each use of theirs. The length is a column of its own before tokens are exploded: computed beside that it would carry the whole array along with every token."""
+    """(key, *keep, dl, tokens), the tokens sorted. Exploding an array of one keeps the optimiser from evaluating the tokens once for each use of theirs. The length is a column of its own before tokens are exploded: computed beside that it would carry the whole array along with every token."""
     rows = spread(units.select(key, *keep, (F.col(text) if isinstance(text, str) else text).alias("body")))
-    rows = rows.select(key, *keep, F.explode(F.array(tokenize("body"))).alias("tokens"))
+    rows = rows.select(key, *keep, F.explode(F.array(F.sort_array(tokenize("body")))).alias("tokens"))
     return rows.select(key, *keep, F.size("tokens").cast("bigint").alias("dl"), "tokens")
 
 
+def counted(rows: DataFrame, others: Sequence[str | Column], n: str) -> DataFrame:
+    """others, token and its count ``n`` in the row's sorted ``tokens``: lengths of the runs, so that nothing is shuffled."""
+    starts = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: (i == 0) | (F.get("tokens", i) != F.get("tokens", i - 1)))
+    rows = rows.filter(F.size("tokens") > 0).select(*others, "tokens", F.explode(F.array(starts)).alias("starts"))
+    runs = F.transform("starts", lambda s, k: F.struct(F.get("tokens", s).alias("token"), (F.coalesce(F.get("starts", k + 1), F.size("tokens")) - s).cast("bigint").alias(n)))
+    return rows.select(*others, F.inline(runs))
+
+
 def token_bag(df: DataFrame, key: str, text: Column | str) -> DataFrame:
-    """(key, token, n): how often each token occurs."""
-    return measured(df, key, text).select(key, F.explode("tokens").alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
+    """(key, token, n): how often each token occurs. Rows that share a key are added up."""
+    return counted(measured(df, key, text), [key], "n").groupBy(key, "token").agg(F.sum("n").alias("n"))
 
 
 def term_frequencies(units: DataFrame, key: str = "pos", text: Column | str = "text") -> DataFrame:
@@ -76,11 +84,20 @@ def index(units: DataFrame, key: str = "pos", text: Column | str = "text", keep:
     """Postings (key, *keep, dl, token, tf), with a row for each unit's length; of the tokens that are ``wanted`` only, if given. To be written and read by scores()."""
     rows = measured(units, key, text, keep)
     mark = F.concat(F.lit(MARK), F.pmod(F.xxhash64(key), F.lit(MARKS)).cast("string"))
-    rows = rows.select(key, *keep, "dl", F.explode(F.concat("tokens", F.array(mark))).alias("token"))
+    found = counted(rows, [key, *keep, "dl"], "tf")
     if wanted is not None:
-        marks = wanted.sparkSession.range(MARKS).select(F.concat(F.lit(MARK), F.col("id").cast("string")).alias("token"))
-        rows = rows.join(small(materialize(wanted.select("token").unionByName(marks), "wanted")), "token", "left_semi")
-    return rows.groupBy(key, *keep, "dl", "token").agg(F.count("*").alias("tf"))
+        found = found.join(small(materialize(wanted.select("token"), "wanted")), "token", "left_semi").select(*found.columns)
+    return found.unionByName(rows.select(key, *keep, "dl", mark.alias("token"), F.lit(1).cast("bigint").alias("tf")))
+
+
+def bag_and_postings(units: DataFrame | None, queries: DataFrame, key: str, text: Column | str, query: str, query_text: str, keep: Sequence[str], postings: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The queries' tokens (query, token, qtf), the postings of these, and those of all units' lengths."""
+    bag = materialize(token_bag(queries, query, query_text).withColumnRenamed("n", "qtf"), "bag")
+    wanted = bag.select("token").distinct()
+    if postings is None:
+        postings = materialize(index(units, key, text, keep, wanted), "postings")
+    mark = F.col("token").startswith(MARK)
+    return bag, postings.filter(~mark).join(small(wanted), "token", "left_semi"), postings.filter(mark)
 
 
 def scores(
@@ -88,13 +105,8 @@ def scores(
     keep: Sequence[str] = (), allowed: DataFrame | None = None, postings: DataFrame | None = None,
 ) -> DataFrame:
     """(query, key, *keep, score) of all units that share a token with a query. allowed: (query, doc_id), written already, of the documents that a query may have; doc_id is in ``keep`` then. Units of others are never scored, but lengths and statistics are of all units. postings: an index with ``keep``; else one of the queries' tokens is made of units."""
-    bag = materialize(token_bag(queries, query, query_text).withColumnRenamed("n", "qtf"), "bag")
-    wanted = bag.select("token").distinct()
-    if postings is None:
-        postings = materialize(index(units, key, text, keep, wanted), "postings")
-    stats = corpus_stats(postings.filter(F.col("token").startswith(MARK)))
-    tf = postings.filter(~F.col("token").startswith(MARK)).join(small(wanted), "token", "left_semi")
-    weights = document_frequencies(tf).crossJoin(F.broadcast(stats))  # one row
+    bag, tf, lengths = bag_and_postings(units, queries, key, text, query, query_text, keep, postings)
+    weights = document_frequencies(tf).crossJoin(F.broadcast(corpus_stats(lengths)))  # one row
     asked = materialize(bag.join(weights.select("token", idf().alias("idf"), "avgdl"), "token"), "asked")
     if allowed is None:
         hit = tf.join(small(asked), "token")
@@ -104,6 +116,74 @@ def scores(
     return hit.groupBy(query, key, *keep).agg(F.sum(term).alias("s")).select(query, key, *keep, (F.col("s") / F.lit(1e9)).alias("score"))
 
 
+#: Postings that the first pass takes: those of a query's so many tokens of the highest bounds with at least so much of the highest impact. Candidates of the first pass for each place.
+TOP_TOKENS, TOP_BLOCK, CANDIDATES = 12, 0.5, 3
+#: What the bounds of the tokens that the second pass leaves out may make of a threshold.
+LEFT_OUT = 0.25
+
+
+def best_scores(
+    units: DataFrame | None, queries: DataFrame, k: int, key: str = "pos", text: Column | str = "text", query: str = "query_id", query_text: str = "query_text", k1: float = K.K1, b: float = K.B,
+    keep: Sequence[str] = (), allowed: DataFrame | None = None, postings: DataFrame | None = None, factor: Column | None = None, where: Column | None = None, per_doc: bool = False, statistics: tuple[int, float, DataFrame] | None = None,
+) -> DataFrame:
+    """What scores() gives, times ``factor`` (of the columns ``keep``, positive), for all units that can be among a query's k best, ties included, and for few others. where: a condition on ``keep`` that units must meet. per_doc: with ``allowed``, also the best of each document of a query. statistics: units, mean length and (token, df) of an index that keeps them; else they are counted from the postings.
+
+    Each token has a bound, its highest impact on any unit. A first pass adds up the postings near their bounds alone and scores the units that lead by them; the k-th of these scores is a threshold. Tokens are taken from the highest bound down: once all bounds that are left sum up to less than the threshold, no unit that has only these can reach it, so their postings are not read for new units. Sums over the tokens before that point, and some more, plus the bounds that are left, drop most units; the rest are scored to the end. Nothing that can reach the threshold is dropped."""
+    bag, tf, lengths = bag_and_postings(units, queries, key, text, query, query_text, keep, postings)
+    n_units, avgdl, known = statistics or (*corpus_stats(lengths).first(), None)
+    norm = F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.greatest("dl", F.lit(1)) / F.lit(avgdl))
+    share = F.col("tf") * F.lit(k1 + 1) / norm
+    tokens = tf.groupBy("token").agg(F.count("*").alias("df"), F.max(share).alias("top"))
+    if known is not None:
+        tokens = tokens.drop("df").join(known, "token")
+    tokens = tokens.select("token", idf("df", F.lit(n_units)).alias("idf"), "top")
+    bound = F.ceil(F.col("qtf") * F.col("idf") * F.col("top") * F.lit(1e9)).cast("bigint") + 1
+    from_here = Window.partitionBy(query).orderBy("bound", F.desc("token")).rowsBetween(Window.unboundedPreceding, 0)
+    asked = bag.join(tokens, "token").withColumn("bound", bound).withColumn("upto", F.sum("bound").over(from_here))
+    asked = asked.withColumn("nth", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("bound"), "token")))
+    asked = materialize(asked, "asked")
+    if where is not None:
+        tf = tf.filter(where)
+    tf = tf.withColumn("factor", F.lit(1.0) if factor is None else factor)
+    found = reaching(tf, asked, k, query, key, keep, allowed, [], share, avgdl, k1, b)
+    if per_doc:
+        each = reaching(tf, asked, 1, query, key, keep, allowed, ["doc_id"], share, avgdl, k1, b)
+        found = found.unionByName(each).dropDuplicates([query, key])
+    return found
+
+
+def reaching(tf: DataFrame, asked: DataFrame, k: int, query: str, key: str, keep: Sequence[str], allowed: DataFrame | None, within: list[str], share: Column, avgdl: float, k1: float, b: float) -> DataFrame:
+    """best_scores' rows for the k best of each query, or of each query and document (within: doc_id)."""
+    term = term_score(F.col("qtf"), F.col("idf"), F.col("tf"), F.col("dl"), F.lit(avgdl), k1, b)
+    group, unit = [query, *within], [query, key, *keep, "factor"]
+    score = lambda s: s / F.lit(1e9) * F.col("factor")
+    on = ["token"] if allowed is None else ["token", "doc_id"]
+    scoped = asked if allowed is None else asked.join(allowed, query)
+    first = scoped.filter(F.col("nth") <= TOP_TOKENS)
+    tops = first.select("token", F.col("top").alias("top_of_token")).distinct()
+    lead = tf.join(small(tops), "token").filter(share >= F.lit(TOP_BLOCK) * F.col("top_of_token"))
+    lead = lead.join(small(first), on).groupBy(*unit).agg(F.sum(term).alias("s"))
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(score(F.col("s")).desc(), key))
+    lead = materialize(lead.withColumn("place", place).filter(F.col("place") <= CANDIDATES * k).select(*unit), "lead")
+    whole = tf.join(small(lead.select(query, key)), key).join(small(asked), [query, "token"])
+    whole = whole.groupBy(*unit).agg(F.sum(term).alias("s")).withColumn("score", score(F.col("s")))
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("score"), key))
+    least = whole.withColumn("place", place).filter(F.col("place") == k).select(*group, F.col("score").alias("least"))
+    least = materialize(least, "least")
+    # bounds are of scores without the factor
+    most = tf.agg(F.max("factor")).first()[0] or 1.0
+    scoped = scoped.join(small(least), group, "left").fillna(0.0, ["least"])
+    early = F.col("upto") / F.lit(1e9) * F.lit(most) >= F.col("least") * F.lit(LEFT_OUT)
+    late = F.sum(F.when(~early, F.col("bound")).otherwise(0)).over(Window.partitionBy(*group, *([] if within or allowed is None else ["doc_id"])))
+    scoped = materialize(scoped.withColumn("early", early).withColumn("late", late), "scoped")
+    summed = tf.join(small(scoped.filter("early")), on).groupBy(*unit).agg(F.sum(term).alias("s"), F.first("late").alias("late"), F.first("least").alias("least"))
+    left = materialize(summed.filter(score(F.col("s") + F.col("late")) >= F.col("least")), "left")
+    rest = scoped.filter(~F.col("early")).select(query, *on, "qtf", "idf")
+    more = tf.join(small(left.select(query, key), BROADCAST_PAIRS), key).join(small(rest), [query, *on]).select(*unit, term.alias("s"))
+    out = left.select(*unit, "s").unionByName(more).groupBy(*unit).agg(F.sum("s").alias("s"))
+    return out.select(query, key, *keep, score(F.col("s")).alias("score"))
+
+
 def top_k(scored: DataFrame, k: int, key: str = "pos", query: str = "query_id") -> DataFrame:
     """The k best units of each query, ties in the order of the units."""
     rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), key))

@@ -11,7 +11,7 @@ from evisift.functions import constants as K
 from evisift.functions.answers import clean_answer, compose, format_hits, json_object, needs_fallback
 from evisift.functions.text import best_number, contains_any, metric_key, strip, unit_quality
 from evisift.operators.evaluation import TOKENS
-from evisift.sources.model import Client, call_model
+from evisift.sources.model import Calling, Client, call_model
 
 # --- fixed values: the prompts' wording -------------------------------------
 ASK_LABEL = '请输出 JSON，格式为 {"label": true/false, "reasoning_summary": "...", "used_evidence_ids": [1,2]}。'
@@ -61,11 +61,11 @@ def label_prompt(context: str, shown: int) -> Column:
     return F.concat_ws("\n\n", *parts, F.concat(F.lit("证据：\n"), format_hits("hits", shown)), F.lit(ASK_LABEL))
 
 
-def _asked(prompts: DataFrame, make_client: Callable[[], Client], keys: list[str], tries: int, again: str, good: Column, written: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _asked(prompts: DataFrame, make_client: Calling | Callable[[], Client], keys: list[str], tries: int, again: str, good: Column, written: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Replies to prompts (keys, system, user): asked again, with a remark, as long as ``good`` doesn't hold. Usage is summed over all calls. ``written`` stores each round's replies, so that no call is made twice."""
     out, left = None, prompts
     for attempt in range(tries):
-        got = written(call_model(left, make_client, keys)).withColumn("payload", json_object("content")).withColumn("attempt", F.lit(attempt))
+        got = written(call_model(left, make_client, keys, attempt)).withColumn("payload", json_object("content")).withColumn("attempt", F.lit(attempt))
         out = got if out is None else out.unionByName(got)
         if attempt + 1 < tries:
             bad = got.filter(~F.coalesce(good, F.lit(False))).withColumn("broken", F.col("payload").isNull())
@@ -74,7 +74,7 @@ def _asked(prompts: DataFrame, make_client: Callable[[], Client], keys: list[str
     return out.groupBy(*keys).agg(last["payload"].alias("payload"), *[F.sum(c).alias(c) for c in TOKENS])
 
 
-def judge_options(opts: DataFrame, make_client: Callable[[], Client], system: str, context: str, shown: int, tries: int, written: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def judge_options(opts: DataFrame, make_client: Calling | Callable[[], Client], system: str, context: str, shown: int, tries: int, written: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """opts (with hits, and rule_label where there are rules) with label, reasoning and usage. Options that a rule has decided are not asked about. A reply that stays unreadable is an error."""
     ruled = F.col("rule_label").isNotNull() if "rule_label" in opts.columns else F.lit(False)
     ask = opts.filter(~ruled).select("qid", "option", F.lit(system).alias("system"), label_prompt(context, shown).alias("user"))
@@ -109,7 +109,7 @@ def answers(questions: DataFrame, judged: DataFrame) -> DataFrame:
     return out.withColumn("pred_answer", compose("answer_format", "selected")).withColumn("fallback", needs_fallback("answer_format", "selected"))
 
 
-def fall_back(composed: DataFrame, make_client: Callable[[], Client], single: str, multiple: str, tries: int, written: Callable[[DataFrame], DataFrame], plain: bool = False) -> DataFrame:
+def fall_back(composed: DataFrame, make_client: Calling | Callable[[], Client], single: str, multiple: str, tries: int, written: Callable[[DataFrame], DataFrame], plain: bool = False) -> DataFrame:
     """composed with the answers of questions that need the fallback asked for: the allowed letters of the reply, one of them for single choice, the first option if none. plain: prompts of their own for single and multiple choice, of a reply to single choice its first letter counts, and A stands if nothing is left."""
     allowed = F.array_sort(F.map_keys("options"))
     one = F.col("answer_format") == "mcq"
@@ -133,7 +133,7 @@ def fall_back(composed: DataFrame, make_client: Callable[[], Client], single: st
     return out.drop("asked", "fallback", "selected", "payloads", *[f"more_{c}" for c in TOKENS])
 
 
-def judge_whole(questions: DataFrame, make_client: Callable[[], Client], system: str, hint: str, shown: int, written: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def judge_whole(questions: DataFrame, make_client: Calling | Callable[[], Client], system: str, hint: str, shown: int, written: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """questions (with hits) answered by one call each; the labels follow from the answer. True-or-false answers are not forced to A or B."""
     lines = F.array_join(F.transform(F.map_entries("options"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
     hinted = F.when(contains_any(F.concat("type", "question"), K.CALCULATION_KEYWORDS), hint).otherwise("")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from evisift.functions import constants as K
 from evisift.functions.text import searchable_text
-from evisift.operators.bm25 import index, scores, small
+from evisift.operators.bm25 import best_scores, index, small
 from evisift.storage import materialize
 
 
@@ -28,11 +28,16 @@ class RetrieverSettings:
     cap: int | None = None  # rows after the neighbours; top_k if None
 
 
-def boosted(scored: DataFrame, boosts: dict[str, float], kind: str = "unit_type") -> DataFrame:
+def boost(boosts: dict[str, float], kind: str = "unit_type") -> Column:
+    """What a unit's scores are multiplied by."""
     factor = F.lit(1.0)
     for unit_type, value in boosts.items():
         factor = F.when(F.col(kind) == unit_type, F.lit(float(value))).otherwise(factor)
-    return scored.withColumn("score", F.col("score") * factor)
+    return factor
+
+
+def boosted(scored: DataFrame, boosts: dict[str, float], kind: str = "unit_type") -> DataFrame:
+    return scored.withColumn("score", F.col("score") * boost(boosts, kind))
 
 
 def select_hits(scored: DataFrame, k: int, ensure_per_doc: Column | bool = False, query: str = "query_id") -> DataFrame:
@@ -81,8 +86,7 @@ def unit_index(units: DataFrame, settings: RetrieverSettings) -> DataFrame:
 def search(units: DataFrame, queries: DataFrame, settings: RetrieverSettings, query: str = "query_id", postings: DataFrame | None = None) -> DataFrame:
     """Evidence of each query (query_id, query_text, doc_ids array<string>): expand_neighbours' columns with the units' title_path, text and metadata. Only units of a query's documents are scored for it; units themselves are read for the hits alone."""
     allowed = materialize(queries.select(query, F.explode("doc_ids").alias("doc_id")).distinct(), "allowed")
-    scored = scores(units, queries.select(query, "query_text"), text=searched(settings), query=query, keep=KEPT, allowed=allowed, postings=postings)
-    scored = boosted(scored, settings.boosts)
+    scored = best_scores(units, queries.select(query, "query_text"), settings.top_k, text=searched(settings), query=query, keep=KEPT, allowed=allowed, postings=postings, factor=boost(settings.boosts), per_doc=settings.ensure_per_doc)
     flag: Column | bool = False
     if settings.ensure_per_doc:
         many = allowed.groupBy(query).agg((F.count("*") > 1).alias("many"))

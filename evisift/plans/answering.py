@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evisift.operators.decisions import HIT, answers, fall_back, judge_options, judge_whole, options, rule_labels
 from evisift.operators.retrieval import search
 from evisift.plans.domains import Domain
-from evisift.sources.model import Client
+from evisift.sources.model import Calling, Client
 
 
 def collected(found: DataFrame, query: str = "query_id") -> DataFrame:
@@ -32,9 +32,9 @@ def asked_rows(questions: DataFrame, d: Domain) -> DataFrame:
     return questions.withColumn("query_id", F.col("qid")).withColumn("query_text", F.concat_ws("\n", "question", F.to_json("options")))
 
 
-def answer(questions: DataFrame, units: DataFrame, d: Domain, make_client: Callable[[], Client], written: Callable[[DataFrame], DataFrame], postings: DataFrame | None = None) -> DataFrame:
-    """A row for each question: qid, domain, question_type, pred_answer, option_labels, evidence_items, reasoning_summary, usage, debug_meta. written stores a table and reads it again; postings: the units' index."""
-    rows = with_hits(asked_rows(questions, d), units, d, postings)
+def answer(questions: DataFrame, units: DataFrame, d: Domain, make_client: Calling | Callable[[], Client], written: Callable[[DataFrame], DataFrame], postings: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """A row for each question: qid, domain, question_type, pred_answer, option_labels, evidence_items, reasoning_summary, usage, debug_meta. written stores a table and reads it again; postings: the units' index; rows: what with_hits() has found for the questions already, and for others."""
+    rows = with_hits(asked_rows(questions, d), units, d, postings) if rows is None else rows.join(questions.select("qid"), "qid", "left_semi")
     if d.whole:
         out = judge_whole(rows, make_client, d.prompts.judge, d.prompts.context, d.shown, written)
     else:

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from evisift.functions import answers as A
 from evisift.functions import constants as K
 from evisift.functions import text as T
-from evisift.operators import bm25, decisions, evaluation, retrieval, sections
+from evisift.operators import bm25, decisions, evaluation, retrieval, sections, segments
 from evisift.plans.answering import answer
 from evisift.plans.domains import DOMAINS, build_units
 from evisift.sources.documents import manifest, referenced
-from evisift.storage import materialize, running, spread
+from evisift.storage import materialize, new_path, running, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,9 +45,10 @@ def docs_and_questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
     return units, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
 
 
-def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def best_documents(spark: SparkSession, sf_dir: str, **how: object) -> DataFrame:
     units, queries = docs_and_questions(spark, sf_dir)
-    return bm25.scores(units.withColumnsRenamed({"lang": "unit_type", "source": "doc_id"}), queries, keep=("doc_id", "unit_type"))
+    units = units.withColumnsRenamed({"lang": "unit_type", "source": "doc_id"})
+    return bm25.best_scores(units, queries, TOP, keep=("doc_id", "unit_type"), **how)
 
 
 def own_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,17 +78,37 @@ RANKED = "SELECT query_id, pos, score, rank::INT AS rank FROM (SELECT *, row_num
 @query(SCORED + RANKED.format("s"))
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     units, queries = docs_and_questions(spark, sf_dir)
-    return bm25.top_k(bm25.scores(units.select("pos", "text"), queries), TOP).select("query_id", "pos", "score", "rank")
+    return bm25.top_k(bm25.best_scores(units.select("pos", "text"), queries, TOP), TOP).select("query_id", "pos", "score", "rank")
 
 
 @query(SCORED + RANKED.format("(SELECT * FROM s WHERE lang = 'en')"))
 def bm25_scoped_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.top_k(scored_documents(spark, sf_dir).filter("unit_type = 'en'"), TOP).select("query_id", "pos", "score", "rank")
+    return bm25.top_k(best_documents(spark, sf_dir, where=F.col("unit_type") == "en"), TOP).select("query_id", "pos", "score", "rank")
 
 
 @query(SCORED + RANKED.format("(SELECT query_id, pos, score * CASE lang WHEN 'de' THEN 1.8e0 WHEN 'fr' THEN 1.1e0 ELSE 1e0 END AS score FROM s)"))
 def bm25_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.top_k(retrieval.boosted(scored_documents(spark, sf_dir), BOOSTS), TOP).select("query_id", "pos", "score", "rank")
+    return bm25.top_k(best_documents(spark, sf_dir, factor=retrieval.boost(BOOSTS)), TOP).select("query_id", "pos", "score", "rank")
+
+
+@query(
+    SCORED.replace("FROM documents)", "FROM (SELECT doc_id, lang, source, CASE WHEN doc_id % 6 = 0 THEN text || ' again ' || text ELSE text END AS text FROM documents WHERE doc_id % 10 <> 0))", 1)
+    + RANKED.format("s")
+)
+def maintained_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of half of the documents; the others are added, every tenth is deleted, every sixth changed, all is compacted and changed back and again: what is found is what an index of the final documents finds."""
+    units, queries = docs_and_questions(spark, sf_dir)
+    units = units.select("pos", "text")
+    changed = units.filter("pos % 6 = 0").withColumn("text", F.concat("text", F.lit(" again "), "text"))
+    kept = segments.MaintainedIndex(spark, new_path(spark, "index"))
+    kept.change(units.filter("pos % 2 = 0"))
+    kept.change(changed)
+    kept.change(units.filter("pos % 2 = 1"), units.filter("pos % 10 = 0").select("pos"))
+    kept.compact()
+    kept.change(units.filter("pos % 6 = 0 AND pos % 10 <> 0"))
+    kept.change(changed.filter("pos % 10 <> 0"))
+    now = kept.statistics()
+    return bm25.top_k(bm25.best_scores(None, queries, TOP, postings=kept.postings(), statistics=(now.n_units, now.avgdl, now.df)), TOP).select("query_id", "pos", "score", "rank")
 
 
 OWN = """,
@@ -99,8 +120,7 @@ h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
 
 @query(SCORED + SELECTED + "SELECT query_id, source AS doc_id, pos, score, sel::INT AS sel FROM h")
 def bm25_ensure_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units, queries = docs_and_questions(spark, sf_dir)
-    scored = bm25.scores(units.withColumnRenamed("source", "doc_id"), queries, keep=("doc_id",), allowed=materialize(own_sources(spark, sf_dir), "allowed"))
+    scored = best_documents(spark, sf_dir, allowed=materialize(own_sources(spark, sf_dir), "allowed"), per_doc=True)
     return retrieval.select_hits(scored, TOP, True).select("query_id", "doc_id", "pos", "score", "sel")
 
 
@@ -116,7 +136,7 @@ SELECT query_id, pos, score, is_neighbour, rank::INT AS rank FROM (SELECT *, row
 def bm25_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     units, queries = docs_and_questions(spark, sf_dir)
     units = units.select("pos", F.col("pos").cast("string").alias("unit_id"), F.col("source").alias("doc_id"), "text")
-    hits = retrieval.select_hits(bm25.scores(units, queries, keep=("doc_id",)), TOP).withColumn("unit_id", F.col("pos").cast("string"))
+    hits = retrieval.select_hits(bm25.best_scores(units, queries, TOP, keep=("doc_id",)), TOP).withColumn("unit_id", F.col("pos").cast("string"))
     return retrieval.expand_neighbours(hits, units, None, TOP).select("query_id", "pos", "score", "is_neighbour", "rank")
 
 
@@ -502,21 +522,25 @@ def run_names_and_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """benchmark as questions with four options of 30 characters, and the first three sources."""
+    """benchmark as questions with the quarters of their text as options, and documents of their own."""
     text = F.regexp_replace("text", r"\s+", " ")
-    opts = F.create_map(*[x for i, o in enumerate("ABCD") for x in (F.lit(o), F.concat(F.lit(o), F.substring(text, 30 * i + 1, 30 - i), F.lit(o)))])
+    quarter = F.floor(F.length(text) / 4).cast("int")
+    opts = F.create_map(*[x for i, o in enumerate("ABCD") for x in (F.lit(o), F.concat(F.lit(o), F.substr(text, quarter * i + 1, quarter), F.lit(o)))])
     kind = F.element_at(F.array(F.lit("mcq"), F.lit("multi"), F.lit("tf")), (F.col("item_id") % 3 + 1).cast("int"))
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("qid"), F.substring(text, 1, 60).alias("question"), opts.alias("options"), kind.alias("answer_format"), F.lit("t").alias("type"), F.array(*[F.lit(f"src{i}") for i in range(3)]).alias("doc_ids"), F.col("item_id").alias("ord"))
+    own = own_sources(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_list("doc_id")).alias("doc_ids"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.col("item_id").cast("string").alias("qid"), text.alias("question"), opts.alias("options"), kind.alias("answer_format"), F.lit("t").alias("type"), F.col("item_id").alias("ord"))
+    return rows.join(own.withColumnRenamed("query_id", "item_id"), "item_id").drop("item_id")
 
 
-BENCHMARK = r"""WITH b AS (SELECT item_id, regexp_replace(text, '\s+', ' ', 'g') AS t, ['mcq', 'multi', 'tf'][(item_id % 3 + 1)::INT] AS kind FROM benchmark),
-o AS (SELECT item_id, kind, left(t, 60) AS question, o, o || substr(t, 30 * i + 1, 30 - i) || o AS option_text FROM b, (VALUES (0, 'A'), (1, 'B'), (2, 'C'), (3, 'D')) v(i, o))"""
+BENCHMARK = r"""b AS (SELECT item_id, regexp_replace(text, '\s+', ' ', 'g') AS t, ['mcq', 'multi', 'tf'][(item_id % 3 + 1)::INT] AS kind FROM benchmark),
+op AS (SELECT item_id, kind, t AS question, o, o || substr(t, i * (length(t) // 4) + 1, length(t) // 4) || o AS option_text FROM b, (VALUES (0, 'A'), (1, 'B'), (2, 'C'), (3, 'D')) v(i, o))"""
 
 
 @query(
-    BENCHMARK
+    "WITH "
+    + BENCHMARK
     + """ SELECT item_id::VARCHAR AS qid, o AS option, md5('题目：' || question || chr(10) || chr(10) || '题型：' || kind || chr(10) || chr(10) || '选项 ' || o || '：' || option_text || chr(10) || chr(10) || 'ctx' || chr(10) || chr(10)
-|| '证据：' || chr(10) || '[1] d | T > ' || kind || chr(10) || question || chr(10) || chr(10) || '请输出 JSON，格式为 {"label": true/false, "reasoning_summary": "...", "used_evidence_ids": [1,2]}。') AS prompt_md5 FROM o"""
+|| '证据：' || chr(10) || '[1] d | T > ' || kind || chr(10) || question || chr(10) || chr(10) || '请输出 JSON，格式为 {"label": true/false, "reasoning_summary": "...", "used_evidence_ids": [1,2]}。') AS prompt_md5 FROM op"""
 )
 def option_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decisions.options(benchmark_questions(spark, sf_dir))
@@ -525,33 +549,53 @@ def option_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def counting_client() -> Callable:
-    """Deterministic replies: an option is true if its text has an odd length; C where options don't decide."""
+    """Deterministic replies: an option is true if its evidence, as it stands in the prompt, and its text have an odd length together; C where options don't decide."""
 
     def ask(messages: list[dict[str, str]]) -> tuple[str, dict[str, int]]:
         text = messages[1]["content"]
         if "选项摘要" in text:
             return json.dumps({"answer": "c"}), {"prompt_tokens": 3, "completion_tokens": 1, "total_tokens": 4}
-        n = len(re.search(r"选项 [A-D]：(.*?)\n\n", text, re.S)[1])
+        n = len(re.search(r"选项 [A-D]：(.*?)\n\n", text, re.S)[1]) + len(text[text.index("证据：\n") + 4 : text.rindex("\n\n请输出 JSON")])
         return json.dumps({"label": n % 2 == 1, "reasoning_summary": str(n)}), {"prompt_tokens": n, "completion_tokens": 1, "total_tokens": n + 1}
 
     return ask
 
 
 @query(
-    BENCHMARK
-    + """, l AS (SELECT *, length(option_text) % 2 = 1 AS label, length(option_text) + 1 AS used FROM o),
-q AS (SELECT item_id, kind, list_sort(list(o) FILTER (label)) AS sel, sum(used)::BIGINT AS used, string_agg(o || ': ' || (used - 1), ' | ' ORDER BY o) AS reasons, string_agg(o || '=' || label::VARCHAR, ',' ORDER BY o) AS labels FROM l GROUP BY item_id, kind),
-f AS (SELECT *, (kind = 'mcq' AND coalesce(len(sel), 0) <> 1) OR (kind = 'multi' AND coalesce(len(sel), 0) = 0) AS fallback FROM q)
+    INDEX.replace(TOKENS.format("text") + " AS tok", TOKENS.format("source || ' ' || coalesce(text, '')") + " AS tok")
+    + ",\n"
+    + BENCHMARK
+    + f""",
+oq AS (SELECT item_id, item_id || '#' || o AS query_id, question || chr(10) || option_text AS query_text FROM op),
+q AS (SELECT query_id, token, count(*) AS qtf FROM (SELECT query_id, unnest({TOKENS.format("query_text")}) AS token FROM oq) GROUP BY ALL),
+own AS (SELECT query_id, n.source FROM oq JOIN (SELECT source, row_number() OVER (ORDER BY source) - 1 AS place FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)) n ON item_id % 7 = place % 7),
+sc AS (SELECT query_id, tf.pos, sum(round(qtf * (idf * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * greatest(dl, 1) / avgdl))) * 1e9)::BIGINT)::BIGINT / 1e9 AS score
+       FROM q JOIN tf USING (token) JOIN w USING (token) JOIN l ON l.pos = tf.pos GROUP BY query_id, tf.pos),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, pos) = 1 AS first FROM (SELECT sc.*, source FROM sc JOIN l USING (pos)) SEMI JOIN own USING (query_id, source)),
+many AS (SELECT query_id FROM own GROUP BY query_id HAVING count(*) > 1),
+h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first AND query_id IN (FROM many) DESC, score DESC, pos) AS sel FROM f) WHERE sel <= 7),
+n AS (SELECT query_id, l.pos, greatest(score - 0.1e0, 0.01e0) AS score, sel, d, row_number() OVER (PARTITION BY query_id, l.pos ORDER BY sel, d) AS r
+      FROM h, (VALUES (-1), (1)) e(d) JOIN l ON l.pos = h.pos + d WHERE EXISTS (SELECT 1 FROM own WHERE own.query_id = h.query_id AND own.source = l.source) AND NOT EXISTS (SELECT 1 FROM h x WHERE x.query_id = h.query_id AND x.pos = l.pos)),
+a AS (SELECT query_id, pos, score, sel, 0 AS d, false AS is_neighbour FROM h UNION ALL SELECT query_id, pos, score, sel, d, true FROM n WHERE r = 1),
+e AS (SELECT * FROM (SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, is_neighbour, sel, d) AS rank FROM a) WHERE rank <= 7),
+ev AS (SELECT query_id, string_agg('[' || rank || '] ' || source || ' | ' || source || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS evidence, list(pos::VARCHAR ORDER BY rank) AS ids FROM e JOIN documents ON doc_id = pos GROUP BY query_id),
+lb AS (SELECT op.*, length(coalesce(evidence, '')) + length(option_text) AS n, coalesce(ids, []) AS ids FROM op LEFT JOIN ev ON ev.query_id = item_id || '#' || o),
+g AS (SELECT item_id, kind, list_sort(list(o) FILTER (n % 2 = 1)) AS sel, sum(n + 1)::BIGINT AS used, string_agg(o || ': ' || n, ' | ' ORDER BY o) AS reasons, string_agg(o || '=' || (n % 2 = 1)::VARCHAR, ',' ORDER BY o) AS labels,
+  flatten(list(ids[1:3] ORDER BY o) FILTER (n % 2 = 1)) AS kept, list(ids[1:3] ORDER BY o)[1] AS first_kept FROM lb GROUP BY item_id, kind),
+k AS (SELECT *, (kind = 'mcq' AND coalesce(len(sel), 0) <> 1) OR (kind = 'multi' AND coalesce(len(sel), 0) = 0) AS fallback FROM g)
 SELECT item_id::VARCHAR AS qid, CASE WHEN fallback THEN 'C' WHEN kind = 'tf' THEN CASE WHEN list_contains(sel, 'A') THEN 'A' ELSE 'B' END WHEN kind = 'mcq' THEN sel[1] ELSE array_to_string(sel, '') END AS pred_answer,
-  labels, reasons AS reasoning_summary, used + CASE WHEN fallback THEN 4 ELSE 0 END AS total_tokens FROM f"""
+  labels, reasons AS reasoning_summary, used + CASE WHEN fallback THEN 4 ELSE 0 END AS total_tokens, array_to_string(CASE WHEN coalesce(len(kept), 0) > 0 THEN kept ELSE first_kept END, ',') AS evidence FROM k"""
 )
 def judged_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions to answers: search, prompts, a client, composition, fallback and token accounting."""
-    units = docs_and_questions(spark, sf_dir)[0]
-    units = units.select("pos", F.col("pos").cast("string").alias("unit_id"), F.col("source").alias("doc_id"), F.lit("paragraph").alias("unit_type"), F.array("source").alias("title_path"), "text", sections.metadata().alias("metadata"))
-    got = answer(benchmark_questions(spark, sf_dir), units, DOMAINS["financial_contracts"], counting_client, lambda t: materialize(t, "calls"))
+    """Questions to answers: search, prompts, a client whose replies follow from the evidence, composition, fallback, token accounting and the evidence kept."""
+    return judged(benchmark_questions(spark, sf_dir), docs_and_questions(spark, sf_dir)[0])
+
+
+def judged(questions: DataFrame, documents: DataFrame) -> DataFrame:
+    units = documents.select("pos", F.col("pos").cast("string").alias("unit_id"), F.col("source").alias("doc_id"), F.lit("paragraph").alias("unit_type"), F.array("source").alias("title_path"), "text", sections.metadata().alias("metadata"))
+    got = answer(questions, units, DOMAINS["financial_contracts"], counting_client, lambda t: materialize(t, "calls"))
     labels = F.array_join(F.transform(F.array_sort(F.map_entries("option_labels")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
-    return got.select("qid", "pred_answer", labels.alias("labels"), "reasoning_summary", "total_tokens")
+    return got.select("qid", "pred_answer", labels.alias("labels"), "reasoning_summary", "total_tokens", F.array_join(F.col("evidence_items.unit_id"), ",").alias("evidence"))
 
 
 @query(ANSWERED + "SELECT a.qid, coalesce(g.ord, 1000000000) AS place FROM a LEFT JOIN (SELECT conv_id::VARCHAR AS qid, conv_id * 2 AS ord FROM c WHERE conv_id % 3 = 0) g USING (qid)")

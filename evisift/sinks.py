@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import json
 from datetime import UTC, datetime
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evisift.operators.evaluation import TOKENS, summary_and_detail, token_totals
-from evisift.storage import exists, write_text
+from evisift.storage import exists, file_system, finished, one_file, write_text
 
 FOLDERS = ("meta", "outputs/submission", "outputs/debug", "outputs/by_type", "analysis")
 
@@ -21,8 +20,14 @@ def evidence_records(answers: DataFrame) -> DataFrame:
     return answers.select("qid", "pred_answer", "question_type", "option_labels", "reasoning_summary", "evidence_items", usage, "debug_meta")
 
 
+def json_line(*columns: str) -> Column:
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
 def write_answers(answers: DataFrame, path: str) -> None:
-    answers.orderBy("ord").write.mode("overwrite").json(path)
+    """One JSON file: an array of the answers, in order."""
+    rows = answers.select(F.col("ord").alias("place"), json_line(*[c for c in answers.columns if c != "ord"]).alias("line"))
+    one_file(rows, path, "[\n", ",", "]\n")
 
 
 def evidence_map(answers: DataFrame) -> DataFrame:
@@ -32,13 +37,17 @@ def evidence_map(answers: DataFrame) -> DataFrame:
 
 
 def write_evidence(answers: DataFrame, path: str) -> None:
-    evidence_records(answers).write.mode("overwrite").json(path)
+    """One JSON file: an object that has each question's evidence chain under its id."""
+    rows = evidence_map(answers).join(answers.select("qid", F.col("ord").alias("place")), "qid")
+    name = F.regexp_replace(F.to_json(F.array("qid")), r"^\[|\]$", "")
+    one_file(rows.select("place", F.concat(name, F.lit(": "), "evidence").alias("line")), path, "{\n", ",", "}\n")
 
 
 def write_submission(answers: DataFrame, path: str) -> None:
     """One CSV file with a header, the summary row first."""
-    rows = summary_and_detail(answers).coalesce(1).sortWithinPartitions("place").drop("place")
-    rows.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    rows = summary_and_detail(answers)
+    names = [c for c in rows.columns if c != "place"]
+    one_file(rows.select("place", F.to_csv(F.struct(*names), {"emptyValue": ""}).alias("line")), path, ",".join(names) + "\n")
 
 
 def write_by_type(answers: DataFrame, path: str) -> None:
@@ -49,7 +58,8 @@ def write_by_type(answers: DataFrame, path: str) -> None:
 
 
 def write_usage(answers: DataFrame, path: str) -> None:
-    token_totals(answers).coalesce(1).write.mode("overwrite").json(path)
+    """One JSON file: an object of the sums."""
+    write_text(answers.sparkSession, path, json.dumps(token_totals(answers).first().asDict(), indent=2))
 
 
 def write_traces(traces: DataFrame, path: str) -> None:
@@ -62,8 +72,8 @@ def append_checkpoint(answers: DataFrame, path: str, batch: int) -> None:
 
 
 def checkpoint(spark: SparkSession, path: str) -> DataFrame | None:
-    """The last answer to each question, or None if there is none yet. path: on any file system that Spark knows."""
-    if not exists(spark, path):
+    """The last answer to each question, or None if there is none yet, or only what a broken write has left. path: on any file system that Spark knows."""
+    if not finished(spark, path):
         return None
     rows = spark.read.parquet(path)
     last = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("batch")))
@@ -94,10 +104,10 @@ def run_layout(spark: SparkSession, root: str, run_id: str, domain: str, split:
     return base
 
 
-def submission_path(run: str) -> Path:
-    """The submission of a run, in its own folder or, in older runs, at the top."""
-    for p in (Path(run) / "outputs/submission/answer.csv", Path(run) / "answer.csv"):
-        if p.exists():
+def submission_path(spark: SparkSession, run: str) -> str:
+    """The submission of a run, in its own folder or, in older runs, at the top. run: on any file system that Spark knows."""
+    for p in (f"{run.rstrip('/')}/outputs/submission/answer.csv", f"{run.rstrip('/')}/answer.csv"):
+        if exists(spark, p):
             return p
     raise FileNotFoundError(f"no submission in {run}")
 
@@ -106,29 +116,31 @@ def submission_path(run: str) -> Path:
 MOVES = {"answer.csv": "outputs/submission", "answers.json": "outputs/debug", "evidence.json": "outputs/debug", "token_usage.json": "outputs/debug", "logs.jsonl": "outputs/debug", "metrics.json": "analysis", "wrong_cases.json": "analysis", "run_config.json": "meta"}
 
 
-def migrate_layout(run: str) -> list[tuple[str, str]]:
-    """Moves the files of a flat run into the folders, and deals its answers to a file for each question type; what is there already stays."""
-    done = []
+def migrate_layout(spark: SparkSession, run: str) -> list[tuple[str, str]]:
+    """Moves the files of a flat run into the folders, and deals its answers to a file for each question type; what is there already stays. run: on any file system that Spark knows."""
+    done, run = [], run.rstrip("/")
+    fs, _ = file_system(spark, run)
+    path = lambda name: file_system(spark, f"{run}/{name}")[1]
     for name, folder in MOVES.items():
-        old, new = Path(run) / name, Path(run) / folder / name
-        if old.exists() and not new.exists():
-            new.parent.mkdir(parents=True, exist_ok=True)
-            old.rename(new)
-            done.append((str(old), str(new)))
-    answers = Path(run) / "outputs/debug/answers.json"
-    if answers.exists():
-        kinds: dict[str, list[dict]] = {}
-        for row in json.loads(answers.read_text(encoding="utf-8")):
-            kinds.setdefault(str(row.get("question_type", "unknown")), []).append(row)
-        for kind, rows in kinds.items():
-            new = Path(run) / f"outputs/by_type/{kind}/answers.json"
-            if not new.exists():
-                new.parent.mkdir(parents=True, exist_ok=True)
-                new.write_text(json.dumps(rows, ensure_ascii=False, indent=2), encoding="utf-8")
-                done.append((str(answers), str(new)))
+        if fs.exists(path(name)) and not fs.exists(path(f"{folder}/{name}")):
+            fs.mkdirs(path(folder))
+            if not fs.rename(path(name), path(f"{folder}/{name}")):
+                raise OSError(f"{run}/{name} could not be moved to {folder}")
+            done.append((f"{run}/{name}", f"{run}/{folder}/{name}"))
+    answers = f"{run}/outputs/debug/answers.json"
+    if exists(spark, answers):
+        rows = spark.read.text(answers, wholetext=True).select(F.posexplode(F.from_json("value", "array<string>")).alias("place", "line"))
+        rows = rows.withColumn("kind", F.coalesce(F.get_json_object("line", "$.question_type"), F.lit("unknown")))
+        for r in rows.select("kind").distinct().orderBy("kind").collect():  # the types of questions
+            new = f"outputs/by_type/{r.kind}/answers.json"
+            if not fs.exists(path(new)):
+                one_file(rows.filter(F.col("kind") == r.kind), f"{run}/{new}", "[\n", ",", "]\n")
+                done.append((answers, f"{run}/{new}"))
     return done
 
 
-def migrate_runs(root: str) -> list[tuple[str, str]]:
+def migrate_runs(spark: SparkSession, root: str) -> list[tuple[str, str]]:
     """migrate_layout of every run below root."""
-    return [move for run in sorted(Path(root).iterdir()) if run.is_dir() for move in migrate_layout(str(run))]
+    fs, where = file_system(spark, root)
+    runs = sorted(s.getPath().toString() for s in fs.listStatus(where) if s.isDirectory())
+    return [move for run in runs for move in migrate_layout(spark, run)]

@@ -6,7 +6,8 @@ import atexit
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,24 +55,74 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
-def store(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """df written to the shared folder and read back, and where: the lineage is cut, and the loss of an executor costs nothing that is written. The files go when the driver's Python ends, or by remove() before."""
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a folder has a part file that a job has finished; one that broke off leaves none."""
+    fs, where = file_system(spark, path)
+    return fs.exists(where) and any(s.getPath().getName().startswith("part-") for s in fs.listStatus(where))
+
+
+def one_file(lines: DataFrame, path: str, head: str = "", between: str = "", tail: str = "", order: Sequence[str] = ("place",), line: str = "line") -> None:
+    """lines as one text file, in order, with ``between`` before all lines but the first; on any file system that Spark knows. The parts are written by Spark's tasks, joined as they are by the file system's client under another name, and renamed: a job that fails leaves no file, and no text passes through Python."""
+    spark = lines.sparkSession
+    nth, one = unused([*lines.columns], "nth", "one")
+    if between:
+        lines = running(lines.withColumn(one, F.lit(1)), [*order, line], {nth: one}).withColumn(line, F.concat(F.when(F.col(nth) > 0, F.lit(between)).otherwise(F.lit("")), line))
+    parts, whole = f"{path}-parts-{uuid.uuid4().hex}", f"{path}-{uuid.uuid4().hex}"
+    fs, target = file_system(spark, path)
+    try:
+        lines.orderBy(*order, line).select(line).write.text(parts)
+        out = fs.create(file_system(spark, whole)[1], True)
+        out.write(bytearray(head.encode()))
+        names = sorted(s.getPath().toString() for s in fs.listStatus(file_system(spark, parts)[1]) if s.getPath().getName().startswith("part-"))
+        for name in names:
+            part = fs.open(file_system(spark, name)[1])
+            spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, spark._jsc.hadoopConfiguration(), False)
+            part.close()
+        out.write(bytearray(tail.encode()))
+        out.close()
+        fs.delete(target, True)
+        fs.rename(file_system(spark, whole)[1], target)
+    finally:
+        remove(spark, parts)
+        remove(spark, whole)
+
+
+#: Tables of the scopes that are open, the innermost last.
+_SCOPES: list[list[tuple[SparkSession, str]]] = []
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        remove(spark, path)
+    except Exception:  # noqa: BLE001  the JVM may be gone already, and its folder with it
+        return
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Intermediate tables that are written within go at its end, but for those that are materialized for the ``outer`` one. Nothing that reads them may be left."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _SCOPES.pop():
+            _drop(spark, path)
+
+
+def store(df: DataFrame, tag: str, outer: bool = False) -> tuple[DataFrame, str]:
+    """df written to the shared folder and read back, and where: the lineage is cut, and the loss of an executor costs nothing that is written. The files go with the scope (outer: with the one around it), without one when the driver's Python ends, or by remove() before."""
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-
-    def drop() -> None:
-        try:
-            remove(spark, path)
-        except Exception:  # noqa: BLE001  the JVM may be gone already, and its folder with it
-            return
-
-    atexit.register(drop)
+    if len(_SCOPES) > outer:
+        _SCOPES[-1 - outer].append((spark, path))
+    else:
+        atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    return store(df, tag)[0]
+def materialize(df: DataFrame, tag: str, outer: bool = False) -> DataFrame:
+    return store(df, tag, outer)[0]
 
 
 def unused(columns: Iterable[str], *names: str) -> list[str]:
@@ -87,12 +138,12 @@ def unused(columns: Iterable[str], *names: str) -> list[str]:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt to all cores if it is less than a full split for each: files of one large row group would be read by one task. Larger tables stay as they lie."""
+    """df dealt to all cores if it is less than a full split for each and in fewer files than cores: files of one large row group would be read by one task. Other tables stay as they lie."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728b"))
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * split else df
+    return df.repartition(cores) if size < cores * split and len(df.inputFiles()) < cores else df
 
 
 def running(df: DataFrame, order: Sequence[str], values: dict[str, str]) -> DataFrame:

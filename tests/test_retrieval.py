@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from evisift.operators import bm25
 from evisift.operators.retrieval import expand_neighbours, select_hits
+from evisift.operators.segments import MaintainedIndex
+from evisift.plans import queries
 
 
 def test_bm25(spark):
@@ -67,3 +69,82 @@ def test_against_plain_python(spark, seed):
     if scores:
         k, per_doc = rng.randint(1, 5), rng.random() < 0.5
         assert hits_of(spark, units, scores, k, per_doc, k) == plain(units, scores, k, per_doc, k)
+
+
+def random_units(spark, seed, n=150):
+    """Units of many lengths, with null and empty texts, and queries with words that no unit has."""
+    rng = random.Random(seed)
+    words = [f"w{int(rng.paretovariate(0.7)) % 60}" for _ in range(4000)]
+    units = [(i, rng.choice([None, "", " ".join(rng.choices(words, k=rng.choice([1, 3, 30, 200])))]) if rng.random() < 0.1 else " ".join(rng.choices(words, k=rng.choice([1, 3, 30, 200]))), rng.choice("ABC"), rng.choice("xy")) for i in range(n)]
+    asked = [(q, " ".join(rng.choices([*words, "never"], k=rng.choice([1, 4, 12])))) for q in range(12)] + [(12, ""), (13, None)]
+    return spark.createDataFrame(units, "pos long, text string, doc_id string, kind string"), spark.createDataFrame(asked, "query_id long, query_text string")
+
+
+def ranked(scored, k):
+    return sorted(map(tuple, bm25.top_k(scored, k).select("query_id", "pos", "score", "rank").collect()))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pruned_scores_keep_the_best(spark, seed):
+    units, asked = random_units(spark, seed)
+    k, keep = 4, ("doc_id", "kind")
+    factor = F.when(F.col("kind") == "x", 1.7).otherwise(0.6)
+    full = bm25.scores(units, asked, keep=keep)
+    assert ranked(bm25.best_scores(units, asked, k, keep=keep), k) == ranked(full, k)
+    assert ranked(bm25.best_scores(units, asked, k, keep=keep, factor=factor), k) == ranked(full.withColumn("score", F.col("score") * factor), k)
+    assert ranked(bm25.best_scores(units, asked, k, keep=keep, where=F.col("kind") == "y"), k) == ranked(full.filter("kind = 'y'"), k)
+    allowed = asked.select("query_id", F.explode(F.array(F.lit("A"), F.lit("C"))).alias("doc_id")).filter("query_id % 3 <> 0 OR doc_id = 'A'")
+    some = bm25.scores(units, asked, keep=keep, allowed=allowed)
+    best = bm25.best_scores(units, asked, k, keep=keep, allowed=allowed, per_doc=True)
+    for per_doc in (True, False):
+        one, two = ([tuple(r) for r in select_hits(s, k, per_doc).select("query_id", "pos", "score", "sel").collect()] for s in (some, best))
+        assert sorted(one) == sorted(two)
+    assert bm25.best_scores(units.limit(0), asked, k).count() == 0 and bm25.best_scores(units, asked.limit(0), k).count() == 0
+
+
+def test_pruning_drops_most(spark):
+    """Of the units that share a token with a query a part alone is scored to the end."""
+    units, asked = random_units(spark, 7, 600)
+    asked = asked.filter("query_id < 12")
+    assert bm25.best_scores(units, asked, 3).count() < 0.3 * bm25.scores(units, asked).count()
+
+
+def test_maintained_index(spark, tmp_path):
+    units, asked = random_units(spark, 5)
+    kept = MaintainedIndex(spark, f"file://{tmp_path}/index", keep=("doc_id", "kind"))
+    assert kept.versions() == [] and kept.segments() == []
+    kept.change(units.filter("pos < 80"))
+    kept.change(units.filter("pos >= 70"), spark.range(0, 20).select(F.col("id").alias("pos")))
+    again = units.filter("pos between 30 and 50").withColumn("text", F.lit("w1 w2 w2"))
+    kept.change(again)
+    final = units.filter("pos >= 20 AND NOT pos between 30 and 50").unionByName(again)
+
+    def equal():
+        now = kept.statistics()
+        lengths = bm25.corpus_stats(bm25.unit_lengths(final)).first()
+        df = bm25.document_frequencies(bm25.term_frequencies(final))
+        assert (now.n_units, now.avgdl) == (lengths.n_units, lengths.avgdl) and sorted(map(tuple, now.df.collect())) == sorted(map(tuple, df.collect()))
+        got = bm25.best_scores(None, asked, 5, keep=("doc_id", "kind"), postings=kept.postings(), statistics=(now.n_units, now.avgdl, now.df))
+        assert ranked(got, 5) == ranked(bm25.scores(final, asked), 5) == ranked(bm25.scores(None, asked, postings=kept.postings()), 5)
+
+    equal()
+    before = kept.versions()
+    with pytest.raises(Exception, match="exist"):  # another change was first
+        kept.commit(before[:-1], [])
+    kept.compact()
+    equal()
+    assert len(kept.segments()) == 1 and len(kept.vacuum()) == 3 and len(kept.versions()) == 1
+    equal()
+    version = kept.sync(final)
+    assert version == kept.sync(final) == kept.versions()[-1] and len(kept.versions()) == 1  # nothing to do
+    final = final.filter("pos % 7 <> 0").withColumn("kind", F.when(F.col("pos") == 101, "z").otherwise(F.col("kind"))).unionByName(spark.createDataFrame([(500, "w3 new", "A", "x")], units.schema))
+    kept.sync(final)
+    equal()
+    assert {r.pos: r.kind for r in kept.postings().filter("pos in (101, 500)").select("pos", "kind").distinct().collect()} == {101: "z", 500: "x"}
+
+
+def test_answers_follow_from_the_evidence(spark):
+    asked = queries.benchmark_questions(spark, "/root/testdata/sf0.001").limit(4)
+    units = queries.docs_and_questions(spark, "/root/testdata/sf0.001")[0]
+    got, none = ({r.qid: r for r in queries.judged(asked, u).collect()} for u in (units, units.limit(0)))
+    assert all(got[q].evidence and not none[q].evidence and got[q].reasoning_summary != none[q].reasoning_summary for q in got)
