@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 from collections.abc import Sequence
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -207,10 +208,63 @@ def once(c: Column) -> Column:
 ENTITIES = (("nbsp", chr(0xA0)), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&"))
 
 
+# Markup in the order in which it begins. Values in quotes may hold what ends a tag elsewhere; scripts and styles end with their own tag alone, or with the page.
+_ATTRIBUTES = r"""(?:\s++|/|=|[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?)?)*+"""
+_RAW = "|".join(rf"<{name}(?=[\s/>]){_ATTRIBUTES}(?<!/)>.*?(?:</{name}(?=[\s/>]){_ATTRIBUTES}>|\z)" for name in ("script", "style"))
+_TAG = rf"</?[a-z][^\s/>]*+{_ATTRIBUTES}>"
+_NOTE = r"<!--.*?--!?>|<!(?!--)[^>]*+>|<\?[^>]*+>"
+_UNSEEN = rf"<noscript(?=[\s/>]){_ATTRIBUTES}(?<!/)>.*?(?:</noscript(?=[\s/>]){_ATTRIBUTES}>|\z)"
+#: Stands where a note was, so that what was around it doesn't become markup; no character of text.
+_MARK = chr(0xFDD0)
+#: Markup whose meaning depends on more than that: marked sections, odd ends, short comments, elements of raw text, scripts within noscript, elements that end at once, tags that never end or are very long.
+_ODD = r"(?is)<!\[|</[^a-z]|<!--?-?>|<(?:plaintext|textarea|title|xmp|iframe|noembed|noframes)[\s/>]|<noscript[\s/>].*?<(?:/?(?:script|style)|noscript)[\s/>]|<(?:script|style|noscript)[^>]*/>|<[a-z/!?][^>]*+\z|<[a-z/!?][^>]{2000}"
+
+
 def html_nodes(c: Column | str) -> Column:
-    """A page without comments, declarations, scripts and styles, a line for every text node, entities as they are."""
-    c = F.regexp_replace(col(c), r"(?is)<!--.*?-->|<!doctype[^>]*>|<(script|style|noscript)\b[^>]*>.*?</\1\s*>", "\n")
-    return F.regexp_replace(c, r"(?s)<[/a-zA-Z][^>]*>", "\n")
+    """A page without comments, declarations, scripts and styles, a line for every text node that a tag ends, entities as they are. The page is taken apart from its beginning, a piece of markup after the other: first notes go, while tags and scripts are passed over, then these."""
+    c = F.regexp_replace(col(c), rf"(?is)(?:{_NOTE})|({_RAW}|{_TAG})", "$1" + _MARK)
+    return F.translate(F.regexp_replace(c, rf"(?is){_RAW}|{_UNSEEN}|{_TAG}", "\n"), _MARK, "")
+
+
+def odd_html(c: Column | str, nodes: Column | str) -> Column:
+    """Whether a page has markup that html_nodes may not take apart as a parser does."""
+    return col(c).rlike(_ODD) | col(nodes).contains("<!--")
+
+
+class _Text(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.out, self.hidden = [], 0
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.hidden += tag in ("script", "style", "noscript")
+        self.out.append("\n")
+
+    def handle_endtag(self, tag: str) -> None:
+        self.hidden -= tag in ("script", "style", "noscript") and self.hidden > 0
+        self.out.append("\n")
+
+    def handle_data(self, data: str) -> None:
+        if not self.hidden:
+            self.out.append(data)
+
+
+def parsed_html(pages: Column) -> Column:
+    """Text nodes of pages, entities decoded, by the standard library's parser in Arrow batches."""
+
+    def one(page: str | None) -> str | None:
+        if page is None:
+            return None
+        p = _Text()
+        p.feed(page)
+        p.close()
+        return "".join(p.out)
+
+    @F.pandas_udf("string")
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(one)
+
+    return run(pages)
 
 
 def other_entities(nodes: Column | str) -> Column:
@@ -237,11 +291,12 @@ def unescaped(nodes: Column | str) -> Column:
 
 
 def with_html_text(df: DataFrame, page: Column | str, name: str) -> DataFrame:
-    """df with the text of pages: cleaned lines, joined. All numeric and named entities are decoded; only pages that have others than ENTITIES go through Python, in Arrow batches."""
+    """df with the text of pages: cleaned lines, joined. All numeric and named entities are decoded. Pages with odd markup go through the parser, those with entities other than ENTITIES through the library's decoder."""
     nodes, plain = unused(df.columns, "nodes", "plain")
     rows = df.select("*", once(html_nodes(page)).alias(nodes))
-    needs = other_entities(nodes)
-    rows = rows.withColumn(plain, F.coalesce(unescaped(F.when(needs, F.col(nodes))), known_entities(nodes)))
+    odd = odd_html(page, nodes)
+    needs = other_entities(nodes) & ~odd
+    rows = rows.withColumn(plain, F.coalesce(parsed_html(F.when(odd, col(page))), unescaped(F.when(needs, F.col(nodes))), known_entities(nodes)))
     return rows.withColumn(name, F.array_join(clean_lines(plain), "\n")).drop(nodes, plain)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from evisift.functions import answers as A
 from evisift.functions import constants as K
 from evisift.functions import text as T
-from evisift.operators import bm25, decisions, evaluation, retrieval, sections, segments
+from evisift.operators import bm25, decisions, evaluation, keywords, retrieval, sections, segments
 from evisift.plans.answering import answer
 from evisift.plans.domains import DOMAINS, build_units
 from evisift.sources.documents import manifest, referenced
@@ -605,6 +605,18 @@ def answers_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.in_order(done.drop("ord"), order).select("qid", F.col("ord").alias("place"))
 
 
+@query(
+    r"""WITH k AS (SELECT keyword, row_number() OVER (ORDER BY hash, keyword) AS place FROM (SELECT DISTINCT keyword, md5(keyword) AS hash FROM (SELECT unnest(regexp_extract_all(text, '[^\s.,]+')) AS keyword FROM benchmark)))
+SELECT doc_id, count(*) AS n_keywords, arg_min(keyword, place) AS first_keyword FROM documents JOIN k ON contains(text, keyword) GROUP BY doc_id"""
+)
+def keyword_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words of the benchmark, as strings, stand in which documents: a table of keywords with an order of precedence."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\s.,]+"), F.lit(0))).alias("keyword")).distinct()
+    words = running(words.withColumn("hash", F.md5("keyword")).withColumn("one", F.lit(1)), ["hash", "keyword"], {"place": "one"})
+    found = keywords.contained(table(spark, sf_dir, "documents").select("doc_id", "text"), materialize(words.select("keyword", "place"), "keywords"), "doc_id")
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_keywords"), F.min_by("keyword", "place").alias("first_keyword"))
+
+
 @query("SELECT conv_id AS qid, sum(length(text))::BIGINT AS prompt_tokens, count(*) AS completion_tokens, (sum(length(text)) + count(*))::BIGINT AS total_tokens FROM conversations GROUP BY conv_id")
 def usage_of_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.length("text").cast("bigint")

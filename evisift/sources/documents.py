@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evisift.functions.text import clean_lines, html_title, normalize_whitespace, path_stem, path_suffix, with_html_text
+from evisift.functions.text import clean_lines, html_title, normalize_whitespace, parsed_html, path_stem, path_suffix, with_html_text
 from evisift.storage import running
 
 QUESTION = "qid string, domain string, split string, question string, options map<string,string>, answer_format string, type string, doc_ids array<string>"
@@ -56,48 +55,12 @@ def text_documents(files_: DataFrame) -> DataFrame:
 
 
 def html_documents(files_: DataFrame, exact: bool = False) -> DataFrame:
-    """Text and meta title of HTML. exact parses the markup in Arrow batches instead of by patterns, for pages that patterns can't take apart."""
+    """Text and meta title of HTML. exact parses all pages in Arrow batches, not the odd ones alone."""
     html = decoded()
     rows = files_.withColumn("text", F.array_join(clean_lines(parsed_html(html)), "\n")) if exact else with_html_text(files_, html, "text")
     return rows.select(*files_.columns, "text", html_title(html).alias("meta_title"), F.lit(None).cast("int").alias("page_count"))
 
 
-class _Text(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.out, self.hidden = [], 0
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.hidden += tag in ("script", "style", "noscript")
-        self.out.append("\n")
-
-    def handle_endtag(self, tag: str) -> None:
-        self.hidden -= tag in ("script", "style", "noscript") and self.hidden > 0
-        self.out.append("\n")
-
-    def handle_data(self, data: str) -> None:
-        if not self.hidden:
-            self.out.append(data)
-
-
-def parsed_html(html: Column) -> Column:
-    """Text nodes of pages, by the standard library's parser."""
-
-    def one(page: str | None) -> str | None:
-        if page is None:
-            return None
-        p = _Text()
-        p.feed(page)
-        p.close()
-        return "".join(p.out)
-
-    @F.pandas_udf("string")
-    def run(pages: pd.Series) -> pd.Series:
-        return pages.map(one)
-
-    return run(html)
-
-
 def pdf_pages(content: bytes) -> list[str]:
     try:
         from io import BytesIO

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evisift.operators import bm25
+from evisift.operators.keywords import contained, first_contained
 from evisift.operators.retrieval import expand_neighbours, select_hits
 from evisift.operators.segments import MaintainedIndex
 from evisift.plans import queries
@@ -148,3 +149,15 @@ def test_answers_follow_from_the_evidence(spark):
     units = queries.docs_and_questions(spark, "/root/testdata/sf0.001")[0]
     got, none = ({r.qid: r for r in queries.judged(asked, u).collect()} for u in (units, units.limit(0)))
     assert all(got[q].evidence and not none[q].evidence and got[q].reasoning_summary != none[q].reasoning_summary for q in got)
+
+
+def test_keywords_as_a_table(spark):
+    rng = random.Random(8)
+    texts = [(i, "".join(rng.choices("ab é甲.", k=rng.choice([0, 2, 9, 60])))) for i in range(60)] + [(60, None), (61, "x" * 3), (61, "yyyy")]
+    words = [("".join(rng.choices("ab é甲.", k=rng.choice([1, 2, 3, 4, 7]))), p) for p in range(200)] + [("never", 200), ("", 201), (None, 202), ("yyyy", 203), ("yyyy", 204)]
+    t, k = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(words, "keyword string, place long")
+    plain = {(i, p) for i, x in texts for w, p in words if x and w and w in x}
+    assert {(r.id, r.place) for r in contained(t, k, "id").collect()} == plain
+    first = {i: min(p for j, p in plain if j == i) for i, _ in plain}
+    assert {r.id: r.value for r in first_contained(t, k.withColumn("value", F.col("place")), "id").collect()} == first
+    assert contained(t, k.limit(0), "id").count() == 0

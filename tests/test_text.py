@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import random
 import re
 
 from hypothesis import HealthCheck, given, settings
@@ -126,3 +127,19 @@ def test_html_entities_property(spark, parts):
 def test_text_that_may_have_headings(spark):
     for text, yes in (("a\n 1 x", True), ("第一条", True), ("a\u2028\ufeff 二、x", True), ("x [PAGE 1]", True), ("a 1 b\nc 第一条", False), ("", False)):
         assert one(spark, text, T.may_have_headings) is yes
+
+
+PIECES = ["<p>", "</p>", '<p title="a>b">', "<a href=x>", "<b c='>'>", "<script>", "</script>", '<style a="b">', "</style>", "<noscript>", "</noscript>", "<!-- c -->", "<!-->", "<!-- > -- ! -->", '<?xml v="1" ?>', "<!DOCTYPE html>", "<![CDATA[ x ]]>", "text", "x < y", "a<3", "<", ">", '"', "'", "<br/>", "</ p>", "</>", '<img src="a"b>', '<p a = "1" b>', "if (a<b && c>d) {}", "</scriptx>", "<SCRIPT src=x>", "</SCRIPT >", "<p =x>", '<p "q>', "--", '<a\nb="\n">', "&amp;lt;", "&eacute;", " ", "\n", "<div/>", "<script/>", "<p it's>", "<title>a<b</title>"]
+
+
+def test_html_as_the_parser_reads_it(spark):
+    pages = ['<p title="a>b">x</p>', "a<script>let x = 1; // no end", "<![CDATA[ a ]]>b", '<?xml version="1.0"?><p>c</p>', "g<!-- c -->h", None, "", "<p " + "a=1 " * 5000 + ">z"]
+    rng = random.Random(4)
+    pages += ["".join(rng.choices(PIECES, k=rng.randint(1, 7))) for _ in range(3000)]
+    rows = spark.createDataFrame([(p,) for p in pages], "page string")
+    both = T.with_html_text(rows, "page", "text").withColumn("plain", F.array_join(T.clean_lines(T.parsed_html(F.col("page"))), "\n"))
+    assert [tuple(r) for r in both.filter("NOT (text <=> plain)").limit(5).collect()] == []
+    first = [r.text for r in T.with_html_text(rows.limit(5).coalesce(1), "page", "text").collect()]
+    assert first[0] == "x" and first[1] == "a" and first[3:] == ["c", "gh"]
+    nodes = rows.withColumn("nodes", T.html_nodes("page"))
+    assert nodes.filter(T.odd_html("page", "nodes")).count() < 0.6 * len(pages)
