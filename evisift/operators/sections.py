@@ -6,14 +6,15 @@ section and chunk number that make their order within the document explicit.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evisift.functions import constants as K
 from evisift.functions.text import clean_lines, first_keyword, greedy_chunks, is_heading, may_have_headings, number_strings, once, page_refs, strip, stripped_lines, year_of
-from evisift.storage import materialize, running, spread
+from evisift.operators.bm25 import small
+from evisift.storage import materialize, running, spread, unused
 
 METADATA = "struct<article_no:string,chunk_index:int,metric_name:string,year:string,element_name:string,numbers:array<string>>"
 
@@ -28,6 +29,50 @@ def numbered_lines(docs: DataFrame, lines: Column) -> DataFrame:
     return spread(docs).select("doc_id", "title", once(lines).alias("lines")).select("doc_id", "title", F.posexplode("lines").alias("n", "line"))
 
 
+#: Documents of more characters are taken in segments of so many lines, and their lines' state is carried over these.
+LONG_TEXT, SEGMENT = 1 << 20, 1 << 13
+
+
+def by_length(docs: DataFrame, make: Callable[[DataFrame, int | None], DataFrame]) -> DataFrame:
+    """make(docs, None) of the documents that a task takes whole, and make(docs, SEGMENT) of the long ones, if there are any: docs are looked through for them."""
+    long = F.coalesce(F.length("text") > LONG_TEXT, F.lit(False))
+    if docs.filter(long).isEmpty():
+        return make(docs, None)
+    return make(docs.filter(~long), None).unionByName(make(docs.filter(long), SEGMENT))
+
+
+def state(rows: DataFrame, segment: int | None, n: str = "n", last: dict[str, Column] | None = None, before: dict[str, Column] | None = None, sums: dict[str, Column] | None = None) -> DataFrame:
+    """rows with, by name, what the rows of the document come to up to each in the order of ``n``: the last value that isn't null, the same without the row itself (before), the sum.
+
+    segment: None for one task a document; else its rows are taken by so many at once. Each segment is reduced to its effect, its last values and its sums; effects are composed in order, a row a segment, and what comes in is applied to the rows of the next ones."""
+    last, before, sums = last or {}, before or {}, sums or {}
+    taken = {**last, **before}
+    by = ["doc_id"]
+    if segment is not None:
+        part, *held = unused(rows.columns, "part", *[f"{name}_value" for name in (*taken, *sums)])
+        rows = rows.withColumn(part, F.floor(F.col(n) / segment))
+        for h, value in zip(held, (*taken.values(), *sums.values()), strict=True):
+            rows = rows.withColumn(h, value)
+        rows = materialize(rows, "lines")
+        last, before, sums = ({name: F.col(held[[*taken, *sums].index(name)]) for name in d} for d in (last, before, sums))
+        by.append(part)
+    order = Window.partitionBy(*by).orderBy(n)
+    upto, earlier = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.select("*", *[F.last(v, ignorenulls=True).over(upto).alias(k) for k, v in last.items()], *[F.last(v, ignorenulls=True).over(earlier).alias(k) for k, v in before.items()], *[F.sum(v).over(upto).alias(k) for k, v in sums.items()])
+    if segment is None:
+        return out
+    came = unused([*out.columns], *[f"{k}_in" for k in (*last, *before, *sums)])
+    effects = rows.groupBy(*by).agg(*[F.max_by(v, F.when(v.isNotNull(), F.col(n))).alias(c) for c, v in zip(came, (*last.values(), *before.values()), strict=False)], *[F.sum(v).alias(c) for c, v in zip(came[len(taken) :], sums.values(), strict=True)])
+    earlier = Window.partitionBy("doc_id").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    composed = effects.select(*by, *[F.last(c, ignorenulls=True).over(earlier).alias(c) for c in came[: len(taken)]], *[F.sum(c).over(earlier).alias(c) for c in came[len(taken) :]])
+    out = out.join(small(materialize(composed, "effects")), by, "left")
+    for k, c in zip((*last, *before), came, strict=False):
+        out = out.withColumn(k, F.coalesce(k, c))
+    for k, c in zip(sums, came[len(taken) :], strict=True):
+        out = out.withColumn(k, F.col(k) + F.coalesce(c, F.lit(0)))
+    return out.drop(part, *held, *came)
+
+
 def split_sections(docs: DataFrame, prefix: str = "sec", unit_type: str = "paragraph", max_chars: int = 1200) -> DataFrame:
     """Sections: a heading line closes what has been collected, names what follows and is no text itself. Page marks count to the section that collects text after the last closing. Sections without text vanish and take no number. A document in which no line can be a heading or a page mark is one section, without a look at its lines' order."""
     marked = F.coalesce(may_have_headings("text"), F.lit(False))
@@ -40,29 +85,39 @@ def split_sections(docs: DataFrame, prefix: str = "sec", unit_type: str = "parag
 
 def headed_sections(docs: DataFrame) -> DataFrame:
     """(doc_id, title, section_seq, text, head, page_refs) by headings and page marks."""
-    by = Window.partitionBy("doc_id").orderBy("n")
-    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    return by_length(docs, _headed)
+
+
+def _headed(docs: DataFrame, segment: int | None) -> DataFrame:
     rows = numbered_lines(docs, clean_lines("text"))
     kind = F.when(F.col("line").startswith("[PAGE "), "page").when(is_heading("line"), "heading").otherwise("text")
     rows = rows.withColumn("kind", kind)
     # what stood before, page marks aside
-    before = F.last(F.when(F.col("kind") != "page", F.col("kind")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    opens = ((F.col("kind") == "heading") & (before == "text")).cast("int")
-    rows = rows.withColumn("g", F.sum(F.coalesce(opens, F.lit(0))).over(upto))
-    rows = rows.withColumn("head", F.last(F.when(F.col("kind") == "heading", F.substring("line", 1, 120)), ignorenulls=True).over(upto))
+    rows = state(rows, segment, before={"prior": F.when(F.col("kind") != "page", F.col("kind"))}, last={"head": F.when(F.col("kind") == "heading", F.substring("line", 1, 120))})
+    opens = ((F.col("kind") == "heading") & (F.col("prior") == "text")).cast("int")
+    rows = state(rows, segment, sums={"g": F.coalesce(opens, F.lit(0))})
     text = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct("n", "line")))), lambda x: x["line"])
     pages = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("kind") == "page", page_refs("line"))))))
     out = rows.groupBy("doc_id", "title", "g").agg(strip(F.array_join(text, "\n")).alias("text"), F.min_by("head", F.when(F.col("kind") == "text", F.col("n"))).alias("head"), pages.alias("page_refs"))
-    out = out.filter(F.length("text") > 0).withColumn("section_seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("g")))
+    out = state(out.filter(F.length("text") > 0), segment, "g", sums={"section_seq": F.lit(1)}).withColumn("section_seq", F.col("section_seq").cast("int"))
     return out.select("doc_id", "title", "section_seq", "text", "head", "page_refs")
 
 
 def line_windows(docs: DataFrame, keywords: Sequence[str], before: int, after: int, lines: Column | None = None) -> DataFrame:
     """(doc_id, title, n, line, keyword, window): for each line with a keyword, the first of the list that it has, and the lines around it."""
-    rows = numbered_lines(docs, stripped_lines("text") if lines is None else lines)
-    around = Window.partitionBy("doc_id").orderBy("n").rowsBetween(-before, after)
-    rows = rows.withColumn("window", F.array_join(F.collect_list("line").over(around), "\n"))
-    return rows.withColumn("keyword", first_keyword("line", keywords)).filter(F.col("keyword").isNotNull())
+
+    def make(docs: DataFrame, segment: int | None) -> DataFrame:
+        rows, by = numbered_lines(docs, stripped_lines("text") if lines is None else lines), ["doc_id"]
+        if segment is not None:  # a line goes to all segments in which it is in a window
+            ends = F.array(F.greatest(F.col("n") - after, F.lit(0)), F.col("n"), F.col("n") + before)
+            rows, by = rows.withColumn("part", F.explode(F.array_distinct(F.transform(ends, lambda m: F.floor(m / segment))))), ["doc_id", "part"]
+        around = Window.partitionBy(*by).orderBy("n").rowsBetween(-before, after)
+        rows = rows.withColumn("window", F.array_join(F.collect_list("line").over(around), "\n"))
+        if segment is not None:
+            rows = rows.filter(F.col("part") == F.floor(F.col("n") / segment)).drop("part")
+        return rows.withColumn("keyword", first_keyword("line", keywords)).filter(F.col("keyword").isNotNull())
+
+    return by_length(docs, make)
 
 
 def metric_sections(docs: DataFrame, max_chars: int = 600) -> DataFrame:
@@ -103,18 +158,20 @@ def regulatory_units(docs: DataFrame, max_chars: int = 1200) -> DataFrame:
     the last article before a new chapter is filed under the new one; a section
     stays in force over chapters.
     """
-    by = Window.partitionBy("doc_id").orderBy("n")
-    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    return by_length(docs, lambda some, segment: _articles(some, segment, max_chars))
+
+
+def _articles(docs: DataFrame, segment: int | None, max_chars: int) -> DataFrame:
     rows = numbered_lines(docs, clean_lines("text"))
     kind = F.when(F.col("line").rlike(K.CHAPTER), "chapter").when(F.col("line").rlike(K.SECTION), "section").when(F.col("line").rlike(K.ARTICLE), "article").otherwise("text")
     rows = rows.withColumn("kind", kind)
 
     def named(k: str, pattern: str) -> Column:
         name = F.concat_ws(" ", F.regexp_extract("line", pattern, 1), F.when(F.regexp_extract("line", pattern, 2) != "", F.regexp_extract("line", pattern, 2)))
-        return F.last(F.when(F.col("kind") == k, strip(name)), ignorenulls=True).over(upto)
+        return F.when(F.col("kind") == k, strip(name))
 
-    rows = rows.withColumn("chapter", named("chapter", K.CHAPTER)).withColumn("section", named("section", K.SECTION))
-    rows = rows.withColumn("a", F.sum((F.col("kind") == "article").cast("int")).over(upto))
+    last = {"chapter": named("chapter", K.CHAPTER), "section": named("section", K.SECTION)}
+    rows = state(rows, segment, last=last, sums={"a": (F.col("kind") == "article").cast("int")})
     body = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct("n", "line")))), lambda x: x["line"])
     found = rows.groupBy("doc_id", "title", "a").agg(
         strip(F.array_join(body, "\n")).alias("body"),

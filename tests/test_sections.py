@@ -1,5 +1,12 @@
 from __future__ import annotations
 
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from evisift.functions import constants as K
+from evisift.operators import sections
 from evisift.operators import sections as S
 from evisift.plans.domains import DOMAINS, build_units, domain_of_run, titled
 
@@ -46,3 +53,34 @@ def test_domain_units(spark):
     got = build_units(titled(d, ins), ins).orderBy("pos").collect()
     assert [(r.pos, r.unit_id, r.unit_type) for r in got] == [(0, "a::sec_1", "clause_block"), (1, "b::sec_1", "clause_block"), (2, "b::sec_2", "formula_block"), (3, "b::sec_3", "clause_block"), (4, "b::sec_2", "formula_block")]
     assert domain_of_run("financial_contracts_a_20260101_000000") == "financial_contracts"
+
+
+@pytest.mark.parametrize("segment", [1, 3, 7])
+def test_long_documents_in_segments(spark, monkeypatch, segment):
+    """Headings, pages, articles, chapters and windows of documents that are taken in segments are those of documents taken whole."""
+    rng = random.Random(segment)
+    lines = ["第一章 总则", "第二章 分则", "第一节 甲", "第1条 目的", "第2条", "一、概述", "正文。", f"{K.FINANCIAL_METRICS[0]} 5 元", f"{K.CONTRACT_KEYWORDS[0]} 7", "[PAGE 3]", "", "二、其他"]
+    docs = spark.createDataFrame([(f"d{i}", i, "T", "\n".join(rng.choices(lines, k=rng.choice([0, 1, 12, 60])))) for i in range(12)] + [("e", 20, "T", None)], "doc_id string, doc_seq int, title string, text string")
+
+    def everything():
+        made = [sections.split_sections(docs), sections.metric_sections(docs), sections.element_sections(docs), sections.regulatory_units(docs, 40)]
+        return [sorted(df.select(sorted(df.columns)).toJSON().collect()) for df in made]
+
+    whole = everything()
+    monkeypatch.setattr(sections, "LONG_TEXT", 30)
+    monkeypatch.setattr(sections, "SEGMENT", segment)
+    assert everything() == whole and all(whole)
+
+
+def test_one_document_of_many_lines_uses_all_tasks(spark):
+    """No task has more than a few segments of a document of 100,000 lines."""
+    rows = spark.range(100_000).select(F.lit("d").alias("doc_id"), F.col("id").alias("n"), (F.col("id") % 1000 == 0).alias("new"))
+    got = sections.state(rows, 1 << 12, last={"at": F.when(F.col("new"), F.col("n"))}, sums={"g": F.col("new").cast("int")})
+    assert got.filter("at <> n - n % 1000 OR g <> floor(n / 1000) + 1").count() == 0
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tasks = sections.state(rows, 1 << 12, sums={"g": F.lit(1)}).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len(tasks) == 4 and max(t["count"] for t in tasks) < 60_000
