@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -497,12 +500,27 @@ def test_toxicity_against_a_plain_version(spark):
 
 def test_training_separates_and_generalises():
     texts, y = ["bad word here", "good word there"] * 4, np.array([1, 0] * 4)
-    before = toxicity.SubwordModel.fit(texts, y)
+    before = toxicity.SubwordModel.fit([t.split() for t in texts], y)
     odds = before.logits(texts, {})
     assert (odds[::2] > 2).all() and (odds[1::2] < -2).all()
     assert before.words(["baad"])[0] > before.words(["gooood"])[0]  # unseen misspellings lean to the words they share subwords with
 
 
+def test_training_doesn_t_depend_on_threads():
+    """The same model with one and four threads of BLAS."""
+    code = "import sys; import numpy as np; from evisift.llm import toxicity as t; t.STEPS = 40; r = np.random.default_rng(1); x = [[str(w) for w in r.integers(0, 300, 40)] for _ in range(60)]; print(t.SubwordModel.fit(x, np.arange(60) % 2).share.tobytes().hex()[:4000])"
+    out = [subprocess.run([sys.executable, "-c", code], env=os.environ | {"OPENBLAS_NUM_THREADS": n, "OMP_NUM_THREADS": n}, capture_output=True, text=True, check=True).stdout for n in ("1", "4")]
+    assert out[0] == out[1] and len(out[0]) == 4001
+
+
+def test_long_texts_are_in_the_sample(spark):
+    """A class that is found in very long texts alone is learnt."""
+    d, y = labelled(spark, "toxic")
+    long = d.withColumn("text", F.when(F.col("doc_id") % 2 == 1, F.concat("text", F.lit(" "), F.array_join(F.array_repeat("text", 30), " "))).otherwise(F.col("text")))
+    model = toxicity.fit_toxicity(long.filter("doc_id < 300"), y, words=256)
+    assert model.bias != -np.inf and len(toxicity.thinned("a b " * 5000, 256)) == 256 and toxicity.thinned("A a b b c", 9) == ["a", "b", "c"]
+
+
 def test_toxicity_settings():
     # four dimensions, 900 steps or windows of 64 words find fewer toxic texts (README)
     assert (toxicity.DIM, toxicity.STEPS, toxicity.WINDOW) == (8, 1000, 32)

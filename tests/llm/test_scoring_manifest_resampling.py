@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evisift.llm import context_mixing as lm
-from evisift.llm import importance, merkle
+from evisift.llm import importance, merkle, multi_index
 from evisift.llm.labelled import fold
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, leaf string, grp string, path string, gid string, token string, score double, weight string"
@@ -281,3 +281,28 @@ def test_lm_scores(spark, monkeypatch):
     assert lm.scored(frame(spark, []), ~held, slot_bits=10).collect() == []
     silent = lm.scored(frame(spark, data[:3]), F.lit(False), slot_bits=10).collect()
     assert all(r.n_known == r.train_tokens == 0 and r.score < 0 and r.base_score == 0 for r in silent)
+
+
+# Planted neighbours of vectors ---------------------------------------------------------------
+
+
+def test_planted_links_in_many_cells(spark):
+    """Thousands of planted links over many cells and both codebooks: hardly one is lost, and none is false."""
+    rng = np.random.default_rng(6)
+    seeds = rng.standard_normal((900, 32))
+    seeds /= np.linalg.norm(seeds, axis=1, keepdims=True)
+    x = [s for s in seeds]
+    for k, s in enumerate(seeds[:600]):
+        for _ in range(1 + k % 6):
+            noise = rng.standard_normal(32)
+            x.append(s + noise / np.linalg.norm(noise) * rng.uniform(0.05, 0.35))
+    x = np.array(x, np.float32)
+    assert multi_index.words_for(len(x)) > 1
+    unit = x.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    got = {r.vec_id: r.n_links for r in multi_index.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()}
+    true, found = near.sum(1), np.array([got[i] for i in range(len(x))])
+    assert true.sum() > 4000 and (found <= true).all()
+    assert found.sum() >= 0.95 * true.sum()
