@@ -145,15 +145,16 @@ def best_scores(
     if where is not None:
         tf = tf.filter(where)
     tf = tf.withColumn("factor", F.lit(1.0) if factor is None else factor)
-    found = reaching(tf, asked, k, query, key, keep, allowed, [], share, avgdl, k1, b)
+    most = 1.0 if factor is None else tf.agg(F.max("factor")).first()[0] or 1.0
+    found = reaching(tf, asked, k, query, key, keep, allowed, [], share, avgdl, k1, b, most)
     if per_doc:
-        each = reaching(tf, asked, 1, query, key, keep, allowed, ["doc_id"], share, avgdl, k1, b)
+        each = reaching(tf, asked, 1, query, key, keep, allowed, ["doc_id"], share, avgdl, k1, b, most)
         found = found.unionByName(each).dropDuplicates([query, key])
     return found
 
 
-def reaching(tf: DataFrame, asked: DataFrame, k: int, query: str, key: str, keep: Sequence[str], allowed: DataFrame | None, within: list[str], share: Column, avgdl: float, k1: float, b: float) -> DataFrame:
-    """best_scores' rows for the k best of each query, or of each query and document (within: doc_id)."""
+def reaching(tf: DataFrame, asked: DataFrame, k: int, query: str, key: str, keep: Sequence[str], allowed: DataFrame | None, within: list[str], share: Column, avgdl: float, k1: float, b: float, most: float) -> DataFrame:
+    """best_scores' rows for the k best of each query, or of each query and document (within: doc_id). most: the highest factor."""
     term = term_score(F.col("qtf"), F.col("idf"), F.col("tf"), F.col("dl"), F.lit(avgdl), k1, b)
     group, unit = [query, *within], [query, key, *keep, "factor"]
     score = lambda s: s / F.lit(1e9) * F.col("factor")
@@ -171,7 +172,6 @@ def reaching(tf: DataFrame, asked: DataFrame, k: int, query: str, key: str, keep
     least = whole.withColumn("place", place).filter(F.col("place") == k).select(*group, F.col("score").alias("least"))
     least = materialize(least, "least")
     # bounds are of scores without the factor
-    most = tf.agg(F.max("factor")).first()[0] or 1.0
     scoped = scoped.join(small(least), group, "left").fillna(0.0, ["least"])
     early = F.col("upto") / F.lit(1e9) * F.lit(most) >= F.col("least") * F.lit(LEFT_OUT)
     late = F.sum(F.when(~early, F.col("bound")).otherwise(0)).over(Window.partitionBy(*group, *([] if within or allowed is None else ["doc_id"])))
