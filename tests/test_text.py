@@ -143,3 +143,10 @@ def test_html_as_the_parser_reads_it(spark):
     assert first[0] == "x" and first[1] == "a" and first[3:] == ["c", "gh"]
     nodes = rows.withColumn("nodes", T.html_nodes("page"))
     assert nodes.filter(T.odd_html("page", "nodes")).count() < 0.6 * len(pages)
+
+
+def test_html_references_without_a_semicolon(spark):
+    page = "<h1>a &amp;&amp b&amp</h1><p>&copy;&copy &am &#65;&#65 &amp;lt; & &eacute;&eacute</p>"
+    df = spark.createDataFrame([(page,), ("<title>x&amp</title>y&quot;",)], "page string")
+    got = [r.text for r in T.with_html_text(df, "page", "text", ended=True).collect()]
+    assert got == ["a &&amp b&amp\n©&copy &am A&#65 &lt; & é&eacute", 'x&amp\ny"']
