@@ -73,12 +73,12 @@ def state(rows: DataFrame, segment: int | None, n: str = "n", last: dict[str, Co
     return out.drop(part, *held, *came)
 
 
-def split_sections(docs: DataFrame, prefix: str = "sec", unit_type: str = "paragraph", max_chars: int = 1200) -> DataFrame:
-    """Sections: a heading line closes what has been collected, names what follows and is no text itself. Page marks count to the section that collects text after the last closing. Sections without text vanish and take no number. A document in which no line can be a heading or a page mark is one section, without a look at its lines' order."""
-    marked = F.coalesce(may_have_headings("text"), F.lit(False))
+def split_sections(docs: DataFrame, prefix: str = "sec", unit_type: str = "paragraph", max_chars: int = 1200, headed: bool = True) -> DataFrame:
+    """Sections: a heading line closes what has been collected, names what follows and is no text itself. Page marks count to the section that collects text after the last closing. Sections without text vanish and take no number. A document in which no line can be a heading or a page mark is one section, without a look at its lines' order. headed: False for texts that are known to have neither, where a line that looks like one is text as any other."""
+    marked = F.coalesce(may_have_headings("text"), F.lit(False)) if headed else F.lit(False)
     whole = spread(docs).filter(~marked).select("doc_id", "title", once(F.array_join(clean_lines("text"), "\n")).alias("text"))
     whole = whole.filter(F.length("text") > 0).select("doc_id", "title", F.lit(1).alias("section_seq"), "text", F.lit(None).cast("string").alias("head"), F.array().cast("array<int>").alias("page_refs"))
-    out = whole.unionByName(headed_sections(docs.filter(marked)))
+    out = whole.unionByName(headed_sections(docs.filter(marked))) if headed else whole
     path = F.when(F.col("head").isNull() | (F.col("head") == F.col("title")), F.array("title")).otherwise(F.array("title", "head"))
     return out.select("doc_id", "section_seq", F.concat(F.lit(f"{prefix}_"), F.col("section_seq")).alias("section_id"), path.alias("title_path"), "text", F.lit(unit_type).alias("unit_type"), "page_refs", F.lit(max_chars).alias("max_chars"), metadata().alias("metadata"))
 
@@ -109,8 +109,8 @@ def line_windows(docs: DataFrame, keywords: Sequence[str], before: int, after: i
     def make(docs: DataFrame, segment: int | None) -> DataFrame:
         rows, by = numbered_lines(docs, stripped_lines("text") if lines is None else lines), ["doc_id"]
         if segment is not None:  # a line goes to all segments in which it is in a window
-            ends = F.array(F.greatest(F.col("n") - after, F.lit(0)), F.col("n"), F.col("n") + before)
-            rows, by = rows.withColumn("part", F.explode(F.array_distinct(F.transform(ends, lambda m: F.floor(m / segment))))), ["doc_id", "part"]
+            parts = F.sequence(F.floor(F.greatest(F.col("n") - after, F.lit(0)) / segment), F.floor((F.col("n") + before) / segment))
+            rows, by = rows.withColumn("part", F.explode(parts)), ["doc_id", "part"]
         around = Window.partitionBy(*by).orderBy("n").rowsBetween(-before, after)
         rows = rows.withColumn("window", F.array_join(F.collect_list("line").over(around), "\n"))
         if segment is not None:

@@ -25,7 +25,7 @@ class Prompts:
 @dataclass(frozen=True)
 class Domain:
     name: str
-    units: Callable[[DataFrame], DataFrame]
+    units: Callable[..., DataFrame]
     retriever: RetrieverSettings
     prompts: Prompts
     shown: int
@@ -38,25 +38,25 @@ class Domain:
     label: str = ""  # of its strategy, in a run's manifest
 
 
-def _reports(docs: DataFrame) -> DataFrame:
-    return section_units(split_sections(docs, max_chars=1000)).unionByName(section_units(metric_sections(docs), 1))
+def _reports(docs: DataFrame, headed: bool = True) -> DataFrame:
+    return section_units(split_sections(docs, max_chars=1000, headed=headed)).unionByName(section_units(metric_sections(docs), 1))
 
 
-def _contracts(docs: DataFrame) -> DataFrame:
-    return section_units(split_sections(docs, max_chars=900)).unionByName(section_units(element_sections(docs), 1))
+def _contracts(docs: DataFrame, headed: bool = True) -> DataFrame:
+    return section_units(split_sections(docs, max_chars=900, headed=headed)).unionByName(section_units(element_sections(docs), 1))
 
 
-def _insurance(docs: DataFrame) -> DataFrame:
+def _insurance(docs: DataFrame, headed: bool = True) -> DataFrame:
     """Sections with a keyword come twice, both times as what the keyword makes them."""
-    s = split_sections(docs, unit_type="clause_block", max_chars=900)
+    s = split_sections(docs, unit_type="clause_block", max_chars=900, headed=headed)
     named = contains_any("text", K.INSURANCE_KEYWORDS)
     s = s.withColumn("unit_type", F.when(named & contains_any("text", K.FORMULA_KEYWORDS), "formula_block").otherwise("clause_block"))
     return section_units(s).unionByName(section_units(s.filter(named), 1))
 
 
-def _research(docs: DataFrame) -> DataFrame:
+def _research(docs: DataFrame, headed: bool = True) -> DataFrame:
     """Sections with a keyword come again as conclusions, under the same id."""
-    s = split_sections(docs, max_chars=1000)
+    s = split_sections(docs, max_chars=1000, headed=headed)
     again = s.filter(contains_any("text", K.RESEARCH_KEYWORDS)).withColumn("unit_type", F.lit("conclusion_block"))
     return section_units(s).unionByName(section_units(again, 1))
 
@@ -126,6 +126,6 @@ def titled(docs: DataFrame, d: Domain) -> DataFrame:
     return docs.withColumn("title", detect_title("text", fallback))
 
 
-def build_units(docs: DataFrame, d: Domain) -> DataFrame:
-    """Evidence units with positions of docs (doc_id, doc_seq, title, text)."""
-    return with_positions(d.units(docs), docs.select("doc_id", "doc_seq")).withColumn("domain", F.lit(d.name))
+def build_units(docs: DataFrame, d: Domain, **how: object) -> DataFrame:
+    """Evidence units with positions of docs (doc_id, doc_seq, title, text). how: for the domain's units; headed=False takes each document as one section."""
+    return with_positions(d.units(docs, **how), docs.select("doc_id", "doc_seq")).withColumn("domain", F.lit(d.name))

@@ -84,3 +84,20 @@ def test_one_document_of_many_lines_uses_all_tasks(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
     assert len(tasks) == 4 and max(t["count"] for t in tasks) < 60_000
+
+
+def test_lines_that_begin_with_numbers_where_there_are_no_headings(spark):
+    """A line such as a card's number in texts without headings stays text; one that is all there is makes a unit."""
+    text = "一句。\n1219538112535716 Éaielletre.\n[PAGE 3]"
+    d = spark.createDataFrame([("a", 1, "T", text), ("b", 2, "T", "2 只有")], "doc_id string, doc_seq int, title string, text string")
+    for name in ("insurance", "research"):
+        got = build_units(d, DOMAINS[name], headed=False).orderBy("pos").collect()
+        assert [(r.pos, r.unit_id, r.text) for r in got] == [(0, "a::sec_1", text), (1, "b::sec_1", "2 只有")]
+
+
+def test_every_window_of_segments_has_its_lines(spark, monkeypatch):
+    """Windows of more lines than a segment has."""
+    monkeypatch.setattr(sections, "LONG_TEXT", 3)
+    monkeypatch.setattr(sections, "SEGMENT", 1)
+    got = S.line_windows(docs(spark, "a\nb 期限\nc\nd\ne"), ["期限"], 1, 3).collect()
+    assert [(r.n, r.window) for r in got] == [(1, "a\nb 期限\nc\nd\ne")]
