@@ -161,3 +161,11 @@ def test_keywords_as_a_table(spark):
     first = {i: min(p for j, p in plain if j == i) for i, _ in plain}
     assert {r.id: r.value for r in first_contained(t, k.withColumn("value", F.col("place")), "id").collect()} == first
     assert contained(t, k.limit(0), "id").count() == 0
+
+
+def test_counts_of_shared_and_missing_keys(spark):
+    """Rows that share a key, or have none, are added up; without such no posting is shuffled."""
+    units = spark.createDataFrame([(1, "a b a"), (1, "a"), (2, "b"), (None, "c"), (None, "c c"), (3, None)], "pos int, text string")
+    assert sorted(map(tuple, bm25.term_frequencies(units).collect()), key=str) == [(1, "a", 3), (1, "b", 1), (2, "b", 1), (None, "c", 3)]
+    plan = bm25.term_frequencies(units.filter("pos > 1"))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
