@@ -6,6 +6,7 @@ import html
 import random
 import re
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -150,3 +151,12 @@ def test_html_references_without_a_semicolon(spark):
     df = spark.createDataFrame([(page,), ("<title>x&amp</title>y&quot;",)], "page string")
     got = [r.text for r in T.with_html_text(df, "page", "text", ended=True).collect()]
     assert got == ["a &&amp b&amp\n©&copy &am A&#65 &lt; & é&eacute", 'x&amp\ny"']
+
+
+@pytest.mark.parametrize("make", [T.detect_title, T.detect_regulatory_title])
+def test_titles_take_time_in_proportion_to_the_text(spark, make):
+    """Lines are split once, and ideographs paired in one pass."""
+    text = F.concat_ws("\n", F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.concat(F.lit("x "), i)))
+    plan = spark.range(1).select(make(text, F.lit("f")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    assert one(spark, "金" * 3 + "a" + "融", T.tokenize) == ["a", "金", "金", "金", "金金", "金金", "融"]
