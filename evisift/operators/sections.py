@@ -96,7 +96,7 @@ def _headed(docs: DataFrame, segment: int | None) -> DataFrame:
     rows = state(rows, segment, before={"prior": F.when(F.col("kind") != "page", F.col("kind"))}, last={"head": F.when(F.col("kind") == "heading", F.substring("line", 1, 120))})
     opens = ((F.col("kind") == "heading") & (F.col("prior") == "text")).cast("int")
     rows = state(rows, segment, sums={"g": F.coalesce(opens, F.lit(0))})
-    text = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct("n", "line")))), lambda x: x["line"])
+    text = F.sort_array(F.collect_list(F.when(F.col("kind") == "text", F.struct("n", "line"))))["line"]
     pages = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("kind") == "page", page_refs("line"))))))
     out = rows.groupBy("doc_id", "title", "g").agg(strip(F.array_join(text, "\n")).alias("text"), F.min_by("head", F.when(F.col("kind") == "text", F.col("n"))).alias("head"), pages.alias("page_refs"))
     out = state(out.filter(F.length("text") > 0), segment, "g", sums={"section_seq": F.lit(1)}).withColumn("section_seq", F.col("section_seq").cast("int"))
@@ -172,20 +172,19 @@ def _articles(docs: DataFrame, segment: int | None, max_chars: int) -> DataFrame
 
     last = {"chapter": named("chapter", K.CHAPTER), "section": named("section", K.SECTION)}
     rows = state(rows, segment, last=last, sums={"a": (F.col("kind") == "article").cast("int")})
-    body = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct("n", "line")))), lambda x: x["line"])
+    body = F.sort_array(F.collect_list(F.when(F.col("kind") == "text", F.struct("n", "line"))))["line"]
     found = rows.groupBy("doc_id", "title", "a").agg(
         strip(F.array_join(body, "\n")).alias("body"),
         F.min(F.when(F.col("kind") == "article", F.regexp_extract("line", K.ARTICLE, 1))).alias("no"),
         F.min(F.when(F.col("kind") == "article", strip(F.regexp_extract("line", K.ARTICLE, 2)))).alias("heading"),
         F.max_by(F.struct("chapter", "section"), "n").alias("at_end"),  # context in force when the article is closed
     )
-    found = found.filter(F.length("body") > 0)
+    found = found.filter(F.length("body") > 0)  # what is used again below is bound, so that it isn't made again for each use
     path = F.filter(F.array("title", "at_end.chapter", "at_end.section", "no"), lambda x: F.coalesce(F.length(x) > 0, F.lit(False)))
     full = strip(F.concat(strip(F.concat_ws(" ", "no", "heading")), F.lit("\n"), F.col("body")))
-    found = found.withColumn("full", F.when(F.col("a") == 0, F.col("body")).otherwise(full))
+    found = found.select("*", once(F.when(F.col("a") == 0, F.col("body")).otherwise(full)).alias("full")).drop("body")
     long = (F.col("a") > 0) & (F.length("full") > max_chars)
-    found = found.withColumn("chunks", F.when(long, greedy_chunks("full", max_chars, "。")).otherwise(F.array("full")))
-    found = found.select("*", long.alias("long"), F.posexplode("chunks").alias("chunk_seq", "chunk"))
+    found = found.select("*", long.alias("long"), F.posexplode(F.when(long, greedy_chunks("full", max_chars, "。")).otherwise(F.array("full"))).alias("chunk_seq", "chunk")).drop("full")
     base = F.concat_ws("::", "doc_id", F.when(F.col("a") == 0, F.lit("preamble")).otherwise(F.col("no")))
     return found.select(
         F.when(F.col("long"), F.concat(base, F.lit("::chunk_"), F.col("chunk_seq") + 1)).otherwise(base).alias("unit_id"),
