@@ -22,15 +22,14 @@ from evisift.storage import materialize, spread, unused
 GRAM = 4
 
 
-def grams(text: Column | str, size: int) -> Column:
-    """The distinct grams of a text. Characters are split off first: to take substrings would count from the beginning for each."""
-    return F.array_distinct(F.transform(F.filter(F.sequence(F.lit(0), F.size("chars") - size), lambda i: i >= 0), lambda i: F.concat(*[F.get("chars", i + k) for k in range(size)])))
+def grams(text: Column, size: int) -> Column:
+    """The distinct grams of a text: at each place the characters ahead, in one pass."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
 def texts_grams(texts: DataFrame, key: str, text: str, sizes: Sequence[int]) -> DataFrame:
     """(key, gram): the distinct grams of each text, of all sizes."""
-    chars = texts.filter(F.length(text) > 0).select(key, F.explode(F.array(F.split(text, ""))).alias("chars"))
-    return chars.select(key, F.explode(F.concat(*[F.when(F.size("chars") >= n, grams("chars", n)).otherwise(F.array().cast("array<string>")) for n in sizes])).alias("gram"))
+    return texts.filter(F.length(text) > 0).select(key, F.explode(F.concat(*[grams(F.col(text), n) for n in sizes])).alias("gram"))
 
 
 def contained(texts: DataFrame, keywords: DataFrame, key: str, text: str = "text", keyword: str = "keyword") -> DataFrame:
@@ -40,8 +39,7 @@ def contained(texts: DataFrame, keywords: DataFrame, key: str, text: str = "text
     if not sizes:
         return keywords.limit(0).crossJoin(texts.select(key).limit(0))
     rows = spread(texts.select(key, text))
-    own = words.withColumn("chars", F.split("word", ""))
-    own = own.select("word", F.explode(F.when(F.size("chars") >= GRAM, grams("chars", GRAM)).otherwise(F.array("word"))).alias("gram"))
+    own = words.select("word", F.explode(F.when(F.length("word") >= GRAM, grams(F.col("word"), GRAM)).otherwise(F.array("word"))).alias("gram"))
     own = materialize(own, "grams")
     every = texts_grams(rows, key, text, sizes)
     met = every.join(small(own.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
@@ -49,8 +47,9 @@ def contained(texts: DataFrame, keywords: DataFrame, key: str, text: str = "text
     # a keyword one of whose grams no text has is in none: it has no anchor
     counted = own.join(small(materialize(met, "met")), "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     anchors = materialize(counted.withColumn("r", F.row_number().over(rarest)).filter("r = 1 AND n > 0").select("gram", "word"), "anchors")
-    pairs = materialize(every.join(small(anchors), "gram").select(key, "word").distinct(), "pairs")
-    found = pairs.join(rows, key).filter(F.col(text).contains(F.col("word"))).select(key, "word").distinct()
+    # a row a text, so that no text is repeated for each of its words
+    pairs = materialize(every.join(small(anchors), "gram").groupBy(key).agg(F.collect_set("word").alias("words")), "pairs")
+    found = pairs.join(rows, key).select(key, F.explode(F.filter("words", lambda w: F.contains(F.col(text), w))).alias("word")).distinct()
     (own_key,) = unused(keywords.columns, key)
     return keywords.join(found.withColumnRenamed(key, own_key), F.col(keyword) == F.col("word")).drop("word")
 

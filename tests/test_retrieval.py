@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from evisift.operators import bm25
+from evisift.operators import bm25, keywords
 from evisift.operators.keywords import contained, first_contained
 from evisift.operators.retrieval import expand_neighbours, select_hits
 from evisift.operators.segments import MaintainedIndex
@@ -169,3 +169,12 @@ def test_counts_of_shared_and_missing_keys(spark):
     assert sorted(map(tuple, bm25.term_frequencies(units).collect()), key=str) == [(1, "a", 3), (1, "b", 1), (2, "b", 1), (None, "c", 3)]
     plan = bm25.term_frequencies(units.filter("pos > 1"))._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan
+
+
+def test_grams_are_taken_in_one_pass(spark):
+    """Also around characters beyond the basic plane."""
+    texts = spark.createDataFrame([(1, "ab😀cd e\nf"), (2, "xyz"), (3, "😀"), (4, None), (5, "")], "k int, text string")
+    words = spark.createDataFrame([("b😀cd",), ("😀",), ("e\nf",), ("yz",), ("cdx",)], "keyword string")
+    assert sorted(map(tuple, contained(texts, words, "k").select("k", "keyword").collect())) == [(1, "b😀cd"), (1, "e\nf"), (1, "😀"), (2, "yz"), (3, "😀")]
+    plan = keywords.texts_grams(texts, "k", "text", [2, 4])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2 and "sequence(" not in plan
