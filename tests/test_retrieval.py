@@ -110,6 +110,28 @@ def test_pruning_drops_most(spark):
     assert bm25.best_scores(units, asked, 3).count() < 0.3 * bm25.scores(units, asked).count()
 
 
+@pytest.mark.parametrize("bound", ["BROADCAST_ROWS", "BROADCAST_PAIRS", "ALLOWED", "EXACT", None])
+def test_scan_and_joins_find_the_same(spark, monkeypatch, bound):
+    """A scan passes on each task's best alone, without a shuffle; joins stand in for it where it can't be had, also where rows share a key."""
+    units, asked = random_units(spark, 11)
+    units = units.repartition(3).unionByName(units.filter("pos < 30").withColumn("pos", F.col("pos") + 1000))  # ties
+    units = units.unionByName(units.limit(1).select(F.lit(None).cast("long").alias("pos"), "text", "doc_id", "kind"))
+    asked = asked.unionByName(spark.createDataFrame([(20, "w1 w1 w1 w2 w2"), (21, "w1")], asked.schema))
+    allowed = asked.selectExpr("query_id", "explode(array('A', 'C', 'D', null)) AS doc_id").filter("query_id % 3 <> 0 OR doc_id = 'A'")
+    how = {"keep": ("doc_id", "kind"), "allowed": allowed, "factor": F.when(F.col("kind") == "x", 1.7).otherwise(0.6), "per_doc": True}
+    found = [bm25.best_scores(units, asked, 3), bm25.best_scores(units, asked, 3, **how)]
+    assert all("Exchange" not in f._jdf.queryExecution().executedPlan().toString() for f in found)
+    if bound:
+        monkeypatch.setattr(bm25, bound, 5)
+    else:
+        units = units.unionByName(spark.createDataFrame([(7, "w1 w1 w3", "A", "x")], units.schema))
+        found = [bm25.scores(units, asked), bm25.scores(units, asked, keep=("doc_id", "kind"), allowed=allowed).withColumn("score", F.col("score") * how["factor"])]
+    other = [bm25.best_scores(units, asked, 3), bm25.best_scores(units, asked, 3, **how)]
+    assert ranked(other[0], 3) == ranked(found[0], 3)
+    one, two = ([tuple(r) for r in select_hits(s, 3, True).select("query_id", "pos", "score", "sel").collect()] for s in (found[1], other[1]))
+    assert sorted(one) == sorted(two) and one
+
+
 def test_maintained_index(spark, tmp_path):
     units, asked = random_units(spark, 5)
     kept = MaintainedIndex(spark, f"file://{tmp_path}/index", keep=("doc_id", "kind"))
