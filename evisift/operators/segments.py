@@ -1,12 +1,12 @@
 """An inverted index that is kept up to date: segments, tombstones, deltas of statistics, compaction.
 
-Below the index' folder each change has a segment: ``postings`` of the units that it
-adds (as bm25.index makes them), ``gone``, the keys that it takes away, and ``deltas``:
+Below the index' folder each change has a segment: ``bags`` of the units that it adds
+(as bm25.whole_bags makes them, a row a unit: what is joined and copied are units, not
+postings), ``gone``, the keys that it takes away, and ``deltas``:
 by token, how many units more or fewer have it, and under bm25.MARK how many units and
-tokens there are more or fewer. A changed unit is in both, its old postings being gone
-and its new ones in the same segment. What is live are the postings of a segment whose
-key no later one has in ``gone``. Statistics are sums of deltas: no posting is read for
-them.
+tokens there are more or fewer. A changed unit is in both, its old bag being gone and
+its new one in the same segment. What is live are the bags of a segment whose key no
+later one has in ``gone``. Statistics are sums of deltas: no bag is read for them.
 
 A version is a file that lists its segments. It is written last, under a name that must
 not be there yet, so that a change that breaks off, or a second one at the same time,
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evisift.operators.bm25 import MARK, index, small
+from evisift.operators.bm25 import MARK, index, posted, small, whole_bags
 from evisift.storage import exists, file_system, materialize, remove
 
 #: Names of the version files have so many digits.
@@ -83,11 +83,11 @@ class MaintainedIndex:
         gone = self.spark.read.parquet(f"{folder}/gone")
         deltas = []
         if live:
-            old = self.postings(live).join(small(gone), self.key, "left_semi")
+            old = self.bags(live).join(small(gone), self.key, "left_semi")
             deltas.append(self.counted(old, -1))
         if put is not None:
-            index(put, self.key, self.text, self.keep).write.parquet(f"{folder}/postings")
-            deltas.append(self.counted(self.spark.read.parquet(f"{folder}/postings"), 1))
+            whole_bags(put, self.key, self.text, self.keep).write.option("compression", "zstd").parquet(f"{folder}/bags")
+            deltas.append(self.counted(self.spark.read.parquet(f"{folder}/bags"), 1))
         elif not deltas:
             return before[-1] if before else -1
         every = deltas[0] if len(deltas) == 1 else deltas[0].unionByName(deltas[1])
@@ -109,9 +109,9 @@ class MaintainedIndex:
         """All that is live in one segment."""
         before, live = self.versions(), self.segments()
         folder = f"{self.path}/segments/{uuid.uuid4().hex}"
-        self.postings(live).write.parquet(f"{folder}/postings")
+        self.bags(live).write.option("compression", "zstd").parquet(f"{folder}/bags")
         self.deltas(live).filter("n_units <> 0 OR dl <> 0").write.parquet(f"{folder}/deltas")
-        self.spark.read.parquet(f"{folder}/postings").select(self.key).limit(0).write.parquet(f"{folder}/gone")
+        self.spark.read.parquet(f"{folder}/bags").select(self.key).limit(0).write.parquet(f"{folder}/gone")
         return self.commit(before, [folder])
 
     def vacuum(self) -> list[str]:
@@ -131,11 +131,15 @@ class MaintainedIndex:
         return [(k, self.spark.read.parquet(f"{s}/{what}")) for k, s in enumerate(segments) if exists(self.spark, f"{s}/{what}")]
 
     def postings(self, segments: list[str] | None = None) -> DataFrame:
-        """The live postings, for bm25's scores and best_scores."""
+        """The live postings, for bm25's scores."""
+        return posted(self.bags(segments), self.key, self.keep)
+
+    def bags(self, segments: list[str] | None = None) -> DataFrame:
+        """The live units' bags, for best_scores."""
         segments = self.segments() if segments is None else segments
-        found = self.parts(segments, "postings")
+        found = self.parts(segments, "bags")
         if not found:
-            raise FileNotFoundError(f"no postings in {self.path}")
+            raise FileNotFoundError(f"no bags in {self.path}")
         every = self.joined([df.withColumn("segment", F.lit(k)) for k, df in found])
         gone = self.joined([df.withColumn("by", F.lit(k)) for k, df in self.parts(segments, "gone")])
         gone = materialize(gone.groupBy(self.key).agg(F.max("by").alias("by")).filter("by > 0"), "gone")  # the first takes nothing away
@@ -150,11 +154,10 @@ class MaintainedIndex:
         n, dl = every.filter(F.col("token") == MARK).agg(F.coalesce(F.sum("n_units"), F.lit(0)), F.coalesce(F.sum("dl"), F.lit(0))).first()
         return Statistics(n, dl / n if n and dl else 1.0, every.filter((F.col("token") != MARK) & (F.col("n_units") > 0)).select("token", F.col("n_units").alias("df")))
 
-    def counted(self, postings: DataFrame, sign: int) -> DataFrame:
+    def counted(self, bags: DataFrame, sign: int) -> DataFrame:
         """By token how many units have it; all units, and their lengths, under MARK."""
-        mark = F.col("token").startswith(MARK)
-        rows = postings.select(F.when(mark, F.lit(MARK)).otherwise(F.col("token")).alias("token"), F.when(mark, F.col("dl")).otherwise(0).alias("dl"))
-        return rows.groupBy("token").agg((F.count("*") * sign).alias("n_units"), (F.sum("dl") * sign).alias("dl"))
+        rows = bags.select(F.explode(F.concat(F.array(F.lit(MARK)), "tokens")).alias("token"), "dl")
+        return rows.groupBy("token").agg((F.count("*") * sign).alias("n_units"), (F.sum(F.when(F.col("token") == MARK, F.col("dl")).otherwise(0)) * sign).alias("dl"))
 
     @staticmethod
     def summed(deltas: DataFrame) -> DataFrame:

@@ -151,6 +151,10 @@ def test_maintained_index(spark, tmp_path):
         assert ranked(got, 5) == ranked(bm25.scores(final, asked), 5) == ranked(bm25.scores(None, asked, postings=kept.postings()), 5)
 
     equal()
+    # a row a unit: no change joins or copies postings
+    bags = kept.bags()
+    assert bags.count() == final.count()
+    assert ranked(bm25.best_scores(None, asked, 5, postings=bags), 5) == ranked(bm25.scores(final, asked), 5)
     before = kept.versions()
     with pytest.raises(Exception, match="exist"):  # another change was first
         kept.commit(before[:-1], [])
