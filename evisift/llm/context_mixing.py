@@ -11,9 +11,10 @@ well the two word contexts are known. From these starting weights every text ref
 own as it goes, a segment at a time, by the errors made so far; a segment's bits are
 coded by weights from before it.
 
-The prefix codes and the mixer's starting weights come from a bounded sample of training
-texts (SAMPLE, a parameter), for which the counts leave out the text itself. The table
-of counts has a fixed number of slots (``slot_bits``), which bounds what is broadcast;
+The prefix codes come from the pairs of symbols of all training texts. The mixer's
+starting weights are fitted on every bit of all training texts, for each of which the
+counts leave out its text: tasks count how often which log odds, rounded to ROUND steps,
+meet which bit, and Newton's steps are taken over these counts. The table of counts has a fixed number of slots (``slot_bits``), which bounds what is broadcast;
 what it counts grows with the corpus, as do the tokens.
 
 The base is the unigram probability of the tokens with all training counts. Tokens that
@@ -45,8 +46,6 @@ from evisift.llm.common import table
 from evisift.llm.labelled import fold
 from evisift.storage import materialize
 
-#: Training texts that the codes and the mixer are fitted on, at most; symbols of a window that a text gives.
-SAMPLE, WINDOW = 1000, 512
 #: Slots of the hashed contexts, as a power of two.
 SLOT_BITS = 22
 END = 256
@@ -56,6 +55,9 @@ PREDICTORS = 3
 #: What a count of zero stands for; steps of the log odds; levels at which a context's counts begin.
 DELTA, STEPS, LEVELS = 0.1, 15.0, (4, 32, 256)
 GATES = (len(LEVELS) + 1) ** 2
+#: Steps of log odds that the mixer's fit takes together; how many such there are.
+ROUND = 9
+ROUNDED = 2 * ((127 + ROUND // 2) // ROUND) + 1
 #: Symbols of a piece; counts of a block; bits of a segment; rate of refinement.
 PIECE, BLOCK, SEGMENT, RATE = 1 << 14, 1 << 15, 512, 0.003
 #: Tokens with at least this share of all are broadcast, so there are 1 / TOKEN_SHARE of them at most; tokens that a task counts before it passes them on.
@@ -255,10 +257,15 @@ class Counts:
 
     def blocks(self) -> Iterator[tuple[int, bytes]]:
         self.flush()
-        for k in range(0, len(self.n), BLOCK):
-            part = self.n[k : k + BLOCK]
-            if part.any():
-                yield k // BLOCK, packed(np.pad(part, (0, BLOCK - len(part))))
+        return blocks(self.n)
+
+
+def blocks(n: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Blocks of counts, those that have any."""
+    for k in range(0, len(n), BLOCK):
+        part = n[k : k + BLOCK]
+        if part.any():
+            yield k // BLOCK, packed(np.pad(part, (0, BLOCK - len(part))))
 
 
 def packed(n: np.ndarray) -> bytes:
@@ -365,13 +372,28 @@ class Bits:
         x = [(v >> 8).astype(np.float32) for v in found]
         for v in x:
             v *= np.float32(1 / STEPS)
-        return cls(x, (found[-1] & 3) * (len(LEVELS) + 1) + (found[-2] & 3), bit.astype(np.float32) * 2 - 1)
+        return cls(x, cls.gate_of(found), bit.astype(np.float32) * 2 - 1)
+
+    @staticmethod
+    def gate_of(found: list[np.ndarray]) -> np.ndarray:
+        return (found[-1] & 3) * (len(LEVELS) + 1) + (found[-2] & 3)
 
     @classmethod
     def joined(cls, parts: list[Bits]) -> Bits:
         return cls([np.concatenate(x) for x in zip(*[b.x for b in parts], strict=True)], np.concatenate([b.gate for b in parts]), np.concatenate([b.sign for b in parts]))
 
 
+def newton(a: np.ndarray, t: np.ndarray, times: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Weights of least cost for inputs ``a`` that met ``t`` so many times."""
+    w = start.copy()
+    for _ in range(12):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        slope = a.T @ (times * (t - p)) - (w - start)
+        curve = (a * (times * p * (1 - p))[:, None]).T @ a + np.eye(PREDICTORS + 1)
+        w += np.clip(np.linalg.solve(curve, slope), -0.5, 0.5)
+    return w
+
+
 @dataclass
 class Mixer:
     """Weights of each gate."""
@@ -387,12 +409,23 @@ class Mixer:
             every = Bits.joined(bits)
             x = np.column_stack([*every.x, np.ones(len(every.gate))]).astype(np.float64)
             for g in range(GATES):
-                a, t = x[every.gate == g], every.sign[every.gate == g] > 0
-                for _ in range(12):
-                    p = 1 / (1 + np.exp(-np.clip(a @ w[g], -30, 30)))
-                    slope = a.T @ (t - p) - (w[g] - start)
-                    curve = (a * (p * (1 - p))[:, None]).T @ a + np.eye(PREDICTORS + 1)
-                    w[g] += np.clip(np.linalg.solve(curve, slope), -0.5, 0.5)
+                here = every.gate == g
+                w[g] = newton(x[here], every.sign[here] > 0, np.ones(here.sum()), start)
+        return cls(w)
+
+    @classmethod
+    def fit_cells(cls, cells: np.ndarray) -> Mixer:
+        """fit() of bits that were counted by cell (Cells)."""
+        w = cls.fit([]).w
+        met = np.flatnonzero(cells)
+        rest, t = np.divmod(met, 2)
+        x = np.ones((len(met), PREDICTORS + 1))
+        for k in reversed(range(PREDICTORS)):
+            rest, q = np.divmod(rest, ROUNDED)
+            x[:, k] = (q - ROUNDED // 2) * (ROUND / STEPS)
+        for g in range(GATES):
+            here = rest == g
+            w[g] = newton(x[here], t[here], cells[met[here]], w[g].copy())
         return cls(w)
 
     def odds(self, b: Bits) -> np.ndarray:
@@ -489,15 +522,9 @@ class Model:
         return total
 
 
-def sampled(docs: DataFrame, learns: Column, most: int) -> DataFrame:
-    """Texts of the training ids with the smallest hashes, in the shared folder; of texts that share an id the one with the smallest hash."""
-    ids = docs.filter(learns & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    ids = ids.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(most).select("doc_id")
-    few = docs.join(F.broadcast(ids), "doc_id")  # most rows
-    return materialize(few.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")), "sample")
-
+def fit_codes(texts: DataFrame) -> Codes:
+    """From the pairs of symbols of all texts."""
 
-def fit_codes(sample: DataFrame) -> Codes:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(SYMBOLS * SYMBOLS, np.int64)
         for b in batches:
@@ -505,53 +532,80 @@ def fit_codes(sample: DataFrame) -> Codes:
             for s in pieces(lowered(t) for t in b.column("text").to_pylist()):
                 n += np.bincount(np.append(before, s[:-1]) * SYMBOLS + s, minlength=len(n))
                 before = s[-1]
-        yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()])], names=["n"])
+        pair = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int32)), pa.array(n[pair])], names=["pair", "n"])
+
+    n = np.zeros(SYMBOLS * SYMBOLS)
+    for r in texts.mapInArrow(count, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # SYMBOLS bounds them
+        n[r.pair] = r.n
+    return codes(n.reshape(SYMBOLS, SYMBOLS))
+
 
-    got = sample.coalesce(8).mapInArrow(count, "n binary").collect()  # a row a task
-    return codes(sum((np.frombuffer(r.n, np.int64) for r in got), np.zeros(SYMBOLS * SYMBOLS, np.int64)).reshape(SYMBOLS, SYMBOLS).astype(float))
+class Cells:
+    """How often which gate and rounded log odds of the predictors meet which bit, over texts whose own counts are left out. n: counts of all slots, as 16-bit numbers."""
 
+    #: Texts up to so many symbols are gone through once.
+    ONCE = 1 << 17
 
-def fit_mixer(sample: DataFrame, codes: Codes, n: np.ndarray, slot_bits: int) -> Mixer:
-    """n: counts of all slots, as 16-bit numbers. A text's own counts are taken from those that it meets; of a text a window is taken, anywhere in it."""
-    shared = sample.sparkSession.sparkContext.broadcast((codes, n))
+    def __init__(self, codes: Codes, n: np.ndarray, slot_bits: int) -> None:
+        self.codes, self.n, self.slot_bits = codes, n, slot_bits
+        self.own = np.zeros((len(n), 2), np.int32)
+        self.cells = np.zeros(2 * GATES * ROUNDED**PREDICTORS, np.int64)
+        self.held: list[np.ndarray] = []
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, n = shared.value
+    def bits(self, text: bytes) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+        stream = Stream(self.codes, self.slot_bits)
+        for s in pieces(iter([text])):
+            yield stream.bits(s)[1:]
+
+    def add(self, text: bytes) -> None:
+        whole = list(self.bits(text)) if len(text) < self.ONCE else None
+        own = self.own.reshape(-1)
+        for bit, slots in whole or self.bits(text):
+            for x in slots:
+                np.add.at(own, 2 * x + bit, 1)
+        for bit, slots in whole or self.bits(text):
+            found = [table_of(np.maximum(self.n.take(x, 0) - self.own.take(x, 0), 0)) for x in slots]
+            cell = Bits.gate_of(found).astype(np.int64)
+            for v in found:
+                cell = cell * ROUNDED + ((v >> 8) + (ROUNDED // 2 * ROUND + ROUND // 2)) // ROUND
+            self.held.append(2 * cell + bit)
+        for _, slots in whole or self.bits(text):
+            for x in slots:
+                self.own[x] = 0
+        if sum(map(len, self.held)) > 1 << 20:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            self.cells += np.bincount(np.concatenate(self.held), minlength=len(self.cells))
+        self.held = []
+
+
+def fit_mixer(texts: DataFrame, codes: Codes, n: np.ndarray, slot_bits: int) -> Mixer:
+    """On every bit of all texts. n: counts of all slots, as 16-bit numbers."""
+    shared = texts.sparkSession.sparkContext.broadcast((codes, n))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = Cells(*shared.value, slot_bits)
         for b in batches:
             for raw in b.column("text").to_pylist():
-                text = lowered(raw)
-                stream, rng = Stream(codes, slot_bits), np.random.default_rng(len(text))
-                first = int(rng.integers(0, max(1, len(text) + 2 - WINDOW)))
-                took, at = [], 0
-                for s in pieces(iter([text])):
-                    length, bit, slots = stream.bits(s)
-                    upto = np.append(0, np.cumsum(length))
-                    lo, hi = upto[np.clip([first - at, first + WINDOW - at], 0, len(s))]
-                    took.append((bit[lo:hi], [x[lo:hi] for x in slots]))
-                    at += len(s)
-                bit, slots = np.concatenate([x for x, _ in took]), [np.concatenate(x) for x in zip(*[x for _, x in took], strict=True)]
-                met = [np.unique(x) for x in slots]
-                own = [np.zeros((len(m), 2), np.int64) for m in met]
-                stream = Stream(codes, slot_bits)
-                for s in pieces(iter([text])):
-                    _, every, found = stream.bits(s)
-                    for m, o, x in zip(met, own, found, strict=True):
-                        k = np.minimum(np.searchsorted(m, x), len(m) - 1)
-                        hit = m[k] == x
-                        o += np.bincount(2 * k[hit] + every[hit], minlength=o.size).reshape(o.shape)
-                rest = [table_of(np.maximum(n[m].astype(np.int64) - o, 0)) for m, o in zip(met, own, strict=True)]
-                rest = [t[np.searchsorted(m, x)] for t, m, x in zip(rest, met, slots, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([np.stack(rest).tobytes()]), pa.array([bit.tobytes()])], names=["found", "bit"])
-
-    rows = sample.select("text").mapInArrow(windows, "found binary, bit binary").collect()  # SAMPLE times WINDOW bounds them
-    rows.sort(key=lambda r: (r.found, r.bit))
-    return Mixer.fit([Bits.of(list(np.frombuffer(r.found, np.int16).reshape(PREDICTORS, -1)), np.frombuffer(r.bit, np.uint8)) for r in rows])
-
-
-def fit(docs: DataFrame, learns: Column, most: int = SAMPLE, slot_bits: int = SLOT_BITS) -> tuple[Model, DataFrame]:
+                made.add(lowered(raw))
+        made.flush()
+        for block, data in blocks(made.cells):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([data], pa.binary())], names=["block", "counts"])
+
+    cells = np.zeros(2 * GATES * ROUNDED**PREDICTORS, np.int64)
+    for r in added(texts.mapInArrow(tally, "block int, counts binary")).toLocalIterator():
+        part = cells[r.block * BLOCK : (r.block + 1) * BLOCK]
+        part += unpacked(r.counts, BLOCK)[: len(part)]
+    return Mixer.fit_cells(cells)
+
+
+def fit(docs: DataFrame, learns: Column, slot_bits: int = SLOT_BITS) -> tuple[Model, DataFrame]:
     """The model of docs (doc_id, text) for which ``learns`` holds, and the table of all tokens (token, c, n)."""
-    sample = sampled(docs, learns, most)
-    codes = fit_codes(sample)
+    texts = docs.filter(learns).select("text")
+    codes = fit_codes(texts)
     got = gathered(docs.select("text", learns.alias("learns")), codes, slot_bits)
     tokens = materialize(got.filter("token IS NOT NULL").groupBy("token").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "tokens")
     n = np.zeros(2 << slot_bits, np.uint16)
@@ -559,7 +613,7 @@ def fit(docs: DataFrame, learns: Column, most: int = SAMPLE, slot_bits: int = SL
         part = np.frombuffer(r.counts, np.uint16)
         n[r.block * BLOCK : (r.block + 1) * BLOCK] = part[: len(n) - r.block * BLOCK]
     n = n.reshape(-1, 2)
-    return Model(codes, table_of(n), fit_mixer(sample, codes, n, slot_bits), slot_bits), tokens
+    return Model(codes, table_of(n), fit_mixer(texts, codes, n, slot_bits), slot_bits), tokens
 
 
 def halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -283,6 +283,42 @@ def test_lm_scores(spark, monkeypatch):
     assert all(r.n_known == r.train_tokens == 0 and r.score < 0 and r.base_score == 0 for r in silent)
 
 
+def test_codes_and_mixer_learn_from_all_texts(spark):
+    """However many there are, and however they lie; a text's own counts are left out of what it teaches the mixer."""
+    texts = [*(r[1] for r in rows(300)), None, "", "ab " * 9000] * 5
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    raw = [lm.lowered(t) for t in texts]
+    pairs = np.zeros((lm.SYMBOLS, lm.SYMBOLS))
+    for t in raw:
+        s = lm.symbols([t])
+        np.add.at(pairs, (np.append(lm.END, s[:-1]), s), 1)
+    codes = lm.codes(pairs)
+    found = lm.fit_codes(docs.repartition(3))
+    assert all((getattr(found, c) == getattr(codes, c)).all() for c in ("begin", "length", "place", "bit"))
+    counts = lm.Counts(codes, 12)
+    for s in lm.pieces(iter(raw)):
+        counts.add(s)
+    counts.flush()
+    n = lm.scaled(counts.n.reshape(-1, 2))
+    bits = []
+    for t in raw:
+        _, bit, slots = piecewise(codes, t)
+        own = sum(np.bincount(2 * x + bit, minlength=n.size).reshape(n.shape) for x in slots)
+        table = lm.table_of(np.maximum(n.astype(np.int64) - own, 0))
+        bits.append(lm.Bits.of([table[x] for x in slots], bit))
+    for b in bits:
+        b.x = [(np.floor((np.rint(x * lm.STEPS) + 4) / 9) * 9 / lm.STEPS).astype(np.float32) for x in b.x]
+    assert lm.fit_mixer(docs.repartition(3), codes, n, 12).w == pytest.approx(lm.Mixer.fit(bits).w, abs=1e-4)
+
+
+def piecewise(codes, text):
+    """Of a text's bits: no lengths, the bits, and the predictors' slots."""
+    stream, got = lm.Stream(codes, 12), []
+    for s in lm.pieces(iter([text])):
+        got.append(stream.bits(s))
+    return None, np.concatenate([g[1] for g in got]), [np.concatenate(x) for x in zip(*[g[2] for g in got], strict=True)]
+
+
 # Planted neighbours of vectors ---------------------------------------------------------------
 
 
