@@ -32,12 +32,12 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,8 +60,10 @@ ROUND = 9
 ROUNDED = 2 * ((127 + ROUND // 2) // ROUND) + 1
 #: Symbols of a piece; counts of a block; bits of a segment; rate of refinement.
 PIECE, BLOCK, SEGMENT, RATE = 1 << 14, 1 << 15, 512, 0.003
-#: Tokens with at least this share of all are broadcast, so there are 1 / TOKEN_SHARE of them at most; tokens that a task counts before it passes them on.
+#: Tokens with at least this share of all are broadcast, so there are 1 / TOKEN_SHARE of them at most; different tokens that a task counts, at some five repeats of each, before it passes them on.
 TOKEN_SHARE, TOKENS = 5e-6, 200_000
+#: Tokens whose counts a task may hold as a map.
+MAPPED = 1_000_000
 MIX, NODE, PRIME = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x100000001B3)
 INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
 #: Low bits of a context's hash, which are given up for the two symbols in counting.
@@ -73,6 +75,21 @@ def lowered(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace").lower()  # of bytes: A-Z alone
 
 
+def lowered_parts(column: pa.Array, size: int = 1000) -> Iterator[list[bytes]]:
+    """lowered() of a column's texts, so many at a time."""
+    for s in range(0, len(column), size):
+        yield [(t or b"").lower() for t in column.slice(s, size).cast(pa.binary()).to_pylist()]
+
+
+def tokens_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of all texts and each one's text; after the words come the ends, which are empty."""
+    words = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+    of, token = pc.list_parent_indices(words).to_numpy().astype(np.int64), words.flatten().view(pa.large_binary())
+    keep = pc.greater(pc.binary_length(token), 0)
+    token, of = token.filter(keep), of[keep.to_numpy(zero_copy_only=False)]
+    return pa.concat_arrays([token, pa.array([b""] * len(texts), pa.large_binary())]), np.append(of, np.arange(len(texts)))
+
+
 # Codes -------------------------------------------------------------------------------------
 
 
@@ -177,19 +194,26 @@ class Stream:
     def bits(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Bits of each symbol, the bits, and each predictor's slots for them."""
         before, contexts = self.contexts(s)
-        length, bit, node = self.path(before * SYMBOLS + s)
-        return length, bit, [self.slots(c, length, node) for c in contexts]
+        length, of, bit, node = self.path(before * SYMBOLS + s)
+        return length, bit, [self.slots(c, of, node) for c in contexts]
 
-    def path(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of (symbol before * SYMBOLS + symbol): how many bits each has, and the bits and hashes of their places in the codes."""
+    def path(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of (symbol before * SYMBOLS + symbol): how many bits each has, and of each bit its symbol's position, the bit and the hash of its place in the codes."""
         length = self.codes.length.take(code).astype(np.int64)
         upto = np.cumsum(length)
-        where = np.repeat(self.codes.begin.take(code) - upto + length, length)
-        where += np.arange(len(where))
-        return length, self.codes.bit.take(where), self.codes.place.take(where)
-
-    def slots(self, context: np.ndarray, length: np.ndarray, node: np.ndarray) -> np.ndarray:
-        h = np.repeat(context, length)
+        of = np.zeros(int(upto[-1]) if len(upto) else 0, np.int64)
+        of[upto[:-1]] = 1  # every symbol has a bit
+        where = np.ones_like(of)  # steps from bit to bit, summed up
+        if len(of):
+            begin = self.codes.begin.take(code)
+            where[0] = begin[0]
+            where[upto[:-1]] = begin[1:] - begin[:-1] - length[:-1] + 1
+        np.cumsum(of, out=of)
+        np.cumsum(where, out=where)
+        return length, of, self.codes.bit.take(where, mode="clip"), self.codes.place.take(where, mode="clip")
+
+    def slots(self, context: np.ndarray, of: np.ndarray, node: np.ndarray) -> np.ndarray:
+        h = context.take(of, mode="clip")  # take is slower where it checks positions
         h ^= node
         h *= MIX
         h >>= self.shift
@@ -237,7 +261,12 @@ class Counts:
         self.size = 0
 
     def add(self, s: np.ndarray) -> None:
-        before, contexts = self.stream.contexts(s)
+        before, (*contexts, rare) = self.stream.contexts(s)
+        _, of, bit, node = self.stream.path(before * SYMBOLS + s)
+        at = self.stream.slots(rare, of, node)  # most of these come once
+        at *= 2
+        at += bit
+        np.add.at(self.n, at, np.int64(1))
         both = (before << 9 | s).astype(np.uint64)
         self.held.append([c << SPARE | both for c in contexts])
         self.size += len(s)
@@ -251,8 +280,10 @@ class Counts:
             times = np.diff(np.append(first, len(key)))
             key = key[first]
             code = ((key >> np.uint64(9)) & np.uint64(511)).astype(np.int64) * SYMBOLS + (key & np.uint64(511)).astype(np.int64)
-            length, bit, node = self.stream.path(code)
-            np.add.at(self.n, 2 * self.stream.slots(key >> SPARE, length, node) + bit, np.repeat(times, length))
+            for k in range(0, len(key), PIECE):
+                _, of, bit, node = self.stream.path(code[k : k + PIECE])
+                at = 2 * self.stream.slots(key[k : k + PIECE] >> SPARE, of, node) + bit
+                np.add.at(self.n, at, times[k : k + PIECE].take(of, mode="clip"))
         self.held, self.size = [], 0
 
     def blocks(self) -> Iterator[tuple[int, bytes]]:
@@ -289,30 +320,30 @@ def gathered(texts: DataFrame, codes: Codes, slot_bits: int) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(codes)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen, others = None, Counter(), Counter()
+        counts, some, held = None, [], []
 
         def tokens() -> Iterator[pa.RecordBatch]:
-            for some in (seen, others):
-                n = list(some.values())
-                yield _rows(list(some), n if some is seen else [0] * len(n), n, None, None)
+            if some:
+                t = pa.table({"token": pa.chunked_array([x[0] for x in some]), "c": np.concatenate([x[1] for x in some])})
+                t = t.group_by("token", use_threads=False).aggregate([("c", "sum"), ("c", "count")]).combine_chunks()
+                for b in t.select(["token", "c_sum", "c_count"]).to_batches():
+                    yield _rows(*b.columns, None, None)
                 some.clear()
 
-        held: list[bytes] = []
         for b in batches:
-            for raw, learns in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                text = lowered(raw)
-                words = text.split()
-                words.append(b"")
-                (seen if learns else others).update(words)
-                if learns:
-                    held.append(text)
-                if len(seen) + len(others) >= TOKENS:
+            learns = iter(np.array(b.column(1).to_pylist(), bool))
+            for texts in lowered_parts(b.column(0)):
+                mine = np.fromiter(learns, bool, len(texts))
+                token, of = tokens_of(texts)
+                some.append((token, mine[of].astype(np.int64)))
+                if sum(len(x[0]) for x in some) >= 5 * TOKENS:
                     yield from tokens()
-            if sum(map(len, held)) > 1 << 22:
-                counts = counts or Counts(shared.value, slot_bits)
-                for s in pieces(iter(held)):
-                    counts.add(s)
-                held = []
+                held += [t for t, x in zip(texts, mine, strict=True) if x]
+                if sum(map(len, held)) > 1 << 22:
+                    counts = counts or Counts(shared.value, slot_bits)
+                    for s in pieces(iter(held)):
+                        counts.add(s)
+                    held = []
         if held:
             counts = counts or Counts(shared.value, slot_bits)
             for s in pieces(iter(held)):
@@ -325,11 +356,10 @@ def gathered(texts: DataFrame, codes: Codes, slot_bits: int) -> DataFrame:
     return materialize(texts.mapInArrow(gather, "token binary, c long, n long, block int, counts binary"), "gathered")
 
 
-def _rows(token: list, c: list, n: list, block: list | None, counts: list | None) -> pa.RecordBatch:
+def _rows(token: pa.Array | list, c: pa.Array | list, n: pa.Array | list, block: list | None, counts: list | None) -> pa.RecordBatch:
     k = len(token)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(token, pa.binary()), pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(block or [None] * k, pa.int32()), pa.array(counts or [None] * k, pa.binary())], names=["token", "c", "n", "block", "counts"]
-    )
+    columns = [(token, pa.binary()), (c, pa.int64()), (n, pa.int64()), (block or pa.nulls(k), pa.int32()), (counts or pa.nulls(k), pa.binary())]
+    return pa.RecordBatch.from_arrays([x.cast(t) if isinstance(x, pa.Array) else pa.array(x, t) for x, t in columns], names=["token", "c", "n", "block", "counts"])
 
 
 def added(blocks: DataFrame) -> DataFrame:
@@ -352,11 +382,30 @@ def added(blocks: DataFrame) -> DataFrame:
 # Mixing ------------------------------------------------------------------------------------
 
 
+#: The logs of 16-bit counts, in STEPS.
+LOGS = (np.log(np.arange(1 << 16) + DELTA) * STEPS).astype(np.float32)
+
+
+def odds_of(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Log odds of 16-bit counts, in STEPS; counts below 0 are 0."""
+    odds = LOGS.take(ones, mode="clip")
+    odds -= LOGS.take(zeros, mode="clip")
+    return np.clip(np.rint(odds, out=odds), -127, 127, out=odds).astype(np.int16)
+
+
+def level_of(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """How well a context is known."""
+    total = np.maximum(zeros, 0, dtype=np.int32, casting="same_kind") + np.maximum(ones, 0, dtype=np.int32, casting="same_kind")
+    level = np.zeros(total.shape, np.int8)
+    for least in LEVELS:
+        level += total >= least
+    return level
+
+
 def table_of(n: np.ndarray) -> np.ndarray:
-    """Of each slot its log odds, in STEPS, in the high byte, and in the low one how well it is known."""
-    odds = np.log((n[:, 1] + np.float32(DELTA)) / (n[:, 0] + np.float32(DELTA)))
-    level = np.searchsorted(np.array(LEVELS), n.sum(1, dtype=np.int64), side="right")
-    return (np.clip(np.rint(odds * STEPS), -127, 127).astype(np.int16) << 8 | level).astype(np.int16)
+    """Of each slot its log odds, in STEPS, in the high byte, and in the low one how well it is known. n: 16-bit counts."""
+    zeros, ones = n[:, 0].astype(np.int32), n[:, 1].astype(np.int32)
+    return odds_of(zeros, ones) << 8 | level_of(zeros, ones)
 
 
 @dataclass
@@ -372,7 +421,7 @@ class Bits:
         x = [(v >> 8).astype(np.float32) for v in found]
         for v in x:
             v *= np.float32(1 / STEPS)
-        return cls(x, cls.gate_of(found), bit.astype(np.float32) * 2 - 1)
+        return cls(x, cls.gate_of(found).astype(np.int64), bit.astype(np.float32) * 2 - 1)
 
     @staticmethod
     def gate_of(found: list[np.ndarray]) -> np.ndarray:
@@ -431,41 +480,50 @@ class Mixer:
     def odds(self, b: Bits) -> np.ndarray:
         """The log odds by the starting weights."""
         w = self.w.astype(np.float32)
-        z = w[:, -1].take(b.gate)
+        z = w[:, -1].take(b.gate, mode="clip")
         for k, x in enumerate(b.x):
-            z += x * w[:, k].take(b.gate)
+            more = w[:, k].take(b.gate, mode="clip")
+            more *= x
+            z += more
         return z
 
 
+def log1p(u: np.ndarray) -> np.ndarray:
+    """As exact for small numbers as np.log1p, but for floats much faster."""
+    w = u + 1
+    d = w - 1  # what was added indeed
+    return np.where(d == 0, u, np.log(w) * (u / np.maximum(d, 1e-30)))
+
+
 def cost(z: np.ndarray, b: Bits, size: np.ndarray, own: np.ndarray, rate: float = RATE) -> np.ndarray:
     """Natural log of the probability of each text of ``size`` bits. own: what each text has added to the weights so far, which is changed: after each whole segment a text's weights follow its errors."""
     order = np.argsort(-size, kind="stable")
-    begin, whole = (np.cumsum(size) - size)[order], size[order] // SEGMENT
-    v, lost, at = own[order].astype(np.float32), np.zeros(len(size)), np.arange(SEGMENT)
-    for s in range(int(whole[0]) if len(size) else 0):
-        k = int(np.searchsorted(-whole, -s))  # texts that have a whole segment here
-        where = begin[:k, None] + (s * SEGMENT + at)
-        xs, sign = [x.take(where) for x in b.x], b.sign.take(where)
-        e = z.take(where)
+    begin, size = (np.cumsum(size) - size)[order], size[order]
+    rows, whole = -(-size // SEGMENT), size // SEGMENT
+    at = np.cumsum(rows) - rows
+    every = [np.full((int(rows.sum()), SEGMENT), fill, np.float32) for fill in (*[0] * len(b.x), 1, 60)]  # what fills a text's last segment has no cost
+    for to, of in zip(every, [*b.x, b.sign, z], strict=True):
+        to = to.reshape(-1)
+        for i, k, n in zip((at * SEGMENT).tolist(), begin.tolist(), size.tolist(), strict=True):
+            to[i : i + n] = of[k : k + n]
+    v, lost = own[order].astype(np.float32), np.zeros(len(size))
+    for s in range(int(rows[0]) if len(size) else 0):
+        k = int(np.searchsorted(-rows, -s))  # texts that have a segment here, and those of them that have a whole one
+        m = int(np.searchsorted(-whole, -s))
+        *xs, sign, e = [x.take(at[:k] + s, axis=0, mode="clip") for x in every]
         e += v[:k, -1:]
         for i, x in enumerate(xs):
             e += x * v[:k, i : i + 1]
         e *= -sign
         np.exp(np.minimum(e, 30, out=e), out=e)
-        lost[:k] += np.log1p(e).sum(1)
+        a, c = e[:, : SEGMENT // 2], e[:, SEGMENT // 2 :]
+        lost[:k] += log1p(a + c + a * c).sum(1)  # two bits at once; e ** 60 at most
+        e, sign = e[:m], sign[:m]
         e /= 1 + e
         e *= sign
         for i, x in enumerate(xs):
-            v[:k, i] += rate * np.einsum("ks,ks->k", e, x)
-        v[:k, -1] += rate * e.sum(1)
-    rest = size[order] - whole * SEGMENT
-    text = np.repeat(np.arange(len(size)), rest)
-    where = np.arange(len(text)) + np.repeat(begin + whole * SEGMENT - (np.cumsum(rest) - rest), rest)
-    e = z.take(where) + v[:, -1].take(text)
-    for i, x in enumerate(b.x):
-        e += x.take(where) * v[:, i].take(text)
-    e = np.exp(np.minimum(-b.sign.take(where) * e, 30))
-    lost += np.bincount(text, np.log1p(e), len(size))
+            v[:m, i] += rate * np.einsum("ks,ks->k", e, x[:m])
+        v[:m, -1] += rate * e.sum(1)
     out = np.zeros(len(size))
     out[order] = -lost
     own[order] = v
@@ -479,8 +537,8 @@ class Model:
     mixer: Mixer
     slot_bits: int
 
-    #: Symbols that are scored at once.
-    AT_ONCE = 1 << 20
+    #: Symbols that are scored at once at most, and such that small texts are taken together to: those stay in a core's cache.
+    AT_ONCE, TOGETHER = 1 << 20, 1 << 17
 
     def bits(self, stream: Stream, parts: list[np.ndarray]) -> tuple[np.ndarray, Bits]:
         """Bits of each symbol, and the bits, of pieces that follow each other."""
@@ -488,15 +546,15 @@ class Model:
         for s in parts:
             length, bit, slots = stream.bits(s)
             lengths.append(length)
-            every.append(Bits.of([self.table.take(x) for x in slots], bit))
-        return np.concatenate(lengths), Bits.joined(every)
+            every.append(Bits.of([self.table.take(x, mode="clip") for x in slots], bit))
+        return np.concatenate(lengths), Bits.joined(every) if len(every) > 1 else every[0]
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Natural log of the probability of each text. Texts of like lengths are scored together: they go on for as long."""
         out, held, size = np.zeros(len(texts)), [], 0
         for k in sorted(range(len(texts)), key=lambda k: len(texts[k])):
             t = texts[k]
-            if held and size + len(t) > self.AT_ONCE:
+            if held and size + len(t) > min(self.AT_ONCE, self.TOGETHER):
                 out[held] = self.together([texts[i] for i in held])
                 held, size = [], 0
             if len(t) > self.AT_ONCE:
@@ -509,9 +567,11 @@ class Model:
         return out
 
     def together(self, texts: list[bytes]) -> np.ndarray:
-        length, bits = self.bits(Stream(self.codes, self.slot_bits), list(pieces(iter(texts))))
+        stream = Stream(self.codes, self.slot_bits)
+        lengths, every = zip(*[self.bits(stream, [s]) for s in pieces(iter(texts))], strict=True)
+        length, bits, z = np.concatenate(lengths), Bits.joined(every), np.concatenate([self.mixer.odds(b) for b in every])
         upto = np.append(0, np.cumsum(length))[np.append(0, np.cumsum([len(t) + 1 for t in texts]))]
-        return cost(self.mixer.odds(bits), bits, np.diff(upto), np.zeros((len(texts), PREDICTORS + 1)))
+        return cost(z, bits, np.diff(upto), np.zeros((len(texts), PREDICTORS + 1)))
 
     def alone(self, text: bytes) -> float:
         """A long text, part by part."""
@@ -529,7 +589,7 @@ def fit_codes(texts: DataFrame) -> Codes:
         n = np.zeros(SYMBOLS * SYMBOLS, np.int64)
         for b in batches:
             before = END
-            for s in pieces(lowered(t) for t in b.column("text").to_pylist()):
+            for s in pieces(t for texts in lowered_parts(b.column("text")) for t in texts):
                 n += np.bincount(np.append(before, s[:-1]) * SYMBOLS + s, minlength=len(n))
                 before = s[-1]
         pair = np.flatnonzero(n)
@@ -548,38 +608,68 @@ class Cells:
     ONCE = 1 << 17
 
     def __init__(self, codes: Codes, n: np.ndarray, slot_bits: int) -> None:
-        self.codes, self.n, self.slot_bits = codes, n, slot_bits
-        self.own = np.zeros((len(n), 2), np.int32)
+        self.codes, self.n, self.slot_bits = codes, np.ascontiguousarray(n), slot_bits
+        self.at = np.zeros(len(n), np.int32)  # of a slot: where a text has met it; what other texts leave is never read
         self.cells = np.zeros(2 * GATES * ROUNDED**PREDICTORS, np.int64)
-        self.held: list[np.ndarray] = []
 
-    def bits(self, text: bytes) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-        stream = Stream(self.codes, self.slot_bits)
-        for s in pieces(iter([text])):
-            yield stream.bits(s)[1:]
-
-    def add(self, text: bytes) -> None:
-        whole = list(self.bits(text)) if len(text) < self.ONCE else None
-        own = self.own.reshape(-1)
-        for bit, slots in whole or self.bits(text):
-            for x in slots:
-                np.add.at(own, 2 * x + bit, 1)
-        for bit, slots in whole or self.bits(text):
-            found = [table_of(np.maximum(self.n.take(x, 0) - self.own.take(x, 0), 0)) for x in slots]
-            cell = Bits.gate_of(found).astype(np.int64)
-            for v in found:
-                cell = cell * ROUNDED + ((v >> 8) + (ROUNDED // 2 * ROUND + ROUND // 2)) // ROUND
-            self.held.append(2 * cell + bit)
-        for _, slots in whole or self.bits(text):
-            for x in slots:
-                self.own[x] = 0
-        if sum(map(len, self.held)) > 1 << 20:
-            self.flush()
+    def add(self, texts: list[bytes]) -> None:
+        """Small texts go through Stream together, a piece at most."""
+        held: list[bytes] = []
+        size = 0
+        for t in texts:
+            if held and size + len(t) >= PIECE:
+                self.together(held)
+                held, size = [], 0
+            if len(t) >= self.ONCE:
+                self.alone(t)
+            else:
+                held.append(t)
+                size += len(t) + 1
+        if held:
+            self.together(held)
 
-    def flush(self) -> None:
-        if self.held:
-            self.cells += np.bincount(np.concatenate(self.held), minlength=len(self.cells))
-        self.held = []
+    def pieces(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Bits of each symbol, the bits, and their slots by predictor."""
+        stream = Stream(self.codes, self.slot_bits)
+        for s in pieces(iter(texts)):
+            length, bit, slots = stream.bits(s)
+            yield length, bit, np.stack(slots)
+
+    def together(self, texts: list[bytes]) -> None:
+        length, bit, slots = [np.concatenate(x, -1) for x in zip(*self.pieces(texts), strict=True)]
+        upto = np.append(0, np.cumsum(length))[np.append(0, np.cumsum([len(t) + 1 for t in texts]))].tolist()
+        own = np.empty(slots.shape, np.int64)
+        for a, b in zip(upto, upto[1:], strict=False):
+            met = slots[:, a:b].ravel()
+            self.at[met] = np.arange(len(met), dtype=np.int32)
+            first = self.at.take(met, mode="clip").reshape(PREDICTORS, -1)  # the same for bits of the same slot
+            n = np.bincount((2 * first + bit[a:b]).ravel(), minlength=2 * len(met))
+            own[:, a:b] = n.astype(np.int32).view(np.int64).take(first, mode="clip")  # both counts in one look-up
+        self.tally(bit, slots, own.view(np.int32).reshape(*slots.shape, 2))
+
+    def alone(self, text: bytes) -> None:
+        """A long text, part by part."""
+        own = np.zeros(self.n.shape, np.int32)
+        for _, bit, slots in self.pieces([text]):
+            np.add.at(own.reshape(-1), (2 * slots + bit).ravel(), np.int32(1))
+        for _, bit, slots in self.pieces([text]):
+            self.tally(bit, slots, own.take(slots, 0, mode="clip"))
+
+    def tally(self, bit: np.ndarray, slots: np.ndarray, own: np.ndarray) -> None:
+        """own: the text's own counts."""
+        n = self.n.view(np.uint32).reshape(-1).take(slots, mode="clip").view(np.uint16).reshape(own.shape) - own
+        zeros, ones = n[..., 0], n[..., 1]
+        level = level_of(zeros[-2:], ones[-2:])
+        odds = odds_of(zeros, ones)
+        odds += ROUNDED // 2 * ROUND + ROUND // 2
+        odds //= ROUND
+        cell = (level[1] * np.int8(len(LEVELS) + 1) + level[0]).astype(np.int32)
+        for q in odds:
+            cell *= ROUNDED
+            cell += q
+        cell *= 2
+        cell += bit
+        np.add.at(self.cells, cell, np.int64(1))
 
 
 def fit_mixer(texts: DataFrame, codes: Codes, n: np.ndarray, slot_bits: int) -> Mixer:
@@ -589,9 +679,8 @@ def fit_mixer(texts: DataFrame, codes: Codes, n: np.ndarray, slot_bits: int) ->
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Cells(*shared.value, slot_bits)
         for b in batches:
-            for raw in b.column("text").to_pylist():
-                made.add(lowered(raw))
-        made.flush()
+            for some in lowered_parts(b.column("text")):
+                made.add(some)
         for block, data in blocks(made.cells):
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([data], pa.binary())], names=["block", "counts"])
 
@@ -630,46 +719,48 @@ def scored(docs: DataFrame, learns: Column, **how: int) -> DataFrame:
     """A row a row of docs (doc_id, text): doc_id, n_tokens, n_known, train_tokens, base_score, score (log10), total_bits and bits_per_byte."""
     spark = docs.sparkSession
     model, tokens = fit(docs, learns, **how)
-    total, distinct, every = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    total, distinct, every, different = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     rest = total + 0.5 * (distinct + 1)
     often = (F.col("n") >= max(every * TOKEN_SHARE, 1)) & (F.octet_length("token") <= 256)
-    hot = {bytes(r.token): (math.log10((r.c + 0.5) / rest), int(r.c > 0)) for r in tokens.filter(often).select("token", "c").toLocalIterator()}
+    found = tokens.filter(often).select("token", "c").toArrow()  # TOKEN_SHARE bounds them
+    c = found["c"].to_numpy()
+    hot = found["token"].combine_chunks().cast(pa.large_binary()), np.log10((c + 0.5) / rest), c > 0
     shared = spark.sparkContext.broadcast((model, hot))  # slot_bits and TOKEN_SHARE bound them
     kind = dict(docs.dtypes)["doc_id"]
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, hot = shared.value
+        model, (often, logs, learnt) = shared.value
         key = TaskContext.get().partitionId() << 40
+        names = ["key", "doc_id", "bytes", "n_tokens", "n_known", "base", "score", "token"]
         for b in batches:
-            for s in range(0, b.num_rows, 1000):
-                ids, texts = b.column(0).slice(s, 1000), [lowered(t) for t in b.column(1).slice(s, 1000).to_pylist()]
+            s = 0
+            for texts in lowered_parts(b.column(1)):
+                size, ids = len(texts), b.column(0).slice(s, len(texts))
                 log = model.score(texts)
-                n, known, base, rare_key, rare_token, rare_n = [], [], [], [], [], []
-                for k, text in enumerate(texts):
-                    words = text.split()
-                    words.append(b"")
-                    n.append(len(words))
-                    sure, add = 0, []
-                    for w, c in Counter(words).items():
-                        if (h := hot.get(w)) is not None:
-                            add.append(c * h[0])
-                            sure += c * h[1]
-                        else:
-                            rare_key.append(key + k)
-                            rare_token.append(w)
-                            rare_n.append(c)
-                    known.append(sure)
-                    base.append(math.fsum(add))
-                size, m = len(texts), len(rare_key)
-                names = ["key", "doc_id", "bytes", "n_tokens", "n_known", "base", "score", "token"]
-                yield pa.RecordBatch.from_arrays([pa.array(range(key, key + size), pa.int64()), ids, pa.array([len(t) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(log), pa.nulls(size, pa.binary())], names=names)
-                if m:
-                    yield pa.RecordBatch.from_arrays([pa.array(rare_key, pa.int64()), pa.nulls(m, ids.type), pa.nulls(m, pa.int64()), pa.array(rare_n, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.array(rare_token, pa.binary())], names=names)
+                token, of = tokens_of(texts)
+                n = np.bincount(of, minlength=size)
+                token = token.dictionary_encode()
+                rank = pc.fill_null(pc.index_in(token.dictionary, value_set=often), -1).to_numpy().astype(np.int64)
+                rank = np.where(rank < 0, len(often) + np.arange(len(rank)), rank)  # often ones first, in one order everywhere
+                met = np.sort(of << 32 | rank[token.indices.to_numpy()])
+                first = np.flatnonzero(np.append(True, met[1:] != met[:-1]))
+                times, of, rank = np.diff(np.append(first, len(met))), met[first] >> 32, met[first] & 0xFFFFFFFF
+                sure = rank < len(often)
+                i, j, k = of[sure], rank[sure], times[sure]
+                base, known = np.bincount(i, k * logs[j], size), np.bincount(i, k * learnt[j], size).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(range(key, key + size), pa.int64()), ids, pa.array([len(t) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array(known), pa.array(base), pa.array(log), pa.nulls(size, pa.binary())], names=names)
+                if m := int((~sure).sum()):
+                    rare = token.dictionary.take(pa.array(rank[~sure] - len(often))).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(key + of[~sure]), pa.nulls(m, ids.type), pa.nulls(m, pa.int64()), pa.array(times[~sure]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), rare], names=names)
                 key += size
+                s += size
 
     rows = materialize(docs.select("doc_id", "text").mapInArrow(take, f"key long, doc_id {kind}, bytes long, n_tokens long, n_known long, base double, score double, token binary"), "scores")
     counts = tokens.filter(~often).select("token", "c")
-    rare = rows.filter("token IS NOT NULL").select("key", "token", "n_tokens").join(counts, "token")
+    rare = rows.filter("token IS NOT NULL").select("key", "token", "n_tokens")
+    if (parts := different // MAPPED) > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        counts, rare = counts.repartition(parts, "token"), rare.repartition(parts, "token")
+    rare = rare.join(counts.hint("shuffle_hash"), "token")  # nothing is sorted; a task maps some MAPPED tokens
     rare = rare.groupBy("key").agg(F.sum(F.col("n_tokens") * F.log10((F.col("c") + 0.5) / F.lit(rest))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n_tokens")).otherwise(0)).alias("known"))
     out = rows.filter("token IS NULL").join(rare, "key", "left")
     bits = -F.col("score") / F.lit(math.log(2))

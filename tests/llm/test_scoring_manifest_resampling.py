@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -311,6 +312,41 @@ def test_codes_and_mixer_learn_from_all_texts(spark):
     assert lm.fit_mixer(docs.repartition(3), codes, n, 12).w == pytest.approx(lm.Mixer.fit(bits).w, abs=1e-4)
 
 
+def test_tally_without_own_counts(monkeypatch):
+    """Small and long texts, together and alone, meet the cells that they meet one by one, and for little more time than scoring takes."""
+    rng = random.Random(5)
+    texts = [lm.lowered(text(n, rng)) for n in (0, 1, 3, 40, 900, 5000, 7, 30)] + [b"", b"x" * 40_000]
+    codes = codes_of(texts)
+    counts = lm.Counts(codes, 12)
+    for s in lm.pieces(iter(texts)):
+        counts.add(s)
+    counts.flush()
+    n = lm.scaled(counts.n.reshape(-1, 2))
+    plain = np.zeros(2 * lm.GATES * lm.ROUNDED**3, np.int64)
+    for t in texts:
+        _, bit, slots = piecewise(codes, t)
+        own = sum(np.bincount(2 * x + bit, minlength=n.size).reshape(n.shape) for x in slots)
+        found = [lm.table_of(np.maximum(n.astype(np.int64) - own, 0))[x].astype(int) for x in slots]
+        q = [((v >> 8) + 130) // 9 for v in found]
+        cell = (((found[2] & 3) * 4 + (found[1] & 3)) * 29**3 + q[0] * 29**2 + q[1] * 29 + q[2]) * 2 + bit
+        np.add.at(plain, cell, 1)
+    for once in (lm.Cells.ONCE, 1000):
+        monkeypatch.setattr(lm.Cells, "ONCE", once)
+        made = lm.Cells(codes, n, 12)
+        made.add(texts)
+        assert (made.cells == plain).all()
+    monkeypatch.undo()
+    texts = [lm.lowered(text(600, rng)) for _ in range(100)]
+    model, made = lm.Model(codes, lm.table_of(n), lm.Mixer.fit([]), 12), lm.Cells(codes, n, 12)
+    took = []
+    for f in (model.score, made.add):
+        f(texts[:10])
+        began = time.process_time()
+        f(texts)
+        took.append(time.process_time() - began)
+    assert took[1] < 3 * took[0]
+
+
 def piecewise(codes, text):
     """Of a text's bits: no lengths, the bits, and the predictors' slots."""
     stream, got = lm.Stream(codes, 12), []
