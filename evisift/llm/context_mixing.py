@@ -495,14 +495,15 @@ def log1p(u: np.ndarray) -> np.ndarray:
     return np.where(d == 0, u, np.log(w) * (u / np.maximum(d, 1e-30)))
 
 
-def cost(z: np.ndarray, b: Bits, size: np.ndarray, own: np.ndarray, rate: float = RATE) -> np.ndarray:
-    """Natural log of the probability of each text of ``size`` bits. own: what each text has added to the weights so far, which is changed: after each whole segment a text's weights follow its errors."""
+def cost(z: np.ndarray, x: list[np.ndarray], bit: np.ndarray, size: np.ndarray, own: np.ndarray, rate: float = RATE) -> np.ndarray:
+    """Natural log of the probability of each text of ``size`` bits. z: log odds by the starting weights; x: those of each predictor, in STEPS; own: what each text has added to the weights so far, which is changed: after each whole segment a text's weights follow its errors."""
     order = np.argsort(-size, kind="stable")
     begin, size = (np.cumsum(size) - size)[order], size[order]
     rows, whole = -(-size // SEGMENT), size // SEGMENT
     at = np.cumsum(rows) - rows
-    every = [np.full((int(rows.sum()), SEGMENT), fill, np.float32) for fill in (*[0] * len(b.x), 1, 60)]  # what fills a text's last segment has no cost
-    for to, of in zip(every, [*b.x, b.sign, z], strict=True):
+    fill = [*[(0, np.int8)] * len(x), (1, np.int8), (60, np.float32)]  # what fills a text's last segment has no cost
+    every = [np.full((int(rows.sum()), SEGMENT), f, kind) for f, kind in fill]
+    for to, of in zip(every, [*x, 2 * bit.view(np.int8) - 1, z], strict=True):
         to = to.reshape(-1)
         for i, k, n in zip((at * SEGMENT).tolist(), begin.tolist(), size.tolist(), strict=True):
             to[i : i + n] = of[k : k + n]
@@ -510,10 +511,10 @@ def cost(z: np.ndarray, b: Bits, size: np.ndarray, own: np.ndarray, rate: float
     for s in range(int(rows[0]) if len(size) else 0):
         k = int(np.searchsorted(-rows, -s))  # texts that have a segment here, and those of them that have a whole one
         m = int(np.searchsorted(-whole, -s))
-        *xs, sign, e = [x.take(at[:k] + s, axis=0, mode="clip") for x in every]
+        *xs, sign, e = [x.take(at[:k] + s, axis=0, mode="clip").astype(np.float32, copy=False) for x in every]
         e += v[:k, -1:]
         for i, x in enumerate(xs):
-            e += x * v[:k, i : i + 1]
+            e += x * (v[:k, i : i + 1] * np.float32(1 / STEPS))
         e *= -sign
         np.exp(np.minimum(e, 30, out=e), out=e)
         a, c = e[:, : SEGMENT // 2], e[:, SEGMENT // 2 :]
@@ -522,7 +523,7 @@ def cost(z: np.ndarray, b: Bits, size: np.ndarray, own: np.ndarray, rate: float
         e /= 1 + e
         e *= sign
         for i, x in enumerate(xs):
-            v[:m, i] += rate * np.einsum("ks,ks->k", e, x[:m])
+            v[:m, i] += rate / STEPS * np.einsum("ks,ks->k", e, x[:m])
         v[:m, -1] += rate * e.sum(1)
     out = np.zeros(len(size))
     out[order] = -lost
@@ -538,16 +539,25 @@ class Model:
     slot_bits: int
 
     #: Symbols that are scored at once at most, and such that small texts are taken together to: those stay in a core's cache.
-    AT_ONCE, TOGETHER = 1 << 20, 1 << 17
+    AT_ONCE, TOGETHER = 1 << 20, 1 << 18
+
+    def found(self, stream: Stream, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Bits of each symbol, the bits, and what the table has for each predictor."""
+        length, bit, slots = stream.bits(s)
+        return length, bit, [self.table.take(x, mode="clip") for x in slots]
 
     def bits(self, stream: Stream, parts: list[np.ndarray]) -> tuple[np.ndarray, Bits]:
         """Bits of each symbol, and the bits, of pieces that follow each other."""
-        lengths, every = [], []
+        lengths, bit, found = zip(*[self.found(stream, s) for s in parts], strict=True)
+        return np.concatenate(lengths), Bits.joined([Bits.of(f, b) for f, b in zip(found, bit, strict=True)])
+
+    def inputs(self, stream: Stream, parts: Iterator[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Bits of each symbol, and the log odds by the starting weights, those of the predictors and the bits as cost() takes them."""
+        made = []
         for s in parts:
-            length, bit, slots = stream.bits(s)
-            lengths.append(length)
-            every.append(Bits.of([self.table.take(x, mode="clip") for x in slots], bit))
-        return np.concatenate(lengths), Bits.joined(every) if len(every) > 1 else every[0]
+            length, bit, found = self.found(stream, s)
+            made.append((length, self.mixer.odds(Bits.of(found, bit)), *[(v >> 8).astype(np.int8) for v in found], bit))
+        return tuple(np.concatenate(x) for x in zip(*made, strict=True))
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Natural log of the probability of each text. Texts of like lengths are scored together: they go on for as long."""
@@ -567,18 +577,16 @@ class Model:
         return out
 
     def together(self, texts: list[bytes]) -> np.ndarray:
-        stream = Stream(self.codes, self.slot_bits)
-        lengths, every = zip(*[self.bits(stream, [s]) for s in pieces(iter(texts))], strict=True)
-        length, bits, z = np.concatenate(lengths), Bits.joined(every), np.concatenate([self.mixer.odds(b) for b in every])
+        length, z, *x, bit = self.inputs(Stream(self.codes, self.slot_bits), pieces(iter(texts)))
         upto = np.append(0, np.cumsum(length))[np.append(0, np.cumsum([len(t) + 1 for t in texts]))]
-        return cost(z, bits, np.diff(upto), np.zeros((len(texts), PREDICTORS + 1)))
+        return cost(z, x, bit, np.diff(upto), np.zeros((len(texts), PREDICTORS + 1)))
 
     def alone(self, text: bytes) -> float:
         """A long text, part by part."""
         stream, own, total = Stream(self.codes, self.slot_bits), np.zeros((1, PREDICTORS + 1)), 0.0
         for s in pieces(iter([text])):
-            length, bits = self.bits(stream, [s])
-            total += cost(self.mixer.odds(bits), bits, length.sum(keepdims=True), own)[0]
+            length, z, *x, bit = self.inputs(stream, iter([s]))
+            total += cost(z, x, bit, length.sum(keepdims=True), own)[0]
         return total
 
 
@@ -608,8 +616,10 @@ class Cells:
     ONCE = 1 << 17
 
     def __init__(self, codes: Codes, n: np.ndarray, slot_bits: int) -> None:
-        self.codes, self.n, self.slot_bits = codes, np.ascontiguousarray(n), slot_bits
-        self.at = np.zeros(len(n), np.int32)  # of a slot: where a text has met it; what other texts leave is never read
+        self.codes, self.slot_bits = codes, slot_bits
+        self.slots = np.zeros(len(n), np.int64)  # of a slot: its counts and, in the high half, where a text has met it; what other texts leave there is never read
+        self.slots.view(np.uint16).reshape(-1, 4)[:, :2] = n
+        self.at = self.slots.view(np.int32)[1::2]
         self.cells = np.zeros(2 * GATES * ROUNDED**PREDICTORS, np.int64)
 
     def add(self, texts: list[bytes]) -> None:
@@ -638,26 +648,28 @@ class Cells:
     def together(self, texts: list[bytes]) -> None:
         length, bit, slots = [np.concatenate(x, -1) for x in zip(*self.pieces(texts), strict=True)]
         upto = np.append(0, np.cumsum(length))[np.append(0, np.cumsum([len(t) + 1 for t in texts]))].tolist()
-        own = np.empty(slots.shape, np.int64)
+        n, own = np.empty(slots.shape, np.uint32), np.empty(slots.shape, np.int64)
         for a, b in zip(upto, upto[1:], strict=False):
             met = slots[:, a:b].ravel()
             self.at[met] = np.arange(len(met), dtype=np.int32)
-            first = self.at.take(met, mode="clip").reshape(PREDICTORS, -1)  # the same for bits of the same slot
-            n = np.bincount((2 * first + bit[a:b]).ravel(), minlength=2 * len(met))
-            own[:, a:b] = n.astype(np.int32).view(np.int64).take(first, mode="clip")  # both counts in one look-up
-        self.tally(bit, slots, own.view(np.int32).reshape(*slots.shape, 2))
+            both = self.slots.take(met, mode="clip").reshape(PREDICTORS, -1)
+            first = both >> 32  # the same for bits of the same slot
+            n[:, a:b] = both  # the low half
+            times = np.bincount((2 * first + bit[a:b]).ravel(), minlength=2 * len(met))
+            own[:, a:b] = times.astype(np.int32).view(np.int64).take(first, mode="clip")  # both counts in one look-up
+        self.tally(bit, n, own.view(np.int32).reshape(*slots.shape, 2))
 
     def alone(self, text: bytes) -> None:
         """A long text, part by part."""
-        own = np.zeros(self.n.shape, np.int32)
+        own = np.zeros((len(self.slots), 2), np.int32)
         for _, bit, slots in self.pieces([text]):
             np.add.at(own.reshape(-1), (2 * slots + bit).ravel(), np.int32(1))
         for _, bit, slots in self.pieces([text]):
-            self.tally(bit, slots, own.take(slots, 0, mode="clip"))
+            self.tally(bit, self.slots.take(slots, mode="clip").astype(np.uint32), own.take(slots, 0, mode="clip"))
 
-    def tally(self, bit: np.ndarray, slots: np.ndarray, own: np.ndarray) -> None:
-        """own: the text's own counts."""
-        n = self.n.view(np.uint32).reshape(-1).take(slots, mode="clip").view(np.uint16).reshape(own.shape) - own
+    def tally(self, bit: np.ndarray, n: np.ndarray, own: np.ndarray) -> None:
+        """n: the counts of all, both in a number; own: the text's own."""
+        n = n.view(np.uint16).reshape(own.shape) - own
         zeros, ones = n[..., 0], n[..., 1]
         level = level_of(zeros[-2:], ones[-2:])
         odds = odds_of(zeros, ones)
