@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from evisift.operators import bm25, keywords
+from evisift.operators import automaton, bm25, keywords
 from evisift.operators.keywords import contained, first_contained
 from evisift.operators.retrieval import expand_neighbours, select_hits
 from evisift.operators.segments import MaintainedIndex
@@ -204,3 +204,52 @@ def test_grams_are_taken_in_one_pass(spark):
     assert sorted(map(tuple, contained(texts, words, "k").select("k", "keyword").collect())) == [(1, "b😀cd"), (1, "e\nf"), (1, "😀"), (2, "yz"), (3, "😀")]
     plan = keywords.texts_grams(texts, "k", "text", [2, 4])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 2 and "sequence(" not in plan
+
+
+def test_keywords_are_scanned_for(spark, monkeypatch):
+    """By automata, in one block or more, what grams find; no pair of a text and a keyword is a row."""
+    rng = random.Random(3)
+    texts = [(i, "".join(rng.choices("ab é甲.", k=rng.choice([0, 2, 9, 60, 300])))) for i in range(40)] + [(7, "ab aab"), (None, "ab"), (None, "b"), (50, None), (51, ""), (52, "zz")]
+    words = sorted({"".join(rng.choices("ab é甲.", k=rng.choice([1, 2, 3, 4, 7]))) for _ in range(80)} | {"never", "a", "aa", "ab", "aab", "baab"})
+    t, k = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(w, 7 * p % 101) for p, w in enumerate(words)], "keyword string, place long")
+    places = {w: 7 * p % 101 for p, w in enumerate(words)}
+    hits = [(i, w) for i, x in texts for w in words if x and w in x]
+    plain = {i: (sum(j == i for j, _ in hits), min((w for j, w in hits if j == i), key=places.get)) for i, _ in hits}
+    for block in (keywords.BLOCK, 300, 1):  # one, several, too many: by grams
+        monkeypatch.setattr(keywords, "BLOCK", block)
+        got = keywords.tally(t, k, "id")
+        assert {r.id: (r.n, r.first) for r in got.collect()} == plain
+        assert {(r.id, r.keyword) for r in contained(t, k, "id").collect()} == {(i, w) for i, w in hits if i is not None}
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert ("Join" in plan) == (block == 1) and min(plan.count("MapInArrow"), 2) == {1: 0, 300: 2}.get(block, 1)
+    assert keywords.tally(t, k.limit(0), "id").count() == 0
+
+
+def test_keyword_table_counts_rows_and_cuts_as_its_sql(spark, tmp_path):
+    """Rows that share a document's id, or have none, count each; a vertical tab is no space to DuckDB."""
+    duckdb = pytest.importorskip("duckdb")
+    docs = [(1, "alpha beta"), (1, "alpha"), (2, "a\x0bb"), (2, "gamma"), (None, "beta"), (3, "delta"), (4, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "alpha, beta. a\x0bb gam\tbeta"), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {name} AS FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = queries.keyword_table(spark, f"file://{tmp_path}").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(con.sql(queries.ORACLES["keyword_table"]).fetchall(), key=str)
+    assert {r.doc_id: r.n_keywords for r in got} == {1: 3, 2: 2, None: 1}
+
+
+def test_finder_forgets_but_finds(monkeypatch):
+    """Also when what it keeps of pieces is full, where pieces are longer than a window, and where words have every byte."""
+    monkeypatch.setattr(automaton, "KEPT", 2000)
+    monkeypatch.setattr(automaton, "AT_ONCE", 300)
+    rng = random.Random(5)
+    for letters in (b"ab c", b"a", bytes(range(256))):
+        words = list({bytes(rng.choices(letters, k=rng.choice([1, 2, 3, 5, 90]))) for _ in range(300)} | ({bytes([b]) for b in letters} if len(letters) > 4 else set()))
+        find = automaton.Finder(words)
+        for _ in range(5):
+            texts = [bytes(rng.choices(letters + b" ", k=n)) for n in (0, 1, 3, 40, 1000)] + [rng.choice(words) + b"a" + rng.choice(words)]
+            assert [f.tolist() for f in find(texts)] == [[i for i, w in enumerate(words) if w in t] for t in texts]
+            assert find([]) == []  # what is kept goes before the next texts
+            assert all(len(p) <= automaton.LONGEST for p in find.known) and find.room > 2000 - 150 * 400
+    assert [f.tolist() for f in automaton.Finder([b"ab"])([b"b a", b""])] == [[], []]
